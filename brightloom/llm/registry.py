@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import simhash
+from brightloom.llm import decontaminate, line_dedup, mixing, simhash
 
-MODULES = (simhash,)
+MODULES = (decontaminate, line_dedup, mixing, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

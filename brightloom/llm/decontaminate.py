@@ -28,11 +28,17 @@ def normalised_words(text: Column) -> Column:
 
 
 def _shingled(df: DataFrame, keep: list[str], text_col: str, width: int, hashed: bool) -> DataFrame:
-    """keep and `shingles`, the distinct shingles of width words; without the rows that have none."""
-    worded = df.select(*keep, normalised_words(F.col(text_col)).alias("words")).where(F.size("words") >= width)
+    """keep, `room` (places for a shingle) and `shingles`, the distinct shingles of width words; null where there are none.
+
+    Callers explode with explode_outer: for explode, Spark would infer a filter on the array and push it below the
+    projection, where it splits the text again for every shingle.
+    """
+    worded = df.select(*keep, normalised_words(F.col(text_col)).alias("words"))
     at = lambda i: [F.get("words", i + k) for k in range(width)]
     one = (lambda i: F.xxhash64(*at(i))) if hashed else (lambda i: F.concat_ws(" ", *at(i)))
-    return worded.select(*keep, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - width), one)).alias("shingles"))
+    every = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - width), one))
+    room = F.coalesce(F.size("words") - width + 1, F.lit(0))  # never null, or joins on it would infer such filters too
+    return worded.select(*keep, room.alias("room"), F.when(F.size("words") >= width, every).alias("shingles"))
 
 
 def _least(n: Column, threshold: float) -> Column:
@@ -46,7 +52,7 @@ def item_sketches(items: DataFrame, item_col: str, text_col: str, width: int = W
     sized = sized.select("item", "shingles", F.size("shingles").alias("n"), F.floor(F.log2(F.size("shingles"))).cast("int").alias("size_part"))
     largest = F.pow(F.lit(2.0), F.col("size_part") + 1).cast("int") - 1
     length = largest - _least(largest, threshold) + 1
-    return sized.select("item", "n", _least(F.col("n"), threshold).alias("least"), "size_part", F.explode(F.slice(F.array_sort("shingles"), F.lit(1), length)).alias("h"))
+    return sized.select("item", "n", _least(F.col("n"), threshold).alias("least"), "size_part", F.explode_outer(F.slice(F.array_sort("shingles"), F.lit(1), length)).alias("h")).where("h IS NOT NULL")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -75,14 +81,14 @@ def contained_items(
     sketches = checkpointed(item_sketches(tests, "item", "text", width, threshold))
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hashed = _shingled(rows, ["k1", "k2"], "text", width, True)
-    hashed = hashed.select("k1", "k2", F.size("shingles").alias("n_doc"), F.explode("shingles").alias("h"))
-    found = hashed.join(_bounded(sketches), "h").where("n_doc >= least").select("k1", "k2", "item", "n", "least").distinct()
+    hashed = hashed.select("k1", "k2", "room", F.explode_outer("shingles").alias("h"))
+    found = hashed.join(_bounded(sketches), "h").where("room >= least").select("k1", "k2", "item", "n", "least").distinct()
     found = checkpointed(found)
     # the exact check: whole texts of the documents found, against all shingles of the items found
     near = checkpointed(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "n", "least")).alias("items")))
     exact = _shingled(rows.join(_bounded(near), ["k1", "k2"]).dropDuplicates(["k1", "k2"]), ["k1", "k2", "id", "items"], "text", width, False)
-    exact = exact.select("k1", "k2", "id", "items", F.explode("shingles").alias("shingle"))
-    named = _shingled(tests, ["item"], "text", width, False).select("item", F.explode("shingles").alias("shingle")).distinct()
+    exact = exact.select("k1", "k2", "id", "items", F.explode_outer("shingles").alias("shingle"))
+    named = _shingled(tests, ["item"], "text", width, False).select("item", F.explode_outer("shingles").alias("shingle")).distinct()
     named = checkpointed(named.groupBy("shingle").agg(F.collect_set("item").alias("having")))
     met = exact.join(_bounded(named), "shingle").select(
         "k1", "k2", "id", F.explode(F.filter("items", lambda x: F.array_contains("having", x["item"]))).alias("x")

@@ -17,7 +17,7 @@ WIDTH = 3
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(k1, k2, id, pos, h1, h2): every window of width lines that is not blank; pos is that of its first line."""
-    lined = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.split(F.col(text_col), "\n").alias("lines")).where(F.size("lines") >= width)
+    lined = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.split(F.col(text_col), "\n").alias("lines"))
     at = lambda i: [F.get("lines", i + k) for k in range(width)]
     hashed = F.transform(
         F.sequence(F.lit(0), F.size("lines") - width),
@@ -28,7 +28,9 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             F.concat(*at(i)).rlike(r"\S").alias("text"),
         ),
     )
-    return lined.select("k1", "k2", "id", F.inline(hashed)).where("text").drop("text")
+    hashed = F.when(F.size("lines") >= width, hashed)
+    # inline_outer: for inline, Spark would infer a filter on the array and compute it twice
+    return lined.select("k1", "k2", "id", F.inline_outer(hashed)).where("text").drop("text")
 
 
 def drop_repeated_lines(

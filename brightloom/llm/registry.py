@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontaminate, langid, line_dedup, mixing, simhash
+from brightloom.llm import decontaminate, langid, line_dedup, mixing, simhash, substring_dedup
 
-MODULES = (decontaminate, langid, line_dedup, mixing, simhash)
+MODULES = (decontaminate, langid, line_dedup, mixing, simhash, substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

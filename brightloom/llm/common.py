@@ -36,6 +36,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few numbers that make a task worth starting.
+TASK_ROWS = 50_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df on no more tasks than `rows` rows of a few numbers need; large inputs keep the partitions they have."""
+    return df.coalesce(max(4, rows // TASK_ROWS + 1))
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """128 bits that stand for a row in joins on (id, text), as columns k1 and k2; never null.
 

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import checkpointed
+from brightloom.llm.common import checkpointed, few_tasks
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
     """One large-star or small-star step: neighbours of u (those above it, or the rest) move to the least of them.
 
     The minimum is combined before its shuffle; the join back has one row for each u on the right, so that Spark can
     split a vertex of many edges over tasks.
     """
     both = edges.union(edges.select("b", "a")).toDF("u", "v") if large else edges.toDF("u", "v")
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = both.join(checkpointed(low).withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
+    low = few_tasks(both.groupBy("u").agg(F.min("v").alias("m")), rows).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    met = few_tasks(both.join(checkpointed(low), F.col("u") == F.col("w")), 2 * rows)
     if large:
         moved = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        moved = met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(met.select("u", "m"))
-    return moved.where("a > b").distinct()
+        moved = met.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select("x.*").toDF("a", "b")
+    return few_tasks(moved.where("a > b").distinct(), rows)
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -37,8 +37,8 @@ def component_labels(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
-        mark = seen
-        now = checkpointed(_star(_star(now, True), False))
+        mark, rows = seen, seen[0]
+        now = checkpointed(_star(checkpointed(_star(few_tasks(now, rows), rows, True)), rows, False))
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     )

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontaminate, langid, line_dedup, mixing, simhash, substring_dedup
+from brightloom.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, simhash, substring_dedup, url_filter
 
-MODULES = (decontaminate, langid, line_dedup, mixing, simhash, substring_dedup)
+MODULES = (decontaminate, exact_dedup, langid, line_dedup, mixing, simhash, substring_dedup, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import checkpointed, read_table
+from brightloom.llm.common import checkpointed, few_tasks, read_table
 from brightloom.llm.components import component_labels
 
 BITS = 64
@@ -73,9 +73,10 @@ def near_links(fps: DataFrame, max_bits: int = 2, blocks: int = 5, group: int =
     if not 0 < max_bits < blocks:
         raise ValueError("max_bits must be at least 1 and less than blocks")
     masks = block_masks(max_bits, blocks)
+    rows = fps.count() * len(masks)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("choice", "block"))
-    sizes = checkpointed(keyed.groupBy("choice", "block").agg(F.count("*").alias("n")).where("n > 1"))
-    met = checkpointed(keyed.join(sizes, ["choice", "block"]))
+    sizes = checkpointed(few_tasks(keyed.groupBy("choice", "block").agg(F.count("*").alias("n")), rows).where("n > 1"))
+    met = checkpointed(few_tasks(keyed.join(sizes, ["choice", "block"]), rows))
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits
     pairs = (
         met.where(F.col("n") <= group)
@@ -85,7 +86,6 @@ def near_links(fps: DataFrame, max_bits: int = 2, blocks: int = 5, group: int =
         .select("a", F.explode(F.filter("fps", lambda y: (y < F.col("a")) & near(y, F.col("a")))).alias("b"))
     )
     every = (1 << BITS) - 1
-    holes = F.lit(0)
     by_choice = [
         F.array(*[F.lit(_signed(every & ~sum(1 << i for i in bits))) for bits in combinations([i for i in range(BITS) if not m >> i & 1], max_bits)])
         for m in masks
@@ -111,13 +111,14 @@ def near_components(
     empty texts have fingerprint zero and link like any other. Other columns of docs are not read.
     """
     rows = checkpointed(fingerprints(docs, id_col, text_col, width))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("id")))
+    total = rows.count()
+    nodes = checkpointed(few_tasks(rows.groupBy("fp").agg(F.min("id").alias("id")), total))
     labels = component_labels(near_links(nodes.select("fp"), max_bits, blocks, group))
     placed = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
-    placed = checkpointed(placed)
-    least = checkpointed(placed.groupBy("label").agg(F.min("id").alias("component")))
-    named = checkpointed(placed.select("fp", "label").join(least, "label").select("fp", "component"))
-    return rows.join(named, "fp").select("id", "fp", "component")
+    placed = checkpointed(few_tasks(placed, total))
+    least = checkpointed(few_tasks(placed.groupBy("label").agg(F.min("id").alias("component")), total))
+    named = checkpointed(few_tasks(placed.select("fp", "label").join(least, "label").select("fp", "component"), total))
+    return few_tasks(rows.join(named, "fp").select("id", "fp", "component"), total)
 
 
 def drop_near_duplicates(

@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, simhash, substring_dedup, url_filter
-
-MODULES = (decontaminate, exact_dedup, langid, line_dedup, mixing, simhash, substring_dedup, url_filter)
+from brightloom.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    langid,
+    license_scan,
+    line_dedup,
+    mixing,
+    simhash,
+    substring_dedup,
+    url_filter,
+)
+
+MODULES = (chat_format, substring_dedup, decontaminate, mixing, url_filter, line_dedup, simhash, exact_dedup, license_scan, langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from brightloom.plans import posting_queries
+
+MODULES: list = [posting_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -264,7 +264,7 @@ _KIND = """CASE WHEN contains(b, 'ough') OR contains(b, 'éeau') THEN 'rejected'
 KINDS = (("rejected", ("ough", "éeau")), ("offer", ("thnd",)), ("interview", ("shing", "ciónque")), ("responded", ("the",)), ("applied", ("en",)))
 
 
-@query("x27_message_kind", f"{with_views('messages')} SELECT thread_id, "at", {_KIND} AS kind FROM (SELECT *, lower(coalesce(body, '')) AS b FROM messages)")
+@query("x27_message_kind", f"{with_views('messages')} SELECT thread_id, \"at\", {_KIND} AS kind FROM (SELECT *, lower(coalesce(body, '')) AS b FROM messages)")
 def x27(spark, d):
     return messages(spark, d).select("thread_id", "at", M.message_kind(F.col("body"), KINDS, ()).alias("kind"))
 
@@ -276,7 +276,7 @@ def x28(spark, d):
     return table(spark, d, "customer").select("c_custkey", company.alias("company"), role.alias("role"))
 
 
-@query("s17_clean_body", f"{with_views('messages')} SELECT thread_id, "at", sha256(trim(body)) AS body_sha256 FROM messages")
+@query("s17_clean_body", f"{with_views('messages')} SELECT thread_id, \"at\", sha256(trim(body)) AS body_sha256 FROM messages")
 def s17(spark, d):
     m = messages(spark, d).withColumn("body", F.concat("body", F.lit("\nOn Monday someone wrote:\n> quoted\n> text")))
     return m.select("thread_id", "at", F.sha2(M.clean_body(F.col("body")), 256).alias("body_sha256"))

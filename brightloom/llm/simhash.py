@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import checkpointed, few_tasks, read_table
+from brightloom.llm.common import checkpointed, few_tasks, free_name, read_table, row_key
 from brightloom.llm.components import component_labels
 
 BITS = 64
@@ -46,15 +46,17 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp) for every row, fp as a signed long. Null and empty texts and texts without words have fp 0."""
+    """(k1, k2, id, fp) for every row, fp as a signed long; k1 and k2 are its common.row_key. Null and empty texts and
+    texts without words have fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = np.array([fingerprint(t.as_py(), width) for t in batch.column(3)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], ["k1", "k2", "id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"k1 long, k2 long, id {kind}, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -85,13 +87,17 @@ def near_links(fps: DataFrame, max_bits: int = 2, blocks: int = 5, group: int =
         .select(F.explode("fps").alias("a"), "fps")
         .select("a", F.explode(F.filter("fps", lambda y: (y < F.col("a")) & near(y, F.col("a")))).alias("b"))
     )
-    every = (1 << BITS) - 1
-    by_choice = [
-        F.array(*[F.lit(_signed(every & ~sum(1 << i for i in bits))) for bits in combinations([i for i in range(BITS) if not m >> i & 1], max_bits)])
-        for m in masks
-    ]
-    holes = F.element_at(F.array(*by_choice), F.col("choice") + 1)
-    masked = met.where(F.col("n") > group).select("fp", F.explode(holes).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
+    hot = met.where(F.col("n") > group)
+    if hot.isEmpty():
+        return pairs
+    holes = fps.sparkSession.createDataFrame([(i, b) for i, m in enumerate(masks) for b in range(BITS) if not m >> b & 1], "choice int, bit int")
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), bit)")
+    dropped = holes.select("choice", bit.alias("drop"), F.col("bit").alias("last"))
+    for _ in range(max_bits - 1):
+        dropped = dropped.join(holes, "choice").where("bit > last").select("choice", F.col("drop").bitwiseOR(bit).alias("drop"), F.col("bit").alias("last"))
+    # as many rows as max_bits and blocks allow, whatever the data
+    dropped = dropped.select("choice", F.bitwise_not("drop").alias("mask"))
+    masked = hot.join(F.broadcast(dropped), "choice").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp").distinct()
     # at most 2 ** max_bits fingerprints agree on the rest
     chained = (
         masked.groupBy("mask", "rest")
@@ -105,7 +111,7 @@ def near_links(fps: DataFrame, max_bits: int = 2, blocks: int = 5, group: int =
 def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2, blocks: int = 5, group: int = GROUP
 ) -> DataFrame:
-    """(id, fp, component) for every row: component is the least id that links reach.
+    """(k1, k2, id, fp, component) for every row: component is the least id that links reach.
 
     Null ids: they never name a component unless all of its ids are null. Repeated rows give repeated rows. Null or
     empty texts have fingerprint zero and link like any other. Other columns of docs are not read.
@@ -118,7 +124,7 @@ def near_components(
     placed = checkpointed(few_tasks(placed, total))
     least = checkpointed(few_tasks(placed.groupBy("label").agg(F.min("id").alias("component")), total))
     named = checkpointed(few_tasks(placed.select("fp", "label").join(least, "label").select("fp", "component"), total))
-    return few_tasks(rows.join(named, "fp").select("id", "fp", "component"), total)
+    return few_tasks(rows.join(named, "fp").select("k1", "k2", "id", "fp", "component"), total)
 
 
 def drop_near_duplicates(
@@ -127,11 +133,14 @@ def drop_near_duplicates(
     """docs without those that are near another of a smaller id; all columns stay.
 
     Of each component the document with the least id stays. Rows that repeat an id stay together; rows without an id
-    stay if their whole component has none.
+    go if any in their component has one, and else stay.
     """
     found = near_components(docs, id_col, text_col, width, max_bits, blocks, group)
-    gone = checkpointed(found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("gone")).distinct())
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("k1").alias("g1"), F.col("k2").alias("g2")).distinct()
+    k1, k2 = (free_name(docs, x) for x in ("_k1", "_k2"))
+    keyed = docs.withColumns(dict(zip((k1, k2), row_key(id_col, text_col))))
+    gone = checkpointed(gone)
+    return keyed.join(gone, (keyed[k1] == gone["g1"]) & (keyed[k2] == gone["g2"]), "left_anti").drop(k1, k2)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

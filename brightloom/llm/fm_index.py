@@ -61,12 +61,17 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Counts, by weight, the places of a sequence that a pattern of up to `depth` symbols starts at."""
+    """Counts, by weight, the places of a sequence that a pattern of up to `depth` symbols starts at.
+
+    Symbol 0 ends pieces of the sequence and the sequence itself; patterns don't have it.
+    """
 
     def __init__(self, symbols: np.ndarray, weights: np.ndarray, depth: int):
+        if not len(symbols) or symbols[-1]:
+            raise ValueError("the sequence must end with symbol 0")
         self.symbols = symbols.astype(np.int64)
         order = suffix_order(self.symbols, depth)
-        size = int(self.symbols.max()) + 1 if len(symbols) else 1
+        size = int(self.symbols.max()) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.symbols, minlength=size))]).astype(np.int64)
         self.tree = WaveletMatrix(self.symbols[order - 1], size)
         self.heavy = np.concatenate([[0], np.cumsum(weights[order])]).astype(np.int64)

@@ -82,15 +82,16 @@ def location_passes(
     """title block, nothing to judge, always allow, block, allow, and last a title that says remote."""
     where, hint, low_title = F.trim(_low(location)), location_hint(url), _low(title)
     named = lambda given: any_of([((where != "") & place_keyword(where, k)) | ((hint != "") & place_keyword(hint, k)) for k in keywords(given)])
-    chain = F.when((where == "") & (hint == ""), not require_explicit).when(named(always_allow), True).when(named(block), False)
-    if check_title and keywords(block):
-        chain = F.when(any_of([place_keyword(low_title, k) for k in keywords(block)]), False).otherwise(chain.otherwise(None))
-        chain = F.coalesce(chain, F.lit(None).cast("boolean"))
-        rest = F.lit(True) if not keywords(allow) else F.when(named(allow), True).otherwise(signals_remote(title))
-        return F.coalesce(chain, rest)
-    if not keywords(allow):
-        return chain.otherwise(True)
-    return chain.when(named(allow), True).otherwise(signals_remote(title))
+    steps = [((where == "") & (hint == ""), not require_explicit), (named(always_allow), True), (named(block), False)]
+    if check_title:
+        steps.insert(0, (any_of([place_keyword(low_title, k) for k in keywords(block)]), False))
+    result = F.lit(True)
+    if keywords(allow):
+        steps.append((named(allow), True))
+        result = signals_remote(title)
+    for condition, passes in reversed(steps):
+        result = F.when(condition, passes).otherwise(result)
+    return result
 
 
 def age_passes(posted_at: Column, days: object, today: Column) -> Column:

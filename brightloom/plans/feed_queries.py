@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brightloom.operators.dedup import checkpointed
 from brightloom.sources import feeds as S
 from brightloom.streaming import events as E
-from brightloom.plans.views import changes, health, table, with_views
+from brightloom.plans.views import changes, table, with_views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

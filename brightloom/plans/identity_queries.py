@@ -8,7 +8,7 @@ from brightloom.operators import dedup as D
 from brightloom.operators import filters as R
 from brightloom.operators import identity as I
 from brightloom.operators import similarity as S
-from brightloom.plans.views import history, postings, table, titles, tracker, with_views
+from brightloom.plans.views import history, table, titles, tracker, with_views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

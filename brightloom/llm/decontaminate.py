@@ -10,8 +10,6 @@ verified by the exact share of the item's shingles that the document has.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -5,7 +5,6 @@ import random
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brightloom.llm import langid, registry

@@ -185,7 +185,7 @@ def test_simhash_components_equal_brute_force(spark, corpus, group):
             w[rng.randrange(len(w))] = f"w{rng.randrange(400)}"
             texts.append(" ".join(w))
     for bits, blocks in ((2, 5), (3, 7)):
-        got = {r["id"]: (r["fp"] % (1 << 64), r["component"]) for r in simhash.near_components(documents(spark, texts), width=3, max_bits=bits, blocks=blocks, group=group).collect()}
+        got = {r["id"]: (r["fps"][0] % (1 << 64), r["component"]) for r in simhash.near_components(documents(spark, texts), width=3, max_bits=bits, blocks=blocks, group=group).collect()}
         assert got == brute.near(list(enumerate(texts)), 3, bits)
 
 
@@ -193,14 +193,28 @@ def test_simhash_links_fingerprints_at_two_bits(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(4)]
     fps = {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(60)} | set(base)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    df = spark.createDataFrame([(0, f - (1 << 64) if f >> 63 else f) for f in fps], "lane int, fp long")
     for group in (64, 4):
-        labels = {r["node"] % (1 << 64): r["label"] for r in component_labels(simhash.near_links(df, group=group)).collect()}
+        labels = {r["node"]["fp"] % (1 << 64): r["label"]["fp"] % (1 << 64) for r in component_labels(simhash.near_links(df, group=group)).collect()}
         want = brute.components([(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 2], fps)
         same = lambda a, b: want[a] == want[b]
         assert all((labels.get(a, a) == labels.get(b, b)) == same(a, b) for a in fps for b in fps)
 
 
+def test_simhash_lanes_equal_brute_force(spark, corpus):
+    rng = random.Random(4)
+    texts = list(corpus)
+    for t in corpus[:15]:
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    got = {r["id"]: r["component"] for r in simhash.near_components(documents(spark, texts), width=5, max_bits=2, blocks=4, lanes=4).collect()}
+    fps = [simhash.fingerprint(t, 5, 4) for t in texts]
+    near = lambda a, b: any(bin((x ^ y) % (1 << 64)).count("1") <= 2 for x, y in zip(a, b))
+    n = len(texts)
+    assert got == brute.components([(i, j) for i in range(n) for j in range(i + 1, n) if near(fps[i], fps[j])], range(n))
+
+
 def test_near_duplicates_go(spark):
     text = prose(random.Random(3), 300)
     df = spark.createDataFrame([(5, text, 1), (3, text, 1), (3, text, 1), (None, text, 1), (None, "other words here", 1), (9, None, 1), (8, "", 1)], "doc_id long, text string, gone int")

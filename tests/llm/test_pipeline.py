@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from brightloom.llm import langid, registry
+from brightloom.llm import langid, registry, simhash
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -41,8 +41,10 @@ def test_pipeline_equals_plain_stages(spark, sf_dir):
     assert before - set(now) >= {9300, 9301, 9302} and len(now) > len(before) - 10
     kept, gone = brute.keep_lines([(i, t) for i, (t, _) in now.items()])
     now = {i: (kept[i], s) for i, (_, s) in now.items() if not gone[i] or brute.words(kept[i])}
-    near = brute.near([(i, t) for i, (t, _) in now.items()], 5, 3)
-    now = {i: x for i, x in now.items() if near[i][1] == i}
+    fps = {i: simhash.fingerprint(t, 5, 8) for i, (t, _) in now.items()}
+    near = lambda a, b: any(bin((x ^ y) % (1 << 64)).count("1") <= 2 for x, y in zip(fps[a], fps[b]))
+    top = brute.components([(a, b) for a in fps for b in fps if a < b and near(a, b)], fps)
+    now = {i: x for i, x in now.items() if top[i] == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaked = {d for d, _ in brute.contained([(i, t) for i, (t, _) in now.items()], items)}
     assert leaked

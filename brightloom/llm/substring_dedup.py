@@ -8,8 +8,9 @@ GRAM words: equal windows have equal anchors. Consecutive windows of one anchor
 2. Segments of the other anchors are cut from the documents and sent to the shard of their anchor. A task takes its
    anchors in order, a bounded number of words at a time, builds the FM-index of those segments and streams them
    against it; windows whose matching statistic reaches WINDOW are reported as intervals of words.
-3. Anchors with over HOT places (a passage that a great part of the corpus shares) would fill one task. Their windows
-   are split instead: identical windows are merged and counted before the shuffle, and the answer is joined back.
+3. Anchors with over HOT places (a passage that a great part of the corpus shares) would fill one task. Their segments
+   are dealt by content instead: identical segments are merged and counted before the shuffle, the windows of what is
+   distinct are counted likewise, and the answer for each segment is joined back to its places.
 4. Intervals are merged for each document and cut out.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import free_name, read_table, row_key
+from brightloom.llm.common import read_table, row_key
 from brightloom.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 35, 8
@@ -129,9 +130,10 @@ def _anchored(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, pos int, n int, anchor long, places long")
 
 
-def _cut(joined: DataFrame, text_col: str, parts: str, window: int, whole: bool) -> DataFrame:
-    """Texts of the segments that column parts lists: (k1, k2, pos, anchor, piece), or one row a window (whole = False)."""
+def _cut(joined: DataFrame, text_col: str, parts: str, window: int) -> DataFrame:
+    """(k1, k2, pos, anchor, piece): texts of the segments that column parts lists."""
     at = {c: i for i, c in enumerate(joined.columns)}
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for big in batches for b in _slices(big, 500)):
@@ -139,18 +141,45 @@ def _cut(joined: DataFrame, text_col: str, parts: str, window: int, whole: bool)
             k1s, k2s = batch.column(at["k1"]).to_pylist(), batch.column(at["k2"]).to_pylist()
             for k1, k2, text, found in zip(k1s, k2s, batch.column(at[text_col]), batch.column(at[parts]).to_pylist()):
                 words = text.as_py().encode().split()
-                for s in found:
-                    if whole:
-                        out.append((k1, k2, s["pos"], s["anchor"], b" ".join(words[s["pos"] : s["pos"] + s["n"] + window - 1])))
-                    else:
-                        out += [(k1, k2, p, 0, b" ".join(words[p : p + window])) for p in range(s["pos"], s["pos"] + s["n"])]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), _CUT)] if out else [pa.array([], t) for t in _CUT]
+                out += [(k1, k2, s["pos"], s["anchor"], b" ".join(words[s["pos"] : s["pos"] + s["n"] + window - 1])) for s in found]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "pos", "anchor", "piece"])
 
     return joined.mapInArrow(run, "k1 long, k2 long, pos int, anchor long, piece binary")
 
 
-_CUT = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+def _windows(segs: DataFrame, window: int) -> DataFrame:
+    """(s1, s2, m, off, part): every window of the distinct segments segs (s1, s2, m, piece)."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for big in batches for b in _slices(big, 500)):
+            out: list[tuple] = []
+            for s1, s2, m, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                words = piece.split()
+                out += [(s1, s2, m, i, b" ".join(words[i : i + window])) for i in range(len(words) - window + 1)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays(columns, ["s1", "s2", "m", "off", "part"])
+
+    return segs.select("s1", "s2", "m", "piece").mapInArrow(run, "s1 long, s2 long, m long, off int, part binary")
+
+
+def _name(column: str, first: str, second: str) -> list:
+    return [F.xxhash64(column).alias(first), F.xxhash64(F.lit("second"), column).alias(second)]
+
+
+def _by_content(hot: DataFrame, window: int) -> DataFrame:
+    """(k1, k2, first, last) for the segments of hot anchors, dealt by content: no key has more than a row a task."""
+    hot = hot.select("k1", "k2", "pos", "piece", *_name("piece", "s1", "s2"))
+    segs = hot.groupBy("s1", "s2", "piece").agg(F.count("*").alias("m"))
+    wins = _windows(segs, window).select("s1", "s2", "m", "off", "part", *_name("part", "w1", "w2"))
+    again = wins.groupBy("w1", "w2", "part").agg(F.sum("m").alias("all")).where("all > 1").select("w1", "w2")
+    single = wins.where("m = 1").select("s1", "s2", "off", "w1", "w2").join(again, ["w1", "w2"])
+    single = single.groupBy("s1", "s2").agg(F.collect_set(F.struct(F.col("off").alias("a"), (F.col("off") + window - 1).alias("b"))).alias("spans"))
+    length = F.size(F.split(F.col("piece").cast("string"), " "))
+    whole = segs.where("m > 1").select("s1", "s2", F.array(F.struct(F.lit(0).alias("a"), (length - 1).alias("b"))).alias("spans"))
+    placed = hot.select("k1", "k2", "pos", "s1", "s2").join(whole.union(single), ["s1", "s2"])
+    return placed.select("k1", "k2", "pos", F.explode_outer("spans").alias("x")).select("k1", "k2", (F.col("pos") + F.col("x.a")).alias("first"), (F.col("pos") + F.col("x.b")).alias("last"))
 
 
 def repeated_windows(pieces: list[bytes], counts: np.ndarray, window: int) -> list[np.ndarray]:
@@ -243,13 +272,9 @@ def cut_repeated(
     )
     # the join is the same for all its uses, so that documents are shuffled once
     joined = keyed.join(listed, ["k1", "k2"], "left")
-    cold = _cut(joined.where(F.size("cold") > 0), c_text, "cold", window, True)
-    shards = cold.repartition("anchor").sortWithinPartitions("anchor")
-    gone = _searched(shards, window)
-    wins = _cut(joined.where(F.size("hot") > 0), c_text, "hot", window, False)
-    wins = wins.select("k1", "k2", "pos", F.xxhash64("piece").alias("w1"), F.xxhash64(F.lit("second"), "piece").alias("w2"), "piece")
-    again = wins.groupBy("w1", "w2", "piece").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
-    gone = gone.union(wins.join(again, ["w1", "w2"]).select("k1", "k2", F.col("pos").alias("first"), (F.col("pos") + window - 1).alias("last")))
+    cold = _cut(joined.where(F.size("cold") > 0), c_text, "cold", window)
+    gone = _searched(cold.repartition("anchor").sortWithinPartitions("anchor"), window)
+    gone = gone.union(_by_content(_cut(joined.where(F.size("hot") > 0), c_text, "hot", window), window))
     spans = gone.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     final = keyed.join(spans, ["k1", "k2"], "left")
     at = {c: i for i, c in enumerate(final.columns)}

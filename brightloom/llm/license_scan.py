@@ -1,12 +1,15 @@
 """License scan: units of text against license templates by the Dice coefficient of their word bigrams.
 
-DataFrame functions alone, row by row and without a shuffle. A unit is a line, or a whole text of several lines. For a
-coefficient of t a unit of n bigrams can only reach a template of m if t / (2 - t) * m <= n <= (2 - t) / t * m; other
-templates are not compared.
+DataFrame functions alone, row by row and without a shuffle. A unit is a line, a whole text of several lines, or a
+window of consecutive words anywhere in the text, whatever its lines. For a coefficient of t a unit of n bigrams can
+only reach a template of m if t / (2 - t) * m <= n <= (2 - t) / t * m; other templates are not compared. A window that
+begins or ends outside the template gets no worse without that end, so windows run from one bigram of the template to
+another; they are only tried in texts that hold t / (2 - t) * m bigrams of it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping
 
@@ -67,10 +70,59 @@ def _best(grams: Column, templates: Mapping[str, list[str]], threshold: float) -
     return F.aggregate(over, F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a))
 
 
+_WINDOW = "array<struct<at:int,license:string,dice:double,stop:int,line:int,last:int>>"
+
+
+def _windows(text: Column, shared: Column, templates: Mapping[str, list[str]], threshold: float) -> Column:
+    """_WINDOW: of windows that overlap and fit a template the nearest, in order; at and stop are their outer words.
+
+    shared: the bigrams of text that any template has.
+    """
+    nothing = F.array().cast(_WINDOW)
+
+    def of_template(grams: Column, name: str, of: list[str]) -> Column:
+        m = len(of)
+        low, high = math.ceil(threshold / (2 - threshold) * m - 1e-9), math.floor((2 - threshold) / threshold * m + 1e-9)
+        own = F.array(*map(F.lit, of))
+
+        def nearest(seeds: Column, s: Column) -> Column:
+            def rate(e: Column) -> Column:
+                unit = F.transform(F.slice(grams, s["at"] + 1, e["at"] - s["at"] + 1), lambda b: b["g"])
+                dice = F.size(F.array_intersect(unit, own)) * F.lit(2.0) / (F.size(F.array_distinct(unit)) + m)
+                return F.struct(dice.alias("dice"), (-e["at"]).alias("at"), e["last"].alias("last"))
+
+            ends = F.filter(seeds, lambda e: (e["at"] - s["at"] + 1).between(low, high))
+            best = F.array_max(F.transform(ends, rate))
+            return F.struct(s["at"].alias("at"), F.lit(name).alias("license"), best["dice"].alias("dice"), (1 - best["at"]).alias("stop"), s["line"].alias("line"), best["last"].alias("last"))
+
+        found = _let(F.filter(grams, lambda b: b["g"].isin(of)), lambda seeds: F.transform(seeds, lambda s: nearest(seeds, s)))
+        able = F.size(F.array_intersect(shared, own)) >= low
+        return F.when(able, F.filter(found, lambda x: x["dice"] >= threshold).cast(_WINDOW)).otherwise(nothing)
+
+    def join(kept: Column, x: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        return (
+            F.when((F.size(kept) == 0) | (x["at"] > last["stop"]), F.concat(kept, F.array(x)))
+            .when(x["dice"] > last["dice"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x)))
+            .otherwise(kept)
+        )
+
+    words = F.flatten(F.transform(F.split(text, "\n"), lambda x, i: F.transform(normalised_words(x), lambda w: F.struct(w.alias("w"), i.alias("line")))))
+    words = F.filter(words, lambda x: x["w"] != "")
+    bigram = lambda w, i: F.struct(F.concat_ws(" ", F.get(w, i)["w"], F.get(w, i + 1)["w"]).alias("g"), i.alias("at"), F.get(w, i)["line"].alias("line"), F.get(w, i + 1)["line"].alias("last"))
+    grams = _let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: bigram(w, i)))
+    fits = _let(grams, lambda g: F.array_sort(F.flatten(F.array(*[of_template(g, name, of) for name, of in templates.items()]))))
+    lows = [F.size(F.array_intersect(shared, F.array(*map(F.lit, of)))) >= threshold / (2 - threshold) * len(of) - 1e-9 for of in templates.values()]
+    some = F.exists(F.array(*lows), lambda x: x)
+    return F.when(some, F.aggregate(fits, nothing, join)).otherwise(nothing)
+
+
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(id, line, license, dice): one row for every unit of docs that a template fits; line is -1 for a whole text.
+    """(id, line, license, dice): one row for every unit of docs that a template fits; line is -1 for a whole text, and
+    that of its first word for a window. Of windows that overlap the nearest counts, and none that touches a line which
+    is reported itself, or lies in a text that is.
 
     Words are runs of letters, marks and digits in lower case; bigrams count once. Of several templates the nearest is
     named, of equals the first by name. Null and empty texts and units of one word have no bigram and match nothing.
@@ -80,11 +132,17 @@ def scan_licenses(
     grams = {name: of for name, of in grams.items() if of}
     lines = F.split(F.col(text_col), "\n")
     several = F.col(text_col).contains("\n")
+    every = F.array(*map(F.lit, sorted({g for of in grams.values() for g in of})))
     judge = lambda unit, at: F.struct(at.alias("line"), _let(_bigrams(unit), lambda g: _best(g, grams, threshold)).alias("best"))
-    units = F.concat(F.transform(lines, lambda x, i: judge(x, i)), F.when(several, F.array(judge(F.col(text_col), F.lit(-1)))).otherwise(F.array().cast("array<struct<line:int,best:struct<dice:double,license:string>>>")))
+    whole = _let(_bigrams(F.col(text_col)), lambda g: F.struct(F.when(several, _best(g, grams, threshold)).alias("best"), F.array_intersect(every, g).alias("shared")))
+    units = F.concat(F.transform(lines, lambda x, i: judge(x, i)), F.array(F.struct(F.lit(-1).alias("line"), F.col("whole.best").alias("best"))))
     hits = F.filter(units, lambda u: u["best"].isNotNull())
+    free = F.filter("windows", lambda x: ~F.exists("hits", lambda u: (u["line"] == -1) | u["line"].between(x["line"], x["last"])))
+    more = F.transform(free, lambda x: F.struct(x["line"].alias("line"), F.struct(x["dice"].alias("dice"), x["license"].alias("license")).alias("best")))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col), whole.alias("whole"))
+    found = found.select("id", hits.alias("hits"), _windows(F.col(text_col), F.col("whole.shared"), grams, threshold).alias("windows"))
     # explode_outer: for explode, Spark would infer a filter on the array and compute it twice
-    found = docs.select(F.col(id_col).alias("id"), F.explode_outer(hits).alias("u")).where("u IS NOT NULL")
+    found = found.select("id", F.explode_outer(F.concat("hits", more)).alias("u")).where("u IS NOT NULL")
     return found.select("id", "u.line", "u.best.license", "u.best.dice")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightloom.functions.text import company_key, text_key
-from brightloom.operators.identity import role_tokens, roles_alike
+from brightloom.operators.identity import role_of, role_tokens, roles_alike, roles_match
 from brightloom.operators.tracker import STATUS_RANK, transition_allowed
 
 
@@ -41,7 +41,7 @@ def merge_additions(tracker: DataFrame, additions: DataFrame) -> DataFrame:
     by_report = a.join(t, (a["k"] == t["k"]) & (a["report"] == t["t_report"])).groupBy("pos").agg(F.max("t_num").alias("n1"))
     by_number = a.join(t, (a["k"] == t["k"]) & (a["a_num"] == t["t_num"])).groupBy("pos").agg(F.max("t_num").alias("n2"))
     titles = a.select("k", "a_role").distinct().join(t.groupBy("k", "role").agg(F.max("t_num").alias("n")), "k")
-    alike = titles.where(roles_alike(role_tokens(F.col("a_role")), role_tokens(F.col("role")))).groupBy("k", "a_role").agg(F.max("n").alias("n3"))
+    alike = titles.where(roles_match(role_of(F.col("a_role")), role_of(F.col("role")))).groupBy("k", "a_role").agg(F.max("n").alias("n3"))
     met = a.join(by_report, "pos", "left").join(by_number, "pos", "left").join(alike, ["k", "a_role"], "left")
     num = F.coalesce("n1", "n2", "n3")
     return met.select("pos", F.when(num.isNull(), "insert").otherwise("update").alias("action"), num.alias("num"))

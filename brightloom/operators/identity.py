@@ -18,6 +18,11 @@ STOPWORDS = ("senior", "junior", "lead", "staff", "principal", "intern", "remote
 SPECIALTIES = ("ai", "ml", "ux", "ui", "qa", "bi", "hr", "it", "sre")
 BASELINE = ("engineer", "manager", "developer", "analyst", "specialist", "consultant", "software")
 
+SENIORITIES = ("junior", "mid", "middle", "senior", "staff", "principal", "lead", "head", "chief", "associate", "intern", "entry")
+#: Levels below the bare title: one of them on one side alone is another role.
+SUB_BASELINE = ("associate", "junior", "entry", "intern")
+_FOLD = ("áàâäãéèêëíìîïóòôöõúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
+
 
 def resolve_company(df: DataFrame, aliases: DataFrame) -> DataFrame:
     """Df with company_id and how it was found: exact, segment (of a name such as "A / B" or "A (B)"), ambiguous,
@@ -40,7 +45,7 @@ def resolve_company(df: DataFrame, aliases: DataFrame) -> DataFrame:
 def role_tokens(title: Column) -> Column:
     """Distinct words of a title that tell roles apart: over three letters, or a known short specialty."""
     low = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?<=[a-z])/(?=[a-z])", "")
-    return F.array_distinct(F.filter(F.split(F.translate(low, "áàâäãéèêëíìîïóòôöõúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"), "[^a-z0-9]+"), lambda t: ((F.length(t) > 3) & ~t.isin(*STOPWORDS)) | t.isin(*SPECIALTIES)))
+    return F.array_distinct(F.filter(F.split(F.translate(low, *_FOLD), "[^a-z0-9]+"), lambda t: ((F.length(t) > 3) & ~t.isin(*STOPWORDS)) | t.isin(*SPECIALTIES)))
 
 
 def roles_alike(a: Column, b: Column) -> Column:
@@ -50,6 +55,42 @@ def roles_alike(a: Column, b: Column) -> Column:
     return (F.size(union) > 0) & ((F.array_sort(a) == F.array_sort(b)) | ((F.size(shared) >= 2) & telling & (F.size(shared) / F.size(union) >= 0.6)))
 
 
+def role_of(title: Column) -> Column:
+    """What roles_match compares: the title's text, its seniorities and its other tokens."""
+    text = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    levels = F.array_distinct(F.filter(F.split(F.translate(text, *_FOLD), "[^a-z0-9]+"), lambda t: t.isin(*SENIORITIES)))
+    return F.struct(text.alias("text"), levels.alias("levels"), F.filter(role_tokens(title), lambda t: ~t.isin(*SENIORITIES)).alias("tokens"))
+
+
+def roles_match(a: Column, b: Column) -> Column:
+    """J10 on role_of: equal texts; else seniorities that agree, two shared tokens of which one is no baseline word,
+    Jaccard of 0.6 or more, and no proper subset that lacks a word other than baseline words."""
+    ta, tb = a["tokens"], b["tokens"]
+    shared, union = F.array_intersect(ta, tb), F.array_union(ta, tb)
+    telling = lambda words: F.exists(words, lambda t: ~t.isin(*BASELINE))
+    both = (F.size(a["levels"]) > 0) & (F.size(b["levels"]) > 0)
+    # with one side empty the union is the lone side
+    below = F.exists(F.array_union(a["levels"], b["levels"]), lambda t: t.isin(*SUB_BASELINE))
+    levels = F.when(both, F.arrays_overlap(a["levels"], b["levels"])).otherwise(~below)
+    subset = (F.size(ta) != F.size(tb)) & (F.size(shared) == F.least(F.size(ta), F.size(tb)))
+    marked = subset & telling(F.array_except(union, shared))
+    alike = levels & (F.size(shared) >= 2) & telling(shared) & ~marked & (F.size(shared) / F.size(union) >= 0.6)
+    return ((a["text"] != "") & (a["text"] == b["text"])) | alike
+
+
+def _alike_titles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(k, at, bt): distinct titles of one company that match; of (k, at) and (k, bt). They meet in a telling token, or
+    in their whole text."""
+
+    def keyed(df: DataFrame, title: str, role: str) -> DataFrame:
+        named = df.select("k", title).distinct().withColumn(role, role_of(F.col(title)))
+        keys = F.array_append(F.filter(F.col(role)["tokens"], lambda t: ~t.isin(*BASELINE)), F.concat(F.lit("="), F.col(role)["text"]))
+        return named.withColumn("key", F.explode_outer(keys))
+
+    met = keyed(left, "at", "ra").join(keyed(right, "bt", "rb"), ["k", "key"])
+    return met.where(roles_match(F.col("ra"), F.col("rb"))).select("k", "at", "bt").distinct()
+
+
 def fuzzy_role_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, b_id) of one company with alike roles; columns id, company, title. Blank companies never match.
 
@@ -57,8 +98,7 @@ def fuzzy_role_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     left = a.select(F.col("id").alias("a_id"), company_key(F.col("company")).alias("k"), F.col("title").alias("at")).where("k <> ''")
     right = b.select(F.col("id").alias("b_id"), company_key(F.col("company")).alias("k"), F.col("title").alias("bt")).where("k <> ''")
-    names = lambda df, t, tok: df.select("k", t).distinct().withColumn(tok, role_tokens(F.col(t)))
-    alike = names(left, "at", "ta").join(names(right, "bt", "tb"), "k").where(roles_alike(F.col("ta"), F.col("tb"))).select("k", "at", "bt")
+    alike = _alike_titles(left, right)
     return left.join(alike, ["k", "at"]).join(right, ["k", "bt"]).select("a_id", "b_id")
 
 

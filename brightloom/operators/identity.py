@@ -102,6 +102,13 @@ def fuzzy_role_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(alike, ["k", "at"]).join(right, ["k", "bt"]).select("a_id", "b_id")
 
 
+def fuzzy_role_classes(df: DataFrame) -> DataFrame:
+    """J10 over a whole table (company, title): (k, at, bt), at before bt, the alike distinct titles of a company. Company key
+    and title of a row name its class, so rows that repeat a title are not paired."""
+    own = df.select(company_key(F.col("company")).alias("k"), F.col("title").alias("at")).where("k <> ''")
+    return _alike_titles(own, own.withColumnRenamed("at", "bt")).where("at < bt")
+
+
 def tracker_matches(postings: DataFrame, tracker: DataFrame, top: int = 3) -> DataFrame:
     """For each posting (posting_id, company, title) its best rows of the tracker in the same company: those of
     the same role first, then the newest number; rank from 1 to top."""

@@ -199,6 +199,12 @@ def j10(spark, d):
     return I.fuzzy_role_pairs(t.where("p_size % 10 = 0"), t.where("p_size % 10 = 1"))
 
 
+@query("j10_fuzzy_role_classes")
+def j10_classes(spark, d):
+    """All titles of each company; tests/test_roles.py compares it with brute force, as DuckDB would compare all pairs."""
+    return I.fuzzy_role_classes(titles(spark, d))
+
+
 @query("j12_decisions_by_alias", """WITH own AS (SELECT c_custkey AS item_id, unnest([c_custkey % 97, 100 + c_nationkey]) AS alias FROM customer),
 made AS (SELECT event_id, event_type, ts, unnest([user_id % 90, 100 + user_id % 20]) AS alias FROM events)
 SELECT item_id, arg_max(event_id, (ts, event_id)) AS decision_id, arg_max(event_type, (ts, event_id)) AS status FROM own JOIN made USING (alias) GROUP BY 1""")

@@ -1,8 +1,14 @@
 """The rules of role titles, and the additions that they keep apart."""
 
+import re
+from collections import defaultdict
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from brightloom.operators import composite, identity
+from brightloom.plans import catalog
+from brightloom.plans.views import titles
 
 PAIRS = [
     ("Senior Data Platform Engineer", "Principal Data Platform Engineer", False),
@@ -34,3 +40,20 @@ def test_addition_of_another_level_is_inserted(spark):
     new = [(1, 8, "Acme", "Principal Data Platform Engineer", None), (2, 9, "Acme", "Senior Analytics Engineer, People", None), (3, 10, "Acme", "Data Platform Engineer", None)]
     got = composite.merge_additions(tracker, spark.createDataFrame(new, "pos int, num int, company string, role string, report string"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, "insert", None), (2, "insert", None), (3, "update", 1)]
+
+
+def test_classes_of_a_whole_table_equal_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    names = defaultdict(set)
+    for r in titles(spark, d).collect():
+        names[re.sub("[^a-z0-9]+", "", r["company"].lower())].add(r["title"])
+    words = {t: {w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) > 3} for ts in names.values() for t in ts}
+    assert not any(w & {*identity.SENIORITIES, *identity.BASELINE, *identity.STOPWORDS} for w in words.values())
+
+    def alike(a, b):
+        x, y = words[a], words[b]
+        return len(x & y) >= 2 and not (x < y or y < x) and len(x & y) / len(x | y) >= 0.6
+
+    want = {(k, a, b) for k, ts in names.items() for a, b in combinations(sorted(ts), 2) if alike(a, b)}
+    got = [(re.sub("[^a-z0-9]+", "", r["k"]), r["at"], r["bt"]) for r in catalog.queries()["j10_fuzzy_role_classes"](spark, d).collect()]
+    assert len(got) == len(set(got)) > 0 and set(got) == want

@@ -75,10 +75,29 @@ SELECT posting_id, CASE WHEN coalesce(trim(loc), '') = '' THEN true WHEN loc = '
 FROM p WHERE NOT (coalesce(loc, '') = 'es' AND posting_id % 2 = 0)""",
 )
 def f4(spark, d):
+    return _located(spark, d).where("NOT (coalesce(loc, '') = 'es' AND posting_id % 2 = 0)").select("posting_id", _location_passes())
+
+
+def _located(spark, d):
     p = postings(spark, d).withColumn("loc", F.when(F.col("posting_id") % 11 > 0, F.col("location")))
-    p = p.withColumn("t2", F.when(F.col("posting_id") % 4 == 0, F.concat("title", F.lit(" - Remote"))).when(F.col("posting_id") % 4 == 1, F.concat(F.lit("Non-remote "), "title")).otherwise(F.col("title")))
-    passes = R.location_passes(F.col("loc"), F.lit(None).cast("string"), F.col("t2"), allow=["en"], block=["de", "fr"], always_allow=["fr"])
-    return p.where("NOT (coalesce(loc, '') = 'es' AND posting_id % 2 = 0)").select("posting_id", passes.alias("passes"))
+    return p.withColumn("t2", F.when(F.col("posting_id") % 4 == 0, F.concat("title", F.lit(" - Remote"))).when(F.col("posting_id") % 4 == 1, F.concat(F.lit("Non-remote "), "title")).otherwise(F.col("title")))
+
+
+def _location_passes():
+    return R.location_passes(F.col("loc"), F.lit(None).cast("string"), F.col("t2"), allow=["en"], block=["de", "fr"], always_allow=["fr"]).alias("passes")
+
+
+@query(
+    "f4_location_verdicts",
+    f"""{with_views('postings')}, p AS (SELECT posting_id, CASE WHEN posting_id % 11 = 0 THEN NULL ELSE location END AS loc,
+      CASE WHEN posting_id % 4 = 0 THEN title || ' - Remote' WHEN posting_id % 4 = 1 THEN 'Non-remote ' || title ELSE title END AS t2 FROM postings)
+SELECT posting_id, CASE WHEN coalesce(trim(loc), '') = '' THEN true WHEN loc = 'fr' THEN true WHEN loc = 'de' THEN false WHEN loc = 'en' THEN true
+  ELSE regexp_matches(lower(t2), '(^|[^a-z])remote($|\\s*[^a-z\\s]|\\s+in([^a-z0-9_]|$))') AND NOT regexp_matches(lower(t2), '(^|[^a-z0-9_])(non|not|no)[^a-z]*remote') END AS passes
+FROM p""",
+)
+def f4_verdicts(spark, d):
+    """f4_location_filter for every posting: its SQL leaves out half of those whose remote title may rescue them."""
+    return _located(spark, d).select("posting_id", _location_passes())
 
 
 _JOB_URL = "'https://host.example.com/job/' || CASE WHEN posting_id % 3 = 0 THEN upper(location) || '-Berlin_Mitte' ELSE 'New%20York+City' END || '/x-' || posting_id"

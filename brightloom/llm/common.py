@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df by way of a Parquet table in the shared checkpoint folder, for loops whose rounds join what they made before.
+
+    A checkpoint keeps the planner's size estimate of df; a join multiplies the estimates of its sides, so their digits
+    would double with every round until planning takes longer than the work. A table read has its true size. The
+    tables of a loop are small (numbers of linked rows) and are left to the folder's own expiry.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 #: Rows of a few numbers that make a task worth starting.
 TASK_ROWS = 50_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import checkpointed, few_tasks
+from brightloom.llm.common import checkpointed, few_tasks, written
 
 
 def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
@@ -31,14 +31,14 @@ def component_labels(edges: DataFrame) -> DataFrame:
     and small-star steps until nothing changes (Kiveris et al., "Connected Components in MapReduce and Beyond",
     2014); rounds grow with the logarithm of the longest path. Only a count and a checksum reach the driver.
     """
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
         mark, rows = seen, seen[0]
-        now = checkpointed(_star(checkpointed(_star(few_tasks(now, rows), rows, True)), rows, False))
+        now = written(_star(checkpointed(_star(few_tasks(now, rows), rows, True)), rows, False))
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     )

@@ -25,13 +25,13 @@ def _turn_hashes() -> list[Column]:
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv, n_turns, copies): conversations that prefix no longer one; copies counts the equal ones it stands for.
 
-    turns: columns conv, turn, role, text.
+    turns: columns conv, turn, role, text. A window sorts the turns of one conversation in one task; Spark spills it.
     """
-    hashed = turns.select("conv", "turn", "role", *_turn_hashes()).dropDuplicates(["conv", "turn", "r1", "r2"])
+    hashed = turns.select("conv", "turn", "role", "text", *_turn_hashes()).dropDuplicates(["conv", "turn", "r1", "r2"])
     inside = W.partitionBy("conv")
-    order = inside.orderBy("turn", "role", "r1", "r2")
+    order = inside.orderBy("turn", "role", "text")
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    placed = hashed.select("conv", "r1", "r2", F.row_number().over(order).alias("pos"), F.count("*").over(inside).alias("n"), "turn", "role")
+    placed = hashed.select("conv", "r1", "r2", F.row_number().over(order).alias("pos"), F.count("*").over(inside).alias("n"), "turn", "role", "text")
     # the hash of a prefix: exclusive or of its turns, each hashed with its place
     rolled = placed.select(
         "conv", "pos", "n",
@@ -48,13 +48,14 @@ def format_chats(
 ) -> DataFrame:
     """(conv, n_turns, copies, chat) for every maximal conversation of rows.
 
-    Turns are taken by turn (null first), then role; a turn that is logged twice alike counts once. Null roles and
+    Turns are taken by turn, then role, then text by code point, each with null first, whatever the order of the rows; a
+    turn that is logged twice alike counts once. Texts are taken whole, whatever their length. Null roles and
     texts are rendered as empty. Rows without a conversation belong to none and give nothing. Of conversations that
     are equal turn by turn the least id stays. Other columns are not read; an empty table gives an empty result.
     """
     turns = rows.select(*[F.col(f"`{c}`").alias(a) for c, a in ((conv_col, "conv"), (turn_col, "turn"), (role_col, "role"), (text_col, "text"))]).where("conv IS NOT NULL")
     kept = checkpointed(maximal_conversations(turns))
-    one = F.struct("turn", "role", *_turn_hashes(), "text")
+    one = F.struct("turn", "role", "text")
     told = turns.join(kept, "conv").groupBy("conv", "n_turns", "copies").agg(F.array_sort(F.collect_set(one)).alias("turns"))
     said = F.transform("turns", lambda t: F.concat(F.lit(start), F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit(end + "\n")))
     return told.select("conv", "n_turns", "copies", F.array_join(said, "").alias("chat"))

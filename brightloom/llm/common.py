@@ -14,6 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def named(column: str) -> Column:
+    """The column of exactly that name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,8 +70,8 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     Rows that repeat both id and text share a key, which is what the callers want: such rows get the same result.
     """
     return [
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"),
-        F.xxhash64(F.lit("second"), F.col(text_col), F.col(id_col)).alias("k2"),
+        F.xxhash64(named(id_col), named(text_col)).alias("k1"),
+        F.xxhash64(F.lit("second"), named(text_col), named(id_col)).alias("k2"),
     ]
 
 

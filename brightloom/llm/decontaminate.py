@@ -1,19 +1,25 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions alone.
 
-Test items are partitioned by their number of shingles: sizes from 2 ** p to 2 ** (p + 1) - 1 form partition p. All
-items of a partition use the same sketch length, the one that its largest size needs: an item of n shingles that a
-document contains to at least the threshold t lacks at most n - ceil(t n) of them, so among its n - ceil(t n) + 1
-smallest shingle hashes (a bottom-k MinHash sketch) at least one is in the document. The sketches are searched in the
-shingles of whole documents, documents too short for an item are pruned by size, and every pair that is found is
-verified by the exact share of the item's shingles that the document has.
+An item of n shingles that a document contains to at least the threshold t lacks at most n - ceil(t n) of them. Items
+are partitioned by size so that all of a partition may lack the same number, p; their sketch is the p + 1 shingles of
+least order (bottom-k), one of which at least is in any document that contains the item. The order is by the number of
+items that have a shingle, then by hash: what many items share (a common prompt) is only in a sketch if the item has
+too little else for a document with the shared part to miss the threshold. The sketches are searched in the shingle
+hashes of whole documents, documents too short for an item are pruned by size, and every pair that is found is verified
+by the exact share of the item's shingles that the document has.
+
+Shingles have WIDTH words; an item of fewer words is one shingle of all its words, looked up among the document's
+shingles of that width.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import checkpointed, free_name, read_table, row_key
+from brightloom.llm.common import checkpointed, free_name, named, read_table, row_key
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Sketches and pairs up to this many rows (32 MB) are broadcast; beyond, the join is a shuffle.
@@ -25,18 +31,27 @@ def normalised_words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")), " ")
 
 
-def _shingled(df: DataFrame, keep: list[str], text_col: str, width: int, hashed: bool) -> DataFrame:
-    """keep, `room` (places for a shingle) and `shingles`, the distinct shingles of width words; null where there are none.
+def _shingled(df: DataFrame, keep: list[str], text_col: str, widths: Sequence[int], hashed: bool, whole: bool = False) -> DataFrame:
+    """keep, `n_words` and `shingles`: the distinct shingles of each of widths; whole: of the greatest that the text has
+    words for. Null where there are none.
 
     Callers explode with explode_outer: for explode, Spark would infer a filter on the array and push it below the
     projection, where it splits the text again for every shingle.
     """
     worded = df.select(*keep, normalised_words(F.col(text_col)).alias("words"))
-    at = lambda i: [F.get("words", i + k) for k in range(width)]
-    one = (lambda i: F.xxhash64(*at(i))) if hashed else (lambda i: F.concat_ws(" ", *at(i)))
-    every = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - width), one))
-    room = F.coalesce(F.size("words") - width + 1, F.lit(0))  # never null, or joins on it would infer such filters too
-    return worded.select(*keep, room.alias("room"), F.when(F.size("words") >= width, every).alias("shingles"))
+    worded = worded.select(*keep, "words", F.coalesce(F.when(F.get("words", F.lit(0)) != "", F.size("words")), F.lit(0)).alias("n_words"))
+    empty = F.array().cast("array<bigint>" if hashed else "array<string>")
+
+    def of_width(width: int) -> Column:
+        at = lambda i: [F.get("words", i + k) for k in range(width)]
+        one = (lambda i: F.xxhash64(*at(i))) if hashed else (lambda i: F.concat_ws(" ", *at(i)))
+        enough = F.col("n_words") >= width
+        if whole and width < max(widths):
+            enough = F.col("n_words") == width
+        return F.when(enough, F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n_words") - width), one))).otherwise(empty)
+
+    every = F.concat(*[of_width(w) for w in widths]) if len(widths) > 1 else of_width(widths[0]) if widths else empty
+    return worded.select(*keep, "n_words", every.alias("shingles"))
 
 
 def _least(n: Column, threshold: float) -> Column:
@@ -45,12 +60,14 @@ def _least(n: Column, threshold: float) -> Column:
 
 
 def item_sketches(items: DataFrame, item_col: str, text_col: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """(item, n, least, size_part, h): one row for each hash of an item's sketch."""
-    sized = _shingled(items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")), ["item"], "text", width, True)
-    sized = sized.select("item", "shingles", F.size("shingles").alias("n"), F.floor(F.log2(F.size("shingles"))).cast("int").alias("size_part"))
-    largest = F.pow(F.lit(2.0), F.col("size_part") + 1).cast("int") - 1
-    length = largest - _least(largest, threshold) + 1
-    return sized.select("item", "n", _least(F.col("n"), threshold).alias("least"), "size_part", F.explode_outer(F.slice(F.array_sort("shingles"), F.lit(1), length)).alias("h")).where("h IS NOT NULL")
+    """(item, n, least, width, size_part, h): one row for each hash of an item's sketch."""
+    texts = items.select(named(item_col).alias("item"), named(text_col).alias("text"))
+    sized = _shingled(texts, ["item"], "text", range(1, width + 1), True, whole=True).select("item", F.least("n_words", F.lit(width)).alias("width"), F.size("shingles").alias("n"), "shingles")
+    each = sized.select("item", "width", "n", F.explode_outer("shingles").alias("h")).where("h IS NOT NULL")
+    common = each.groupBy("h").agg(F.count("*").alias("having"))
+    rows = each.join(common, "h").groupBy("item", "width", "n").agg(F.array_sort(F.collect_list(F.struct("having", "h"))).alias("hs"))
+    rows = rows.select("item", "n", _least(F.col("n"), threshold).alias("least"), "width", "hs").withColumn("size_part", F.col("n") - F.col("least"))
+    return rows.select("item", "n", "least", "width", "size_part", F.explode(F.slice("hs", F.lit(1), F.col("size_part") + 1)).alias("x")).select("item", "n", "least", "width", "size_part", "x.h")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -70,30 +87,30 @@ def contained_items(
     """(k1, k2, id, item, n_shared, n_item, containment) for every document and item at or over the threshold.
 
     k1 and k2 stand for the row of docs (common.row_key); rows that repeat id and text are one. Texts are compared as
-    words of letters and digits in lower case. Null texts, and documents or items of fewer than `width` words, have no
-    shingle and match nothing. Items that repeat an id are each compared on their own, and the best counts. Null ids
-    are kept as they are. Either table may be empty.
+    words of letters and digits in lower case. Null texts and texts without such words have no shingle and match
+    nothing; an item of fewer than `width` words is contained where they stand in a row. Items that repeat an id are
+    each compared on their own, and the best counts. Null ids are kept as they are. Either table may be empty. Texts
+    are read whole, whatever their length.
     """
-    tests = items.select(*row_key(item_col, item_text_col), F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    tests = items.select(*row_key(item_col, item_text_col), named(item_col).alias("item"), named(item_text_col).alias("text"))
     tests = tests.select(F.struct("k1", "k2", "item").alias("item"), "text")
     sketches = checkpointed(item_sketches(tests, "item", "text", width, threshold))
-    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hashed = _shingled(rows, ["k1", "k2"], "text", width, True)
-    hashed = hashed.select("k1", "k2", "room", F.explode_outer("shingles").alias("h"))
-    found = hashed.join(_bounded(sketches), "h").where("room >= least").select("k1", "k2", "item", "n", "least").distinct()
-    found = checkpointed(found)
-    # the exact check: whole texts of the documents found, against all shingles of the items found
-    near = checkpointed(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "n", "least")).alias("items")))
-    exact = _shingled(rows.join(_bounded(near), ["k1", "k2"]).dropDuplicates(["k1", "k2"]), ["k1", "k2", "id", "items"], "text", width, False)
-    exact = exact.select("k1", "k2", "id", "items", F.explode_outer("shingles").alias("shingle"))
-    named = _shingled(tests, ["item"], "text", width, False).select("item", F.explode_outer("shingles").alias("shingle")).distinct()
-    named = checkpointed(named.groupBy("shingle").agg(F.collect_set("item").alias("having")))
-    met = exact.join(_bounded(named), "shingle").select(
-        "k1", "k2", "id", F.explode(F.filter("items", lambda x: F.array_contains("having", x["item"]))).alias("x")
-    )
-    shared = met.groupBy("k1", "k2", "id", "x").agg(F.count("*").alias("n_shared")).where("n_shared >= x.least")
-    best = shared.groupBy("k1", "k2", "id", F.col("x.item.item").alias("item")).agg(
-        F.max(F.struct((F.col("n_shared") / F.col("x.n")).alias("containment"), "n_shared", F.col("x.n").alias("n_item"))).alias("m")
+    widths = sorted(r["width"] for r in sketches.select("width").distinct().collect())  # `width` numbers at most
+    rows = docs.select(*row_key(id_col, text_col), named(id_col).alias("id"), named(text_col).alias("text"))
+    hashed = _shingled(rows, ["k1", "k2"], "text", widths, True)
+    hashed = hashed.select("k1", "k2", "n_words", F.explode_outer("shingles").alias("h"))
+    found = hashed.join(_bounded(sketches), "h").where(F.col("n_words") - F.col("width") + 1 >= F.col("least"))
+    found = checkpointed(found.select("k1", "k2", "item", "n", "least").distinct())
+    # the exact check: of whole texts of the documents found, the shingles that any item has, against those of the items found
+    near = rows.join(_bounded(found.select("k1", "k2").distinct()), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    exact = _shingled(near, ["k1", "k2", "id"], "text", widths, False).select("k1", "k2", "id", F.explode_outer("shingles").alias("shingle"))
+    own = _shingled(tests, ["item"], "text", range(1, width + 1), False, whole=True).select("item", F.explode_outer("shingles").alias("shingle"))
+    own = checkpointed(own.where("shingle IS NOT NULL").distinct())
+    exact = exact.join(_bounded(own.select("shingle").distinct()), "shingle")
+    met = exact.join(found.join(_bounded(own), "item"), ["k1", "k2", "shingle"])
+    shared = met.groupBy("k1", "k2", "id", "item", "n", "least").agg(F.count("*").alias("n_shared")).where("n_shared >= least")
+    best = shared.groupBy("k1", "k2", "id", F.col("item.item").alias("item")).agg(
+        F.max(F.struct((F.col("n_shared") / F.col("n")).alias("containment"), "n_shared", F.col("n").alias("n_item"))).alias("m")
     )
     return best.select("k1", "k2", "id", "item", "m.n_shared", "m.n_item", "m.containment")
 
@@ -113,15 +130,16 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contained_ctes(docs: str) -> str:
     """CTEs after which the relation `hits` has the pairs of contained_items. Rows of docs have unique ids."""
-    words = r"string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')), ' ')"
-    shingles = "SELECT DISTINCT {id}, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT {id}, w, unnest(range(1, len(w) - 3)) AS p FROM (SELECT {id}, " + words + " AS w FROM {table} WHERE text IS NOT NULL))"
+    words = r"list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
     return f"""
-doc_s AS ({shingles.format(id="doc_id", table=docs)}),
-item_s AS ({shingles.format(id="item_id", table="benchmark")}),
+item_w AS (SELECT item_id, w, least(len(w), {WIDTH}) AS k FROM (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
+item_s AS (SELECT DISTINCT item_id, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM item_w)),
 item_n AS (SELECT item_id, count(*)::INT AS n_item FROM item_s GROUP BY 1),
+doc_w AS (SELECT doc_id, w, k FROM (SELECT doc_id, {words} AS w FROM {docs} WHERE text IS NOT NULL), (SELECT DISTINCT k FROM item_w) WHERE len(w) >= k),
+doc_s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM doc_w)),
 hits AS (
   SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item)::DOUBLE AS containment
-  FROM doc_s JOIN item_s USING (s) JOIN item_n USING (item_id) GROUP BY 1, 2 HAVING count(*) >= ceil(round(any_value(n_item) * 0.8, 6)))"""
+  FROM doc_s JOIN item_s USING (s) JOIN item_n USING (item_id) GROUP BY 1, 2 HAVING count(*) >= ceil(round(any_value(n_item) * {THRESHOLD}, 6)))"""
 
 
 QUERIES = {"op3_decontaminate": op3_decontaminate}

@@ -2,8 +2,10 @@
 
 Every language has a codeword. For each bit of the code one binary classifier over hashed character n-grams tells the
 languages with that bit set from the others; its weight of an n-gram is the log ratio of how often the two sides use
-it. A text's margins are decoded by the codeword of least weighted logistic loss. Where the runner-up comes close, the
-answer is flagged as ambiguous.
+it. A margin is the mean log ratio of a text's n-grams, calibrated on the labelled rows: the two sides of a bit come out
+at +1 and -1 on average. Margins are decoded by the codeword of least weighted logistic loss. Where the runner-up comes
+close, measured by the lead that the labelled rows of the language have on average, the answer is flagged as ambiguous:
+a text that is half in one language and half in another has next to no lead.
 
 Training counts n-grams in Spark over all labelled rows; what reaches the driver is one row of BUCKETS counts for each
 language. Prediction is one pass over the texts without a shuffle.
@@ -21,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import read_table
+from brightloom.llm.common import named, read_table
 
 BUCKETS = 1 << 14
 #: n-grams of these lengths in bytes; a letter outside ASCII has two or more.
 LENGTHS = (1, 2, 3, 4)
 #: More languages than this are refused, which bounds the model (BUCKETS x bits) and the counts sent to the driver.
 MAX_LANGUAGES = 256
-#: An answer is ambiguous if its share of the decoded weight is under this.
-CERTAIN = 0.6
-#: Sharpness of margins (mean log ratio of an n-gram), and n-grams of doubt added to every text.
-SHARPNESS, DOUBT = 12.0, 8
+#: An answer is ambiguous if its lead over the runner-up is under this share of the lead of a text that is wholly in it.
+CERTAIN = 0.35
+#: Lead (in nats) of a clear text between the two nearest codewords, and n-grams of doubt added to every text.
+SHARPNESS, DOUBT = 6.0, 8
 CHUNK = 1 << 20
 
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
@@ -83,18 +85,26 @@ class Model:
     code: np.ndarray  # languages x bits
     weights: np.ndarray  # BUCKETS x bits
     trust: np.ndarray  # of each bit, in the decoding
+    middle: np.ndarray  # of each bit, the mean log ratio between its two sides
+    half: np.ndarray  # of each bit, from there to either side
+    lead: np.ndarray  # of each language, what its labelled rows have over the runner-up on average
+
+    def losses(self, means: np.ndarray) -> np.ndarray:
+        """Weighted logistic loss of each codeword for mean log ratios of the bits."""
+        return (np.logaddexp(0, -self.code * ((means - self.middle) / self.half)) * self.trust).sum(axis=1)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, ambiguous); und with score 0 where text is null or has no letter."""
         if text is None or not self.languages or not has_letter(text):
             return "und", 0.0, True
         counts = ngram_counts(text)
-        margins = SHARPNESS * (counts @ self.weights) / (counts.sum() + DOUBT)
-        loss = (np.logaddexp(0, -self.code * margins) * self.trust).sum(axis=1)
-        share = np.exp(loss.min() - loss)
-        best = int(loss.argmin())
-        score = float(1 / share.sum())
-        return self.languages[best], score, score < CERTAIN
+        n = counts.sum()
+        doubt = n / (n + DOUBT)
+        loss = self.losses(self.middle + doubt * ((counts @ self.weights) / n - self.middle))
+        best = int(loss.argmin())  # of equal losses the first language by name
+        score = float(1 / np.exp(loss[best] - loss).sum())
+        lead = float(np.delete(loss, best).min() - loss[best]) if len(loss) > 1 else math.inf
+        return self.languages[best], score, bool(lead < CERTAIN * self.lead[best])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -110,7 +120,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used.astype(np.int32)), pa.array(total[used])], ["lang", "bucket", "n"])
 
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = labelled.select(named(text_col).alias("text"), named(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     summed = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
     found = sorted(table.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r["lang"])  # one row of BUCKETS pairs at most each
@@ -129,18 +139,32 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         weights[:, b] = np.log(yes / no)
         # a bit counts by how far its two sides are apart (symmetric divergence of their n-grams)
         trust[b] = ((yes - no) * weights[:, b]).sum()
-    return Model([r["lang"] for r in found], code, weights, trust / trust.mean() if bits else trust)
+    if not bits:
+        return Model([r["lang"] for r in found], code, weights, trust, trust, trust, np.zeros(len(found)))
+    means = rates @ weights  # of each language's labelled rows, for each bit
+    sides = [np.array([means[code[:, b] == side, b].mean() for b in range(bits)]) for side in (1, -1)]
+    n = len(found)
+    nearest = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+    model = Model([r["lang"] for r in found], code, weights, trust / trust.mean() * SHARPNESS / nearest, (sides[0] + sides[1]) / 2, (sides[0] - sides[1]) / 2, np.zeros(n))
+    for i in range(n):
+        loss = model.losses(means[i])
+        model.lead[i] = max(0.0, np.delete(loss, i).min() - loss[i])
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", certain_only: bool = False) -> DataFrame:
     """docs with lang_pred, score and ambiguous, which replace columns with such names, whatever their case.
 
     Null texts and texts without a letter are `und` with score 0, and ambiguous. certain_only: without the rows that
-    are `und` or ambiguous. An empty table gives an empty result; a model of no language calls everything `und`.
+    are `und` or ambiguous. Of equal losses the first language by name is taken. Rows are judged one by one: repeated
+    rows repeat, and texts are read whole, whatever their length. An empty table gives an empty result; a model of no
+    language calls everything `und`.
     """
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept])
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_"))
+    new = ["lang_pred", "score", "ambiguous"]
+    inner = [f"c{i}" for i in range(len(kept))]  # names that can't clash
+    base = docs.select(*[named(c).alias(i) for c, i in zip(kept, inner)])
+    given = docs.select(*[named(c).alias(i) for c, i in zip(kept, inner)], named(text_col).alias("text"))
     schema = base.schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +174,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", certain_only
                 found = [model.predict(t.as_py()) for t in part.column(len(kept))]
                 langs, scores, doubts = map(list, zip(*found)) if found else ([], [], [])
                 columns = [*part.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(doubts, pa.bool_())]
-                out = pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "ambiguous"])
+                out = pa.RecordBatch.from_arrays(columns, [*inner, *new])
                 yield out.filter(pa.array([not d for d in doubts])) if certain_only else out
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).toDF(*kept, *new)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import checkpointed, free_name, read_table, word_count
+from brightloom.llm.common import checkpointed, free_name, named, read_table, word_count
 
 HASH_BITS, STEP = 60, 12
 #: Sources up to this number are broadcast (under 10 MB); more are joined by a shuffle.
@@ -108,8 +108,8 @@ def mix_sources(
     Those four replace columns of docs with such names, whatever their case. Null texts have size 0 and are taken 0
     words; a null source is a source. Rows that repeat an id are taken alike. An empty table gives an empty result.
     """
-    size, h = word_count(F.col(text_col)), unit_hash(F.col(id_col))
-    sized = checkpointed(docs.select(F.col(source_col).alias("src"), size.alias("size"), h.alias("h")))
+    size, h = word_count(named(text_col)), unit_hash(named(id_col))
+    sized = checkpointed(docs.select(named(source_col).alias("src"), size.alias("size"), h.alias("h")))
     targets = checkpointed(source_targets(sized, weights, ratio, most))
     left = F.col("target") - F.col("pass") * F.col("source_size")
     budgets = targets.select("src", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass"))
@@ -126,10 +126,10 @@ def mix_sources(
         F.struct(F.col("src").alias("src"), "source_size", "target", F.coalesce("thresholds", F.array().cast("array<bigint>")).alias("thresholds")).alias(own)
     )
     plan = checkpointed(plan)
-    wide = docs.join(_small(plan, plan.count()), docs[source_col].eqNullSafe(F.col(f"{own}.src")))
+    wide = docs.join(_small(plan, plan.count()), named(source_col).eqNullSafe(F.col(f"{own}.src")))
     times = F.size(F.filter(f"{own}.thresholds", lambda t: t > h))
     new = {"size": size, "source_size": F.col(f"{own}.source_size"), "target": F.col(f"{own}.target"), "taken": size * times}
-    old = [docs[c] for c in docs.columns if c.lower() not in new]
+    old = [named(c) for c in docs.columns if c.lower() not in new]
     return wide.select(*old, *[c.alias(name) for name, c in new.items()])
 
 

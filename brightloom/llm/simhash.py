@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import checkpointed, few_tasks, free_name, read_table, row_key
+from brightloom.llm.common import checkpointed, few_tasks, free_name, named, read_table, row_key
 from brightloom.llm.components import component_labels
 
 BITS = 64
@@ -65,8 +65,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = pa.array([fingerprint(t.as_py(), width, lanes) for t in batch.column(3)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], ["k1", "k2", "id", "fps"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
+    rows = docs.select(*row_key(id_col, text_col), named(id_col).alias("id"), named(text_col).alias("text"))
     return rows.mapInArrow(run, f"k1 long, k2 long, id {kind}, fps array<bigint>")
 
 

@@ -80,13 +80,13 @@ def shingles(text, width=5):
 
 
 def contained(docs, items, width=5, threshold=0.8):
-    """{(doc, item): containment}."""
+    """{(doc, item): containment}; an item of fewer words is one shingle."""
     out = {}
-    for d, t in docs:
-        s = shingles(t, width)
-        for i, x in items:
-            n = shingles(x, width)
-            if n and len(n & s) >= math.ceil(round(len(n) * threshold, 6)):
+    for i, x in items:
+        k = min(width, len(re.sub(r"[\W_]+", " ", (x or "").lower()).split()))
+        n = shingles(x, k) if k else set()
+        for d, t in docs:
+            if n and len(n & (s := shingles(t, k))) >= math.ceil(round(len(n) * threshold, 6)):
                 out[d, i] = len(n & s) / len(n)
     return out
 
@@ -129,3 +129,74 @@ def mixed(rows, weights=(3, 1, 2), ratio=1.5, most=2):
                 before += g
         out |= {i: (size[i], target[s], taken[i]) for _, ids in groups.items() for i in ids}
     return out
+
+
+def ngram_buckets(text):
+    """Counter of the buckets (2 ** 14) of n-grams of 1 to 4 bytes."""
+    raw = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in f" {text} ".lower().encode("utf-8", "replace"))
+    out = Counter()
+    for n in range(1, 5):
+        for i in range(len(raw) - n + 1):
+            out[(int.from_bytes(raw[i : i + n], "big") + n * 0x9E3779B1) * 2654435761 % 2**32 >> 18] += 1
+    return out
+
+
+def language_model(rows):
+    """A function from a text to (language, score, ambiguous), learned from rows (text, lang) of two to seven languages."""
+    has_letter = lambda t: any(c.isalpha() for c in t or "")
+    counts = defaultdict(Counter)
+    for t, lang in rows:
+        if lang is not None and has_letter(t):
+            counts[lang] += ngram_buckets(t)
+    langs, size = sorted(counts), 2**14
+    rates = {}
+    for x in langs:
+        total = sum(counts[x].values()) + size / 2
+        rates[x] = [(counts[x][b] + 0.5) / total for b in range(size)]
+    bits = []
+    for mask in range(2 ** (len(langs) - 1) - 1):  # every way to set some languages apart from the first
+        sign = {x: 1 if i == 0 or mask >> (i - 1) & 1 else -1 for i, x in enumerate(langs)}
+        sides = [[sum(rates[x][b] for x in langs if sign[x] == s) / sum(sign[x] == s for x in langs) for b in range(size)] for s in (1, -1)]
+        weight = [math.log(y / n) for y, n in zip(*sides)]
+        mean = {x: sum(r * w for r, w in zip(rates[x], weight)) for x in langs}
+        up, down = (sum(mean[x] for x in langs if sign[x] == s) / sum(sign[x] == s for x in langs) for s in (1, -1))
+        bits.append((sign, weight, mean, (up + down) / 2, (up - down) / 2, sum((y - n) * w for y, n, w in zip(*sides, weight))))
+    distance = min(sum(b[0][x] != b[0][y] for b in bits) for x in langs for y in langs if x < y)
+    scale = 6.0 / distance / (sum(b[5] for b in bits) / len(bits))
+
+    def losses(means):
+        return {x: sum(b[5] * scale * math.log1p(math.exp(-b[0][x] * (m - b[3]) / b[4])) for b, m in zip(bits, means)) for x in langs}
+
+    def lead(loss, x):
+        return min(v for y, v in loss.items() if y != x) - loss[x]
+
+    own = {x: max(0.0, lead(losses([b[2][x] for b in bits]), x)) for x in langs}
+
+    def predict(text):
+        if not has_letter(text):
+            return "und", 0.0, True
+        found = ngram_buckets(text)
+        n = sum(found.values())
+        means = [b[3] + n / (n + 8) * (sum(c * b[1][k] for k, c in found.items()) / n - b[3]) for b in bits]
+        loss = losses(means)
+        best = min(langs, key=lambda x: loss[x])
+        return best, 1 / sum(math.exp(loss[best] - v) for v in loss.values()), lead(loss, best) < 0.35 * own[best]
+
+    return predict
+
+
+def jaccard_sets(text, width=5):
+    """Word shingles (A-Z lower-cased) of text; of a shorter text all its words."""
+    w = words((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_at(rows, similarity=0.8):
+    """{id: least id reachable} for rows (id, text) of unique ids, linked at that Jaccard similarity of shingles or more."""
+    sets = {i: jaccard_sets(t) for i, t in rows}
+    ids = sorted(sets)
+    return components([(a, b) for a in ids for b in ids if a < b and jaccard(sets[a], sets[b]) >= similarity], ids)

@@ -56,6 +56,14 @@ def test_chat_keeps_maximal_conversations(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_takes_texts_of_one_turn_in_order(spark):
+    long = "m" * 500_000
+    rows = [(1, 0, "user", t) for t in ("gamma", "alpha", long, "beta")] + [(2, 0, "user", t) for t in ("alpha", "beta")]
+    for order in (rows, rows[::-1]):
+        found = {r["conv"]: r["chat"] for r in chat_format.format_chats(spark.createDataFrame(order, "conv_id long, turn long, role string, text string")).collect()}
+        assert found == {1: "".join(f"<|im_start|>user\n{x}<|im_end|>\n" for x in ("alpha", "beta", "gamma", long))}
+
+
 # op2
 
 
@@ -95,7 +103,7 @@ def test_fm_index_counts():
 
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(8)
-    items = [(i, prose(rng, n)) for i, n in enumerate([5, 6, 9, 17, 34, 70, 3])] + [(7, None), (8, "")]
+    items = [(i, prose(rng, n)) for i, n in enumerate([5, 6, 9, 17, 34, 70, 3])] + [(7, None), (8, ""), (9, " ?! "), (10, "w1"), (11, "never seen")]
     half = items[5][1].split()
     docs = [prose(rng, 200) + " " + x + " " + prose(rng, 30) for _, x in items[:6]] + [" ".join(half[:60]), " ".join(half[:30]), items[4][1].upper().replace(" ", ", "), None, "", items[6][1]]
     docs += [" ".join(items[4][1].split()[:20] + ["new"] + items[4][1].split()[20:]), docs[0]]
@@ -108,6 +116,22 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contained_items(d, b.limit(0)).count() == 0 and decontaminate.contained_items(d.limit(0), b).count() == 0
 
 
+def test_short_items_and_a_shared_opening(spark):
+    """Items of one to four words; items that share an opening make candidates only where they could be contained."""
+    rng = random.Random(12)
+    opening = "answer the following question with one of the four choices and give your reason in one sentence please"
+    items = [(i, f"{opening} {prose(rng, 20, 10**6)}") for i in range(60)]
+    items += [(100, "What is two plus"), (101, "yes"), (102, "open sesame now"), (103, f"{opening} why"), (104, opening)]
+    docs = [f"{prose(rng, 20, 10**6)} {opening} {prose(rng, 20, 10**6)}" for _ in range(30)]
+    docs += [f"so, what is TWO plus two? {docs[0]}", "oh yes", "open the sesame now", f"a {items[7][1]} b", f"{items[3][1]} {items[9][1]}", "a b " * 200_000 + items[4][1]]
+    d, b = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["id"], r["item"]): r["containment"] for r in decontaminate.contained_items(d, b).collect()}
+    assert got == pytest.approx(brute.contained(list(enumerate(docs)), items))
+    sketches = decontaminate.item_sketches(b, "item_id", "text")
+    in_opening = {r["h"] for r in decontaminate._shingled(spark.createDataFrame([(opening,)], "text string"), [], "text", [5], True).select(F.explode("shingles").alias("h")).collect()}
+    assert {r["item"] for r in sketches.collect() if r["h"] in in_opening} <= {103, 104}
+
+
 # op4
 
 
@@ -123,6 +147,12 @@ def test_mixing_equals_brute_force(spark, corpus):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_takes_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 1, 2), (2, "c", None, 1, 2)], "`doc.id` long, `the.text` string, `my.source` string, `a.b` int, `taken` int")
+    out = mixing.mix_sources(df, "doc.id", "the.text", "my.source")
+    assert out.columns == ["doc.id", "the.text", "my.source", "a.b", "size", "source_size", "target", "taken"] and out.count() == 2
+
+
 def test_mixing_repeated_rows_are_taken_alike(spark):
     df = spark.createDataFrame([(None, "a b", "x"), (1, "c d e", "x"), (1, "c d e", "x"), (2, None, None)], "doc_id long, text string, source string")
     got = sorted((r["doc_id"] or 0, r["taken"], r["size"]) for r in mixing.mix_sources(df).collect())
@@ -222,6 +252,13 @@ def test_near_duplicates_go(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_take_any_case_and_names_with_dots(spark):
+    text = prose(random.Random(3), 50)
+    df = spark.createDataFrame([(2, text, 1), (1, text, 1)], "DOC_ID long, `a.text` string, `x.y` int")
+    assert sorted(r["component"] for r in simhash.near_components(df, text_col="a.text").collect()) == [1, 1]
+    assert [tuple(r) for r in simhash.drop_near_duplicates(df, text_col="a.text").collect()] == [(1, text, 1)]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200, 300)] + [(1, i) for i in range(2, 60)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in component_labels(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -285,6 +322,26 @@ def test_language_id_on_held_out_rows(spark):
     assert identify(odd, model, certain_only=True).count() == 0 and identify(odd.limit(0), model).count() == 0
 
 
+def test_language_id_equals_brute_force_and_flags_mixed_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000").withColumn("_", F.lit(1)).withColumn("_text", F.lit(2)).withColumn("a.b", F.lit(3))
+    rows = docs.select("text", "lang").collect()
+    predict = brute.language_model([tuple(r) for r in rows])
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert len(got) == len(rows)
+    for r in got.values():
+        lang, score, doubt = predict(r["text"])
+        assert (r["lang_pred"], r["ambiguous"]) == (lang, doubt) and r["score"] == pytest.approx(score, abs=1e-6)
+    texts = {}
+    for t, lang in rows:
+        if t and len(t) > 400:
+            texts.setdefault(lang, []).append(t[:400])
+    pairs = [(x, y) for a in sorted(texts) for b in sorted(texts) if a < b for x, y in zip(texts[a], texts[b])]
+    assert len(pairs) > 20 and sum(model.predict(f"{x} {y}")[2] for x, y in pairs) > 0.9 * len(pairs)
+    clean = [t for lang in texts for t in texts[lang]]
+    assert sum(model.predict(t)[2] for t in clean) <= 0.01 * len(clean)
+
+
 def test_language_id_with_few_and_many_languages(spark):
     rows = [(i, t, l) for i, (t, l) in enumerate([("hello there", None), ("der die das", "de")])]
     one = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

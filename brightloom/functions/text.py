@@ -1,4 +1,4 @@
-"""Column expressions for keys, urls, dates, pay and text. All are built-in functions; only nfkc needs Arrow."""
+"""Column expressions for keys, urls, dates, pay and text. All are built-in functions; only nfkc needs Arrow, for texts outside ASCII."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Query parameters that never tell two postings apart.
 STRIP_PARAMS = (
@@ -19,33 +20,85 @@ PAY_PERIODS = {"HOUR": 2080.0, "DAY": 260.0, "WEEK": 52.0, "2 WEEK": 26.0, "0.5
 CURRENCIES = {"€": "EUR", "$": "USD", "£": "GBP", "¥": "JPY", "₩": "KRW"}
 
 
+# Trailing tags of a title that name a place or a way of working, not another role.
+PLACE_TAGS = (
+    "amer", "americas", "amsterdam", "apac", "austin", "barcelona", "bay area", "belgium", "berlin", "boston", "brussels", "budapest", "canada", "chicago",
+    "copenhagen", "dublin", "emea", "eu", "europe", "finland", "france", "frankfurt", "germany", "hamburg", "helsinki", "india", "ireland", "italy", "la",
+    "latin america", "lisbon", "london", "los angeles", "madrid", "melbourne", "milan", "montreal", "munich", "netherlands", "new york", "north america", "nyc",
+    "on site", "onsite", "oslo", "paris", "poland", "porto", "prague", "remote", "rome", "san francisco", "seattle", "sf", "singapore", "spain", "stockholm",
+    "sydney", "tokyo", "toronto", "uk", "united kingdom", "united states", "us", "usa", "vancouver", "vienna", "warsaw", "zurich",
+)
+WORK_TAGS = ("distributed", "hybrid", "on site", "onsite", "remote", "wfh", "work from home")
+# Legal forms at the end of an English name, and at either end of a Korean one.
+LEGAL_FORMS = ("co ltd", "corporation", "corp", "incorporated", "inc", "limited", "ltd", "llc", "plc")
+KOREAN_FORMS = ("(주)", "주식회사", "유한회사")
+
+
+@F.pandas_udf(StringType())
+def _nfkc(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKC", v) if v is not None else None)
+
+
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility normal form; Spark has no built-in for it, so rows go through Arrow in batches."""
+    """V4: Unicode compatibility normal form. Spark has no built-in for it; only texts that are not ASCII go through Arrow."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: unicodedata.normalize("NFKC", v) if v is not None else None)
 
-    return run(text)
+#: Latin letters with marks and the letter alone, by Unicode's own decomposition.
+_MARKED = {chr(c): base[0] for c in range(0xC0, 0x250) if (base := unicodedata.normalize("NFD", chr(c)))[0].isascii() and len(base) > 1}
+
+
+def without_marks(text: Column) -> Column:
+    """Latin letters lose their accents, composed or not; curly quotes become straight ones."""
+    plain = F.translate(text, "".join(_MARKED) + "‘’ʼ′´`“”″", "".join(_MARKED.values()) + "'" * 6 + '"' * 3)
+    return F.regexp_replace(plain, "[\u0300-\u036f]", "")
 
 
 def text_key(text: Column, sep: str = "") -> Column:
-    """Lower case; every run of other signs than letters, marks and digits becomes sep, none at the ends."""
-    joined = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", sep or "")
+    """NFKC in lower case; every run of other signs than letters, marks and digits becomes sep, none at the ends."""
+    joined = F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{M}\p{N}]+", sep or "")
     return F.trim(joined) if sep in ("", " ") else F.regexp_replace(joined, f"^{sep}|{sep}$", "")
 
 
+def _plain_key(text: Column) -> Column:
+    """text_key of what is in NFKC and lower case already."""
+    return F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", "")
+
+
 def company_key(name: Column) -> Column:
-    """text_key without legal forms: repeated English suffixes, and the Korean ones at either end."""
-    low = F.trim(F.lower(F.coalesce(name, F.lit(""))))
-    korean = F.regexp_replace(F.regexp_replace(low, r"^\s*(?:\(\s*주\s*\)|주식회사|유한회사)\s*", ""), r"\s*(?:\(\s*주\s*\)|주식회사|유한회사)\s*$", "")
-    suffix = r"(?:(?:[\s,._-]+|^)(?:co\.?\s*,?\s*ltd\.?|corporation|corp\.?|incorporated|inc\.?|limited|ltd\.?|llc|plc)\s*)+$"
-    return text_key(F.regexp_replace(korean, suffix, ""))
+    """text_key without legal forms at the end, however many; a Korean form may also come first.
+
+    A form counts as a word of its own: what comes before it is a sign or the beginning of the name, and dots, commas and
+    blanks inside it don't matter ("Co., Ltd." is "co ltd").
+    """
+    low = F.trim(F.lower(nfkc(F.coalesce(name, F.lit("")))))
+    korean = "|".join(r"\s*".join("\\" + c if c in "()" else c for c in f) if "(" in f else f for f in KOREAN_FORMS)
+    bare = F.regexp_replace(F.regexp_replace(low, rf"^(?:{korean})\s*", ""), rf"\s*(?:{korean})$", "")
+    forms = "|".join(r"\.?\s*,?\s*".join(f.split(" ")) + r"\.?" for f in LEGAL_FORMS)
+    return _plain_key(F.regexp_replace(bare, rf"(?:(?:^|[\s,._-]+)(?:{forms})\s*)+$", ""))
+
+
+def _is_place_tag(tag: Column) -> Column:
+    """A tag that names a place, several places, or a way of working with a place; tag is in lower case."""
+    flat = lambda t: F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
+    parts = F.filter(F.transform(F.split(tag, r"[,/|;]+|\s+(?:and|or)\s+"), flat), lambda t: t != "")
+    led = [flat(tag).startswith(f"{w} ") & F.substr(flat(tag), F.lit(len(w) + 2)).isin(*PLACE_TAGS) for w in WORK_TAGS]
+    return flat(tag).isin(*PLACE_TAGS) | ((F.size(parts) > 1) & F.forall(parts, lambda t: t.isin(*PLACE_TAGS))) | any_of(led)
 
 
 def role_key(title: Column) -> Column:
-    """text_key without trailing bracket tags such as "(Remote)" or "[Berlin]"."""
-    return text_key(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?:\s*[(\[][^()\[\]]*[)\]]\s*)+$", ""))
+    """text_key without trailing bracket tags that name a place or a way of working, such as "(Remote)" or "[Berlin]".
+
+    Other tags stay, so that "Engineer (Backend)" and "Engineer (Frontend)" are two roles.
+    """
+    low = F.trim(F.lower(nfkc(F.coalesce(title, F.lit("")))))
+    tagged = low.rlike(r"[)\]]$")
+    # the tags at the end, last first; those before the first that is no place stay
+    tail = F.regexp_extract(low, r"((?:\s*[(\[][^()\[\]]+[)\]])+)$", 1)
+    tags = F.regexp_extract_all(tail, F.lit(r"[(\[]([^()\[\]]+)[)\]]"), 1)
+    kept = F.aggregate(F.reverse(tags), F.array().cast("array<string>"), lambda acc, t: F.when((F.size(acc) > 0) | ~_is_place_tag(t), F.array_append(acc, t)).otherwise(acc))
+    head = F.substr(low, F.lit(1), F.length(low) - F.length(tail))
+    return _plain_key(F.when(tagged, F.concat(head, F.lit(" "), F.array_join(F.reverse(kept), " "))).otherwise(low))
 
 
 def has_keyword(low: Column, keyword: str) -> Column:
@@ -85,17 +138,23 @@ def host_of(url: Column) -> Column:
     return F.lower(url_part(url, "HOST"))
 
 
+_MARK = "\u0001"
+
+
 def dedup_url(url: Column, strip: Sequence[str] = STRIP_PARAMS, sort: bool = False, strip_utm: bool = False) -> Column:
     """Url for comparisons: tracking parameters, fragment and trailing slashes go; scheme, host and path in lower case.
 
-    Values of the other parameters keep their case. What can't be parsed stays as it is.
+    Values of the other parameters keep their case. What has no scheme and host stays as it is. The url is taken apart
+    once; parameters are only looked at where there are some.
     """
-    path = F.regexp_replace(F.lower(F.coalesce(url_part(url, "PATH"), F.lit(""))), "/+$", "")
+    parts = F.split(F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]+)([^?#]*?)/*(?:\?([^#]*))?(?:#.*)?$", f"{_MARK}$1{_MARK}$2{_MARK}$3"), _MARK)
     name = lambda p: F.lower(F.substring_index(p, "=", 1))
     keep = lambda p: (p != "") & ~name(p).isin(*strip) & (~name(p).startswith("utm_") if strip_utm else F.lit(True))
-    params = F.filter(F.split(F.coalesce(url_part(url, "QUERY"), F.lit("")), "&"), keep)
+    params = F.filter(F.split(F.get(parts, F.lit(3)), "&"), keep)
     query = F.array_join(F.array_sort(params) if sort else params, "&")
-    built = F.concat(F.lower(url_part(url, "PROTOCOL")), F.lit("://"), F.lower(url_part(url, "AUTHORITY")), F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    query = F.when(F.get(parts, F.lit(3)) == "", "").otherwise(F.concat(F.lit("?"), query))
+    path = F.get(parts, F.lit(2))
+    built = F.concat(F.lower(F.get(parts, F.lit(1))), F.when(path == "", "/").otherwise(F.lower(path)), F.when(query == "?", "").otherwise(query))
     return F.coalesce(built, url)
 
 
@@ -120,9 +179,19 @@ def location_hint(url: Column) -> Column:
 
 
 def signals_remote(title: Column) -> Column:
-    """A title that says the work is remote, and not that it isn't."""
+    """the word "remote" at the end, before a sign or before "in", and no "non", "not" or "no" right before one.
+
+    Words are looked at one by one: each word with the sign that follows it, and the word before.
+    """
     low = F.lower(F.coalesce(title, F.lit("")))
-    return low.rlike(r"(?<![a-z])remote(?=$|\s*[^a-z\s]|\s+in(?![a-z0-9_]))") & ~low.rlike(r"(?<![a-z0-9_])(?:non|not|no)[^a-z]*remote")
+    words = F.regexp_extract_all(low, F.lit(r"([a-z0-9_]+[^a-z0-9_]*)"), 1)
+    bare = F.transform(words, lambda w: F.regexp_extract(w, "^([a-z0-9_]+)", 1))
+    after = lambda i: F.coalesce(F.get(bare, i + 1), F.lit(""))
+    before = lambda i: F.when(i > 0, F.get(bare, i - 1)).otherwise("")
+    at = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+    said = F.exists(at, lambda i: F.coalesce((F.get(bare, i) == "remote") & (F.get(words, i).rlike(r"^remote\s*[^\sa-z]") | (i == F.size(words) - 1) | (after(i) == "in")), F.lit(False)))
+    denied = F.exists(at, lambda i: F.coalesce((F.get(bare, i).startswith("remote") & before(i).isin("non", "not", "no")) | F.get(bare, i).rlike("^(non|not|no)remote"), F.lit(False)))
+    return said & ~denied
 
 
 def stable_id(prefix: str, value: Column, digits: int = 20) -> Column:
@@ -174,5 +243,5 @@ def html_to_text(html: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Addresses and Korean mobile numbers become [email] and [phone]."""
-    return F.regexp_replace(F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), r"01[016789][- .]?[0-9]{3,4}[- .]?[0-9]{4}", "[phone]")
+    """Addresses and Korean mobile numbers become [email] and [phone]; a run of digits that goes on is no number."""
+    return F.regexp_replace(F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), r"(?<![0-9])01[016789][- .]?[0-9]{3,4}[- .]?[0-9]{4}(?![0-9])", "[phone]")

@@ -6,106 +6,155 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brightloom.functions.text import company_key, text_key
-from brightloom.operators.identity import role_of, role_tokens, roles_alike, roles_match
-from brightloom.operators.tracker import STATUS_RANK, transition_allowed
+from brightloom.functions.scope import owner_of
+from brightloom.functions.text import company_key, host_of, text_key
+from brightloom.operators.dedup import accept_in_order, checkpointed
+from brightloom.operators.identity import alike_titles, classify_source, role_tokens, roles_alike
+from brightloom.operators.numbering import numbered
+from brightloom.operators.tracker import ADVANCED, merge_clusters, transition_allowed
 
 
 def guard_failed(additions: DataFrame, failed: DataFrame) -> DataFrame:
     """Additions whose report is not marked as failed (column report)."""
-    return additions.join(failed.select("report").distinct(), "report", "left_anti")
+    keys = [*owner_of(additions, failed), "report"]
+    return additions.join(failed.select(*keys).distinct(), keys, "left_anti")
 
 
 def allocate_numbers(additions: DataFrame, used: DataFrame) -> DataFrame:
-    """Additions (pos, num) with given, their own number where it is free and they are the first to ask for it,
-    else the next above all numbers, in order of pos. The numbers already taken are compared by join, not collected."""
-    taken = used.select(F.col("num").alias("_u")).where("_u IS NOT NULL").distinct()
-    first = additions.where("num IS NOT NULL").groupBy("num").agg(F.min("pos").alias("pos")).withColumn("_first", F.lit(True))
-    met = additions.join(taken, additions["num"] == taken["_u"], "left").join(first, ["num", "pos"], "left")
-    own = F.col("_first") & F.col("_u").isNull()
-    marked = met.select("pos", "num", F.coalesce(own, F.lit(False)).alias("_own"))
-    top = F.broadcast(used.select("num").union(additions.select("num")).agg(F.coalesce(F.max("num"), F.lit(0)).alias("_top")))
-    # additions of one run are a bounded batch; only those without a number of their own are ordered
-    fresh = marked.where("NOT _own").withColumn("_n", F.row_number().over(W.orderBy("pos"))).crossJoin(top)
-    return marked.where("_own").select("pos", "num", F.col("num").alias("given")).union(fresh.select("pos", "num", F.col("_top") + F.col("_n")))
+    """Additions (pos, num) with given, their own number where it is free with their owner and they are the first to
+    ask for it, else the next above all numbers, in order of pos (unique). Numbers taken are compared by join, not collected."""
+    own = owner_of(additions, used)
+    taken = used.select(*own, "num").where("num IS NOT NULL").distinct().withColumn("_used", F.lit(True))
+    first = additions.where("num IS NOT NULL").groupBy(*own, "num").agg(F.min("pos").alias("pos")).withColumn("_first", F.lit(True))
+    met = additions.select(*own, "pos", "num").join(taken, [*own, "num"], "left").join(first, [*own, "num", "pos"], "left")
+    marked = met.select(*own, "pos", "num", F.coalesce(F.col("_first") & F.col("_used").isNull(), F.lit(False)).alias("_own"))
+    top = used.select(*own, "num").union(additions.select(*own, "num")).groupBy(*own).agg(F.coalesce(F.max("num"), F.lit(0)).alias("_top"))
+    fresh = numbered(marked.where("NOT _own").drop("_own"), own, ["pos"], "_n")
+    fresh = fresh.join(top, own) if own else fresh.crossJoin(F.broadcast(top))  # without owners top is one row
+    return marked.where("_own").select(*own, "pos", "num", F.col("num").alias("given")).union(fresh.select(*own, "pos", "num", F.col("_top") + F.col("_n")))
 
 
 def merge_additions(tracker: DataFrame, additions: DataFrame) -> DataFrame:
     """(pos, action, num): the row that an addition (pos, num, company, role, report) updates, found by report and
-    company, else number and company, else company and alike role (newest row); an addition that finds none is inserted."""
-    t = tracker.select(F.col("num").alias("t_num"), company_key(F.col("company")).alias("k"), "role", F.col("report").alias("t_report")).where("k <> ''")
-    a = additions.select("pos", F.col("num").alias("a_num"), company_key(F.col("company")).alias("k"), F.col("role").alias("a_role"), "report")
-    by_report = a.join(t, (a["k"] == t["k"]) & (a["report"] == t["t_report"])).groupBy("pos").agg(F.max("t_num").alias("n1"))
-    by_number = a.join(t, (a["k"] == t["k"]) & (a["a_num"] == t["t_num"])).groupBy("pos").agg(F.max("t_num").alias("n2"))
-    titles = a.select("k", "a_role").distinct().join(t.groupBy("k", "role").agg(F.max("t_num").alias("n")), "k")
-    alike = titles.where(roles_match(role_of(F.col("a_role")), role_of(F.col("role")))).groupBy("k", "a_role").agg(F.max("n").alias("n3"))
-    met = a.join(by_report, "pos", "left").join(by_number, "pos", "left").join(alike, ["k", "a_role"], "left")
+    company, else number and company, else company and alike role (newest row); an addition that finds none is inserted.
+
+    Roles are compared once for each pair of distinct titles of a company that share a telling word.
+    """
+    own = owner_of(tracker, additions)
+    t = tracker.select(*own, F.col("num").alias("t_num"), company_key(F.col("company")).alias("k"), "role", "report").where("k <> ''")
+    a = additions.select(*own, "pos", F.col("num").alias("a_num"), company_key(F.col("company")).alias("k"), F.col("role").alias("at"), "report")
+    by_report = t.groupBy(*own, "k", "report").agg(F.max("t_num").alias("n1"))
+    by_number = t.select(*own, "k", F.col("t_num").alias("a_num"), F.col("t_num").alias("n2")).distinct()
+    newest = t.groupBy(*own, "k", F.col("role").alias("bt")).agg(F.max("t_num").alias("n"))
+    alike = alike_titles(a.select(*own, "k", "at"), newest.select(*own, "k", "bt")).join(newest, [*own, "k", "bt"]).groupBy(*own, "k", "at").agg(F.max("n").alias("n3"))
+    met = a.join(by_report, [*own, "k", "report"], "left").join(by_number, [*own, "k", "a_num"], "left").join(alike, [*own, "k", "at"], "left")
     num = F.coalesce("n1", "n2", "n3")
-    return met.select("pos", F.when(num.isNull(), "insert").otherwise("update").alias("action"), num.alias("num"))
+    return met.select(*own, "pos", F.when(num.isNull(), "insert").otherwise("update").alias("action"), num.alias("num"))
+
+
+#: A company that is not known; what is known is the channel.
+BLIND = "?"
+
+
+def _opening_keys(df: DataFrame) -> DataFrame:
+    """df with group (company, or the channel of a row without one), opening (its title, where the application is not in
+    flight) and named (number and title); parts of keys that are null match nothing."""
+    title = F.lower(F.trim(F.regexp_replace(F.coalesce("role", F.lit("")), r"\s+", " ")))
+    blind = F.trim("company") == BLIND
+    via = text_key(F.col("via")) if "via" in df.columns else F.lit("")
+    return df.withColumns(
+        {
+            "blind": F.coalesce(blind, F.lit(False)),
+            "group": F.when(blind, F.concat(F.lit("via:"), via)).otherwise(F.concat(F.lit("company:"), company_key(F.col("company")))),
+            "opening": F.when(~F.coalesce(F.col("status").isin(*ADVANCED), F.lit(False)), title),
+            "named": F.concat_ws("::", F.col("num").cast("string"), title),
+        }
+    )
 
 
 def cluster_duplicates(df: DataFrame, days: int = 90) -> DataFrame:
-    """(num, leader): greedy clusters in order of num within a company and role: a row joins the first leader whose
-    report is the same or whose date is within so many days; rows without a date join only by report.
+    """(pos, leader): greedy clusters of a company in order of pos (unique): a row joins the first leader with its
+    report, with its number and title, or with its title where neither application is in flight (applied or later).
+
+    Titles are compared exactly but for case and blanks. Rows are led as accept_in_order accepts them: whoever shares no
+    key with an earlier leader leads. Rows without a company ("?") belong to their channel, and only join a leader whose
+    date is within so many days, which no key expresses: they alone are folded in order, a channel of an owner at a time,
+    with the leaders of one channel in memory.
 
-    The order matters, so a company and role is folded by one task; it streams past in order of num and only leaders
-    are kept. Rows that repeat a (date, report) pair join the leader of the first such row without being moved there.
+    df: pos, num, company, role, status, report, date, and via if there are channels.
     """
-    keyed = df.select("num", company_key(F.col("company")).alias("k"), text_key(F.col("role")).alias("r"), "date", "report")
-    blind = F.col("date").isNull() & F.col("report").isNull()  # joins nothing, and leads itself alone
-    distinct = keyed.where(~blind).groupBy("k", "r", "date", "report").agg(F.min("num").alias("num"))
-    sent = distinct.select("k", "r", "num", "date", "report").repartition("k", "r").sortWithinPartitions("k", "r", "num")
+    own = owner_of(df)
+    keyed = _opening_keys(df)
+    sighted = keyed.where("NOT blind")
+    part = lambda c: F.when(F.col(c).isNotNull(), F.struct("group", F.col(c).alias("c")))
+    keys = {"k_report": part("report"), "k_named": part("named"), "k_opening": part("opening")}
+    rows = checkpointed(sighted.select(*own, "pos", *[k.alias(n) for n, k in keys.items()]))
+    led = accept_in_order(rows, list(keys), "pos")
+    leaders = checkpointed(led.where("accepted").drop("accepted"))
+    rest = led.where("NOT accepted").drop("accepted")
+    for n in keys:
+        least = leaders.where(F.col(n).isNotNull()).groupBy(*own, n).agg(F.min("pos").alias(f"by_{n}"))
+        rest = rest.join(least, [*own, n], "left")
+    # the least pos of a leader that shares any key; a later one can't have come first
+    found = rest.select(*own, "pos", F.least(*[F.col(f"by_{n}") for n in keys]).alias("leader"))
+    return leaders.select(*own, "pos", F.col("pos").alias("leader")).union(found).union(_blind_leaders(keyed.where("blind"), own, days))
+
+
+def _blind_leaders(blind: DataFrame, own: list[str], days: int) -> DataFrame:
+    sent = blind.select(*own, "group", "pos", "date", "report", "named", "opening")
+    by = [*own, "group"]
+    sent = sent.repartition(*by).sortWithinPartitions(*by, "pos")
+    kinds = {f.name: f.dataType.simpleString() for f in sent.schema}
+    n = len(by)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leaders = None, []
+        key: tuple | None = None
+        leaders: dict[tuple, list] = {}
         for batch in batches:
             out = []
-            for k, r, num, date, report in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, r) != key:
-                    key, leaders = (k, r), []
-                for n, d, rep in leaders:
-                    if (report is not None and report == rep) or (date is not None and d is not None and abs((date - d).days) <= days):
-                        out.append(n)
-                        break
-                else:
-                    leaders.append((num, date, report))
-                    out.append(num)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array(out, pa.int64())], ["k", "r", "date", "report", "leader"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in distinct.schema}
-    led = sent.mapInArrow(fold, f"k string, r string, date {kinds['date']}, report {kinds['report']}, leader long")
-    same = [keyed[c].eqNullSafe(led[c]) for c in ("k", "r", "date", "report")]
-    joined = keyed.where(~blind).join(led, same[0] & same[1] & same[2] & same[3]).select("num", "leader")
-    return joined.union(keyed.where(blind).select("num", "num"))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != key:
+                    key, leaders = row[:n], {}
+                pos, date, marks = row[n], row[n + 1], [(i, m) for i, m in enumerate(row[n + 2 :]) if m is not None]
+                near = [p for m in marks for p, d in leaders.get(m, ()) if date is not None and d is not None and abs((date - d).days) <= days]
+                if not near:
+                    for m in marks:
+                        leaders.setdefault(m, []).append((pos, date))
+                out.append(min(near, default=pos))
+            columns = [*batch.columns[: len(own)], batch.column(n), pa.array(out, batch.column(n).type)]
+            yield pa.RecordBatch.from_arrays(columns, [*own, "pos", "leader"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in own) + (", " if own else "") + f"pos {kinds['pos']}, leader {kinds['pos']}"
+    return sent.mapInArrow(fold, schema)
 
 
 def dedup_tracker(df: DataFrame, days: int = 90) -> DataFrame:
-    """Q2: one row for each cluster of W12: its leader's number, best score and most advanced status."""
-    rank = F.array_position(F.array(*map(F.lit, STATUS_RANK)), F.col("status"))
-    met = df.join(cluster_duplicates(df, days), "num")
-    return met.groupBy("leader").agg(F.max("score").alias("score"), F.max(F.struct(rank, "status")).alias("top"), F.count("*").alias("n")).select(F.col("leader").alias("num"), "score", F.col("top.status").alias("status"), "n")
+    """Q2: W12 and A14: one row for each cluster: the one of best score, with the most advanced status and all notes."""
+    keys = [*owner_of(df), "pos"]
+    return merge_clusters(df.join(cluster_duplicates(df, days), keys), ["leader"]).drop("leader")
 
 
 def resolve_mail_events(events: DataFrame, reviewed: DataFrame, links: DataFrame, tracker: DataFrame) -> DataFrame:
     """(event_id, num, how): an event's row by review (event_id, num), else by an earlier event of its thread
     (thread_id, num), else by the one row of its company and role; several rows make it ambiguous, none unmatched."""
-    rev = reviewed.groupBy("event_id").agg(F.max("num").alias("n1"))
-    lin = links.groupBy("thread_id").agg(F.max("num").alias("n2"), F.countDistinct("num").alias("c2"))
-    exact = tracker.groupBy(company_key(F.col("company")).alias("k"), text_key(F.col("role")).alias("r")).agg(F.max("num").alias("n3"), F.count("*").alias("c3"))
-    e = events.select("event_id", "thread_id", company_key(F.col("company")).alias("k"), text_key(F.col("role")).alias("r"))
-    met = e.join(rev, "event_id", "left").join(lin, "thread_id", "left").join(exact, ["k", "r"], "left")
+    own = owner_of(events, reviewed, links, tracker)
+    rev = reviewed.groupBy(*own, "event_id").agg(F.max("num").alias("n1"))
+    lin = links.groupBy(*own, "thread_id").agg(F.max("num").alias("n2"), F.countDistinct("num").alias("c2"))
+    exact = tracker.groupBy(*own, company_key(F.col("company")).alias("k"), text_key(F.col("role")).alias("r")).agg(F.max("num").alias("n3"), F.count("*").alias("c3"))
+    e = events.select(*own, "event_id", "thread_id", company_key(F.col("company")).alias("k"), text_key(F.col("role")).alias("r"))
+    met = e.join(rev, [*own, "event_id"], "left").join(lin, [*own, "thread_id"], "left").join(exact, [*own, "k", "r"], "left")
     thread, one = F.col("c2") == 1, F.col("c3") == 1
     how = F.when(F.col("n1").isNotNull(), "reviewed").when(thread, "thread").when(one, "exact").when((F.col("c2") > 1) | (F.col("c3") > 1), "ambiguous").otherwise("unmatched")
-    return met.select("event_id", F.coalesce("n1", F.when(thread, F.col("n2")), F.when(one, F.col("n3"))).alias("num"), how.alias("how"))
+    return met.select(*own, "event_id", F.coalesce("n1", F.when(thread, F.col("n2")), F.when(one, F.col("n3"))).alias("num"), how.alias("how"))
 
 
 def sync_pdf_flags(tracker: DataFrame, manifest: DataFrame) -> DataFrame:
     """Tracker (num, reports) with pdf: does the manifest (report) have any of the row's report numbers?"""
-    named = tracker.select("num", F.explode("reports").alias("report")).join(manifest.select("report").distinct(), "report", "left_semi").select("num").distinct().withColumn("_p", F.lit(True))
-    return tracker.join(named, "num", "left").withColumn("pdf", F.coalesce("_p", F.lit(False))).drop("_p")
+    own = owner_of(tracker, manifest)
+    named = tracker.select(*own, "num", F.explode("reports").alias("report")).join(manifest.select(*own, "report").distinct(), [*own, "report"], "left_semi").select(*own, "num").distinct().withColumn("_p", F.lit(True))
+    return tracker.join(named, [*own, "num"], "left").withColumn("pdf", F.coalesce("_p", F.lit(False))).drop("_p")
 
 
 def enrich_offices(postings: DataFrame, offices: DataFrame, vague: Sequence[str] = ("remote", "hybrid", "on-site", "")) -> DataFrame:
@@ -119,25 +168,27 @@ def enrich_offices(postings: DataFrame, offices: DataFrame, vague: Sequence[str]
 
 def reconcile_pending(pending: DataFrame, gate: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Q5: (pending with state and reason, rows by reason): items whose gate (posting_id, gate) is not eligible are processed."""
-    met = pending.join(gate.select("posting_id", "gate"), "posting_id", "left")
+    keys = [*owner_of(pending, gate), "posting_id"]
+    met = pending.join(gate.select(*keys, "gate"), keys, "left")
     blocked = F.coalesce(F.col("gate") != "eligible", F.lit(False))
     out = met.withColumn("state", F.when(blocked, "processed").otherwise("pending")).withColumn("reason", F.when(blocked, F.col("gate"))).drop("gate")
-    return out, out.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+    return out, out.where("reason IS NOT NULL").groupBy(*keys[:-1], "reason").agg(F.count("*").alias("n"))
 
 
 def snapshot(jobs: DataFrame, decisions: DataFrame, applied: DataFrame) -> DataFrame:
     """Q7: (item_id, category) of jobs (item_id, fresh): applications, then decided pending or excluded, then
     recommended if fresh, else available."""
-    dec = decisions.groupBy("item_id").agg(F.max_by("status", F.struct("updated_at", "status")).alias("_s"))
-    app = applied.select("item_id").distinct().withColumn("_a", F.lit(True))
-    met = jobs.join(dec, "item_id", "left").join(app, "item_id", "left")
+    keys = [*owner_of(jobs, decisions, applied), "item_id"]
+    dec = decisions.groupBy(*keys).agg(F.max_by("status", F.struct("updated_at", "status")).alias("_s"))
+    app = applied.select(*keys).distinct().withColumn("_a", F.lit(True))
+    met = jobs.join(dec, keys, "left").join(app, keys, "left")
     category = F.when(F.col("_a"), "application").when(F.col("_s").isin("pending", "excluded"), F.col("_s")).when(F.col("fresh"), "recommended").otherwise("available")
-    return met.select("item_id", category.alias("category"))
+    return met.select(*keys, category.alias("category"))
 
 
 def dashboard_stats(snap: DataFrame) -> DataFrame:
-    """One row of counts by category."""
-    return snap.agg(F.count("*").alias("total"), *[F.count_if(F.col("category") == c).alias(c) for c in ("application", "pending", "excluded", "recommended", "available")])
+    """One row of counts by category (of each owner)."""
+    return snap.groupBy(*owner_of(snap)).agg(F.count("*").alias("total"), *[F.count_if(F.col("category") == c).alias(c) for c in ("application", "pending", "excluded", "recommended", "available")])
 
 
 def run_summary(funnel: DataFrame) -> DataFrame:
@@ -158,9 +209,10 @@ def merge_audits(a: DataFrame, b: DataFrame) -> DataFrame:
 def application_index(tracker: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K7: (index, new events): the whole index, and a change for each row whose status differs from the last event
     (num, at, new) known of it."""
-    last = events.groupBy("num").agg(F.max_by("new", "at").alias("old"))
-    met = tracker.select("num", "status", "company", "role", "score").join(last, "num", "left")
-    return met.drop("old"), met.where("NOT status <=> old").select("num", "old", F.col("status").alias("new"))
+    keys = [*owner_of(tracker, events), "num"]
+    last = events.groupBy(*keys).agg(F.max_by("new", "at").alias("old"))
+    met = tracker.select(*keys, "status", "company", "role", "score").join(last, keys, "left")
+    return met.drop("old"), met.where("NOT status <=> old").select(*keys, "old", F.col("status").alias("new"))
 
 
 def export_candidates(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
@@ -256,3 +308,13 @@ def defer_cooling(df: DataFrame, order: Sequence[Column], limit: int) -> DataFra
 def rank_search(df: DataFrame, limit: int) -> DataFrame:
     """Search records by freshness, priority, company, title and id; at least 1 and at most 100."""
     return df.orderBy(F.desc_nulls_last("posted_at"), F.desc("priority"), "company", "title", "id").limit(min(100, max(1, limit)))
+
+
+def source_inventory(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """A4: (source, hosts, pending, processed) of a pipeline (url, state), by J20; hosts in order. Busiest first: by
+    pending, then both, then name."""
+    own = owner_of(items)
+    placed = classify_source(items, rules).withColumn("_host", host_of(F.col("url")))
+    count = lambda state: F.count_if(F.col("state") == state).alias(state)
+    found = placed.groupBy(*own, "source").agg(F.array_sort(F.collect_set("_host")).alias("hosts"), count("pending"), count("processed"))
+    return found.orderBy(*own, F.desc("pending"), F.desc(F.col("pending") + F.col("processed")), "source")

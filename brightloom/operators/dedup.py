@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brightloom.functions.scope import owner_of
 from brightloom.functions.text import company_key, dedup_url, role_key, stable_id
 
 
@@ -16,7 +18,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
+        if not folder and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
@@ -24,14 +26,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def anti_seen_urls(df: DataFrame, seen: DataFrame) -> DataFrame:
     """Rows whose normalised url is none of those of seen (column url)."""
-    keys = seen.select(dedup_url(F.col("url")).alias("_seen")).where("_seen IS NOT NULL").distinct()
-    return df.join(keys, dedup_url(df["url"]) == keys["_seen"], "left_anti")
+    own = owner_of(df, seen)
+    keys = seen.select(*own, dedup_url(F.col("url")).alias("_seen")).where("_seen IS NOT NULL").distinct()
+    return df.withColumn("_seen", dedup_url(F.col("url"))).join(keys, [*own, "_seen"], "left_anti").select(*df.columns)
 
 
 def anti_seen_roles(df: DataFrame, seen: DataFrame) -> DataFrame:
     """Rows whose company and role keys were not seen (columns company, title); blank keys never match."""
-    keys = seen.select(company_key(F.col("company")).alias("_c"), role_key(F.col("title")).alias("_r")).where("_c <> '' AND _r <> ''").distinct()
-    return df.join(keys, (company_key(df["company"]) == keys["_c"]) & (role_key(df["title"]) == keys["_r"]), "left_anti")
+    own = owner_of(df, seen)
+    keyed = lambda t: t.withColumns({"_c": company_key(F.col("company")), "_r": role_key(F.col("title"))})
+    keys = keyed(seen).select(*own, "_c", "_r").where("_c <> '' AND _r <> ''").distinct()
+    return keyed(df).join(keys, [*own, "_c", "_r"], "left_anti").select(*df.columns)
 
 
 def first_wins(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -45,27 +50,31 @@ def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
 
 
-def accept_in_order(df: DataFrame, key1: str, key2: str, order: str) -> DataFrame:
-    """W2, two keys: df with accepted, as if rows came one by one in order (unique), and each were accepted unless an
-    earlier accepted row has its key1 or its key2. A rejected row marks nothing. Null keys never match.
+def accept_in_order(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """W2, several keys: df with accepted, as if rows came one by one in order (unique), and each were accepted unless
+    an earlier accepted row of its owner has one of its keys. A rejected row marks nothing. Null keys never match.
 
     Each round accepts the rows that come first on both keys among those undecided, and rejects those that share a key
     with an accepted one; this equals the sequential result. Rounds are bounded by the longest chain of rows in which
     each waits for the one before.
     """
-    open_rows = checkpointed(df.select(F.col(order).alias("o"), F.col(key1).alias("a"), F.col(key2).alias("b")))
+    own, names = owner_of(df), [f"k{i}" for i in range(len(keys))]
+    keyed = lambda k: F.when(F.col(k).isNotNull(), F.struct(*own, F.col(k).alias("key")))
+    open_rows = checkpointed(df.select(F.col(order).alias("o"), *[keyed(k).alias(n) for k, n in zip(keys, names)]))
     accepted = None
     while True:
-        first_a = open_rows.where("a IS NOT NULL").groupBy("a").agg(F.min("o").alias("fa"))
-        first_b = open_rows.where("b IS NOT NULL").groupBy("b").agg(F.min("o").alias("fb"))
-        met = open_rows.join(first_a, "a", "left").join(first_b, "b", "left")
-        now = checkpointed(met.where("(fa IS NULL OR fa = o) AND (fb IS NULL OR fb = o)").select("o", "a", "b"))
+        met, first = open_rows, F.lit(True)
+        for n in names:
+            met = met.join(open_rows.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("o").alias(f"first_{n}")), n, "left")
+            first = first & (F.col(f"first_{n}").isNull() | (F.col(f"first_{n}") == F.col("o")))
+        now = checkpointed(met.where(first).select("o", *names))
         if now.isEmpty():
             break
         accepted = now.select("o") if accepted is None else checkpointed(accepted.union(now.select("o")))
         rest = open_rows.join(now.select("o"), "o", "left_anti")
-        rest = rest.join(now.where("a IS NOT NULL").select("a").distinct(), "a", "left_anti")
-        open_rows = checkpointed(rest.join(now.where("b IS NOT NULL").select("b").distinct(), "b", "left_anti").select("o", "a", "b"))
+        for n in names:
+            rest = rest.join(now.where(F.col(n).isNotNull()).select(n).distinct(), n, "left_anti")
+        open_rows = checkpointed(rest.select("o", *names))
     if accepted is None:
         return df.withColumn("accepted", F.lit(False))
     return df.join(accepted.withColumn("accepted", F.lit(True)), df[order] == accepted["o"], "left").drop("o").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
@@ -74,26 +83,26 @@ def accept_in_order(df: DataFrame, key1: str, key2: str, order: str) -> DataFram
 def append_history(new: DataFrame, history: DataFrame, active: Column) -> DataFrame:
     """K1: the rows of new (url, status, pos, ...) to append: first of each normalised url and status, unless the history
     has an active row (condition active on history) of both."""
-    seen = history.where(active).select(dedup_url(F.col("url")).alias("_u"), F.col("status").alias("_s")).distinct()
-    keyed = new.withColumn("_key", dedup_url(F.col("url")))
-    fresh = keyed.join(seen, (F.col("_key") == F.col("_u")) & (F.col("status") == F.col("_s")), "left_anti")
-    return first_per_key(fresh, ["_key", "status"], F.col("pos")).drop("_key")
+    own = owner_of(new, history)
+    seen = history.where(active).select(*own, dedup_url(F.col("url")).alias("_key"), "status").distinct()
+    fresh = new.withColumn("_key", dedup_url(F.col("url"))).join(seen, [*own, "_key", "status"], "left_anti")
+    return first_per_key(fresh, [*own, "_key", "status"], F.col("pos")).drop("_key")
 
 
 def posting_index(history: DataFrame) -> DataFrame:
-    """K3: index rebuilt from history: the first row by pos of each listing id."""
-    url = dedup_url(F.col("url"))
-    ids = history.select(
-        stable_id("li_", url).alias("listing_instance_id"),
-        stable_id("pc_", F.concat_ws("::", company_key(F.col("company")), role_key(F.col("title")))).alias("posting_cluster_id"),
-        "url", "first_seen", "portal", company_key(F.col("company")).alias("company_key"), role_key(F.col("title")).alias("role_key"), "status", "pos",
-    )
-    return first_per_key(ids, ["listing_instance_id"], F.col("pos"))
+    """K3: index rebuilt from history: the first row by pos of each listing id (of each owner)."""
+    own = owner_of(history)
+    keyed = history.withColumns({"_u": dedup_url(F.col("url")), "company_key": company_key(F.col("company")), "role_key": role_key(F.col("title"))})
+    # keys of a listing id are made from what the first row of its url has, so ids are made once for each url
+    first = first_per_key(keyed.select(*own, "_u", "url", "first_seen", "portal", "company_key", "role_key", "status", "pos"), [*own, "_u"], F.col("pos"))
+    ids = {"listing_instance_id": stable_id("li_", F.col("_u")), "posting_cluster_id": stable_id("pc_", F.concat_ws("::", "company_key", "role_key"))}
+    return first.withColumns(ids).drop("_u")
 
 
 def append_posting_index(new: DataFrame, index: DataFrame) -> DataFrame:
     """K2: rows of posting_index(new) whose listing id the index doesn't have."""
-    return posting_index(new).join(index.select("listing_instance_id").distinct(), "listing_instance_id", "left_anti")
+    keys = [*owner_of(new, index), "listing_instance_id"]
+    return posting_index(new).join(index.select(*keys).distinct(), keys, "left_anti")
 
 
 def sanitize_tsv(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,19 +116,21 @@ def sanitize_tsv(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def upsert_state(state: DataFrame, updates: DataFrame) -> DataFrame:
     """K9: state (url, at, n) with updates (url, at): the later time, and the count of all times a url was updated."""
-    new = updates.groupBy("url").agg(F.max("at").alias("new_at"), F.count("*").alias("more"))
-    return state.join(new, "url", "full").select("url", F.greatest("at", "new_at").alias("at"), (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+    keys = [*owner_of(state, updates), "url"]
+    new = updates.groupBy(*keys).agg(F.max("at").alias("new_at"), F.count("*").alias("more"))
+    return state.join(new, keys, "full").select(*keys, F.greatest("at", "new_at").alias("at"), (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
 
 
 def history_metadata(history: DataFrame) -> DataFrame:
     """First and last time that a normalised url was seen, and how often."""
-    return history.groupBy(dedup_url(F.col("url")).alias("url_key")).agg(F.min("first_seen").alias("first_seen"), F.max("first_seen").alias("last_seen"), F.count("*").alias("n"))
+    return history.groupBy(*owner_of(history), dedup_url(F.col("url")).alias("url_key")).agg(F.min("first_seen").alias("first_seen"), F.max("first_seen").alias("last_seen"), F.count("*").alias("n"))
 
 
 def latest_state(df: DataFrame, key: str, at: list[str]) -> DataFrame:
     """The latest row of each key, by at."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*at)).alias("_row")).select(key, "_row.*")
+    keys = [*owner_of(df), key]
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*at)).alias("_row")).select(*keys, "_row.*")
 
 
 def dedup_feed(df: DataFrame, source: str, row_id: str, url: str, order: str) -> DataFrame:

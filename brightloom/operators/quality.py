@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brightloom.functions.text import job_id_in, without_marks
+
 
 def failure_streaks(health: DataFrame, healthy: tuple[str, ...] = ("reachable", "empty"), threshold: int = 3) -> DataFrame:
     """For each company the failures since its last healthy row (ts, then event_id), and whether they reach threshold.
@@ -27,28 +29,91 @@ def error_class(status: Column, error: Column) -> Column:
     )
 
 
-def liveness(status: Column, url: Column, final_url: Column, body: Column) -> Column:
-    """(code of) what a fetched page says of its posting; the first rule that fits counts."""
-    low = F.lower(F.coalesce(body, F.lit("")))
-    moved = ~F.coalesce(final_url, url).eqNullSafe(url)
+# What pages say of a posting, for text without accents and curly quotes.
+GONE = (
+    r"job (is )?no longer available",
+    r"job.*no longer open",
+    r"\b(?:job|jobs|position|role|posting|opening|vacancy|requisition|req|listing)\b[\s\S]{0,60}?(?<!\b(?:application|form)\s)has been filled\b(?!\s+out)",
+    r"this job has expired",
+    r"job posting has expired",
+    r"no longer accepting applications",
+    r"this (position|role|job) (is )?no longer",
+    r"this job (listing )?is closed",
+    r"job (listing )?not found",
+    r"the page you are looking for doesn.t exist",
+    r"applications?\s+(?:(?:have|are|is)\s+)?closed",
+    r"closed on \d{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)",
+    r"closed on (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\s+\d{1,2}",
+    r"diese stelle (ist )?(nicht mehr|bereits) besetzt",
+    r"offre (expiree|n'est plus disponible)",
+    r"(cette )?offre n'est plus (disponible|en ligne|active)",
+    r"(offre|poste|annonce) (deja )?pourvu(e)?",
+    r"offre (cloturee|desactivee|terminee)",
+    r"ce poste n'est plus (disponible|a pourvoir|ouvert)",
+    r"recrutement (termine|cloture)",
+    r"candidatures (closes|cloturees)",
+)
+LISTING = (r"\d+\s+jobs?\s+found", r"search for jobs page is loaded")
+CHALLENGE = (
+    r"just a moment", r"performing security verification", r"checking your browser before", r"verify you are (a |not a )?human", r"enable javascript and cookies to continue",
+    r"attention required.*cloudflare", r"\bray id\b", r"\bcf-ray\b", r"please complete the security check",
+)
+APPLY = (
+    r"\bapply\b", r"지원하기", r"입사지원", r"즉시\s*지원", r"홈페이지\s*지원", r"\bsolicitar\b", r"\bbewerben\b", r"\bpostuler\b", r"submit application", r"easy apply", r"start application",
+    r"ich bewerbe mich", r"\baplikuj\b", r"panelu aplikowania", r"wyslij (cv|aplikacj)",
+)
+LEAST_CONTENT = 300
+#: Codes of liveness by what they mean.
+LIVENESS_RESULTS = {
+    "http_gone": "expired", "bot_challenge": "uncertain", "access_blocked": "uncertain", "server_error": "uncertain", "expired_url": "expired", "expired_body": "expired",
+    "redirected_off_posting": "uncertain", "apply_control_visible": "active", "listing_page": "expired", "insufficient_content": "expired", "no_apply_control": "uncertain",
+}
+
+
+def _says(text: Column, patterns: tuple[str, ...]) -> Column:
+    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+
+
+def liveness(status: Column, url: Column, final_url: Column, body: Column, controls: Column) -> Column:
+    """Code of what a fetched page says of its posting; the first rule that fits counts.
+
+    controls: texts of the page's buttons and links. A page that lost the job id of the url it was asked for is another
+    page, and its apply buttons prove nothing.
+    """
+    text = F.regexp_replace(without_marks(F.coalesce(body, F.lit(""))), r"\s+", " ")
+    final, job = F.coalesce(final_url, F.lit("")), F.lower(job_id_in(F.lower(url)))
+    lost = job.isNotNull() & (final != "") & ~F.lower(final).contains(job)
+    applies = F.exists(F.coalesce(controls, F.array().cast("array<string>")), lambda c: F.coalesce(_says(without_marks(c), APPLY), F.lit(False)))
     return (
-        F.when(status.isin(404, 410), "expired")
-        .when(low.rlike("captcha|verify you are human"), "challenge")
-        .when(status.isin(401, 403), "blocked")
+        F.when(status.isin(404, 410), "http_gone")
+        .when(_says(text, CHALLENGE), "bot_challenge")
+        .when(status.isin(403, 503), "access_blocked")
         .when(status >= 500, "server_error")
-        .when(moved, "redirected")
-        .when(low.rlike("no longer available|position has been filled|마감"), "expired")
-        .when(low.rlike("apply now|apply for this|지원하기"), "active")
-        .when(low.rlike("search results|all jobs"), "listing_page")
-        .when(F.length(low) < 300, "short_body")
+        .when(final.rlike("(?i)[?&]error=true"), "expired_url")
+        .when(_says(text, GONE), "expired_body")
+        .when(F.coalesce(lost, F.lit(False)), "redirected_off_posting")
+        .when(applies, "apply_control_visible")
+        .when(_says(text, LISTING), "listing_page")
+        .when(F.length(F.trim(text)) < LEAST_CONTENT, "insufficient_content")
         .otherwise("no_apply_control")
     )
 
 
+def liveness_result(code: Column) -> Column:
+    """active, expired or uncertain for a code of liveness."""
+    found = F.lit("uncertain")
+    for name, result in LIVENESS_RESULTS.items():
+        found = F.when(code == name, result).otherwise(found)
+    return found
+
+
 def route_liveness(df: DataFrame) -> DataFrame:
-    """Q13: df (outcome) with route: verified, expired, dropped, invalid, or uncertain, which is not kept."""
-    route = F.when(F.col("outcome") == "active", "verified").when(F.col("outcome").isin("expired", "redirected"), "expired").when(F.col("outcome") == "no_apply_control", "dropped").when(F.col("outcome").isin("blocked", "challenge"), "invalid")
-    return df.withColumn("route", route.otherwise("uncertain"))
+    """Q13: df (outcome, a code of liveness or of the url guard) with route: verified, expired, dropped (no apply control),
+    invalid (the guard's codes), or uncertain, which is not kept."""
+    code = F.col("outcome")
+    route = F.when(code == "no_apply_control", "dropped").when(code.isin("invalid_url", "blocked_url"), "invalid")
+    result = liveness_result(code)
+    return df.withColumn("route", route.when(result == "active", "verified").otherwise(result))
 
 
 def liveness_stats(df: DataFrame, source: str) -> DataFrame:

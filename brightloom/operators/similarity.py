@@ -1,59 +1,84 @@
-"""Content fingerprints of postings and the join of near ones across companies, in built-in functions."""
+"""Content fingerprints of postings and the join of near ones across companies."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from brightloom.functions.text import company_key
 
-#: Bits of each of the six bands of a fingerprint: five flips leave one band untouched.
-BANDS = (11, 11, 11, 11, 10, 10)
-MAX_BITS = 5
+BITS, MAX_BITS = 64, 5
+#: Blocks of a fingerprint; two that differ in MAX_BITS bits agree on BLOCKS - MAX_BITS of them (24 of 64 bits).
+BLOCKS = 8
+#: Texts with fewer signs after cleaning, or fewer words than a shingle, have no fingerprint.
+LEAST_TEXT, WIDTH = 200, 3
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-case words of a description joined by blanks, without tags, entities and urls."""
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"<[^>]*>|&[a-z#0-9]+;", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"https?://\S+", " "), r"[^\p{L}\p{N}]+", " "))
+
+
+@F.pandas_udf(LongType())
+def _voted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def fold(text: str | None) -> int | None:
+        words = text.split(" ") if text else []
+        if len(words) < WIDTH:
+            return None
+        digests = b"".join(hashlib.sha1(" ".join(s).encode()).digest()[:8] for s in zip(*(words[i:] for i in range(WIDTH))))
+        votes = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        return int.from_bytes(np.packbits(2 * votes > len(digests) // 8).tobytes(), "big", signed=True)
 
+    for texts in batches:
+        yield pd.Series([fold(t) for t in texts], dtype="Int64")
 
-def simhash(df: DataFrame, key: str, text: str, width: int = 3) -> DataFrame:
-    """(key, fingerprint): 64-bit vote over the SHA-1 of every shingle of width words (fewer: all of them).
 
-    A bit is set if more shingles have it than not. The votes are 64 sums for each key, combined before the shuffle.
-    Keys without a word get none.
+def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, fingerprint): 64-bit vote over the first 8 bytes of the SHA-1 of every shingle of three words.
+
+    A bit is set if more shingles have it than not. Texts of under 200 signs without tags, entities and urls, or of
+    under three words, tell nothing and are left out. Texts are cleaned in the JVM and folded in Arrow batches, row by
+    row and without a shuffle.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    worded = df.select(key, words.alias("w"))
-    shingles = F.when(F.size("w") >= width, F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(width)]))).when(
-        F.size("w") > 0, F.array(F.array_join("w", " "))
-    )
-    # explode_outer: for explode, Spark would infer a filter on the array and build it twice
-    each = worded.select(key, F.explode_outer(shingles).alias("s")).where("s IS NOT NULL")
-    half = lambda at: F.conv(F.substring(F.sha1("s"), at, 8), 16, 10).cast("long")
-    hashed = each.select(key, F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("h"))
-    votes = hashed.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)])
-    bits = F.lit(0).cast("long")
-    for b in range(64):
-        bits = bits.bitwiseOR(F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return votes.select(key, bits.alias("fingerprint"))
+    clean = df.select(key, plain_words(F.col(text)).alias("_t")).where(F.length("_t") >= LEAST_TEXT)
+    return clean.select(key, _voted("_t").alias("fingerprint")).where("fingerprint IS NOT NULL")
+
+
+def _parts() -> list[int]:
+    cuts = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
 
 
-def _bands(fp: Column) -> Column:
-    out, low = [], 0
-    for i, width in enumerate(BANDS):
-        out.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)).alias("value")))
-        low += width
-    return F.array(*out)
+def _long(mask: int) -> Column:
+    return F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask).cast("long")
 
 
 def cross_listings(new: DataFrame, seen: DataFrame, days: int = 90, max_bits: int = MAX_BITS) -> DataFrame:
     """(id, other_id, distance): rows of seen of another company and url, at most `days` older, whose fingerprint
     differs in max_bits bits or fewer.
 
-    Columns: id, company, url, fingerprint, seen_at. Fingerprints are compared once for each pair of distinct values
-    that share a band; ids and companies join on to what is near. max_bits must be under the number of bands.
+    Columns: id, company, url, fingerprint, seen_at. Distinct fingerprints meet under every choice of the blocks that
+    they can't help sharing (24 bits for 5 of 64), and count under the first such choice alone, so that pairs need no
+    dedup; ids and companies join on to what is near. max_bits must be under the number of blocks.
     """
-    if max_bits >= len(BANDS):
-        raise ValueError("max_bits must be under the number of bands")
-    values = lambda df, name: df.select(F.col("fingerprint").alias(name)).distinct().select(name, F.inline(_bands(F.col(name))))
-    near = values(new, "fa").join(values(seen, "fb"), ["band", "value"]).select("fa", "fb", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"))
-    near = near.where(F.col("distance") <= max_bits).distinct()
+    if max_bits >= BLOCKS:
+        raise ValueError("max_bits must be under the number of blocks")
+    parts, size = _parts(), BLOCKS - max_bits
+    choices = list(combinations(range(BLOCKS), size))
+    key = lambda c: F.struct(F.lit(choices.index(c)).alias("choice"), F.lit(c[-1]).alias("upto"), F.col("fp").bitwiseAND(_long(sum(parts[i] for i in c))).alias("value"))
+    values = lambda df, name: df.select(F.col("fingerprint").alias("fp")).where("fp IS NOT NULL").distinct().select(F.col("fp").alias(name), F.inline(F.array(*map(key, choices))))
+    apart = F.col("fa").bitwiseXOR(F.col("fb"))
+    met = values(new, "fa").join(values(seen, "fb").drop("upto"), ["choice", "value"])
+    agree = [F.when((F.lit(i) <= F.col("upto")) & (apart.bitwiseAND(_long(p)) == 0), 1).otherwise(0) for i, p in enumerate(parts)]
+    near = met.where((F.bit_count(apart) <= max_bits) & (sum(agree[1:], agree[0]) == size)).select("fa", "fb", F.bit_count(apart).alias("distance"))
     side = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("id", "url", "fingerprint", "seen_at")], company_key(F.col("company")).alias(p + "key"))
     a, b = side(new, "a_"), side(seen, "b_")
     met = a.join(near, F.col("a_fingerprint") == F.col("fa")).join(b, F.col("fb") == F.col("b_fingerprint"))

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brightloom.functions.scope import owner_of
 from brightloom.functions.text import company_key, text_key
+from brightloom.operators.numbering import numbered
 
 # Statuses from the least to the most advanced, and their other spellings.
 STATUS_RANK = ("skip", "discarded", "evaluated", "no-response", "rejected", "applied", "responded", "interview", "offer")
+#: From here on an application is in flight: its row is only merged with one of the same report or number.
+ADVANCED = ("applied", "responded", "interview", "offer")
 STATUS_ALIASES = {
     "aplicado": "applied", "enviada": "applied", "sent": "applied", "evaluada": "evaluated", "entrevista": "interview", "oferta": "offer", "rechazado": "rejected",
     "rechazada": "rejected", "descartado": "discarded", "descartada": "discarded", "closed": "discarded", "respondido": "responded", "no aplicar": "skip", "dup": "discarded",
@@ -72,7 +76,9 @@ def no_response_candidates(tracker: DataFrame, protected: DataFrame, today: str,
     """(candidates, counts): applied at least so many days ago and not protected (column num), oldest first, at
     most cap; counts has candidates, deferred beyond the cap and rows set aside for their missing date."""
     applied = tracker.where("status = 'applied'")
-    old = applied.where(F.datediff(F.lit(today).cast("date"), "date") >= days).join(protected.select("num").distinct(), "num", "left_anti")
+    old = applied.where(F.datediff(F.lit(today).cast("date"), "date") >= days)
+    keys = [*owner_of(tracker, protected), "num"]
+    old = old.join(protected.select(*keys).distinct(), keys, "left_anti")
     counts = old.agg(F.count("*").alias("candidates"), F.greatest(F.count("*") - cap, F.lit(0)).alias("deferred")).crossJoin(
         applied.agg(F.count_if(F.col("date").isNull()).alias("undated"))
     )
@@ -81,55 +87,69 @@ def no_response_candidates(tracker: DataFrame, protected: DataFrame, today: str,
 
 def status_counts(df: DataFrame) -> DataFrame:
     """A3: rows and distinct companies by status."""
-    return df.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("company").alias("companies"))
+    return df.groupBy(*owner_of(df), "status").agg(F.count("*").alias("n"), F.countDistinct("company").alias("companies"))
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """A5: company and role keys with more than one row; ids in order."""
-    keyed = df.select(company_key(F.col("company")).alias("company_key"), text_key(F.col("role")).alias("role_key"), "num").where("company_key <> '' AND role_key <> ''")
-    grouped = keyed.groupBy("company_key", "role_key").agg(F.count("*").alias("n"), F.min("num").alias("first_num"), F.max("num").alias("last_num"))
+    own = owner_of(df)
+    keyed = df.select(*own, company_key(F.col("company")).alias("company_key"), text_key(F.col("role")).alias("role_key"), "num").where("company_key <> '' AND role_key <> ''")
+    grouped = keyed.groupBy(*own, "company_key", "role_key").agg(F.count("*").alias("n"), F.min("num").alias("first_num"), F.max("num").alias("last_num"))
     return grouped.where("n > 1")
 
 
 def duplicate_ids(df: DataFrame) -> DataFrame:
     """Numbers used by more than one row."""
-    return df.groupBy("num").agg(F.count("*").alias("n")).where("n > 1")
+    return df.groupBy(*owner_of(df), "num").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def cross_channel(df: DataFrame) -> DataFrame:
     """Company and role keys applied to over more than one channel; no channel is "direct"."""
-    keyed = df.select(company_key(F.col("company")).alias("company_key"), text_key(F.col("role")).alias("role_key"), F.coalesce(F.nullif(text_key(F.col("via")), F.lit("")), F.lit("direct")).alias("via"))
-    return keyed.groupBy("company_key", "role_key").agg(F.countDistinct("via").alias("channels")).where("channels > 1")
+    own = owner_of(df)
+    keyed = df.select(*own, company_key(F.col("company")).alias("company_key"), text_key(F.col("role")).alias("role_key"), F.coalesce(F.nullif(text_key(F.col("via")), F.lit("")), F.lit("direct")).alias("via"))
+    return keyed.groupBy(*own, "company_key", "role_key").agg(F.countDistinct("via").alias("channels")).where("channels > 1")
 
 
 def merge_clusters(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each cluster: that of the best score (of equals, the least number), with the most advanced status."""
+    """One row for each cluster: that of the best score (of equals, the least number), with the most advanced status.
+
+    Where df has them, report (of the best row) and notes (the distinct ones in order of number) come along.
+    """
+    keys = [*(k for k in owner_of(df) if k not in keys), *keys]
     rank = F.array_position(F.array(*map(F.lit, STATUS_RANK)), F.col("status"))
-    best = F.max_by(F.struct("num", "date", "score"), F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("num")))
-    grouped = df.groupBy(*keys).agg(best.alias("keep"), F.max(F.struct(rank, "status")).alias("top"), F.count("*").alias("n"))
-    return grouped.select(*keys, F.col("keep.num").alias("num"), F.col("keep.score").alias("score"), F.col("top.status").alias("status"), "n")
+    carried = [c for c in ("report",) if c in df.columns]
+    best = F.max_by(F.struct("num", "date", "score", *carried), F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("num")))
+    noted = F.array_sort(F.collect_list(F.when(F.trim("notes") != "", F.struct("num", "notes")))) if "notes" in df.columns else None
+    extra = [] if noted is None else [F.array_join(F.array_distinct(F.transform(noted, lambda x: F.trim(x["notes"]))), "; ").alias("notes")]
+    grouped = df.groupBy(*keys).agg(best.alias("keep"), F.max(F.struct(rank, "status")).alias("top"), F.count("*").alias("n"), *extra)
+    more = [F.col(f"keep.{c}") for c in carried] + (["notes"] if extra else [])
+    return grouped.select(*keys, F.col("keep.num").alias("num"), F.col("keep.score").alias("score"), F.col("top.status").alias("status"), "n", *more)
 
 
 def status_events(log: DataFrame) -> DataFrame:
     """A row of (key, at, tie, status) where the status of a key first appears or changes, with the one before."""
-    w = W.partitionBy("key").orderBy("at", "tie")
+    own = owner_of(log)
+    w = W.partitionBy(*own, "key").orderBy("at", "tie")
     seen = log.withColumn("old", F.lag("status").over(w)).withColumn("first", F.row_number().over(w) == 1)
-    return seen.where("first OR NOT old <=> status").select("key", "at", "tie", "old", F.col("status").alias("new"))
+    return seen.where("first OR NOT old <=> status").select(*own, "key", "at", "tie", "old", F.col("status").alias("new"))
 
 
 def reassign_ids(df: DataFrame, order: list[str]) -> DataFrame:
-    """Missing and repeated numbers are given new ones after the greatest, in row order; the first use keeps its own."""
-    w = W.partitionBy("num").orderBy(*order)
-    marked = df.withColumn("_bad", F.col("num").isNull() | (F.row_number().over(w) > 1))
-    top = F.broadcast(df.agg(F.coalesce(F.max("num"), F.lit(0)).alias("_top")))
-    # the bad rows of a tracker are few; they alone are put in one order
-    fresh = marked.where("_bad").withColumn("_n", F.row_number().over(W.orderBy(*order))).crossJoin(top).withColumn("num", F.col("_top") + F.col("_n"))
-    return marked.where("NOT _bad").drop("_bad").unionByName(fresh.drop("_bad", "_top", "_n"))
+    """Missing and repeated numbers of an owner are given new ones after their greatest, in row order (which must be
+    total); the first use keeps its own."""
+    own = owner_of(df)
+    first = df.where("num IS NOT NULL").groupBy(*own, "num").agg(F.min(F.struct(*order)).alias("_first"))
+    marked = df.join(first, [*own, "num"], "left").withColumn("_bad", ~F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False))).drop("_first")
+    top = df.groupBy(*own).agg(F.coalesce(F.max("num"), F.lit(0)).alias("_top"))
+    fresh = numbered(marked.where("_bad").drop("_bad"), own, order, "_n")
+    fresh = fresh.join(top, own) if own else fresh.crossJoin(F.broadcast(top))  # without owners top is one row
+    return marked.where("NOT _bad").select(*df.columns).unionByName(fresh.withColumn("num", F.col("_top") + F.col("_n")).select(*df.columns))
 
 
 def audit(df: DataFrame) -> DataFrame:
-    """Q1: integrity findings as (check, severity, key)."""
-    finding = lambda rows, check, severity, key: rows.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), key.cast("string").alias("key"))
+    """Q1: integrity findings as (check, severity, key), of each owner."""
+    own = owner_of(df)
+    finding = lambda rows, check, severity, key: rows.select(*own, F.lit(check).alias("check"), F.lit(severity).alias("severity"), key.cast("string").alias("key"))
     parts = [
         finding(df.where(status_name(F.col("status")).isNull()), "status", "error", F.col("num")),
         finding(df.where("score IS NULL OR score < 0 OR score > 5"), "score", "error", F.col("num")),

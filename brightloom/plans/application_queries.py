@@ -260,20 +260,51 @@ def w13(spark, d):
 
 # messages
 
-_KIND = """CASE WHEN contains(b, 'ough') OR contains(b, 'éeau') THEN 'rejected' WHEN contains(b, 'thnd') THEN 'offer' WHEN contains(b, 'shing') OR contains(b, 'ciónque') THEN 'interview' WHEN contains(b, 'the') THEN 'responded' WHEN contains(b, 'en') THEN 'applied' END"""
-KINDS = (("rejected", ("ough", "éeau")), ("offer", ("thnd",)), ("interview", ("shing", "ciónque")), ("responded", ("the",)), ("applied", ("en",)))
+#: What the last line of a message says, and its kind; the first word of each line is the body's own.
+_SAID = (
+    ("your application was unsuccessful", "rejected"), ("we decided not to proceed with your application for this position", "rejected"), ("이번 전형 결과 탈락 안내드립니다", "rejected"),
+    ("we decided not to proceed", None), ("탈락률은 30%입니다", None), ("최종 합격을 축하드립니다", "offer"), ("Your Offer Letter is attached", "offer"), ("interview invitation", "interview"),
+    ("서류 전형 합격", "interview"), ("Your application is under review", "responded"), ("서류 검토 중입니다", "responded"), ("Thank you for applying", "applied"), ("지원서가 정상적으로 접수되었습니다", "applied"),
+    ("해당 포지션에 지원하고자 합니다. 이력서를 첨부드립니다", "applied"), ("good day", None), ("", None),
+)
+_KIND = "CASE (thread_id * 7 + \"at\") % 16 " + " ".join(f"WHEN {i} THEN {repr(k) if k else 'NULL'}" for i, (_, k) in enumerate(_SAID)) + " END"
 
 
-@query("x27_message_kind", f"{with_views('messages')} SELECT thread_id, \"at\", {_KIND} AS kind FROM (SELECT *, lower(coalesce(body, '')) AS b FROM messages)")
+def _told(spark, d):
+    said = F.element_at(F.array(*[F.lit(t) for t, _ in _SAID]), ((F.col("thread_id") * 7 + F.col("at")) % 16 + 1).cast("int"))
+    return messages(spark, d).withColumn("body", F.concat(F.lit("Dear all,\n"), said))
+
+
+@query("x27_message_kind", f"{with_views('messages')} SELECT thread_id, \"at\", {_KIND} AS kind FROM messages")
 def x27(spark, d):
-    return messages(spark, d).select("thread_id", "at", M.message_kind(F.col("body"), KINDS, ()).alias("kind"))
+    return _told(spark, d).select("thread_id", "at", M.message_kind(F.col("body")).alias("kind"))
+
 
+_NAMES = (
+    ("'[Acme Careers] 안내'", "'[' || c || '] ' || r || ' 지원이 정상적으로 완료되었습니다'", True, True), ("'Fwd: [지원 안내] ' || c || ' | ' || r || ' (신입)'", "''", True, True),
+    ("'지원하신 ' || c || ' ' || r || '의 서류 결과'", "''", True, True), ("'[원티드] 안녕하세요! ' || c || '의 ' || r || '에 지원이 완료되었습니다'", "''", True, True),
+    ("'[' || c || ' 채용] 안내'", "c || '의 ' || r || ' 인터뷰 일정'", True, True), ("'리멤버'", "'기업명 ' || c || ' 지원한 공고 ' || r || ' - 서류'", True, True),
+    ("'Re: Thank you for applying to ' || c || ' - x'", "'good day'", True, False), ("'hello'", "'your application for the ' || r || ' position'", False, True),
+    ("'[리멤버] 알림'", "'채용 포지션: ' || c || ' - ' || r", True, True), ("'hello'", "'nothing'", False, False),
+)
+_ROWS = f"(SELECT c_custkey, replace(c_name, '#', '') AS c, lower(c_mktsegment) AS r, c_custkey % {len(_NAMES)} AS i FROM customer)"
 
-@query("x28_subject_names", "SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN NULL ELSE lower(c_name) END AS company, CASE c_custkey % 4 WHEN 3 THEN NULL ELSE lower(c_mktsegment) END AS role FROM customer")
+
+@query("x28_subject_names", f"SELECT c_custkey, CASE WHEN i IN ({', '.join(str(i) for i, n in enumerate(_NAMES) if n[2])}) THEN c END AS company, CASE WHEN i IN ({', '.join(str(i) for i, n in enumerate(_NAMES) if n[3])}) THEN r END AS role FROM {_ROWS}")
 def x28(spark, d):
-    s = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat('Your application to ', c_name, ' for ', c_mktsegment) WHEN 1 THEN concat(c_mktsegment, ' at ', c_name, ': application received') WHEN 2 THEN concat('[', c_name, '] ', c_mktsegment) ELSE 'hello' END")
-    company, role = M.subject_names(s)
-    return table(spark, d, "customer").select("c_custkey", company.alias("company"), role.alias("role"))
+    rows = table(spark, d, "customer").selectExpr("c_custkey", "replace(c_name, '#', '') AS c", "lower(c_mktsegment) AS r", f"c_custkey % {len(_NAMES)} AS i")
+    pick = lambda k: F.expr("CASE i " + " ".join(f"WHEN {i} THEN {n[k]}" for i, n in enumerate(_NAMES)) + " END")
+    company, role = M.subject_names(pick(0), pick(1))
+    return rows.select("c_custkey", company.alias("company"), role.alias("role"))
+
+
+@query("s17_explode_mail", f"{with_views('messages')} SELECT thread_id, \"at\", sha256(trim(CASE WHEN \"at\" % 2 = 0 THEN body ELSE 'Seen & done' END)) AS body_sha256 FROM messages WHERE thread_id % 5 > 0")
+def s17_parts(spark, d):
+    part = lambda mime, text: F.struct(F.lit(mime).alias("mime"), text.alias("text"))
+    html = part("text/html", F.lit("<p>Seen &amp; <b>done</b></p>"))
+    parts = F.when(F.col("at") % 2 == 0, F.array(html, part("text/plain", F.col("body")))).otherwise(F.array(part("text/plain", F.lit("  ")), html))
+    m = messages(spark, d).select("thread_id", "at", F.when(F.col("thread_id") % 5 == 0, F.array(F.lit("INBOX"), F.lit("SPAM"))).alias("labels"), parts.alias("parts"))
+    return M.explode_mail(m).select("thread_id", "at", F.sha2("body", 256).alias("body_sha256"))
 
 
 @query("s17_clean_body", f"{with_views('messages')} SELECT thread_id, \"at\", sha256(trim(body)) AS body_sha256 FROM messages")
@@ -282,9 +313,21 @@ def s17(spark, d):
     return m.select("thread_id", "at", F.sha2(M.clean_body(F.col("body")), 256).alias("body_sha256"))
 
 
-@query("w7_thread_events")
+_NEXT = "f.kind IS NULL OR (m.kind <> f.kind AND CASE WHEN f.kind IN ('rejected', 'discarded') THEN false WHEN m.kind = 'rejected' THEN true ELSE list_position(o, m.kind) >= list_position(o, f.kind) END)"
+
+
+@query(
+    "w7_thread_events",
+    f"""{with_views('messages').replace('WITH', 'WITH RECURSIVE')}, m AS (
+  SELECT thread_id, "at", kind, row_number() OVER (PARTITION BY thread_id ORDER BY "at", kind) AS i, {list(T.STATUS_RANK)!r} AS o FROM (SELECT thread_id, "at", {_KIND} AS kind FROM messages) WHERE kind IS NOT NULL),
+f AS (
+  SELECT thread_id, i, "at", kind, true AS new FROM m WHERE i = 1
+  UNION ALL SELECT m.thread_id, m.i, m."at", CASE WHEN {_NEXT} THEN m.kind ELSE f.kind END, coalesce({_NEXT}, false) FROM f JOIN m ON m.thread_id = f.thread_id AND m.i = f.i + 1)
+SELECT thread_id, "at", kind, row_number() OVER (PARTITION BY thread_id ORDER BY i DESC) = 1 AS apply FROM f WHERE new""",
+)
 def w7(spark, d):
-    return M.thread_events(messages(spark, d), M.message_kind(F.col("body"), KINDS, ()))
+    """W7 and W11."""
+    return M.thread_events(_told(spark, d), M.message_kind(F.col("body")))
 
 
 @query("j15_paired_receipts", f"{with_views('changes')} SELECT a.event_id AS a_id, b.event_id AS b_id FROM changes a JOIN changes b ON a.key = b.key AND a.kind = b.kind AND epoch_us(b.event_at) - epoch_us(a.event_at) BETWEEN 0 AND 3600000000 AND (b.event_at > a.event_at OR b.event_id > a.event_id)")
@@ -359,32 +402,41 @@ def x26(spark, d):
     return table(spark, d, "events").select("event_id", Q.error_class(code, err).alias("class"))
 
 
-_OUT = """CASE WHEN page_id % 10 = 0 THEN 'expired' WHEN page_id % 10 = 1 THEN 'server_error' WHEN page_id % 10 = 2 THEN 'blocked' WHEN page_id % 10 = 3 THEN 'redirected' WHEN contains(lower(html), 'apply now') THEN 'active' WHEN contains(lower(html), 'all jobs') THEN 'listing_page' WHEN length(html) < 300 THEN 'short_body' ELSE 'no_apply_control' END"""
+#: (status, what is added to the page, its final url, control, code) of pages by number.
+_PAGES = (
+    (410, "", "", "", "http_gone"), (502, "", "", "Apply", "server_error"), (403, "", "", "Apply", "access_blocked"), (200, "", "https://elsewhere.example.com/", "Apply", "redirected_off_posting"),
+    (503, " Just a moment...", "", "Apply", "bot_challenge"), (200, " This position at Acme has been filled.", "", "Apply", "expired_body"), (200, " Cette offre n’est plus disponible.", "", "Apply", "expired_body"),
+    (200, " once the application form has been filled out", "", "Aplikuj teraz", "apply_control_visible"), (200, " 12 jobs found", "", "", "listing_page"), (200, "", "?error=true", "Apply", "expired_url"),
+    (200, "-", "", "Contact", "insufficient_content"), (200, " once the application form has been filled, we call", "", "", "no_apply_control"), (200, "", "", "Jetzt bewerben", "apply_control_visible"),
+)
 
 
 def _fetched(spark, d):
-    p = table(spark, d, "pages")
-    code = F.expr("CASE page_id % 10 WHEN 0 THEN 410 WHEN 1 THEN 502 WHEN 2 THEN 403 ELSE 200 END")
-    final = F.when(F.col("page_id") % 10 == 3, "https://elsewhere.example.com/").otherwise(F.col("url"))
-    body = F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit(" APPLY NOW"))).otherwise(F.col("html"))
-    return p.select("page_id", F.regexp_extract("url", "example\\.([a-z]+)", 1).alias("source"), Q.liveness(code, F.col("url"), final, body).alias("outcome"))
+    i = f"page_id % {len(_PAGES)}"
+    pick = lambda k: F.expr(f"CASE {i} " + " ".join(f"WHEN {n} THEN {p[k] if k == 0 else chr(39) + p[k] + chr(39)}" for n, p in enumerate(_PAGES)) + " END")
+    url = F.concat("url", F.lit("/job/1234567"))
+    final = F.when(pick(2).startswith("http"), pick(2)).otherwise(F.concat(url, pick(2)))
+    body = F.when(pick(1) == "-", "Home Imprint").otherwise(F.concat(F.rpad("html", 400, "."), pick(1)))
+    code = Q.liveness(pick(0), url, final, body, F.array(pick(3)))
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "example\\.([a-z]+)", 1).alias("source"), code.alias("outcome"))
 
 
-_HTML = "(SELECT page_id, url, html || CASE WHEN page_id % 4 = 0 THEN ' APPLY NOW' ELSE '' END AS html FROM pages)"
-_ROUTE = "CASE WHEN o = 'active' THEN 'verified' WHEN o IN ('expired', 'redirected') THEN 'expired' WHEN o = 'no_apply_control' THEN 'dropped' WHEN o IN ('blocked', 'challenge') THEN 'invalid' ELSE 'uncertain' END"
+_OUT = f"CASE page_id % {len(_PAGES)} " + " ".join(f"WHEN {n} THEN '{p[4]}'" for n, p in enumerate(_PAGES)) + " END"
+_ROUTE = f"CASE WHEN o = 'apply_control_visible' THEN 'verified' WHEN o IN ({', '.join(repr(c) for c, r in Q.LIVENESS_RESULTS.items() if r == 'expired')}) THEN 'expired' WHEN o = 'no_apply_control' THEN 'dropped' WHEN o = 'blocked_url' THEN 'invalid' ELSE 'uncertain' END"
 
 
-@query("x23_liveness", f"SELECT page_id, {_OUT} AS outcome FROM {_HTML}")
+@query("x23_liveness", f"SELECT page_id, {_OUT} AS outcome FROM pages")
 def x23(spark, d):
     return _fetched(spark, d).select("page_id", "outcome")
 
 
-@query("q13_route_liveness", f"SELECT page_id, {_ROUTE} AS route FROM (SELECT page_id, {_OUT} AS o FROM {_HTML})")
+@query("q13_route_liveness", f"SELECT page_id, {_ROUTE} AS route FROM (SELECT page_id, CASE WHEN page_id % 17 = 3 THEN 'blocked_url' ELSE {_OUT} END AS o FROM pages)")
 def q13(spark, d):
-    return Q.route_liveness(_fetched(spark, d)).select("page_id", "route")
+    guarded = _fetched(spark, d).withColumn("outcome", F.when(F.col("page_id") % 17 == 3, "blocked_url").otherwise(F.col("outcome")))
+    return Q.route_liveness(guarded).select("page_id", "route")
 
 
-@query("a11_liveness_stats", f"SELECT source, count(*) AS checked, {', '.join(f'''count(*) FILTER (WHERE r = '{x}') AS {x}''' for x in ('verified', 'expired', 'dropped', 'invalid', 'uncertain'))} FROM (SELECT source, {_ROUTE} AS r FROM (SELECT regexp_extract(url, 'example\\.([a-z]+)', 1) AS source, {_OUT} AS o FROM {_HTML})) GROUP BY 1")
+@query("a11_liveness_stats", f"SELECT source, count(*) AS checked, {', '.join(f'''count(*) FILTER (WHERE r = '{x}') AS {x}''' for x in ('verified', 'expired', 'dropped', 'invalid', 'uncertain'))} FROM (SELECT source, {_ROUTE} AS r FROM (SELECT regexp_extract(url, 'example\\.([a-z]+)', 1) AS source, {_OUT} AS o FROM pages)) GROUP BY 1")
 def a11(spark, d):
     return Q.liveness_stats(Q.route_liveness(_fetched(spark, d)), "source")
 
@@ -422,6 +474,13 @@ def u2(spark, d):
     return Q.merge_batches(e.withColumn("newer", F.lit(False)), e.where("event_id % 5 < 2").withColumn("newer", F.lit(True)), "event_id", "ts", 500)
 
 
+@query("u5_reserve", "SELECT c_custkey AS candidate FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def u5(spark, d):
+    """The pool without what is verified."""
+    pool = table(spark, d, "customer").select(F.col("c_custkey").alias("candidate"))
+    return Q.remaining(pool, table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("candidate")), "candidate")
+
+
 @query("u4_remaining", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def u4(spark, d):
     return Q.remaining(table(spark, d, "orders"), table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey").select("o_orderkey")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.plans import application_queries, composite_queries, feed_queries, identity_queries, posting_queries
+from brightloom.plans import application_queries, composite_queries, feed_queries, identity_queries, landed_queries, posting_queries
 
-MODULES: list = [posting_queries, identity_queries, application_queries, feed_queries, composite_queries]
+MODULES: list = [posting_queries, identity_queries, application_queries, feed_queries, composite_queries, landed_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brightloom.functions.text import has_keyword
 from brightloom.operators import composite as C
 from brightloom.operators import filters as R
+from brightloom.operators import tracker as T
 from brightloom.operators.identity import history_gate, role_tokens
 from brightloom.plans import identity_queries as I
 from brightloom.plans import posting_queries as P
@@ -52,15 +53,41 @@ def j24(spark, d):
     return C.merge_additions(tracker(spark, d).withColumn("report", F.concat(F.lit("r"), "num")), a)
 
 
-@query("w12_cluster_duplicates")
+#: A tracker of two owners in which some titles, numbers and reports repeat; pos is its order.
+_ROWS = f"""{with_views('tracker')}, base AS (
+  SELECT num AS pos, CASE WHEN num % 2 = 0 THEN 'a' ELSE 'b' END AS owner_id, num // 3 AS num, company, role, status, score, CASE WHEN num % 6 < 2 THEN 'r' || (num % 40) END AS report, 'n' || (num % 3) AS notes FROM tracker),
+d AS (SELECT *, owner_id || regexp_replace(lower(company), '[^a-z0-9]+', '', 'g') AS g, lower(role) AS t, coalesce(status IN {T.ADVANCED!r}, false) AS flying FROM base),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pos) AS i FROM d),
+f(g, i, leads, pos, leader) AS (
+  SELECT g, 1, [{{'pos': pos, 'num': num, 't': t, 'flying': flying, 'report': report}}], pos, pos FROM o WHERE i = 1
+  UNION ALL
+  SELECT g, i, CASE WHEN hit IS NULL THEN leads || [{{'pos': pos, 'num': num, 't': t, 'flying': flying, 'report': report}}] ELSE leads END, pos, coalesce(hit, pos)
+  FROM (SELECT o.*, f.leads, list_filter(f.leads, lambda l: coalesce(l.report = o.report, false) OR (l.num = o.num AND l.t = o.t) OR (l.t = o.t AND NOT l.flying AND NOT o.flying))[1].pos AS hit
+        FROM f JOIN o ON o.g = f.g AND o.i = f.i + 1))""".replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _two_owners(spark, d):
+    t = tracker(spark, d)
+    return t.select(
+        F.col("num").alias("pos"), F.when(F.col("num") % 2 == 0, "a").otherwise("b").alias("owner_id"), F.expr("num div 3").alias("num"), "company", "role", "status", "score", "date",
+        F.when(F.col("num") % 6 < 2, F.concat(F.lit("r"), F.col("num") % 40)).alias("report"), F.concat(F.lit("n"), F.col("num") % 3).alias("notes"),
+    )
+
+
+@query("w12_cluster_duplicates", f"{_ROWS} SELECT owner_id, pos, leader FROM f JOIN d USING (pos)")
 def w12(spark, d):
-    t = tracker(spark, d).withColumn("report", F.when(F.col("num") % 6 == 0, F.concat(F.lit("r"), F.col("num") % 40)))
-    return C.cluster_duplicates(t)
+    return C.cluster_duplicates(_two_owners(spark, d)).select("owner_id", "pos", "leader")
 
 
-@query("q2_dedup_tracker")
+@query(
+    "q2_dedup_tracker",
+    f"""{_ROWS}, c AS (SELECT d.*, leader FROM f JOIN d USING (pos))
+SELECT owner_id, arg_max(num, (score, -num)) AS num, max(score) AS score, count(*) AS n,
+       {list(T.STATUS_RANK)!r}[max(list_position({list(T.STATUS_RANK)!r}, status))] AS status, array_length(list_distinct(list(notes))) AS n_notes FROM c GROUP BY owner_id, leader""",
+)
 def q2(spark, d):
-    return C.dedup_tracker(tracker(spark, d).withColumn("report", F.lit(None).cast("string")))
+    found = C.dedup_tracker(_two_owners(spark, d))
+    return found.select("owner_id", "num", "score", "n", "status", F.size(F.split("notes", "; ")).cast("long").alias("n_notes"))
 
 
 @query("j14_resolve_mail_events", f"""{with_views('tracker')}, ex AS (SELECT k, r, max(num) AS n, count(*) AS c FROM (SELECT num, {_KR} FROM tracker) GROUP BY 1, 2), li AS (SELECT user_id AS thread_id, max(event_id) AS n, count(DISTINCT event_id) AS c FROM events WHERE event_id % 400 = 0 GROUP BY 1),
@@ -218,3 +245,21 @@ def l9(spark, d):
     return C.defer_cooling(o, [F.desc("o_totalprice"), F.col("o_orderkey")], 100).select("o_orderkey")
 
 
+@query("a4_source_inventory", """WITH i AS (SELECT page_id % 3 AS o, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h, page_id % 2 = 0 AS p FROM pages),
+s AS (SELECT *, CASE WHEN h = 'example.org' OR ends_with(h, '.example.org') THEN 'org' ELSE array_to_string(string_split(h, '.')[-2:], '.') END AS source FROM i)
+SELECT 'o' || o AS owner_id, source, string_agg(DISTINCT h, ',' ORDER BY h) AS hosts, count(*) FILTER (WHERE p) AS pending, count(*) FILTER (WHERE NOT p) AS processed FROM s GROUP BY ALL""")
+def a4(spark, d):
+    items = table(spark, d, "pages").select(F.concat(F.lit("o"), F.col("page_id") % 3).alias("owner_id"), "url", F.when(F.col("page_id") % 2 == 0, "pending").otherwise("processed").alias("state"))
+    rules = spark.createDataFrame([("example.org", "org", 1)], "domain string, source string, pos int")
+    return C.source_inventory(items, rules).withColumn("hosts", F.array_join("hosts", ","))
+
+
+@query("w4_top_matches", f"""{with_views('tracker')}, t AS (SELECT 'o' || num % 2 AS owner_id, num, status, {_KR} FROM tracker), p AS (SELECT c_custkey AS posting_id, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS k FROM customer)
+SELECT owner_id, posting_id, num, row_number() OVER (PARTITION BY owner_id, posting_id ORDER BY t.r = 'high' DESC, num DESC)::INT AS rank FROM p JOIN t USING (k) QUALIFY rank <= 2""")
+def w4(spark, d):
+    """The best two rows of each owner for shared postings."""
+    from brightloom.operators.identity import tracker_matches
+
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("posting_id"), F.col("c_name").alias("company"), F.lit("High").alias("title"))
+    t = tracker(spark, d).withColumn("owner_id", F.concat(F.lit("o"), F.col("num") % 2))
+    return tracker_matches(p, t, 2).select("owner_id", "posting_id", "num", "rank")

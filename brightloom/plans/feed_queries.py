@@ -42,15 +42,15 @@ def s12(spark, d):
     return S.normalize_json_feed(raw).select("source", "id", "title", "url", "location", F.to_date("posted_at").alias("posted_on"))
 
 
-@query("s13_xml_feed", "SELECT s_name AS company, 'Role & ' || s_suppkey AS title, 'https://x.example.com/' || s_suppkey AS url FROM supplier")
+@query("s13_xml_feed", "SELECT s_name AS company, 'Role & ' || s_suppkey AS title, 'https://x.example.com/' || s_suppkey AS url, 'has inside and ' || s_suppkey AS description FROM supplier")
 def s13(spark, d):
     s = table(spark, d, "supplier")
     item = F.concat(
         F.lit("<item><title><![CDATA["), F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_name", F.lit(": Role & "), "s_suppkey", F.lit("]]></title>"))).otherwise(F.concat(F.lit("Role & "), "s_suppkey", F.lit("]]></title><company>"), "s_name", F.lit("</company>"))),
-        F.lit("<description>has </item> inside</description><link>https://x.example.com/"), "s_suppkey", F.lit("</link></item><item><title>no link</title></item>"),
+        F.lit("<description><![CDATA[<b>has</b> </item> inside]]> and "), "s_suppkey", F.lit("</description><link>https://x.example.com/"), "s_suppkey", F.lit("</link></item><item><title>no link</title></item>"),
     )
-    raw = s.select(F.lit("x").alias("source"), F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("payload"))
-    return S.normalize_xml_feed(raw).select("company", "title", "url")
+    raw = s.select(F.lit("x").alias("source"), F.concat(F.lit("<rss><channel><description>the feed</description>"), item, F.lit("</channel></rss>")).alias("payload"))
+    return S.normalize_xml_feed(raw).select("company", "title", "url", "description")
 
 
 @query(

@@ -53,7 +53,7 @@ def w2(spark, d):
 @query("w2_accept_two_keys")
 def w2b(spark, d):
     h = history(spark, d).select("pos", "url", F.concat_ws("::", "company", "title").alias("role")).groupBy("pos").agg(F.first("url").alias("url"), F.first("role").alias("role"))
-    return D.accept_in_order(h, "url", "role", "pos").select("pos", "accepted")
+    return D.accept_in_order(h, ["url", "role"], "pos").select("pos", "accepted")
 
 
 _ACTIVE = "(status = 'skipped_invalid_url' OR (starts_with(status, 'cooldown:') AND '2000-06-01' < regexp_extract(status, '[^:]*$')) OR (status <> 'skipped_invalid_url' AND NOT starts_with(status, 'cooldown:') AND DATE '2000-06-01' - first_seen < 400))"
@@ -125,7 +125,7 @@ def s19(spark, d):
 @query("s20_collect_offices", "SELECT l_orderkey AS posting, string_agg(DISTINCT n_name, ', ' ORDER BY n_name) AS location FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def s20(spark, d):
     l, s, n = (table(spark, d, t) for t in ("lineitem", "supplier", "nation"))
-    rows = l.join(F.broadcast(s.join(n, s["s_nationkey"] == n["n_nationkey"]).select("s_suppkey", "n_name")), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = l.join(s.join(n, s["s_nationkey"] == n["n_nationkey"]).select("s_suppkey", "n_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     return D.collect_offices(rows.select(F.col("l_orderkey").alias("posting"), F.col("n_name").alias("office")), "posting", "office")
 
 
@@ -185,23 +185,30 @@ def j13(spark, d):
     return I.unique_match(_candidates(spark, d), tracker(spark, d))
 
 
-_TOK = "list_distinct([x for x in regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+') if length(x) > 3])"
+_lists = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_TITLES = f"""t AS (
+  SELECT p_partkey AS id, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS k, p_name || ' ' || p_type AS title, regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+') AS w FROM part),
+r AS (
+  SELECT *, lower(trim(title)) AS txt, list_distinct(list_filter(w, lambda x: list_contains({_lists(I.SENIORITIES)}, x))) AS lv,
+         list_distinct(list_filter(w, lambda x: (length(x) > 3 AND NOT list_contains({_lists(I.STOPWORDS + I.SENIORITIES)}, x)) OR list_contains({_lists(I.SPECIALTIES)}, x))) AS tok FROM t)"""
+_SHARED, _UNION = "list_intersect(a.tok, b.tok)", "list_distinct(a.tok || b.tok)"
+_telling = lambda l: f"len(list_filter({l}, lambda x: NOT list_contains({_lists(I.BASELINE)}, x))) > 0"
+_ALIKE = f"""((a.txt <> '' AND a.txt = b.txt) OR (
+  CASE WHEN len(a.lv) > 0 AND len(b.lv) > 0 THEN len(list_intersect(a.lv, b.lv)) > 0 ELSE len(list_intersect(a.lv || b.lv, {_lists(I.SUB_BASELINE)})) = 0 END
+  AND len({_SHARED}) >= 2 AND {_telling(_SHARED)} AND len({_SHARED}) * 1.0 / len({_UNION}) >= 0.6
+  AND NOT (len(a.tok) <> len(b.tok) AND len({_SHARED}) = least(len(a.tok), len(b.tok)) AND {_telling(f"list_filter({_UNION}, lambda y: NOT list_contains({_SHARED}, y))")})))"""
 
 
-@query(
-    "j10_fuzzy_roles",
-    f"""WITH t AS (SELECT p_brand AS k, p_name || ' ' || p_type AS title, list_sort({_TOK}) AS tok, p_partkey AS id, p_size FROM part),
-a AS (SELECT * FROM t WHERE p_size % 10 = 0), b AS (SELECT * FROM t WHERE p_size % 10 = 1)
-SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b USING (k) WHERE a.tok = b.tok OR (len(list_intersect(a.tok, b.tok)) >= 2 AND len(list_intersect(a.tok, b.tok)) * 1.0 / len(list_distinct(a.tok || b.tok)) >= 0.6)""",
-)
+@query("j10_fuzzy_roles", f"WITH {_TITLES} SELECT a.id AS a_id, b.id AS b_id FROM r a JOIN r b ON a.k = b.k AND a.id < b.id AND {_ALIKE}")
 def j10(spark, d):
+    """All pairs of parts of a brand with alike titles."""
     t = titles(spark, d).withColumnRenamed("posting_id", "id")
-    return I.fuzzy_role_pairs(t.where("p_size % 10 = 0"), t.where("p_size % 10 = 1"))
+    return I.fuzzy_role_pairs(t, t).where("a_id < b_id")
 
 
-@query("j10_fuzzy_role_classes")
+@query("j10_fuzzy_role_classes", f"WITH {_TITLES}, c AS (SELECT DISTINCT k, title, txt, lv, tok FROM r) SELECT a.k, a.title AS at, b.title AS bt FROM c a JOIN c b ON a.k = b.k AND a.title < b.title AND {_ALIKE}")
 def j10_classes(spark, d):
-    """All titles of each company; tests/test_roles.py compares it with brute force, as DuckDB would compare all pairs."""
+    """All titles of each company, once each."""
     return I.fuzzy_role_classes(titles(spark, d))
 
 
@@ -232,8 +239,10 @@ def x30(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.array_join(I.slug_candidates(F.concat(F.lit("Acme, "), "s_name")), "|").alias("slugs"))
 
 
-_FP = r"""w AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') if x <> ''] AS w FROM documents),
-sh AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END AS s FROM w),
+_FP = r"""w AS (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '<[^>]*>|&[a-z#0-9]+;', ' ', 'g'), 'https?://\S+', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents),
+sp AS (SELECT doc_id, string_split(t, ' ') AS w FROM w WHERE length(t) >= 200),
+sh AS (SELECT doc_id, [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] AS s FROM sp WHERE len(w) >= 3),
 hs AS (SELECT doc_id, ('0x' || substr(sha1(unnest(s)), 1, 16))::UBIGINT AS h FROM sh),
 fp AS (SELECT doc_id, {bits} AS fp FROM hs GROUP BY 1)""".replace("{bits}", " | ".join(f"(CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END)" for b in range(64)))
 

@@ -282,20 +282,29 @@ def a8(spark, d):
     return postings(spark, d).select(F.explode(t["flags"]).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
+def _wide(text):
+    """Full-width forms of ASCII letters."""
+    plain = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(text, plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
+
+
 @query("x1_text_key", r"SELECT p_partkey AS id, regexp_replace(lower(p_name || ' / ' || p_type), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS key FROM part")
 def x1(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.text_key(F.concat_ws(" / ", "p_name", "p_type")).alias("key"))
+    name = F.when(F.col("p_partkey") % 3 == 0, _wide(F.col("p_name"))).otherwise(F.col("p_name"))  # full-width signs, which NFKC folds
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.text_key(F.concat_ws(" / ", name, "p_type")).alias("key"))
 
 
 @query("x2_company_key", "SELECT c_custkey AS id, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS key FROM customer")
 def x2(spark, d):
-    suffix = F.element_at(F.array(*map(F.lit, (" Co., Ltd.", ", Inc.", " LLC", " Corp. Inc", "", "(주)"))), (F.col("c_custkey") % 6 + 1).cast("int"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), X.company_key(F.concat("c_name", suffix)).alias("key"))
+    suffix = F.element_at(F.array(*map(F.lit, (" Co., Ltd.", ", Inc.", " LLC", " Corp. Inc", "", "㈜"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), X.company_key(F.concat(F.when(F.col("c_custkey") % 4 == 0, _wide(F.col("c_name"))).otherwise(F.col("c_name")), suffix)).alias("key"))
 
 
-@query("x3_role_key", "SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM part")
+@query("x3_role_key", "SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') || CASE p_partkey % 5 WHEN 1 THEN 'backend' WHEN 2 THEN 'remotefrontend' WHEN 4 THEN '東京' ELSE '' END AS key FROM part")
 def x3(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.role_key(F.concat("p_name", F.lit(" (Remote) [Berlin]"))).alias("key"))
+    tags = (" (Remote) [Berlin]", " (Backend) (Hybrid Paris)", " (Remote) [Frontend]", "（Remote）", "（東京） (London, UK or EMEA)")
+    tag = F.element_at(F.array(*map(F.lit, tags)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.role_key(F.concat("p_name", tag)).alias("key"))
 
 
 @query(
@@ -372,7 +381,8 @@ def x15(spark, d):
 
 @query(
     "x20_redact",
-    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '01[016789][- .]?[0-9]{3,4}[- .]?[0-9]{4}', '[phone]', 'g')) AS text_sha256 FROM documents""",
+    r"""SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g') || ' call [phone], not 9990101234567899') AS text_sha256 FROM documents""",
 )
 def x20(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("text_sha256"))
+    text = F.concat("text", F.lit(" call 010-1234-5678, not 9990101234567899"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(X.redact(text), 256).alias("text_sha256"))

@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with the url of a page. The page number is the document's modulo the (one-row) page count."""
+    """A fixture: documents with the url of a page, and the first 60 signs of the text as title. The page number is the
+    document's modulo the (one-row) page count."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select("page_id", "url")
     placed = docs.crossJoin(F.broadcast(pages.agg(F.count("*").alias("n_pages")))).withColumn("page_id", F.expr("doc_id % n_pages"))
     kind = F.col("doc_id") % 3
@@ -63,7 +64,7 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An append log in which urls come back. pos is the place in the log."""
     items, supp, part = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
-    joined = items.join(F.broadcast(supp), items["l_suppkey"] == supp["s_suppkey"], "left").join(part, items["l_partkey"] == part["p_partkey"], "left")
+    joined = items.join(supp, items["l_suppkey"] == supp["s_suppkey"], "left").join(part, items["l_partkey"] == part["p_partkey"], "left")
     status = (
         F.when(F.col("l_returnflag") == "R", "skipped_expired")
         .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"), F.concat(F.lit("cooldown:"), "s_name", F.lit(":"), F.date_format(F.date_add("l_shipdate", 180), "yyyy-MM-dd")))

@@ -50,21 +50,36 @@ def normalize_json_feed(raw: DataFrame, sources: Mapping[str, tuple[str, Mapping
 
 def _tag(xml: Column, name: str) -> Column:
     raw = F.regexp_extract(xml, rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)
-    bare = F.regexp_replace(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
+    bare = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(sign))
     return F.nullif(F.trim(bare), F.lit(""))
 
 
-def normalize_xml_feed(raw: DataFrame, row_tag: str = "item") -> DataFrame:
-    """Postings of landed feeds (source, payload). Descriptions, which may hold anything, are cut out before rows
-    are split; a title such as "Company: Role" is split where the feed has no company of its own."""
-    safe = F.regexp_replace("payload", r"(?s)<description(?:\s[^>]*)?>.*?</description>", "")
-    items = raw.select("source", F.explode_outer(F.regexp_extract_all(safe, F.lit(rf"(?s)<{row_tag}(?:\s[^>]*)?>(.*?)</{row_tag}>"), 1)).alias("item")).where("item IS NOT NULL")
+def normalize_xml_feed(raw: DataFrame, row_tag: str = "item", tags: Mapping[str, str] | None = None) -> DataFrame:
+    """Postings of landed feeds (source, payload), with their descriptions as text.
+
+    A description may hold anything, a closing row tag too. So text under CDATA and descriptions is set aside before
+    rows are split, and put back into its own row: rows and the pieces set aside come in the same order. A title such as
+    "Company: Role" is split where the feed has no company of its own. tags: names of a feed's tags by field.
+    """
+    named = {"title": "title", "url": "link", "company": "company", "location": "region", "posted_text": "pubDate", "description": "description"} | dict(tags or {})
+    hidden = rf"(?s)<{named['description']}(?:\s[^>]*)?>.*?</{named['description']}>"
+    texts = F.regexp_extract_all("payload", F.lit(hidden), 0)
+    safe = F.regexp_replace("payload", hidden, "\u0001")
+    split = raw.select("source", texts.alias("texts"), F.regexp_extract_all(safe, F.lit(rf"(?s)(.*?<{row_tag}(?:\s[^>]*)?>.*?</{row_tag}>)"), 1).alias("rows"))
+    # marks of a chunk up to and with its row; those before the row belong to the feed itself
+    marks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\u0001"), F.lit("")))
+    start = F.aggregate(F.slice("rows", F.lit(1), F.col("i")), F.lit(0), lambda n, x: n + marks(x))
+    row = F.regexp_extract("chunk", rf"(?s)<{row_tag}(?:\s[^>]*)?>(.*)</{row_tag}>$", 1)
+    each = split.select("source", "texts", "rows", F.posexplode_outer("rows").alias("i", "chunk")).where("chunk IS NOT NULL")
+    own = F.when(marks(row) > 0, F.get("texts", (start + marks(F.col("chunk")) - marks(row)).cast("int"))).otherwise("")
+    items = each.select("source", row.alias("item"), own.alias("said"))
     x = F.col("item")
-    title, company = _tag(x, "title"), F.coalesce(_tag(x, "company"), F.nullif(F.regexp_extract(_tag(x, "title"), r"^([^:]+):\s*\S", 1), F.lit("")))
-    role = F.when(_tag(x, "company").isNull(), F.regexp_replace(title, r"^[^:]+:\s*(?=\S)", "")).otherwise(title)
-    return _posting(items.select("source", role.alias("title"), _tag(x, "link").alias("url"), company.alias("company"), _tag(x, "region").alias("location"), _tag(x, "pubDate").alias("posted_text")))
+    title, company = _tag(x, named["title"]), F.coalesce(_tag(x, named["company"]), F.nullif(F.regexp_extract(_tag(x, named["title"]), r"^([^:]+):\s*\S", 1), F.lit("")))
+    role = F.when(_tag(x, named["company"]).isNull(), F.regexp_replace(title, r"^[^:]+:\s*(?=\S)", "")).otherwise(title)
+    fields = {"title": role, "url": _tag(x, named["url"]), "company": company, "location": _tag(x, named["location"]), "posted_text": _tag(x, named["posted_text"]), "description": html_to_text(_tag(F.col("said"), named["description"]))}
+    return _posting(items.select("source", *[c.alias(f) for f, c in fields.items()]))
 
 
 def normalize_html_pages(pages: DataFrame, page_url: str = "url", html: str = "html", cards: Sequence[str] = (r"(?s)<li[^>]*>(.*?)</li>", r"(?s)<article[^>]*>(.*?)</article>")) -> DataFrame:

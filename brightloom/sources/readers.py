@@ -1,6 +1,6 @@
 """Readers of logs, checklists, trackers and state documents. All take folders of many files as well as one.
 
-Every reader of text carries `owner`, the name of the file's folder, so that many people's files form one table.
+Every reader of text carries `owner_id`, the name of the file's folder, so that many people's files form one table.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def _blank(c: str | Column) -> Column:
 
 def read_scan_history(spark: SparkSession, path: str) -> DataFrame:
     """History of 7 or 12 columns, with or without a header; rows without a url go, an empty status is added."""
-    raw = spark.read.csv(path, sep="\t", schema=HISTORY, mode="PERMISSIVE", quote="").withColumn("owner", _owner())
+    raw = spark.read.csv(path, sep="\t", schema=HISTORY, mode="PERMISSIVE", quote="").withColumn("owner_id", _owner())
     rows = raw.where(~_blank("url") & (F.lower(F.trim("url")) != "url"))
     day = lambda c: F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd")).cast("date")
     return rows.withColumns(
@@ -51,13 +51,13 @@ def read_history_metadata(spark: SparkSession, path: str, names: dict[str, Seque
     raw = spark.read.csv(path, sep="\t", header=True, quote="")
     have = {c.lower(): c for c in raw.columns}
     pick = lambda of: F.coalesce(*[F.nullif(F.trim(have[n]), F.lit("")) for n in of if n in have], F.lit(None).cast("string"))
-    return raw.select(*[pick(of).alias(c) for c, of in names.items()]).where("url IS NOT NULL")
+    return raw.select(_owner().alias("owner_id"), *[pick(of).alias(c) for c, of in names.items()]).where("url IS NOT NULL")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(owner, file, pos, line) of every line; a file is one row until it is split, so files must fit a task."""
-    whole = spark.read.text(path, wholetext=True).select(_owner().alias("owner"), F.input_file_name().alias("file"), "value")
-    return whole.select("owner", "file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    """(owner_id, file, pos, line) of every line; a file is one row until it is split, so files must fit a task."""
+    whole = spark.read.text(path, wholetext=True).select(_owner().alias("owner_id"), F.input_file_name().alias("file"), "value")
+    return whole.select("owner_id", "file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
 
 
 def _cells(line: Column) -> Column:
@@ -77,10 +77,10 @@ def read_tracker(spark: SparkSession, path: str) -> DataFrame:
     headers = low.withColumn("is_header", is_header)
     found = headers.where("is_header").groupBy("file").agg(F.min_by(places, "pos").alias("map"))
     fixed = F.struct(*[F.lit(FIXED_LAYOUT.index(c) + 1 if c in FIXED_LAYOUT else 0).alias(c) for c in TRACKER_NAMES])
-    body = headers.where("NOT is_header").join(F.broadcast(found), "file", "left").withColumn("map", F.coalesce("map", fixed))
+    body = headers.where("NOT is_header").join(found, "file", "left").withColumn("map", F.coalesce("map", fixed))
     cell = lambda c: F.nullif(F.when(F.col(f"map.{c}") > 0, F.get("cells", F.col(f"map.{c}") - 1)), F.lit(""))
     wide = F.size("cells") >= F.greatest("map.num", "map.company", "map.role", "map.score", "map.status")
-    named = body.where(wide).select("owner", "file", "pos", *[cell(c).alias(c) for c in TRACKER_NAMES])
+    named = body.where(wide).select("owner_id", "file", "pos", *[cell(c).alias(c) for c in TRACKER_NAMES])
     return named.withColumn("num", F.col("num").try_cast("long")).where("num IS NOT NULL").withColumn("date", F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).cast("date"))
 
 
@@ -119,7 +119,7 @@ def read_pipeline(spark: SparkSession, path: str) -> DataFrame:
     cells = items.withColumn("cells", _cells(F.regexp_replace("line", r"^\s*- \[[ xX]\]\s*", ""))).withColumn("state", F.when(F.col("mark") == " ", "pending").otherwise("processed"))
     label = lambda n: F.nullif(F.regexp_extract("line", rf"{n}:\s*([^|]+?)\s*(?:\||$)", 1), F.lit(""))
     kept = cells.where("state = 'processed' OR size(cells) >= 4")
-    return kept.select("owner", "file", "pos", "state", "section", "bucket", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(("url", "company", "title", "location"))], label("posted").alias("posted"), label("trust").alias("trust"), "line")
+    return kept.select("owner_id", "file", "pos", "state", "section", "bucket", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(("url", "company", "title", "location"))], label("posted").alias("posted"), label("trust").alias("trust"), "line")
 
 
 def active_processed(df: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def read_additions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """(rows, rejects) of one-row files; which of cells 5 and 6 is the score is told by their content."""
     from brightloom.operators.tracker import score_value, status_name
 
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\t| ?\| ?").alias("c"))
+    whole = spark.read.text(path, wholetext=True).select(_owner().alias("owner_id"), F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\s+$", ""), r"\t| ?\| ?").alias("c"))
     cell = lambda i: F.trim(F.coalesce(F.get("c", F.lit(i)), F.lit("")))
     is_score = lambda i: score_value(cell(i)).isNotNull()
     is_status = lambda i: status_name(cell(i)).isNotNull()
@@ -146,17 +146,17 @@ def read_additions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     rest = F.filter(extras, lambda x: ~F.trim(x).startswith("via=") & (F.trim(x) != ""))
     judged = whole.withColumns({"_score": order, "_via": via, "_rest": rest}).withColumn("reason", F.when(F.size("c") < 8, "too narrow").when(F.col("_score").isNull(), "score or status undecidable").when(F.size("_rest") > 1, "more than one location"))
     rows = judged.where("reason IS NULL").select(
-        "file", cell(0).try_cast("long").alias("num"), cell(1).alias("date"), cell(2).alias("company"), cell(3).alias("role"),
+        "owner_id", "file", cell(0).try_cast("long").alias("num"), cell(1).alias("date"), cell(2).alias("company"), cell(3).alias("role"),
         F.when(F.col("_score") == 4, score_value(cell(4))).otherwise(score_value(cell(5))).alias("score"), F.when(F.col("_score") == 4, status_name(cell(5))).otherwise(status_name(cell(4))).alias("status"),
         cell(6).alias("pdf"), cell(7).alias("report"), F.substring(F.get("_via", F.lit(0)), 5, 200).alias("via"), F.get("_rest", F.lit(0)).alias("location"),
     )
-    return rows, judged.where("reason IS NOT NULL").select("file", "reason")
+    return rows, judged.where("reason IS NOT NULL").select("owner_id", "file", "reason")
 
 
 def read_state(spark: SparkSession, path: str, schema: str, root: str = "items") -> DataFrame:
     """Entries of JSON documents {root: {key: entry}} as rows (key, fields of schema); entries that are not objects go."""
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", f"{root} map<string,struct<{schema}>>").alias("d"))
-    return docs.select(F.explode(f"d.{root}").alias("key", "e")).where("e IS NOT NULL").select("key", "e.*")
+    docs = spark.read.text(path, wholetext=True).select(_owner().alias("owner_id"), F.from_json("value", f"{root} map<string,struct<{schema}>>").alias("d"))
+    return docs.select("owner_id", F.explode(f"d.{root}").alias("key", "e")).where("e IS NOT NULL").select("owner_id", "key", "e.*")
 
 
 def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
@@ -164,19 +164,19 @@ def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
     from brightloom.functions.text import company_key
 
     rows = _lines(spark, path).where(F.trim("line").startswith("|") & ~F.col("line").rlike(r"^[\s|:\-]+$")).withColumn("c", _cells(F.col("line")))
-    named = rows.select("owner", "file", "pos", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(("company", "since", "scope", "reason"))]).withColumn("key", company_key(F.col("company")))
+    named = rows.select("owner_id", "file", "pos", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(("company", "since", "scope", "reason"))]).withColumn("key", company_key(F.col("company")))
     kept = named.where("key NOT IN ('', 'company', 'empresa')")
-    return kept.groupBy("owner", "key").agg(F.min_by(F.struct("company", "since", "scope", "reason"), F.struct("file", "pos")).alias("r")).select("owner", "key", "r.*")
+    return kept.groupBy("owner_id", "key").agg(F.min_by(F.struct("company", "since", "scope", "reason"), F.struct("file", "pos")).alias("r")).select("owner_id", "key", "r.*")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The last row of each report number (without leading zeros) of tab-separated manifests with # comments."""
     rows = _lines(spark, path).where(~_blank("line") & ~F.trim("line").startswith("#")).withColumn("c", F.split("line", "\t"))
-    named = rows.select("file", "pos", F.regexp_replace(F.get("c", F.lit(0)), r"^0+(?=\d)", "").alias("report"), *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(("pdf", "html", "format", "date"), 1)])
-    return named.groupBy("report").agg(F.max_by(F.struct("pdf", "html", "format", "date"), F.struct("file", "pos")).alias("r")).select("report", "r.*")
+    named = rows.select("owner_id", "file", "pos", F.regexp_replace(F.get("c", F.lit(0)), r"^0+(?=\d)", "").alias("report"), *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(("pdf", "html", "format", "date"), 1)])
+    return named.groupBy("owner_id", "report").agg(F.max_by(F.struct("pdf", "html", "format", "date"), F.struct("file", "pos")).alias("r")).select("owner_id", "report", "r.*")
 
 
 def read_run_history(spark: SparkSession, path: str) -> DataFrame:
     """Complete runs with a duration of zero or more; lines that are no JSON go."""
-    raw = spark.read.schema("run_id string, attempt_id string, status string, duration_seconds double, resumed boolean, run_mode string").json(path, mode="DROPMALFORMED")
+    raw = spark.read.schema("run_id string, attempt_id string, status string, duration_seconds double, resumed boolean, run_mode string").json(path, mode="DROPMALFORMED").withColumn("owner_id", _owner())
     return raw.where("status = 'complete' AND duration_seconds >= 0 AND NOT isnan(duration_seconds)")

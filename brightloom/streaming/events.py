@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -36,6 +37,22 @@ def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
+def keyed_sink(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """A sink that adds the rows whose keys the table at path lacks: it may run again after a failure or a full rescan."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.limit(0).write.mode("ignore").parquet(path)
+        have = batch.sparkSession.read.schema(batch.schema).parquet(path).select(*keys)
+        batch.dropDuplicates(list(keys)).join(have, list(keys), "left_anti").write.mode("append").parquet(path)
+
+    return add
+
+
+def rescan(src: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "update") -> StreamingQuery:
+    """Read everything again under a fresh cursor beside the expired one. sink must know what it has, as keyed_sink does."""
+    return run_incremental(src, f"{checkpoint}-{uuid.uuid4().hex}", sink, mode)
+
+
 def apply_late_guard(batch: DataFrame, state: DataFrame) -> DataFrame:
     """T4: batch (key, event_at) with applied; events older than the key's decision (key, decided_at) are logged only."""
     decided = state.groupBy("key").agg(F.max("decided_at").alias("_d"))
@@ -44,12 +61,21 @@ def apply_late_guard(batch: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def stream_failure_streaks(src: DataFrame, threshold: int, healthy: Sequence[str] = ("reachable", "empty")) -> DataFrame:
-    """(company, streak, alert) whenever a company's rows (company, at, status) arrive; a healthy row resets it."""
+    """(company, streak, alert) whenever a company's rows (company, at, status) arrive; a healthy row resets it.
+
+    Rows of one batch may come in any order; a batch is taken to be later than the ones before. Of a batch, a task only
+    keeps the places of a company's failures after its last healthy row.
+    """
 
     def fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        for r in pd.concat(rows).sort_values("at").itertuples():
-            streak = 0 if r.status in healthy else streak + 1
+        streak, last, failed = state.get[0] if state.exists else 0, None, pd.Series(dtype="int64")
+        for part in rows:
+            good = part["status"].isin(list(healthy))
+            ok = part.loc[good, "at"].max() if good.any() else None
+            last = ok if last is None else last if ok is None else max(last, ok)
+            failed = pd.concat([failed, part.loc[~good, "at"]]) if len(failed) else part.loc[~good, "at"]
+            failed = failed if last is None else failed[failed > last]
+        streak = len(failed) + (streak if last is None else 0)
         state.update((streak,))
         yield pd.DataFrame({"company": [key[0]], "streak": [streak], "alert": [streak >= threshold]})
 
@@ -59,7 +85,11 @@ def stream_failure_streaks(src: DataFrame, threshold: int, healthy: Sequence[str
 
 def stream_threads(src: DataFrame, rank: Sequence[str], final: Sequence[str]) -> DataFrame:
     """(thread_id, status, n_messages, unavailable) whenever a thread's messages (thread_id, at, kind, removed)
-    arrive. Its status moves forward in rank only and never on from a final one; removed messages stay as evidence."""
+    arrive. Its status moves forward in rank only and never on from a final one; removed messages stay as evidence.
+
+    Rows are put in order of at within a batch; a batch is taken to be later than the ones before. A task holds what one
+    batch has of one thread: bound batches by the source's maxFilesPerTrigger.
+    """
     order = {k: i for i, k in enumerate(rank)}
 
     def fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

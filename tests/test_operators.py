@@ -21,8 +21,8 @@ def test_accept_in_order_equals_sequential(spark):
                 seen_a.add(a)
                 seen_b.add(b)
         df = spark.createDataFrame(rows, "i int, a string, b string")
-        assert {r["i"]: r["accepted"] for r in dedup.accept_in_order(df, "a", "b", "i").collect()} == want
-    assert dedup.accept_in_order(df.limit(0), "a", "b", "i").count() == 0
+        assert {r["i"]: r["accepted"] for r in dedup.accept_in_order(df, ["a", "b"], "i").collect()} == want
+    assert dedup.accept_in_order(df.limit(0), ["a", "b"], "i").count() == 0
 
 
 def test_missing_values_pass(spark):
@@ -115,17 +115,67 @@ def test_backfill_windows(spark):
 
 
 def test_leader_clusters_equal_a_plain_loop(spark):
-    from brightloom.operators.composite import cluster_duplicates
+    from brightloom.operators.composite import cluster_duplicates, dedup_tracker
 
     rng = random.Random(3)
     day = lambda: rng.choice([None, datetime.date(2024, 1, 1) + datetime.timedelta(days=rng.randrange(400))])
-    rows = [(i, rng.choice(["A Inc", "a", "B"]), rng.choice(["x", "y"]), day(), rng.choice([None, None, "r1", "r2"])) for i in range(120)]
+    rows = [
+        (rng.choice(["me", "you"]), i, rng.choice([i, i, 7, 8]), rng.choice(["A Inc", "a", "B", "?", "?"]), rng.choice(["X  y", "x Y", "z", None]), rng.choice(["evaluated", "applied", "skip", None, "offer"]),
+         rng.choice([None, None, "r1", "r2"]), day(), rng.choice(["", "agency"]), round(rng.random() * 5, 1), rng.choice(["", "n1", "n2"]))
+        for i in range(200)
+    ]
     leaders, want = {}, {}
-    for i, c, r, d, rep in rows:
-        own = leaders.setdefault((c[0].lower(), r), [])
-        want[i] = next((n for n, x, p in own if (rep and rep == p) or (d and x and abs((d - x).days) <= 90)), None)
-        if want[i] is None:
-            own.append((i, d, rep))
-            want[i] = i
-    df = spark.createDataFrame(rows, "num long, company string, role string, date date, report string")
-    assert {r["num"]: r["leader"] for r in cluster_duplicates(df).collect()} == want
+    for o, i, num, c, role, status, rep, d, via, *_ in rows:
+        own = leaders.setdefault((o, c == "?" and via, c[0].lower()), [])
+        title, flying = " ".join((role or "").lower().split()), status in ("applied", "offer")
+
+        def same(x):
+            match = (rep and rep == x[3]) or (num == x[1] and title == x[2]) or (title == x[2] and not flying and not x[4])  # noqa: B023
+            return match and (c != "?" or (d and x[5] and abs((d - x[5]).days) <= 90))  # noqa: B023
+
+        want[o, i] = next((x[0] for x in own if same(x)), None)
+        if want[o, i] is None:
+            own.append((i, num, title, rep, flying, d))
+            want[o, i] = i
+    df = spark.createDataFrame(rows, "owner_id string, pos long, num long, company string, role string, status string, report string, date date, via string, score double, notes string")
+    assert {(r["owner_id"], r["pos"]): r["leader"] for r in cluster_duplicates(df).collect()} == want
+    merged = dedup_tracker(df).collect()
+    assert len(merged) == len(set((k[0], v) for k, v in want.items())) and sum(r["n"] for r in merged) == 200
+    scores = {}
+    for r in rows:
+        scores.setdefault((r[0], want[r[0], r[1]]), []).append(r[9])
+    assert sorted(max(s) for s in scores.values()) == sorted(r["score"] for r in merged)
+
+
+def test_owners_do_not_meet(spark):
+    from brightloom.operators import composite
+
+    mine = lambda rows, schema: spark.createDataFrame([(o, *r) for o in ("a", "b") for r in rows if r[-1] in (o, "ab")], f"owner_id string, {schema}, who string").drop("who")
+    t = mine([(1, "Acme Inc", "Data Engineer", "applied", "a"), (2, "Acme", "data engineer", "evaluated", "ab"), (2, "Zeta", "Cook", "rejected", "b"), (None, "Zeta", "Cook", "skip", "b")], "num long, company string, role string, status string")
+    p = mine([(10, "ACME", "Data engineer", "ab"), (11, "Zeta", "Cook", "ab")], "posting_id long, company string, title string")
+    gates = {(r["owner_id"], r["posting_id"]): r["gate"] for r in identity.history_gate(p, t).collect()}
+    assert gates == {("a", 10): "same_role_applied", ("b", 10): "eligible", ("a", 11): "eligible", ("b", 11): "same_role_rejected"}
+    assert {(r["owner_id"], r["n"]) for r in tracker.duplicate_groups(t).collect()} == {("a", 2), ("b", 2)}
+    assert [tuple(r) for r in tracker.duplicate_ids(t).collect()] == [("b", 2, 2)]
+    best = {(r["owner_id"], r["posting_id"], r["num"]) for r in identity.tracker_matches(p, t).collect()}
+    assert best == {("a", 10, 1), ("a", 10, 2), ("b", 10, 2), ("b", 11, 2), ("b", 11, None)}
+    seen = mine([("https://x.org/1", "a")], "url string")
+    new = mine([("https://x.org/1?utm_source=q", "ab")], "url string")
+    assert [r["owner_id"] for r in dedup.anti_seen_urls(new, seen).collect()] == ["b"]
+    ids = tracker.reassign_ids(t.withColumn("o", F.monotonically_increasing_id()), ["o"]).groupBy("owner_id").agg(F.sort_array(F.collect_list("num")).alias("n")).collect()
+    assert {r["owner_id"]: r["n"] for r in ids} == {"a": [1, 2], "b": [2, 3, 4]}
+    adds = mine([(0, 1, "ab"), (1, None, "ab"), (2, 9, "ab")], "pos long, num long")
+    given = {(r["owner_id"], r["pos"]): r["given"] for r in composite.allocate_numbers(adds, t).collect()}
+    assert given == {("a", 0): 10, ("a", 1): 11, ("a", 2): 9, ("b", 0): 1, ("b", 1): 10, ("b", 2): 9}
+    said = mine([(1, "Zeta", "Cook", "offer", "ab"), (2, "Acme", "Data Engineer", "interview", "b")], "message_id long, company string, role string, kind string")
+    acts = {(r["owner_id"], r["key"]): r["action"] for r in mail.reconcile(said, t.where("num IS NOT NULL")).collect()}
+    assert acts == {("a", "zeta::cook"): "add", ("b", "zeta::cook"): "no_change", ("b", "acme::dataengineer"): "update"}
+    ev = mine([(1, "k", "applied", 5, "ab")], "event_id long, key string, kind string, event_at long")
+    state = mine([("k", "evaluated", 1, "a")], "key string, status string, decided_at long")
+    out = {r["owner_id"]: r["outcome"] for r in mail.ingest_events(ev, mine([(1, "-")], "event_id long"), state).collect()}
+    assert out == {"a": "apply", "b": "history_only"}
+    try:
+        identity.history_gate(p.drop("owner_id"), t)
+        raise AssertionError("a table without owners was taken")
+    except ValueError:
+        pass

@@ -18,13 +18,13 @@ def test_scan_history(spark, tmp_path):
     path = write(tmp_path, "me/h.tsv", "url\tfirst_seen\tportal\ttitle\tcompany\tstatus\tlocation\nhttps://a/1\t2024-01-02\tp\tt\tc\t\tx\nhttps://a/2\tbad\tp\tt\tc\tskipped\tx\tff\t2024-02-03\t70\ta,b\tkey\n\t2024-01-01\tp\n")
     rows = {r["url"]: r for r in readers.read_scan_history(spark, path).collect()}
     assert set(rows) == {"https://a/1", "https://a/2"}
-    assert rows["https://a/1"]["status"] == "added" and str(rows["https://a/1"]["first_seen"]) == "2024-01-02" and rows["https://a/1"]["owner"] == "me"
+    assert rows["https://a/1"]["status"] == "added" and str(rows["https://a/1"]["first_seen"]) == "2024-01-02" and rows["https://a/1"]["owner_id"] == "me"
     assert rows["https://a/2"]["first_seen"] is None and rows["https://a/2"]["trust_score"] == 70 and rows["https://a/2"]["trust_flags"] == ["a", "b"]
 
 
 def test_history_metadata(spark, tmp_path):
     path = write(tmp_path, "h.tsv", "Link\tDate\tPosted\nhttps://a\t2024-01-01\t\n\t2024-01-02\tx\n")
-    assert [tuple(r) for r in readers.read_history_metadata(spark, path).collect()] == [("https://a", "2024-01-01", None)]
+    assert [tuple(r)[1:] for r in readers.read_history_metadata(spark, path).collect()] == [("https://a", "2024-01-01", None)]
 
 
 def test_tracker_by_header_names_and_fixed_layout(spark, tmp_path):
@@ -32,8 +32,8 @@ def test_tracker_by_header_names_and_fixed_layout(spark, tmp_path):
     write(tmp_path, "b/y.md", "| 3 | soon | C | Ops | 3/5 | Offer | | [2](r) | – |\n")
     rows = {r["num"]: r for r in readers.read_tracker(spark, f"{tmp_path}/*").collect()}
     assert set(rows) == {1, 3}
-    assert (rows[1]["company"], rows[1]["location"], rows[1]["status"], rows[1]["owner"]) == ("Acme", "Berlin", "Aplicado", "a")
-    assert (rows[3]["company"], rows[3]["status"], rows[3]["date"], rows[3]["owner"]) == ("C", "Offer", None, "b")
+    assert (rows[1]["company"], rows[1]["location"], rows[1]["status"], rows[1]["owner_id"]) == ("Acme", "Berlin", "Aplicado", "a")
+    assert (rows[3]["company"], rows[3]["status"], rows[3]["date"], rows[3]["owner_id"]) == ("C", "Offer", None, "b")
 
 
 def test_repair_tracker(spark):
@@ -65,7 +65,7 @@ def test_additions(spark, tmp_path):
 
 def test_state_blacklist_manifest_runs(spark, tmp_path):
     path = write(tmp_path, "s.json", json.dumps({"items": {"u1": {"status": "active", "n": 2}, "u2": None}}))
-    assert [tuple(r) for r in readers.read_state(spark, path, "status: string, n: int").collect()] == [("u1", "active", 2)]
+    assert [tuple(r)[1:] for r in readers.read_state(spark, path, "status: string, n: int").collect()] == [("u1", "active", 2)]
     path = write(tmp_path, "me/b.md", "| Company | Since | Scope | Reason |\n|---|---|---|---|\n| Acme Inc | 2024 | all | one |\n| ACME | 2025 | all | two |\n")
     assert [(r["key"], r["reason"]) for r in readers.read_blacklist(spark, path).collect()] == [("acme", "one")]
     path = write(tmp_path, "m.tsv", "# c\n007\ta.pdf\ta.html\tA4\t2024\n7\tb.pdf\tb.html\tA4\t2025\n")

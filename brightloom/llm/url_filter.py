@@ -1,8 +1,10 @@
 """URL filter: rules by host and path, then a weighted vocabulary matched by Aho-Corasick.
 
-The automaton finds all terms in one pass over a url. A strict term counts only where it stands between boundaries (no
-letter or digit beside it); a soft term likewise. One strict term rejects, and so do SOFT_LIMIT or more distinct soft
-terms. Terms are in lower case; A-Z of the url are matched as a-z.
+Rules are looked up, not tried one by one: a host's suffixes, with the beginnings of the path as long as some rule of
+that suffix, meet a table of rules of any size. The automaton finds all terms of the vocabulary in one pass over a url;
+a term counts where it stands between boundaries (no letter or digit beside it), and once. A url is rejected if the
+weights of its distinct terms reach 1: a strict term weighs 1, a soft one 1 / SOFT_LIMIT unless the vocabulary says
+otherwise. Terms are in lower case; A-Z of the url are matched as a-z.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import free_name, read_table
+from brightloom.llm.common import free_name, named, read_table
 
 STRICT = ("porn", "xxx", "xvideos", "hentai", "escort", "escorts", "camgirl", "camgirls", "nsfw", "milf", "adult-x", "pornhub", "sexcam", "onlycams")
 SOFT = ("adult", "sex", "casino", "poker", "betting", "bet", "viagra", "cialis", "pills", "loan", "payday", "torrent", "crack", "warez", "keygen", "hack", "nude", "dating", "xx", "slots", "jackpot", "spam", "free-money", "malware", "phish")
@@ -22,6 +24,11 @@ SOFT_LIMIT = 2
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
+#: Terms of a vocabulary at most: every worker holds the automaton.
+MAX_TERMS = 200_000
+#: Rules up to this many (some 50 MB) are broadcast; beyond, the lookup is a shuffle.
+BROADCAST_RULES = 500_000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,74 +43,91 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, _UPPER, _LOWER), path
 
 
-def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, as host followed by path; null where none does.
+def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
 
-    A rule fits its host and all hosts below it, if the path begins with the rule's. Of equally long rules, a longer
-    host wins, then the earlier one.
-    """
-    ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), -len(r[0])))
-    rule = verdict = F.lit(None).cast("string")
-    for name, start, says in reversed(ordered):
-        fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(start)
-        rule, verdict = F.when(fits, name + start).otherwise(rule), F.when(fits, says).otherwise(verdict)
-    return rule, verdict
 
+def vocabulary_table(spark: SparkSession, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
+    """(term, weight): strict terms reject alone, soft_limit soft ones together."""
+    return spark.createDataFrame([(t, 1.0) for t in strict] + [(t, 1.0 / soft_limit) for t in soft], "term string, weight double")
 
-def term_hits(url: Column, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT) -> Column:
-    """struct(strict int, soft int): distinct strict and soft terms between boundaries in url; zeros for null."""
-    terms = [(t, True) for t in strict] + [(t, False) for t in soft]
 
-    @F.pandas_udf("strict int, soft int")
+def fitting_rules(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, said) of the longest of rules (host, path, verdict) for each distinct host and path that one
+    fits; rule is its host followed by its path.
+
+    A rule fits its host and all hosts below it, if the path begins with the rule's. Of equally long rules that of the
+    longer host wins; of rules that repeat, the one that blocks.
+    """
+    known = rules.select(F.translate("host", _UPPER, _LOWER).alias("s"), F.coalesce("path", F.lit("")).alias("start"), "verdict").where("s <> ''")
+    known = known.groupBy("s", "start").agg(F.max("verdict").alias("said"))
+    lengths = known.groupBy("s").agg(F.collect_set(F.length("start")).alias("lengths"))
+    few = rules.count() <= BROADCAST_RULES
+    small = F.broadcast if few else (lambda df: df)
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    keys = parts.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(suffixes).alias("s"))
+    begun = keys.join(small(lengths), "s").select("host", "path", "s", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("path"))
+    met = begun.withColumn("start", F.substr("path", F.lit(1), F.col("n"))).join(small(known), ["s", "start"])
+    best = F.max(F.struct((F.length("s") + F.col("n")).alias("length"), F.length("s").alias("host_length"), F.concat("s", "start").alias("rule"), "said"))
+    return met.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.said")
+
+
+def term_hits(url: Column, terms: Sequence[tuple[str, float]]) -> Column:
+    """struct(strict int, soft int, weight double) of the distinct terms between boundaries in url; zeros for null. A term
+    is strict if its weight alone reaches 1."""
+
+    @F.pandas_udf("strict int, soft int, weight double")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = ahocorasick.Automaton()
         for i, (term, _) in enumerate(terms):
             automaton.add_word(term, i)
-        automaton.make_automaton()
-        known = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+        if terms:
+            automaton.make_automaton()
+        letters = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
         table = str.maketrans(_UPPER, _LOWER)
 
-        def count(url: str | None) -> tuple[int, int]:
+        def count(url: str | None) -> tuple[int, int, float]:
             found = set()
             low = (url or "").translate(table)
-            for end, i in automaton.iter(low):
+            for end, i in automaton.iter(low) if terms else ():
                 begin = end - len(terms[i][0])
-                if (begin < 0 or low[begin] not in known) and (end + 1 == len(low) or low[end + 1] not in known):
+                if (begin < 0 or low[begin] not in letters) and (end + 1 == len(low) or low[end + 1] not in letters):
                     found.add(i)
-            hard = sum(terms[i][1] for i in found)
-            return hard, len(found) - hard
+            hard = sum(terms[i][1] >= 1 for i in found)
+            return hard, len(found) - hard, sum(terms[i][1] for i in found)
 
         for urls in batches:
-            yield pd.DataFrame([count(u) for u in urls], columns=["strict", "soft"])
+            yield pd.DataFrame([count(u) for u in urls], columns=["strict", "soft", "weight"])
 
     return hits(url)
 
 
-def judge_urls(
-    pages: DataFrame,
-    url_col: str = "url",
-    rules: Sequence[tuple[str, str, str]] = RULES,
-    strict: Sequence[str] = STRICT,
-    soft: Sequence[str] = SOFT,
-    soft_limit: int = SOFT_LIMIT,
-) -> DataFrame:
+def judge_urls(pages: DataFrame, url_col: str = "url", rules: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule, n_strict, n_soft and verdict, which replace columns with such names.
 
-    The rule decides where one fits, else the vocabulary. A null or empty url, or one without "://", has empty host and
-    path; no rule fits an empty host, and the vocabulary allows a null url. Rows are judged one by one: repeats repeat,
-    and an empty table gives an empty result.
+    rules: (host, path, verdict), of any size; vocabulary: (term, weight), MAX_TERMS at most, or it is refused. The rule
+    decides where one fits, else the vocabulary. A null or empty url, or one without "://", has empty host and path; no
+    rule fits an empty host, and the vocabulary allows a null url. Null and empty terms and hosts of rules are ignored.
+    Rows are judged one by one: repeats repeat, an empty table gives an empty result, and urls are read whole.
     """
-    url = F.col(f"`{url_col}`")
-    host, path = url_parts(url)
-    rule, said = fitting_rule(host, path, rules)
+    spark = pages.sparkSession
+    rules = rule_table(spark) if rules is None else rules
+    vocabulary = vocabulary_table(spark) if vocabulary is None else vocabulary
+    listed = vocabulary.where("term <> '' AND weight IS NOT NULL").groupBy("term").agg(F.max("weight").alias("weight")).limit(MAX_TERMS + 1).collect()  # bounded
+    if len(listed) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    terms = sorted((r["term"].translate(str.maketrans(_UPPER, _LOWER)), r["weight"]) for r in listed)
     new = ("host", "path", "rule", "n_strict", "n_soft", "verdict")
-    old = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in new]
+    old = [named(c) for c in pages.columns if c.lower() not in new]
     said_col, hits_col = free_name(pages, "_said"), free_name(pages, "_hits")
-    judged = pages.select(*old, host.alias("host"), path.alias("path"), rule.alias("rule"), said.alias(said_col), term_hits(url, strict, soft).alias(hits_col))
+    host, path = url_parts(named(url_col))
+    parts = pages.select(*old, host.alias("host"), path.alias("path"), term_hits(named(url_col), terms).alias(hits_col))
+    found = fitting_rules(pages.select(host.alias("host"), path.alias("path")), rules).withColumnRenamed("said", said_col)
     hits = F.col(hits_col)
-    bad = (hits["strict"] >= 1) | (hits["soft"] >= soft_limit)
+    bad = F.round(hits["weight"], 9) >= 1
     verdict = F.coalesce(said_col, F.when(bad, "block").otherwise("allow"))
-    return judged.select(*old, "host", "path", "rule", hits["strict"].alias("n_strict"), hits["soft"].alias("n_soft"), verdict.alias("verdict"))
+    return parts.join(found, ["host", "path"], "left").select(*old, "host", "path", "rule", hits["strict"].alias("n_strict"), hits["soft"].alias("n_soft"), verdict.alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

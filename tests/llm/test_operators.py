@@ -180,6 +180,28 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_rules_and_vocabulary_of_any_size(spark):
+    """Ten thousand rules, against trying each of them."""
+    rng = random.Random(7)
+    part = lambda: rng.choice("abcdefgh") + rng.choice(["", "x", "y"])
+    rules = list({(".".join(part() for _ in range(rng.randrange(1, 4))), "/" + "/".join(part() for _ in range(rng.randrange(0, 3)))): rng.choice(["allow", "block"]) for _ in range(14_000)}.items())
+    rules = [(h, p, v) for (h, p), v in rules]
+    assert len(rules) > 6_000
+    urls = ["http://" + ".".join(part() for _ in range(rng.randrange(1, 5))) + "/" + "/".join(part() for _ in range(rng.randrange(0, 4))) for _ in range(60)] + ["http://" + "a." * 3000 + "b/" + "c" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, `a.url` string")
+    table = url_filter.rule_table(spark, [*rules, ("", "/", "block"), (None, "/", "block")])
+    terms = spark.createDataFrame([("Bad", 1.0), ("so", 0.4), ("la", 0.7), ("", 1.0), (None, 1.0)], "term string, weight double")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, "a.url", table, terms).collect()}
+    for i, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)[0], "/" + u[7:].split("/", 1)[1]
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow"))
+    odd = spark.createDataFrame([(0, "x://q-bad"), (1, "x://q-so"), (2, "x://q-so-la"), (3, "x://solas"), (4, None)], "page_id long, url string")
+    said = url_filter.judge_urls(odd, rules=table.limit(0), vocabulary=terms)
+    assert {r["page_id"]: (r["n_strict"], r["n_soft"], r["verdict"]) for r in said.collect()} == {0: (1, 0, "block"), 1: (0, 1, "allow"), 2: (0, 2, "block"), 3: (0, 0, "allow"), 4: (0, 0, "allow")}
+    assert url_filter.judge_urls(odd, rules=table.limit(0), vocabulary=terms.limit(0)).where("verdict = 'allow'").count() == 5
+
+
 # op6
 
 

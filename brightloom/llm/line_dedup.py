@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import free_name, read_table, row_key
+from brightloom.llm.common import free_name, named, read_table, row_key
 
 WIDTH = 3
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(k1, k2, id, pos, h1, h2): every window of width lines that is not blank; pos is that of its first line."""
-    lined = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.split(F.col(text_col), "\n").alias("lines"))
+    lined = docs.select(named(id_col).alias("id"), *row_key(id_col, text_col), F.split(named(text_col), "\n").alias("lines"))
     at = lambda i: [F.get("lines", i + k) for k in range(width)]
     hashed = F.transform(
         F.sequence(F.lit(0), F.size("lines") - width),
@@ -56,15 +56,15 @@ def drop_repeated_lines(
         F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + width - 1)))).alias(cov),
     )
     keyed = docs.withColumns(dict(zip((k1, k2), row_key(id_col, text_col))))
-    joined = keyed.join(covered, (F.col(k1) == F.col(g1)) & (F.col(k2) == F.col(g2)), "left").withColumn(all_lines, F.split(F.col(text_col), "\n"))
+    joined = keyed.join(covered, (F.col(k1) == F.col(g1)) & (F.col(k2) == F.col(g2)), "left").withColumn(all_lines, F.split(named(text_col), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), cov)
-    text = F.when(F.col(cov).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
+    text = F.when(F.col(cov).isNull(), named(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
     new = {kept_col or text_col: text}
     if counts:
-        new |= {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)), "n_removed": F.coalesce(F.size(cov), F.lit(0))}
+        new |= {"n_lines": F.when(named(text_col).isNull(), 0).otherwise(F.size(all_lines)), "n_removed": F.coalesce(F.size(cov), F.lit(0))}
     # a column that is replaced keeps its place
     by_name = {name.lower(): (name, c) for name, c in new.items()}
-    old = [by_name[c.lower()][1].alias(c) if c.lower() in by_name else F.col(f"`{c}`") for c in docs.columns]
+    old = [by_name[c.lower()][1].alias(c) if c.lower() in by_name else named(c) for c in docs.columns]
     added = [c.alias(name) for name, c in new.items() if name.lower() not in {x.lower() for x in docs.columns}]
     return joined.select(*old, *added)
 

@@ -215,3 +215,30 @@ def t2(spark, d):
     stream = spark.readStream.schema(e.schema).parquet(f"{home}/in")
     E.rescan(stream, f"{home}/cursor", E.keyed_sink(f"{home}/out", ["event_id"])).awaitTermination()
     return spark.read.parquet(f"{home}/out").select("event_id", "kind")
+
+
+_BOARDS = ("amazon", "ashby", "himalayas", "lever", "recruitee", "smartrecruiters", "workable")
+
+
+@query(
+    "s12_public_boards",
+    f"""WITH e AS (SELECT event_id AS i, event_type AS t, ts::DATE AS d, {list(_BOARDS)!r}[event_id % {len(_BOARDS)} + 1] AS source FROM events)
+SELECT source, t AS title, CASE source WHEN 'amazon' THEN 'https://www.amazon.jobs/en/jobs/' || i WHEN 'smartrecruiters' THEN 'https://jobs.smartrecruiters.com/acme/' || i ELSE 'https://b.example.com/' || i END AS url,
+  CASE source WHEN 'himalayas' THEN 'Spain, Italy' WHEN 'amazon' THEN 'Berlin' WHEN 'workable' THEN 'Rome, Italy' WHEN 'recruitee' THEN 'Rome, Italy' ELSE 'Rome' END AS location,
+  CASE WHEN source <> 'smartrecruiters' THEN d END AS posted_on FROM e""",
+)
+def s12_boards(spark, d):
+    """One payload for each event, in the form of one of seven public feeds."""
+    day, seconds = "date_format(ts, 'yyyy-MM-dd')", "unix_timestamp(to_timestamp(to_date(ts)))"
+    bodies = {
+        "amazon": f"""concat('{{"jobs": [{{"title": "', event_type, '", "job_path": "/en/jobs/', event_id, '", "location": "Berlin", "posted_date": "', date_format(ts, 'MMMM d, yyyy'), '"}}, {{"title": "no path"}}]}}')""",
+        "ashby": f"""concat('{{"jobs": [{{"title": "', event_type, '", "jobUrl": "https://b.example.com/', event_id, '", "location": "Rome", "publishedAt": "', {day}, 'T10:00:00.000+00:00"}}]}}')""",
+        "himalayas": f"""concat('{{"jobs": [{{"title": "', event_type, '", "guid": "https://b.example.com/', event_id, '", "locationRestrictions": ["Spain", "Italy"], "pubDate": ', {seconds}, '}}]}}')""",
+        "lever": f"""concat('[{{"text": "', event_type, '", "hostedUrl": "https://b.example.com/', event_id, '", "categories": {{"location": "Rome"}}, "createdAt": ', {seconds}, '000}}]')""",
+        "recruitee": f"""concat('{{"offers": [{{"title": "', event_type, '", "careers_url": "https://b.example.com/', event_id, '", "city": "Rome", "country": "Italy", "published_at": "', {day}, ' 09:00:00 UTC"}}]}}')""",
+        "smartrecruiters": """concat('{"content": [{"name": "', event_type, '", "id": "', event_id, '", "company": {"identifier": "acme"}, "location": {"fullLocation": "Rome"}}, {"name": "x", "id": "1"}]}')""",
+        "workable": f"""concat('{{"jobs": [{{"title": "', event_type, '", "shortlink": "https://b.example.com/', event_id, '", "city": "Rome", "country": "Italy", "published_on": "', {day}, '"}}]}}')""",
+    }
+    case = " ".join(f"WHEN {i} THEN {bodies[n]}" for i, n in enumerate(_BOARDS))
+    raw = table(spark, d, "events").select(F.element_at(F.array(*map(F.lit, _BOARDS)), (F.col("event_id") % len(_BOARDS) + 1).cast("int")).alias("source"), F.expr(f"CASE event_id % {len(_BOARDS)} {case} END").alias("payload"))
+    return feeds.normalize_json_feed(raw).select("source", "title", "url", "location", F.to_date("posted_at").alias("posted_on"))

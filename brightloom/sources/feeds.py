@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,12 +10,15 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.text import html_to_text, parse_date, url_part
 
-#: Registered sources: name -> (JSON path of the rows, field -> JSON path in a row).
-SOURCES: dict[str, tuple[str, Mapping[str, str]]] = {}
+#: How a field is read from a row: a JSON path, several of which the first with a value counts, or a text with paths in
+#: braces, which is empty if one of them is.
+Read = str | Sequence[str]
+#: Registered sources: name -> (JSON path of the rows, field -> how it is read).
+SOURCES: dict[str, tuple[str, Mapping[str, Read]]] = {}
 FIELDS = ("id", "title", "url", "company", "location", "posted_at", "description")
 
 
-def register_source(name: str, rows: str, fields: Mapping[str, str]) -> None:
+def register_source(name: str, rows: str, fields: Mapping[str, Read]) -> None:
     """V1: a JSON source by the path of its rows and of each field in a row."""
     unknown = set(fields) - set(FIELDS)
     if unknown or not {"title", "url"} <= set(fields):
@@ -24,28 +28,63 @@ def register_source(name: str, rows: str, fields: Mapping[str, str]) -> None:
 
 register_source("board", "$.jobs", {"id": "$.id", "title": "$.title", "url": "$.absolute_url", "location": "$.location.name", "posted_at": "$.updated_at", "description": "$.content"})
 register_source("list", "$", {"id": "$.id", "title": "$.text", "url": "$.hostedUrl", "company": "$.company", "location": "$.categories.location", "posted_at": "$.createdAt"})
+# Where public job feeds have their fields.
+register_source("amazon", "$.jobs", {"title": "$.title", "url": "https://www.amazon.jobs{$.job_path}", "location": ("$.normalized_location", "$.location"), "posted_at": "$.posted_date"})
+register_source("arbeitnow", "$.data", {"id": "$.slug", "title": "$.title", "url": "$.url", "company": "$.company_name", "location": "$.location", "posted_at": "$.created_at"})
+register_source("ashby", "$.jobs", {"id": "$.id", "title": "$.title", "url": "$.jobUrl", "location": "$.location", "posted_at": "$.publishedAt"})
+register_source("breezy", "$", {"id": "$.id", "title": "$.name", "url": "$.url", "company": "$.company.name", "location": "$.location.name", "posted_at": "$.published_date"})
+register_source("greenhouse", "$.jobs", {"id": "$.id", "title": "$.title", "url": "$.absolute_url", "location": "$.location.name", "posted_at": "$.first_published", "description": "$.content"})
+register_source("himalayas", "$.jobs", {"title": "$.title", "url": ("$.applicationLink", "$.guid"), "company": "$.companyName", "location": "$.locationRestrictions", "posted_at": "$.pubDate"})
+register_source("jobicy", "$.jobs", {"id": "$.id", "title": "$.jobTitle", "url": "$.url", "company": "$.companyName", "location": "$.jobGeo", "posted_at": "$.pubDate"})
+register_source("lever", "$", {"id": "$.id", "title": "$.text", "url": "$.hostedUrl", "location": "$.categories.location", "posted_at": "$.createdAt", "description": "$.descriptionPlain"})
+register_source("pinpoint", "$.data", {"id": "$.id", "title": "$.title", "url": "$.url", "location": ("$.location.name", "{$.location.city}, {$.location.province}", "$.location.city")})
+register_source("recruitee", "$.offers", {"id": "$.id", "title": "$.title", "url": ("$.careers_url", "$.url"), "company": "$.company_name", "location": ("$.location", "{$.city}, {$.country}", "$.city"), "posted_at": "$.published_at"})
+register_source("remoteok", "$", {"id": "$.id", "title": "$.position", "url": "$.url", "company": "$.company", "location": "$.location"})
+register_source("remotive", "$.jobs", {"id": "$.id", "title": "$.title", "url": "$.url", "company": "$.company_name", "location": "$.candidate_required_location"})
+register_source("smartrecruiters", "$.content", {"id": "$.id", "title": "$.name", "url": "https://jobs.smartrecruiters.com/{$.company.identifier}/{$.id}", "company": "$.company.name", "location": ("$.location.fullLocation", "{$.location.city}, {$.location.country}")})
+register_source("themuse", "$.results", {"id": "$.id", "title": "$.name", "url": "$.refs.landing_page", "company": "$.company.name", "location": "$.locations[0].name"})
+register_source("workable", "$.jobs", {"id": "$.shortcode", "title": "$.title", "url": ("$.shortlink", "$.url"), "location": ("{$.city}, {$.country}", "$.country"), "posted_at": "$.published_on", "description": "$.description"})
+register_source("workingnomads", "$", {"title": "$.title", "url": "$.url", "company": "$.company_name", "location": "$.location"})
 
 
 def _posting(df: DataFrame) -> DataFrame:
     return df.where((F.trim(F.coalesce("title", F.lit(""))) != "") & (F.trim(F.coalesce("url", F.lit(""))) != ""))
 
 
-def normalize_json_feed(raw: DataFrame, sources: Mapping[str, tuple[str, Mapping[str, str]]] | None = None) -> DataFrame:
+def _read(how: Read) -> Column:
+    """A field of the column item; lists of texts are joined by comma, and blank is null."""
+    if not isinstance(how, str):
+        return F.coalesce(*map(_read, how))
+    if "{$" in how:
+        pieces = re.split(r"\{(\$[^}]*)\}", how)
+        return F.concat(*[_read(x) if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
+    value = F.get_json_object("item", how)
+    joined = F.when(value.startswith("["), F.array_join(F.from_json(value, "array<string>"), ", ")).otherwise(value)
+    return F.nullif(F.trim(joined), F.lit(""))
+
+
+def _moment(raw: Column) -> Column:
+    """A date, or seconds or milliseconds since 1970."""
+    number = F.when(raw.rlike("^[0-9]{13}$"), raw.try_cast("double") / 1000).when(raw.rlike("^[0-9]{9,10}$"), raw.try_cast("double"))
+    return F.coalesce(F.timestamp_seconds(number), parse_date(raw), raw.try_cast("timestamp"))
+
+
+def normalize_json_feed(raw: DataFrame, sources: Mapping[str, tuple[str, Mapping[str, Read]]] | None = None) -> DataFrame:
     """Postings of landed payloads (source, payload); payloads of unknown sources and rows without title or url go."""
     known = SOURCES if sources is None else sources
     path = F.lit(None).cast("string")
     for name, (rows, _) in known.items():
         path = F.when(F.col("source") == name, F.get_json_object("payload", rows)).otherwise(path)
-    items = raw.select("source", F.explode_outer(F.from_json(path, "array<string>")).alias("item")).where("item IS NOT NULL")
+    items = raw.where(F.col("source").isin(*known)).select("source", F.explode_outer(F.from_json(path, "array<string>")).alias("item")).where("item IS NOT NULL")
 
     def field(f: str) -> Column:
         value = F.lit(None).cast("string")
         for name, (_, fields) in known.items():
             if f in fields:
-                value = F.when(F.col("source") == name, F.get_json_object("item", fields[f])).otherwise(value)
+                value = F.when(F.col("source") == name, _read(fields[f])).otherwise(value)
         return value.alias(f)
 
-    return _posting(items.select("source", *[field(f) for f in FIELDS])).withColumn("posted_at", parse_date(F.col("posted_at")))
+    return _posting(items.select("source", *[field(f) for f in FIELDS])).withColumn("posted_at", _moment(F.col("posted_at")))
 
 
 def _tag(xml: Column, name: str) -> Column:

@@ -139,7 +139,7 @@ def thread_events(messages: DataFrame, kind: Column) -> DataFrame:
 
 
 def paired_receipts(events: DataFrame, seconds: int = 300) -> DataFrame:
-    """(a_id, b_id) of events of one role and key within so many seconds of each other, a before b.
+    """Of J15: (a_id, b_id) of events of one role and key within so many seconds of each other, a before b.
 
     Events meet in buckets of that width, each in its own and the one before, so that no key joins whole with itself.
     """
@@ -152,6 +152,45 @@ def paired_receipts(events: DataFrame, seconds: int = 300) -> DataFrame:
     return a.join(b, [*own, "key", "role", "slot"]).where(near).select(*own, "a_id", "b_id")
 
 
+def _identity(text: Column) -> Column:
+    """Lower case and single blanks, none beside brackets."""
+    flat = F.trim(F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), r"\s+", " "))
+    return F.regexp_replace(flat, r"\s*([()])\s*", "$1")
+
+
+def company_aliases(company: Column) -> Column:
+    """The company's name, and both names where one in Hangul and one in Latin letters stand as "name (name)"."""
+    name = _identity(company)
+    left, right = F.trim(F.regexp_extract(name, r"^([^()]+)\(([^()]+)\)$", 1)), F.trim(F.regexp_extract(name, r"^([^()]+)\(([^()]+)\)$", 2))
+    hangul, latin = (lambda t: t.rlike("[가-힣]")), (lambda t: t.rlike("[a-z]"))
+    two = (hangul(left) & latin(right)) | (latin(left) & hangul(right))
+    letters = F.regexp_replace(F.when(hangul(left), right).otherwise(left), "[^a-z]", "")
+    told = two & (F.least(F.length(left), F.length(right)) >= 2) & (F.length(letters) >= 3) & ~right.isin("inc", "ltd", "korea", "한국", "주식회사")
+    return F.when(told, F.array_distinct(F.array(name, left, right))).otherwise(F.array(name))
+
+
+def receipt_aliases(events: DataFrame, tracker: DataFrame, seconds: int = 300) -> DataFrame:
+    """(event_id, num): receipts that belong to a row of the tracker under another name of the company.
+
+    A receipt (event_id, company, role, event_at) may be a row's (num, company, role, date) if role and day are the same
+    and their company names share an alias; it is if, besides, another receipt within so many seconds names the row
+    exactly and shares an alias with it. Receipts meet peers of a row in time slots, never a row's whole history.
+    """
+    own = owner_of(events, tracker)
+    width = seconds * 1_000_000
+    t = F.unix_micros(F.col("event_at").cast("timestamp"))
+    e = events.select(*own, "event_id", _identity(F.col("company")).alias("c"), _identity(F.col("role")).alias("r"), company_aliases(F.col("company")).alias("names"), t.alias("at"), F.to_date("event_at").alias("day"))
+    rows = tracker.where("num IS NOT NULL").select(*own, "num", _identity(F.col("company")).alias("c"), _identity(F.col("role")).alias("r"), F.to_date("date").alias("day"), company_aliases(F.col("company")).alias("row_names"))
+    named = rows.select(*own, "num", "r", "day", F.explode("row_names").alias("name"))
+    maybe = e.select(*own, "event_id", "r", "day", "at", "names", F.explode("names").alias("name")).join(named, [*own, "r", "day", "name"])
+    maybe = maybe.select(*own, "event_id", "num", "at", "names").distinct()
+    peers = e.join(rows.select(*own, "num", "c", "r"), [*own, "c", "r"]).select(*own, "num", F.col("event_id").alias("peer"), F.col("at").alias("peer_at"), F.col("names").alias("peer_names"))
+    slots = F.explode(F.array(*[F.floor(F.col("at") / width) + i for i in (-1, 0, 1)]))
+    met = maybe.withColumn("slot", slots).join(peers.withColumn("slot", F.floor(F.col("peer_at") / width)), [*own, "num", "slot"])
+    near = (F.col("event_id") != F.col("peer")) & (F.abs(F.col("at") - F.col("peer_at")) <= width) & F.arrays_overlap("names", "peer_names")
+    return met.where(near).select(*own, "event_id", "num").distinct()
+
+
 def same_run_block(candidates: DataFrame, messages: DataFrame) -> DataFrame:
     """Candidates with blocked: does a message of this run (company, action) concern their company?"""
     own = owner_of(candidates, messages)

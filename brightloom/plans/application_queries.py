@@ -335,6 +335,24 @@ def j15(spark, d):
     return M.paired_receipts(changes(spark, d).withColumnRenamed("kind", "role"), 3600)
 
 
+_RECEIPTS = """e AS (SELECT event_id, ts, ts::DATE AS day, user_id % 40 AS k, event_id % 3 AS form FROM events),
+n AS (SELECT *, CASE form WHEN 0 THEN 'acme' || k WHEN 1 THEN '에이콤' || k || '(acme' || k || ')' ELSE '에이콤' || k END AS c,
+  CASE form WHEN 0 THEN ['acme' || k] WHEN 1 THEN ['에이콤' || k || '(acme' || k || ')', 'acme' || k, '에이콤' || k] ELSE ['에이콤' || k] END AS names FROM e),
+r AS (SELECT day, k, k * 1000 + day_of_month AS num, 'acme' || k AS c FROM (SELECT DISTINCT day, k, extract(day FROM day) AS day_of_month FROM e) WHERE k % 4 > 0)"""
+
+
+@query(
+    "j15_receipt_aliases",
+    f"""WITH {_RECEIPTS} SELECT DISTINCT a.event_id, r.num FROM n a JOIN r ON a.day = r.day AND list_contains(a.names, r.c)
+JOIN n p ON p.c = r.c AND p.event_id <> a.event_id AND len(list_intersect(p.names, a.names)) > 0 AND abs(epoch_us(p.ts) - epoch_us(a.ts)) <= 7200000000""",
+)
+def j15_aliases(spark, d):
+    e = table(spark, d, "events").withColumn("k", F.col("user_id") % 40)
+    name = F.expr("CASE event_id % 3 WHEN 0 THEN concat('Acme', k) WHEN 1 THEN concat('에이콤', k, ' ( ACME', k, ' )') ELSE concat('에이콤', k) END")
+    rows = e.where("k % 4 > 0").select((F.col("k") * 1000 + F.dayofmonth("ts")).alias("num"), F.concat(F.lit("Acme"), "k").alias("company"), F.lit("Dev").alias("role"), F.to_date("ts").alias("date")).distinct()
+    return M.receipt_aliases(e.select("event_id", name.alias("company"), F.lit("DEV ").alias("role"), F.col("ts").alias("event_at")), rows, 7200)
+
+
 @query("j16_same_run_block", "SELECT c_custkey, c_custkey % 100 IN (SELECT s_suppkey % 100 FROM supplier WHERE s_suppkey % 3 = 0) AS blocked FROM customer")
 def j16(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("co "), F.col("c_custkey") % 100).alias("company"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import checkpointed, read_table
+from brightloom.llm.common import checkpointed, named, read_table
 
 #: About the mean, and the bounds, of a chunk in bytes.
 MEAN, LEAST, MOST = 2048, 256, 16384
@@ -109,15 +109,15 @@ def equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts the row of the largest id stays; among rows of that id, one (the last in the table's order). Null
     ids come before all others. bits: of the chunk hash; results do not depend on it. Other columns are not read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), named(id_col).alias("id"), named(text_col).alias("text"))
     distinct = _pieces(rows, bits, False).distinct()
     clashes = checkpointed(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     listed = checkpointed(_recipes(rows, bits))
     if not clashes.isEmpty():  # different chunks of one hash: tell them apart by their rank
-        named = checkpointed(
+        ranked = checkpointed(
             distinct.join(clashes, "h").groupBy("h").agg(F.array_sort(F.collect_set("chunk")).alias("all")).select("h", F.posexplode("all").alias("rank", "chunk"))
         )
-        placed = _pieces(rows, bits, True).join(named, ["h", "chunk"]).select("sha", "seq", "rank").distinct()
+        placed = _pieces(rows, bits, True).join(ranked, ["h", "chunk"]).select("sha", "seq", "rank").distinct()
         ranks = checkpointed(placed.groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct("seq", "rank"))).alias("ranks")))
         by_seq = F.transform("recipe", lambda h, i: F.struct(h.alias("h"), F.coalesce(F.try_element_at("ranks", i), F.lit(0)).alias("rank")))
         listed = checkpointed(listed.join(ranks, "sha", "left").select("rid", "id", "sha", by_seq.alias("recipe")))

@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import read_table
+from brightloom.llm.common import named, read_table
 from brightloom.llm.decontaminate import normalised_words
 
 THRESHOLD = 0.8
@@ -126,21 +126,23 @@ def scan_licenses(
 
     Words are runs of letters, marks and digits in lower case; bigrams count once. Of several templates the nearest is
     named, of equals the first by name. Null and empty texts and units of one word have no bigram and match nothing.
-    Null ids are kept; rows that repeat are each reported; other columns are not read.
+    Null ids are kept; rows that repeat are each reported; texts are read whole, whatever their length, by one task each;
+    other columns are not read.
     """
     grams = {name: template_bigrams(templates[name]) for name in sorted(templates)}
     grams = {name: of for name, of in grams.items() if of}
-    lines = F.split(F.col(text_col), "\n")
-    several = F.col(text_col).contains("\n")
+    text = F.col("text")
+    lines = F.split(text, "\n")
+    several = text.contains("\n")
     every = F.array(*map(F.lit, sorted({g for of in grams.values() for g in of})))
     judge = lambda unit, at: F.struct(at.alias("line"), _let(_bigrams(unit), lambda g: _best(g, grams, threshold)).alias("best"))
-    whole = _let(_bigrams(F.col(text_col)), lambda g: F.struct(F.when(several, _best(g, grams, threshold)).alias("best"), F.array_intersect(every, g).alias("shared")))
+    whole = _let(_bigrams(text), lambda g: F.struct(F.when(several, _best(g, grams, threshold)).alias("best"), F.array_intersect(every, g).alias("shared")))
     units = F.concat(F.transform(lines, lambda x, i: judge(x, i)), F.array(F.struct(F.lit(-1).alias("line"), F.col("whole.best").alias("best"))))
     hits = F.filter(units, lambda u: u["best"].isNotNull())
     free = F.filter("windows", lambda x: ~F.exists("hits", lambda u: (u["line"] == -1) | u["line"].between(x["line"], x["last"])))
     more = F.transform(free, lambda x: F.struct(x["line"].alias("line"), F.struct(x["dice"].alias("dice"), x["license"].alias("license")).alias("best")))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col), whole.alias("whole"))
-    found = found.select("id", hits.alias("hits"), _windows(F.col(text_col), F.col("whole.shared"), grams, threshold).alias("windows"))
+    found = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).select("id", "text", whole.alias("whole"))
+    found = found.select("id", hits.alias("hits"), _windows(text, F.col("whole.shared"), grams, threshold).alias("windows"))
     # explode_outer: for explode, Spark would infer a filter on the array and compute it twice
     found = found.select("id", F.explode_outer(F.concat("hits", more)).alias("u")).where("u IS NOT NULL")
     return found.select("id", "u.line", "u.best.license", "u.best.dice")

@@ -23,3 +23,12 @@ def test_windows_over_lines_and_inside_lines(spark):
     assert got == [
         (0, 2, "mit-notice"), (1, 0, "mit-notice"), (2, 0, "mit"), (3, 1, "gpl-3.0"), (4, 0, "all-rights-reserved"), (4, 0, "all-rights-reserved"), (8, 1, "mit"), (8, 2, "all-rights-reserved"),
     ]
+
+
+def test_very_long_text_and_clashing_names(spark):
+    """A notice wrapped over lines in the middle of a long text, next to columns of the operator's own names."""
+    body = "\n".join(f"w{i} w{i * 7 % 1000} w{i * 3 % 1000}" for i in range(30_000))
+    text = f"{body}\nsome words. Released under\nthe MIT\nLicense. more words\n{body}"
+    df = spark.createDataFrame([(1, text, 1, 2, 3), (2, None, 1, 2, 3), (2, "Released under the MIT License.", 1, 2, 3), (2, "Released under the MIT License.", 1, 2, 3)], "doc_id long, text string, line int, whole int, `a.b` int")
+    got = sorted((r["id"], r["line"], r["license"]) for r in license_scan.scan_licenses(df).collect())
+    assert got == [(1, 30_000, "mit"), (2, 0, "mit"), (2, 0, "mit")]

@@ -82,6 +82,13 @@ def test_substring_dedup_repeated_rows_and_empty_table(spark):
     assert substring_dedup.cut_repeated(df.limit(0)).count() == 0
 
 
+def test_substring_and_exact_dedup_take_names_with_dots(spark):
+    text = prose(random.Random(2), 60)
+    df = spark.createDataFrame([(1, text, 9), (2, text, 9)], "`doc.id` long, `a.text` string, `x.y` int")
+    assert [r["n_removed"] for r in substring_dedup.cut_repeated(df, "doc.id", "a.text").collect()] == [60, 60]
+    assert sorted(r["keep_id"] for r in exact_dedup.equal_texts(df, "doc.id", "a.text").collect()) == [2, 2]
+
+
 def test_fm_index_counts():
     import numpy as np
 
@@ -224,6 +231,13 @@ def test_line_dedup_ties_stay_together(spark):
     assert sorted(r["text"] for r in line_dedup.drop_repeated_lines(df).collect()) == ["a\nb\nc", "a\nb\nc", "d"]
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"line {i}" for i in range(50_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines[100:104]), 5), (2, "\n".join(lines), 5)], "`doc.id` long, `t.x` string, `a.b` int")
+    got = {r["doc.id"]: (r["t.x"], r["n_lines"], r["n_removed"]) for r in line_dedup.drop_repeated_lines(df, "doc.id", "t.x", counts=True).collect()}
+    assert got == {1: ("\n".join(lines[100:104]), 4, 0), 2: ("\n".join(lines[:100] + lines[104:]), 50_000, 4)}
+
+
 # op7
 
 

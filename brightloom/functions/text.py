@@ -74,8 +74,10 @@ def company_key(name: Column) -> Column:
     low = F.trim(F.lower(nfkc(F.coalesce(name, F.lit("")))))
     korean = "|".join(r"\s*".join("\\" + c if c in "()" else c for c in f) if "(" in f else f for f in KOREAN_FORMS)
     bare = F.regexp_replace(F.regexp_replace(low, rf"^(?:{korean})\s*", ""), rf"\s*(?:{korean})$", "")
+    bare = F.when(any_of([low.contains(f.strip("()")) for f in KOREAN_FORMS]), bare).otherwise(low)
     forms = "|".join(r"\.?\s*,?\s*".join(f.split(" ")) + r"\.?" for f in LEGAL_FORMS)
-    return _plain_key(F.regexp_replace(bare, rf"(?:(?:^|[\s,._-]+)(?:{forms})\s*)+$", ""))
+    ends = any_of([F.rtrim(bare, F.lit(" .\t")).endswith(f.split(" ")[-1]) for f in LEGAL_FORMS])  # most names have no form, and no need of the pattern
+    return _plain_key(F.when(ends, F.regexp_replace(bare, rf"(?:(?:^|[\s,._-]+)(?:{forms})\s*)+$", "")).otherwise(bare))
 
 
 def _is_place_tag(tag: Column) -> Column:
@@ -138,24 +140,24 @@ def host_of(url: Column) -> Column:
     return F.lower(url_part(url, "HOST"))
 
 
-_MARK = "\u0001"
-
-
 def dedup_url(url: Column, strip: Sequence[str] = STRIP_PARAMS, sort: bool = False, strip_utm: bool = False) -> Column:
     """Url for comparisons: tracking parameters, fragment and trailing slashes go; scheme, host and path in lower case.
 
-    Values of the other parameters keep their case. What has no scheme and host stays as it is. The url is taken apart
-    once; parameters are only looked at where there are some.
+    Values of the other parameters keep their case. What has no scheme and host stays as it is. Parts are cut by plain
+    string functions; patterns only see what comes before the path, and queries that there are.
     """
-    parts = F.split(F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]+)([^?#]*?)/*(?:\?([^#]*))?(?:#.*)?$", f"{_MARK}$1{_MARK}$2{_MARK}$3"), _MARK)
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    keep = lambda p: (p != "") & ~name(p).isin(*strip) & (~name(p).startswith("utm_") if strip_utm else F.lit(True))
-    params = F.filter(F.split(F.get(parts, F.lit(3)), "&"), keep)
-    query = F.array_join(F.array_sort(params) if sort else params, "&")
-    query = F.when(F.get(parts, F.lit(3)) == "", "").otherwise(F.concat(F.lit("?"), query))
-    path = F.get(parts, F.lit(2))
-    built = F.concat(F.lower(F.get(parts, F.lit(1))), F.when(path == "", "/").otherwise(F.lower(path)), F.when(query == "?", "").otherwise(query))
-    return F.coalesce(built, url)
+    bare = F.substring_index(url, "#", 1)
+    front = F.substring_index(bare, "?", 1)
+    low = F.rtrim(F.lower(front), F.lit("/"))
+    pathless = F.locate("/", F.substring_index(low, "://", -1)) == 0
+    query = F.substr(bare, F.length(front) + 2)
+    names = "|".join(n.replace(".", "\\.") for n in strip) + ("|utm_[^=&]*" if strip_utm else "")
+    left = F.regexp_replace(query, rf"(?i)(?<![^&])(?:{names})(?:=[^&]*)?(?:&|$)", "")
+    left = F.trim(F.regexp_replace(left, "&&+", "&"), F.lit("&"))
+    left = F.array_join(F.array_sort(F.split(left, "&")), "&") if sort else left
+    asked = F.when(query == "", "").otherwise(F.when(left == "", "").otherwise(F.concat(F.lit("?"), left)))
+    built = F.concat(low, F.when(pathless, "/").otherwise(""), asked)
+    return F.when(front.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/\s]"), built).otherwise(url)
 
 
 def cooldown_url(url: Column) -> Column:

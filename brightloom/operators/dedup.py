@@ -24,11 +24,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _url_key(url: Column) -> Column:
+    """dedup_url as a join key that is never null: for a nullable key Spark would filter on it first and make it twice."""
+    return F.coalesce(dedup_url(url), F.lit("\u0000"))
+
+
 def anti_seen_urls(df: DataFrame, seen: DataFrame) -> DataFrame:
     """Rows whose normalised url is none of those of seen (column url)."""
     own = owner_of(df, seen)
-    keys = seen.select(*own, dedup_url(F.col("url")).alias("_seen")).where("_seen IS NOT NULL").distinct()
-    return df.withColumn("_seen", dedup_url(F.col("url"))).join(keys, [*own, "_seen"], "left_anti").select(*df.columns)
+    keys = seen.where("url IS NOT NULL").select(*own, _url_key(F.col("url")).alias("_seen")).distinct()
+    return df.withColumn("_seen", _url_key(F.col("url"))).join(keys, [*own, "_seen"], "left_anti").select(*df.columns)
 
 
 def anti_seen_roles(df: DataFrame, seen: DataFrame) -> DataFrame:
@@ -84,8 +89,8 @@ def append_history(new: DataFrame, history: DataFrame, active: Column) -> DataFr
     """K1: the rows of new (url, status, pos, ...) to append: first of each normalised url and status, unless the history
     has an active row (condition active on history) of both."""
     own = owner_of(new, history)
-    seen = history.where(active).select(*own, dedup_url(F.col("url")).alias("_key"), "status").distinct()
-    fresh = new.withColumn("_key", dedup_url(F.col("url"))).join(seen, [*own, "_key", "status"], "left_anti")
+    seen = history.where(active).where("url IS NOT NULL").select(*own, _url_key(F.col("url")).alias("_key"), "status").distinct()
+    fresh = new.withColumn("_key", _url_key(F.col("url"))).join(seen, [*own, "_key", "status"], "left_anti")
     return first_per_key(fresh, [*own, "_key", "status"], F.col("pos")).drop("_key")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import sha1
 from itertools import combinations
 
 import numpy as np
@@ -30,12 +30,19 @@ def plain_words(text: Column) -> Column:
 @F.pandas_udf(LongType())
 def _voted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def fold(text: str | None) -> int | None:
-        words = text.split(" ") if text else []
-        if len(words) < WIDTH:
+        if text is None or len(text) < LEAST_TEXT:
             return None
-        digests = b"".join(hashlib.sha1(" ".join(s).encode()).digest()[:8] for s in zip(*(words[i:] for i in range(WIDTH))))
-        votes = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        return int.from_bytes(np.packbits(2 * votes > len(digests) // 8).tobytes(), "big", signed=True)
+        raw = text.encode()
+        blanks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 32)
+        if len(blanks) < WIDTH - 1:
+            return None
+        # words are joined by single blanks, so a shingle is a piece of the text
+        begin = np.concatenate([[0], blanks + 1])[: len(blanks) + 2 - WIDTH].tolist()
+        end = np.concatenate([blanks, [len(raw)]])[WIDTH - 1 :].tolist()
+        digests = b"".join([sha1(raw[a:b]).digest() for a, b in zip(begin, end)])
+        first = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 20)[:, :8]
+        votes = np.unpackbits(first, axis=1).sum(axis=0, dtype=np.int64)
+        return int.from_bytes(np.packbits(2 * votes > len(first)).tobytes(), "big", signed=True)
 
     for texts in batches:
         yield pd.Series([fold(t) for t in texts], dtype="Int64")
@@ -48,8 +55,9 @@ def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     under three words, tell nothing and are left out. Texts are cleaned in the JVM and folded in Arrow batches, row by
     row and without a shuffle.
     """
-    clean = df.select(key, plain_words(F.col(text)).alias("_t")).where(F.length("_t") >= LEAST_TEXT)
-    return clean.select(key, _voted("_t").alias("fingerprint")).where("fingerprint IS NOT NULL")
+    # nondeterministic: or Spark would push the filter below the fold and do it twice
+    voted = _voted.asNondeterministic()
+    return df.select(key, voted(plain_words(F.col(text))).alias("fingerprint")).where("fingerprint IS NOT NULL")
 
 
 def _parts() -> list[int]:
@@ -65,7 +73,8 @@ def cross_listings(new: DataFrame, seen: DataFrame, days: int = 90, max_bits: in
     """(id, other_id, distance): rows of seen of another company and url, at most `days` older, whose fingerprint
     differs in max_bits bits or fewer.
 
-    Columns: id, company, url, fingerprint, seen_at. Distinct fingerprints meet under every choice of the blocks that
+    Columns: id, company, url, fingerprint, seen_at; both tables are read twice, so hand over tables or checkpoints, not
+    plans that make fingerprints. Distinct fingerprints meet under every choice of the blocks that
     they can't help sharing (24 bits for 5 of 64), and count under the first such choice alone, so that pairs need no
     dedup; ids and companies join on to what is near. max_bits must be under the number of blocks.
     """

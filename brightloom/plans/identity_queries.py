@@ -261,5 +261,5 @@ def j7(spark, d):
     docs = table(spark, d, "documents")
     own = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("company"), F.col("doc_id").cast("string").alias("url"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 120).cast("int")).alias("seen_at"))
     fps = S.simhash(docs, "doc_id", "text")
-    rows = own.join(fps, F.col("id") == F.col("doc_id")).drop("doc_id")
+    rows = D.checkpointed(own.join(fps, F.col("id") == F.col("doc_id")).drop("doc_id"))
     return S.cross_listings(rows, rows)

@@ -10,16 +10,19 @@ from brightloom.llm import (
     chat_format,
     decontaminate,
     exact_dedup,
+    fingerprint_search,
     langid,
     license_scan,
     line_dedup,
     mixing,
     simhash,
+    spelling,
     substring_dedup,
+    token_align,
     url_filter,
 )
 
-MODULES = (chat_format, substring_dedup, decontaminate, mixing, url_filter, line_dedup, simhash, exact_dedup, license_scan, langid)
+MODULES = (chat_format, substring_dedup, decontaminate, mixing, url_filter, line_dedup, simhash, exact_dedup, license_scan, langid, spelling, fingerprint_search, token_align)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

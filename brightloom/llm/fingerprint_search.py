@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,30 +29,52 @@ from pyspark.sql import functions as F
 from brightloom.llm.common import named, read_table, written
 
 BITS, RADIUS, BLOCKS = 128, 3, 4
+#: Words whose hashes a worker remembers.
+REMEMBERED = 200_000
 #: Fingerprints of one key in one cell. It bounds a row, not what is found.
 CELL = 2048
 
 
-def term_weights(text: str | None) -> Counter:
-    """Times of each word and each pair of words, A-Z lower-cased; a pair is told from a word by its space."""
-    found = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    return Counter(found) + Counter(map(b" ".join, zip(found, found[1:])))
+class Digests(dict):
+    """Word to its 128-bit hash; forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = xxhash.xxh3_128_digest(word)
+        return found
+
+
+_DIGESTS = Digests()
 
 
-def weight(times: int, term: bytes) -> int:
-    """Damped by the logarithm of times, double for pairs; whole numbers, so that sums don't depend on their order."""
-    return round(16 * (1 + math.log(times))) << (b" " in term)
+def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs from the hashes of their words, both as (n, 2) arrays of unsigned 64-bit numbers."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ b >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 def fingerprint(text: str | None) -> bytes:
-    """16 bytes; zeros where text has no word."""
-    terms = term_weights(text)
-    names, weights = list(terms), np.array([weight(n, t) for t, n in terms.items()], dtype=np.float64)
-    votes = np.zeros(BITS)
-    for at in range(0, len(names), 1 << 12):  # a very long text needs no more memory than this for its bits
-        digests = b"".join(map(xxhash.xxh3_128_digest, names[at : at + (1 << 12)]))
-        votes += weights[at : at + (1 << 12)] @ np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, BITS // 8), axis=1)
-    return np.packbits(2 * votes > weights.sum()).tobytes()
+    """16 bytes; zeros where text has no word. A-Z are lower-cased.
+
+    A term's weight is damped by the logarithm of its times and double for pairs. Weights are whole numbers, so that sums
+    don't depend on their order.
+    """
+    found = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
+    if not found:
+        return bytes(BITS // 8)
+    words = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, found)), dtype=np.uint64).reshape(-1, 2)
+    votes, total = np.zeros(BITS), 0.0
+    for hashes, factor in ((words, 1), (pair_hashes(words[:-1], words[1:]), 2)):
+        _, first, times = np.unique(hashes[:, 0], return_index=True, return_counts=True)
+        weights = (factor * np.rint(16 * (1 + np.log(times)))).astype(np.float32)
+        total += float(weights.sum(dtype=np.float64))
+        for at in range(0, len(first), 1 << 12):  # a very long text needs no more memory than this for its bits
+            bits = np.unpackbits(np.ascontiguousarray(hashes[first[at : at + (1 << 12)]]).view(np.uint8), axis=1)
+            votes += weights[at : at + (1 << 12)] @ bits.astype(np.float32)  # under 2 ** 24, so exact
+    return np.packbits(2 * votes > total).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:

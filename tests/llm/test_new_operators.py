@@ -1,6 +1,7 @@
 """Spelling variants, document fingerprints and token alignment against brute force, and on odd rows."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from brightloom.llm import fingerprint_search, spelling, token_align
@@ -102,19 +104,26 @@ def test_long_chains_of_forms_lead_to_one_root(spark):
 # op12
 
 
-def plain_fingerprint(text):
-    import math
+M = (1 << 64) - 1
+
 
-    import xxhash
+def plain_pair(a, b):
+    x = (a * 0x9E3779B97F4A7C15 + (b ^ b >> 29) * 0xC2B2AE3D27D4EB4F) & M
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+    return x ^ x >> 31
 
-    w = (text or "").translate(LOWER)
-    w = re.findall(r"[^\x20\x09-\x0D]+", w)
-    terms = Counter(w) + Counter(f"{a} {b}" for a, b in zip(w, w[1:]))
+
+def plain_fingerprint(text):
+    w = [xxhash.xxh3_128_digest(x.encode()) for x in re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))]
+    halves = lambda d: (int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little"))
+    pairs = [b"".join(plain_pair(x, y).to_bytes(8, "little") for x, y in zip(halves(a), halves(b))) for a, b in zip(w, w[1:])]
     votes = [0] * 128
-    for t, n in terms.items():
-        weight, h = round(16 * (1 + math.log(n))) * (2 if " " in t else 1), xxhash.xxh3_128_intdigest(t.encode())
-        for b in range(128):
-            votes[b] += weight if h >> b & 1 else -weight
+    for terms, factor in ((w, 1), (pairs, 2)):
+        for d, n in Counter(terms).items():
+            weight, h = factor * round(16 * (1 + math.log(n))), int.from_bytes(d)
+            for b in range(128):
+                votes[b] += weight if h >> b & 1 else -weight
     return sum(1 << b for b in range(128) if votes[b] > 0)
 
 

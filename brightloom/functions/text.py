@@ -1,14 +1,12 @@
-"""Column expressions for keys, urls, dates, pay and text. All are built-in functions; only nfkc needs Arrow, for texts outside ASCII."""
+"""Column expressions for keys, urls, dates, pay and text, all in the JVM."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Query parameters that never tell two postings apart.
 STRIP_PARAMS = (
@@ -34,14 +32,12 @@ LEGAL_FORMS = ("co ltd", "corporation", "corp", "incorporated", "inc", "limited"
 KOREAN_FORMS = ("(주)", "주식회사", "유한회사")
 
 
-@F.pandas_udf(StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v) if v is not None else None)
-
-
 def nfkc(text: Column) -> Column:
-    """V4: Unicode compatibility normal form. Spark has no built-in for it; only texts that are not ASCII go through Arrow."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    """V4: Unicode compatibility normal form, by the ICU library that Spark ships for its collations. It stays in the JVM,
+    and only texts outside ASCII are normalised. Spark takes a reflected call as not deterministic: keys made of it can be
+    projected, grouped and windowed, but must be a column before they stand in a join condition."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
 
 
 #: Latin letters with marks and the letter alone, by Unicode's own decomposition.
@@ -180,20 +176,16 @@ def location_hint(url: Column) -> Column:
     return F.coalesce(F.lower(F.trim(F.regexp_replace(F.regexp_replace(decoded, "[-_+]+", " "), r"\s+", " "))), F.lit(""))
 
 
-def signals_remote(title: Column) -> Column:
-    """the word "remote" at the end, before a sign or before "in", and no "non", "not" or "no" right before one.
+# Blanks besides those of \s; a title that says remote, and one that denies it.
+OTHER_BLANKS = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+REMOTE_SAID = rf"(?<![a-z])remote(?=$|[\s{OTHER_BLANKS}]*[^a-z\s{OTHER_BLANKS}]|[\s{OTHER_BLANKS}]+in(?![a-z0-9_]))"
+REMOTE_DENIED = r"(?<![a-z0-9_])(?:non|not|no)[^a-z]*remote"
 
-    Words are looked at one by one: each word with the sign that follows it, and the word before.
-    """
+
+def signals_remote(title: Column) -> Column:
+    """"remote" not inside a word, at the end, before a sign or before "in", and denied nowhere in the title."""
     low = F.lower(F.coalesce(title, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"([a-z0-9_]+[^a-z0-9_]*)"), 1)
-    bare = F.transform(words, lambda w: F.regexp_extract(w, "^([a-z0-9_]+)", 1))
-    after = lambda i: F.coalesce(F.get(bare, i + 1), F.lit(""))
-    before = lambda i: F.when(i > 0, F.get(bare, i - 1)).otherwise("")
-    at = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
-    said = F.exists(at, lambda i: F.coalesce((F.get(bare, i) == "remote") & (F.get(words, i).rlike(r"^remote\s*[^\sa-z]") | (i == F.size(words) - 1) | (after(i) == "in")), F.lit(False)))
-    denied = F.exists(at, lambda i: F.coalesce((F.get(bare, i).startswith("remote") & before(i).isin("non", "not", "no")) | F.get(bare, i).rlike("^(non|not|no)remote"), F.lit(False)))
-    return said & ~denied
+    return low.contains("remote") & low.rlike(REMOTE_SAID) & ~low.rlike(REMOTE_DENIED)
 
 
 def stable_id(prefix: str, value: Column, digits: int = 20) -> Column:

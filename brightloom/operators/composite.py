@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from brightloom.functions.scope import owner_of
 from brightloom.functions.text import company_key, host_of, text_key
 from brightloom.operators.dedup import accept_in_order, checkpointed
-from brightloom.operators.identity import alike_titles, classify_source, role_tokens, roles_alike
+from brightloom.operators.identity import alike_titles, classify_source, role_of, roles_match
 from brightloom.operators.numbering import numbered
 from brightloom.operators.tracker import ADVANCED, merge_clusters, transition_allowed
 
@@ -69,7 +69,7 @@ def _opening_keys(df: DataFrame) -> DataFrame:
             "blind": F.coalesce(blind, F.lit(False)),
             "group": F.when(blind, F.concat(F.lit("via:"), via)).otherwise(F.concat(F.lit("company:"), company_key(F.col("company")))),
             "opening": F.when(~F.coalesce(F.col("status").isin(*ADVANCED), F.lit(False)), title),
-            "named": F.concat_ws("::", F.col("num").cast("string"), title),
+            "named": F.concat(F.col("num").cast("string"), F.lit("::"), title),
         }
     )
 
@@ -228,7 +228,7 @@ def append_dated(df: DataFrame, path: str, at: str) -> None:
 def find(tracker: DataFrame, text: str) -> DataFrame:
     """rows by number or report number (leading zeros don't count), or whose company or role contains text or is alike."""
     bare = text.strip().lstrip("0")
-    hit = F.lower("company").contains(text.lower()) | F.lower("role").contains(text.lower()) | roles_alike(role_tokens(F.lit(text)), role_tokens(F.col("role")))
+    hit = F.lower("company").contains(text.lower()) | F.lower("role").contains(text.lower()) | roles_match(role_of(F.lit(text)), role_of(F.col("role")))
     if bare.isdigit():
         hit = (F.col("num") == int(bare)) | F.exists("reports", lambda n: n == int(bare))
     return tracker.where(hit)

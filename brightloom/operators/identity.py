@@ -15,9 +15,9 @@ from brightloom.functions.text import company_key, host_of, text_key, without_ma
 HARD_STATUSES = ("applied", "responded", "interview", "offer", "rejected", "no-response")
 # Words of titles by what they say of a role.
 SENIORITIES = ("junior", "mid", "middle", "senior", "staff", "principal", "lead", "head", "chief", "associate", "intern", "entry")
-#: Levels below the bare title: one of them on one side alone is another role.
+# Levels below the bare title: one of them on one side alone is another role.
 SUB_BASELINE = ("associate", "junior", "entry", "intern")
-#: Besides seniorities: words that say nothing of a role's subject.
+# Besides seniorities: words that say nothing of a role's subject.
 STOPWORDS = (
     "level", "remote", "hybrid", "onsite", "contract", "contractor", "freelance", "fulltime", "parttime", "permanent", "temporary", "internship",
     "role", "position", "opportunity", "team", "based", "repost", "reposted", "relisted",
@@ -26,15 +26,15 @@ STOPWORDS = (
     "europe", "emea", "apac", "latam", "americas", "india", "spain", "germany", "france", "italy", "canada", "brazil", "mexico", "japan",
     "with", "from", "into", "over", "this", "that",
 )
-#: Short words that tell roles apart; "ai" and "ml" stand in too many titles for that.
+# Short words that tell roles apart; "ai" and "ml" stand in too many titles for that.
 SPECIALTIES = ("api", "sre", "sdk", "cli", "gpu", "cpu", "ios", "qa", "ux", "ui", "ar", "vr", "ocr", "crm", "erp")
-#: Words that many roles share: alone they make no match.
+# Words that many roles share: alone they make no match.
 BASELINE = (
     "software", "engineer", "developer", "manager", "architect", "analyst", "designer", "consultant", "specialist", "platform", "systems", "services",
     "backend", "frontend", "full", "stack", "fullstack", "product",
 )
-#: A level in front of a title at some companies.
-LEVEL_PHRASE = "member of technical staff"
+# A level in front of a title at some companies, and the baseline word that it stands for.
+LEVEL_PHRASE, LEVEL_WORD = "member of technical staff", "engineer"
 
 
 def resolve_company(df: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -59,21 +59,16 @@ def resolve_company(df: DataFrame, aliases: DataFrame) -> DataFrame:
 def role_tokens(title: Column) -> Column:
     """Distinct words of a title that tell roles apart: over three letters and no stopword, or a known short specialty.
 
-    Accents go, acronyms joined by a slash are one word, and the level "member of technical staff" is no word at all.
+    Accents go. The level "member of technical staff" counts as the baseline word "engineer", so that it alone neither makes
+    a match nor leaves a title without words. Signs of one to three letters or digits joined by a slash are one word ("ci/cd").
     """
-    low = F.regexp_replace(without_marks(F.lower(F.coalesce(title, F.lit("")))), rf"(?<![a-z0-9_]){LEVEL_PHRASE.replace(' ', '[ \\t]+')}(?![a-z0-9_])", " ")
-    low = F.regexp_replace(low, r"(?<=[a-z])/(?=[a-z])", "")
+    level = rf"(?<![a-z0-9_]){LEVEL_PHRASE.replace(' ', '\\s+')}(?![a-z0-9_])"
+    low = F.regexp_replace(without_marks(F.lower(F.coalesce(title, F.lit("")))), level, f" {LEVEL_WORD} ")
+    low = F.regexp_replace(low, r"(?<![a-z0-9_])([a-z0-9]{1,3})/([a-z0-9]{1,3})(?![a-z0-9_])", "$1$2")
     telling = lambda t: ((F.length(t) > 3) & ~t.isin(*STOPWORDS, *SENIORITIES)) | t.isin(*SPECIALTIES)
     return F.array_distinct(F.filter(F.split(low, "[^a-z0-9]+"), telling))
 
 
-def roles_alike(a: Column, b: Column) -> Column:
-    """J10 on token arrays: equal, or two shared tokens of which one is no baseline word, and Jaccard of 0.6 or more."""
-    shared, union = F.array_intersect(a, b), F.array_union(a, b)
-    telling = F.size(F.filter(shared, lambda t: ~t.isin(*BASELINE))) >= 1
-    return (F.size(union) > 0) & ((F.array_sort(a) == F.array_sort(b)) | ((F.size(shared) >= 2) & telling & (F.size(shared) / F.size(union) >= 0.6)))
-
-
 def role_of(title: Column) -> Column:
     """What roles_match compares: the title's text, its seniorities and its other tokens."""
     text = F.lower(F.trim(F.coalesce(title, F.lit(""))))

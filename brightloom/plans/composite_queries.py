@@ -187,10 +187,14 @@ def x6(spark, d):
     return table(spark, d, "pages").select("page_id", C.portal_url(F.col("url"), [("example.com", r"/([0-9]+)", "https://portal.example.com/view/")]).alias("key"))
 
 
-@query("x9_role_tokens", "SELECT p_partkey, array_to_string(list_sort(list_distinct([x for x in regexp_split_to_array(lower(p_name || ' ' || p_type || ' senior ux/ui'), '[^a-z0-9]+') if length(x) > 3 AND x <> 'senior'])), ',') AS tokens FROM part")
+_X9_SQL = """lower(p_name || ' ' || p_type || ' uxui ' || CASE p_partkey % 3 WHEN 0 THEN 'engineer connector' WHEN 1 THEN 'frontend mobile a1b2 qa' ELSE '' END)"""
+
+
+@query("x9_role_tokens", f"SELECT p_partkey, array_to_string(list_sort(list_distinct([x for x in regexp_split_to_array({_X9_SQL}, '[^a-z0-9]+') if length(x) > 3 OR x = 'qa'])), ',') AS tokens FROM part")
 def x9(spark, d):
-    title = F.concat_ws(" ", "p_name", "p_type", F.lit("Sénior ux/ui"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.filter(role_tokens(title), lambda t: t != "uxui")), ",").alias("tokens")).withColumn("tokens", F.col("tokens"))
+    more = F.when(F.col("p_partkey") % 3 == 0, "Member of  Technical Staff, Connector").when(F.col("p_partkey") % 3 == 1, "Frontend/Mobile A1/B2, QA ab/c/d").otherwise("")
+    title = F.concat_ws(" ", "p_name", "p_type", F.lit("Sénior ux/ui"), more)
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(role_tokens(title)), ",").alias("tokens"))
 
 
 @query("x24_structured_liveness", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderdate < TIMESTAMP '1996-01-01' THEN 'expired' WHEN o_orderstatus = 'O' THEN 'active' ELSE 'unknown' END AS state FROM orders")

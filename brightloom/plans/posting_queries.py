@@ -112,10 +112,11 @@ def f5(spark, d):
     return postings(spark, d).select("posting_id", X.location_hint(url).alias("hint"))
 
 
-_REMOTE = "CASE posting_id % 5 WHEN 0 THEN title || ' (Remote)' WHEN 1 THEN 'Not remote ' || title WHEN 2 THEN 'Remote sensing ' || title WHEN 3 THEN title || ' remote in MO' ELSE title END"
+_REMOTE = """CASE posting_id % 10 WHEN 0 THEN title || ' (Remote)' WHEN 1 THEN 'Not remote ' || title WHEN 2 THEN 'Remote sensing ' || title WHEN 3 THEN title || ' remote in MO' WHEN 4 THEN 'Remote 100% ' || title
+ WHEN 5 THEN title || ' - 2remote' WHEN 6 THEN title || '_remote' WHEN 7 THEN 'Non–Remote, remote ' || title WHEN 8 THEN title || ' Premote' ELSE title END"""
 
 
-@query("f6_signals_remote", f"{with_views('titles')} SELECT posting_id, posting_id % 5 IN (0, 3) AS remote FROM titles")
+@query("f6_signals_remote", f"{with_views('titles')} SELECT posting_id, posting_id % 10 IN (0, 3, 4, 5, 6) AS remote FROM titles")
 def f6(spark, d):
     return titles(spark, d).select("posting_id", X.signals_remote(F.expr(_REMOTE)).alias("remote"))
 

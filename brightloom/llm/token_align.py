@@ -6,7 +6,8 @@ many groups of one token on each side. Where they differ the group is irregular:
 next token until both end together, which also gives the new shift. Every step of that walk is one overlap of an A with
 a B token, so links come from the same pass.
 
-Texts are aligned in one pass by Python workers, row by row. How often an id pair is linked is counted over the corpus
+Texts are aligned in one pass by Python workers, row by row; a worker remembers the tokens of frequent chunks, which end
+where no token of either side can go on. How often an id pair is linked is counted over the corpus
 (combined before the shuffle), and what each text gains from those counts is looked up in the table of pairs: broadcast
 while it has at most BROADCAST_PAIRS rows, joined by a shuffle beyond.
 """
@@ -28,6 +29,10 @@ TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rows of the table of id pairs (24 bytes each) up to which it is broadcast.
 BROADCAST_PAIRS = 2_000_000
+#: Chunks of a text whose ids a worker remembers, each of at most CHUNK_CHARS characters; it starts anew when they are too many.
+REMEMBERED, CHUNK_CHARS = 300_000, 64
+#: No token of either tokenizer reaches over such a place: before a single space inside a text. Chunks are cut there.
+CUT = re.compile(r"(?<=[^\s▁])(?= [^\s▁])")
 #: A run of so many characters without, or of nothing but, white space is one piece to merge. Such texts go to the
 #: library whose time does not grow with the square of a piece. Either gives the same tokens.
 LONG_PIECE = re.compile(r"\S{2048}|\s{2048}")
@@ -43,7 +48,12 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE in a tokenizers JSON file: ids of space + text."""
+    """A byte-level BPE in a tokenizers JSON file: ids of space + text.
+
+    Its split pattern lets no token go on after a space that follows another sign, so chunks can be encoded apart.
+    """
+
+    apart = True
 
     def __init__(self, data: bytes) -> None:
         from tokenizers import Tokenizer
@@ -87,6 +97,8 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
+        # merges go on over a space only if there is a piece for it
+        self.apart = not any(re.search("[^▁]▁", x) for x in names) and "".join(self.model.id_to_piece(self.model.encode(" a"))) == "▁▁a"
 
     def encode(self, text: str) -> list[int]:
         return self.model.encode(text)
@@ -150,34 +162,51 @@ class PairNames(dict):
         return name
 
 
+class Chunks(dict):
+    """Chunk (a space and what follows) to the ids of both sides as bytes of int32, or None if their bytes are not the chunk."""
+
+    def __init__(self, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> None:
+        super().__init__()
+        self.sides = a, b
+
+    def __missing__(self, chunk: str) -> tuple[bytes, bytes] | None:
+        found, raw = [t.encode(chunk[1:]) for t in self.sides], chunk.encode()
+        whole = all(b"".join(map(t.bytes.__getitem__, ids)) == raw for t, ids in zip(self.sides, found))
+        out = tuple(np.array(x, dtype=np.int32).tobytes() for x in found) if whole else None
+        if len(chunk) <= CHUNK_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = out
+        return out
+
+
 class Aligner:
     """Aligns texts by two tokenizers."""
 
     def __init__(self, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> None:
-        self.sides = a, b
+        self.chunks, self.apart = Chunks(a, b), a.apart and b.apart
         self.lengths = [np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (a, b)]
         self.names = PairNames()
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]] | None:
+    def tokens(self, text: str | None) -> list[np.ndarray] | None:
         """Ids of both sides; None where the text has no tokens or they don't give the text back."""
         if not text:
             return None
-        found, raw = [t.encode(text) for t in self.sides], f" {text}".encode()
-        whole = (b"".join(map(t.bytes.__getitem__, ids)) == raw for t, ids in zip(self.sides, found))
-        return tuple(found) if all(whole) else None
+        chunks = CUT.split(f" {text}") if self.apart else [f" {text}"]
+        found = list(map(self.chunks.__getitem__, chunks))
+        return None if None in found else [np.frombuffer(b"".join(x), dtype=np.int32).astype(np.int64) for x in zip(*found)]
 
     def groups(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links, groups written as a1,a2|b1;a3|b2, and linked id pairs with their times."""
         found = self.tokens(text)
         if found is None:
             return 0, 0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        ids = [np.array(x, dtype=np.int64) for x in found]
-        stretches, odd = align_ends(*(np.cumsum(n[x]).tolist() for n, x in zip(self.lengths, ids)))
+        stretches, odd = align_ends(*(np.cumsum(n[x]).tolist() for n, x in zip(self.lengths, found)))
         first_a, first_b, n = np.array(stretches, dtype=np.int64).reshape(-1, 3).T
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        links = ids[0][np.repeat(first_a, n) + inside] << 32 | ids[1][np.repeat(first_b, n) + inside]
+        links = found[0][np.repeat(first_a, n) + inside] << 32 | found[1][np.repeat(first_b, n) + inside]
         names, shown, done = list(map(self.names.__getitem__, links.tolist())), [], 0
-        a, b = found
+        a, b = (x.tolist() for x in found)
         for before, i, p, j, q in odd:
             shown += names[done:before]
             shown.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")

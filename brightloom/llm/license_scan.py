@@ -4,7 +4,8 @@ DataFrame functions alone, row by row and without a shuffle. A unit is a line, a
 window of consecutive words anywhere in the text, whatever its lines. For a coefficient of t a unit of n bigrams can
 only reach a template of m if t / (2 - t) * m <= n <= (2 - t) / t * m; other templates are not compared. A window that
 begins or ends outside the template gets no worse without that end, so windows run from one bigram of the template to
-another; they are only tried in texts that hold t / (2 - t) * m bigrams of it.
+another; they are only tried in texts that hold t / (2 - t) * m bigrams of it. From a bigram of the template a window can
+only end at one of the next (2 - t) / t * m, so the search is linear in the text, whatever it repeats.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from brightloom.llm.common import named, read_table
 from brightloom.llm.decontaminate import normalised_words
 
 THRESHOLD = 0.8
+#: Windows that are joined at a time; it bounds what a step copies.
+BLOCK = 256
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -30,6 +33,8 @@ TEMPLATES = {
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "eupl-1.2": "Licensed under the EUPL, Version 1.2 or later.",
+    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "isc": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.",
     "mit": "Released under the MIT License.",
@@ -85,17 +90,18 @@ def _windows(text: Column, shared: Column, templates: Mapping[str, list[str]], t
         low, high = math.ceil(threshold / (2 - threshold) * m - 1e-9), math.floor((2 - threshold) / threshold * m + 1e-9)
         own = F.array(*map(F.lit, of))
 
-        def nearest(seeds: Column, s: Column) -> Column:
+        def nearest(seeds: Column, s: Column, i: Column) -> Column:
             def rate(e: Column) -> Column:
                 unit = F.transform(F.slice(grams, s["at"] + 1, e["at"] - s["at"] + 1), lambda b: b["g"])
                 dice = F.size(F.array_intersect(unit, own)) * F.lit(2.0) / (F.size(F.array_distinct(unit)) + m)
                 return F.struct(dice.alias("dice"), (-e["at"]).alias("at"), e["last"].alias("last"))
 
-            ends = F.filter(seeds, lambda e: (e["at"] - s["at"] + 1).between(low, high))
-            best = F.array_max(F.transform(ends, rate))
+            # low bigrams of the template at least, and high of any kind at most
+            near = F.filter(F.slice(seeds, i + low, F.lit(high - low + 1)), lambda e: (e["at"] - s["at"] + 1).between(low, high))
+            best = F.array_max(F.transform(near, rate))
             return F.struct(s["at"].alias("at"), F.lit(name).alias("license"), best["dice"].alias("dice"), (1 - best["at"]).alias("stop"), s["line"].alias("line"), best["last"].alias("last"))
 
-        found = _let(F.filter(grams, lambda b: b["g"].isin(of)), lambda seeds: F.transform(seeds, lambda s: nearest(seeds, s)))
+        found = _let(F.filter(grams, lambda b: b["g"].isin(of)), lambda seeds: F.transform(seeds, lambda s, i: nearest(seeds, s, i)))
         able = F.size(F.array_intersect(shared, own)) >= low
         return F.when(able, F.filter(found, lambda x: x["dice"] >= threshold).cast(_WINDOW)).otherwise(nothing)
 
@@ -107,6 +113,18 @@ def _windows(text: Column, shared: Column, templates: Mapping[str, list[str]], t
             .otherwise(kept)
         )
 
+    def joined(all_fits: Column) -> Column:
+        """Fits by blocks: only the last kept window of a block meets the next, so that no step copies all that is kept."""
+
+        def block(acc: Column, at: Column) -> Column:
+            start = F.slice(acc["open"], F.greatest(F.size(acc["open"]), F.lit(1)), F.lit(1))
+            done = F.slice(acc["open"], F.lit(1), F.greatest(F.size(acc["open"]) - 1, F.lit(0)))
+            fits = F.slice(all_fits, at * BLOCK + 1, F.lit(BLOCK))
+            return F.struct(F.concat(acc["out"], done).alias("out"), F.aggregate(fits, start, join).alias("open"))
+
+        empty = F.struct(nothing.alias("out"), nothing.alias("open"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(all_fits) / BLOCK).cast("int")), empty, block, lambda acc: F.concat(acc["out"], acc["open"]))
+
     words = F.flatten(F.transform(F.split(text, "\n"), lambda x, i: F.transform(normalised_words(x), lambda w: F.struct(w.alias("w"), i.alias("line")))))
     words = F.filter(words, lambda x: x["w"] != "")
     bigram = lambda w, i: F.struct(F.concat_ws(" ", F.get(w, i)["w"], F.get(w, i + 1)["w"]).alias("g"), i.alias("at"), F.get(w, i)["line"].alias("line"), F.get(w, i + 1)["line"].alias("last"))
@@ -114,7 +132,7 @@ def _windows(text: Column, shared: Column, templates: Mapping[str, list[str]], t
     fits = _let(grams, lambda g: F.array_sort(F.flatten(F.array(*[of_template(g, name, of) for name, of in templates.items()]))))
     lows = [F.size(F.array_intersect(shared, F.array(*map(F.lit, of)))) >= threshold / (2 - threshold) * len(of) - 1e-9 for of in templates.values()]
     some = F.exists(F.array(*lows), lambda x: x)
-    return F.when(some, F.aggregate(fits, nothing, join)).otherwise(nothing)
+    return F.when(some, _let(fits, joined)).otherwise(nothing)
 
 
 def scan_licenses(
@@ -127,24 +145,27 @@ def scan_licenses(
     Words are runs of letters, marks and digits in lower case; bigrams count once. Of several templates the nearest is
     named, of equals the first by name. Null and empty texts and units of one word have no bigram and match nothing.
     Null ids are kept; rows that repeat are each reported; texts are read whole, whatever their length, by one task each;
-    other columns are not read.
+    other columns are not read. No templates (or only templates of one word) and empty tables give no rows.
     """
     grams = {name: template_bigrams(templates[name]) for name in sorted(templates)}
     grams = {name: of for name, of in grams.items() if of}
     text = F.col("text")
     lines = F.split(text, "\n")
     several = text.contains("\n")
+    if not grams:
+        return docs.select(named(id_col).alias("id"), F.lit(0).alias("line"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).where("false")
     every = F.array(*map(F.lit, sorted({g for of in grams.values() for g in of})))
-    judge = lambda unit, at: F.struct(at.alias("line"), _let(_bigrams(unit), lambda g: _best(g, grams, threshold)).alias("best"))
     whole = _let(_bigrams(text), lambda g: F.struct(F.when(several, _best(g, grams, threshold)).alias("best"), F.array_intersect(every, g).alias("shared")))
-    units = F.concat(F.transform(lines, lambda x, i: judge(x, i)), F.array(F.struct(F.lit(-1).alias("line"), F.col("whole.best").alias("best"))))
-    hits = F.filter(units, lambda u: u["best"].isNotNull())
-    free = F.filter("windows", lambda x: ~F.exists("hits", lambda u: (u["line"] == -1) | u["line"].between(x["line"], x["last"])))
-    more = F.transform(free, lambda x: F.struct(x["line"].alias("line"), F.struct(x["dice"].alias("dice"), x["license"].alias("license")).alias("best")))
+    lined = F.transform(lines, lambda x: _let(_bigrams(x), lambda g: _best(g, grams, threshold)))
     found = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).select("id", "text", whole.alias("whole"))
-    found = found.select("id", hits.alias("hits"), _windows(text, F.col("whole.shared"), grams, threshold).alias("windows"))
+    found = found.select("id", F.col("whole.best").alias("best"), lined.alias("lined"), _windows(text, F.col("whole.shared"), grams, threshold).alias("windows"))
+    unit = lambda line, best: F.struct(line.cast("int").alias("line"), best.alias("best"))
+    units = F.concat(F.transform("lined", lambda b, i: unit(i, b)), F.array(unit(F.lit(-1), F.col("best"))))
+    touched = lambda x: F.exists(F.slice("lined", x["line"] + 1, x["last"] - x["line"] + 1), lambda b: b.isNotNull())
+    free = F.filter("windows", lambda x: F.col("best").isNull() & ~touched(x))
+    more = F.transform(free, lambda x: unit(x["line"], F.struct(x["dice"].alias("dice"), x["license"].alias("license"))))
     # explode_outer: for explode, Spark would infer a filter on the array and compute it twice
-    found = found.select("id", F.explode_outer(F.concat("hits", more)).alias("u")).where("u IS NOT NULL")
+    found = found.select("id", F.explode_outer(F.concat(F.filter(units, lambda u: u["best"].isNotNull()), more)).alias("u")).where("u IS NOT NULL")
     return found.select("id", "u.line", "u.best.license", "u.best.dice")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brightloom.operators import ingest as TI
 from brightloom.operators import mail as M
 from brightloom.operators import quality as Q
 from brightloom.operators import ranking as K
+from brightloom.operators import threads as TH
 from brightloom.operators import tracker as T
 from brightloom.plans.views import changes, health, messages, table, tracker, with_views
 
@@ -542,3 +544,99 @@ def a21(spark, d):
     from brightloom.operators.dedup import latest_state
 
     return latest_state(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"])
+
+
+# threads and ingest in full
+
+#: What a message says, its kind as an own and as a received one, and what it proves: proposal, rejects, recruits, tells,
+#: proves (own), proves (received).
+_SAYINGS = (
+    ("포지션 제안 드립니다", None, None, 1, 0, 1, 0, 1, 1), ("지원하겠습니다. 이력서를 첨부드립니다", "applied", None, 0, 0, 1, 0, 1, 0), ("정중히 거절하겠습니다", "declined", None, 0, 0, 0, 0, 0, 0),
+    ("지원을 철회합니다", "withdrawn", None, 0, 0, 0, 0, 0, 0), ("검토해 보겠습니다", "pending", None, 0, 0, 0, 0, 0, 0), ("지원이 정상적으로 접수되었습니다", None, "applied", 0, 0, 1, 1, 0, 0),
+    ("면접 일정 안내드립니다", None, "interview", 0, 0, 1, 1, 0, 0), ("최종 합격을 축하드립니다", None, "offer", 0, 0, 0, 1, 0, 0), ("이번 전형에서 탈락하셨습니다", None, "rejected", 0, 1, 0, 1, 0, 0),
+    ("입사일은 3월 1일입니다", None, "hired", 0, 0, 1, 0, 0, 0), ("감사합니다", None, None, 0, 0, 0, 0, 0, 0), ("연봉이 맞으면 지원하겠습니다", None, None, 0, 0, 0, 0, 1, 0),
+    ("포지션 제안: 불합격자에게는 연락하지 않습니다\n채용 절차: 서류 → 면접 → 최종 합격", None, None, 1, 0, 1, 1, 1, 1),
+)
+
+
+def conversing(spark, d, m=None):
+    """Messages of conversations whose bodies are sayings; with message_id and at as the place in the thread."""
+    m = messages(spark, d) if m is None else m
+    said = F.element_at(F.array(*[F.lit(t[0]) for t in _SAYINGS]), ((F.col("thread_id") * 7 + F.col("at")) % len(_SAYINGS) + 1).cast("int"))
+    at = F.col("at").cast("long")
+    return m.select("thread_id", at.alias("at"), at.alias("message_id"), "sent", F.concat(F.lit("Hello,\n"), said).alias("body"), (F.col("at") % 5 == 4).alias("removed"))
+
+
+_SAID_ROWS = ", ".join(f"({i}, {', '.join(repr(x) if x else 'NULL::VARCHAR' for x in t[1:3])}, {', '.join(map(str, t[3:]))})" for i, t in enumerate(_SAYINGS))
+_PROPOSED = "NOT m.sent AND f.current IS NULL AND m.proposal = 1"
+_SAID_KIND = f"""CASE WHEN {_PROPOSED} AND NOT (m.recruits = 1 AND m.rejects = 1) THEN 'proposal_unanswered' WHEN m.rule IS NOT NULL THEN m.rule WHEN {_PROPOSED} THEN 'proposal_unanswered'
+    WHEN m.sent AND f.current = 'proposal_unanswered' THEN 'pending' WHEN NOT m.sent AND f.current IN ('applied', 'responded') THEN 'responded' END"""
+_THREAD_CTES = f"""{with_views('messages').replace('WITH', 'WITH RECURSIVE')},
+s(i, own, received, proposal, rejects, recruits, tells, proves_own, proves_received) AS (VALUES {_SAID_ROWS}),
+a AS (SELECT thread_id, "at", sent, CASE WHEN sent THEN own ELSE received END AS rule, proposal, rejects, recruits AS r, tells, CASE WHEN sent THEN proves_own ELSE proves_received END AS proves
+  FROM messages JOIN s ON s.i = (thread_id * 7 + "at") % {len(_SAYINGS)}),
+m AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY "at") AS i FROM (SELECT *, max(r) OVER t AS recruits, max(tells) OVER t AS any_tells, max(proves) OVER t AS any_proves FROM a WINDOW t AS (PARTITION BY thread_id))
+  WHERE any_proves = 1 OR (recruits = 1 AND any_tells = 1)),
+f AS (
+  SELECT DISTINCT thread_id, 0::BIGINT AS i, NULL::BIGINT AS "at", NULL::VARCHAR AS current, false AS application, false AS new FROM m
+  UNION ALL SELECT thread_id, i, "at", CASE WHEN new THEN kind ELSE current END, application OR coalesce(new AND kind IN ('applied', 'responded', 'interview', 'offer', 'hired', 'rejected'), false), new
+  FROM (SELECT thread_id, i, "at", current, application, CASE WHEN application AND k = 'declined' THEN 'withdrawn' ELSE k END AS kind, k IS NOT NULL AND NOT (application AND k = 'pending') AS new
+    FROM (SELECT m.thread_id, m.i, m."at", f.current, f.application, {_SAID_KIND} AS k FROM f JOIN m ON m.thread_id = f.thread_id AND m.i = f.i + 1)))"""
+
+
+@query("w7_thread_states", f"""{_THREAD_CTES} SELECT thread_id, "at" AS message_id, current AS kind, false AS needs_review, row_number() OVER (PARTITION BY thread_id ORDER BY i DESC) = 1 AS apply FROM f WHERE new""")
+def w7_states(spark, d):
+    """W7 and W11 with all kinds of the classifier."""
+    return TH.thread_states(conversing(spark, d)).select("thread_id", "message_id", "kind", "needs_review", "apply")
+
+
+_KINDS_OF_EVENTS = ("proposal_unanswered", "pending", "declined", "withdrawn", "applied", "responded", "interview", "offer", "rejected", "hired")
+_STATUSES_OF_KEYS = (None, "evaluated", "applied", "skip", "interview", "discarded", "rejected")
+_APPLIED = f"(f.status IN {TI.APPLICATION!r} OR (f.status = 'discarded' AND (coalesce(f.decision = 'applied', false) OR f.noted)))"
+_PHASES = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TI.PHASE.items()) + " ELSE 0 END"
+_CANONICAL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TI.CANONICAL.items()) + " END"
+
+
+@query(
+    "q6_ingest_in_order",
+    f"""{with_views('changes').replace('WITH', 'WITH RECURSIVE')},
+ev AS (SELECT event_id, key, {list(_KINDS_OF_EVENTS)!r}[(event_id % 10 + 1)::INT] AS kind, event_at, event_id % 13 > 0 AS apply, event_id % 11 = 0 AS review FROM changes WHERE event_id % 7 <> 0 OR event_id % 14 = 0),
+st AS (SELECT key, {str(list(_STATUSES_OF_KEYS)).replace('None', 'NULL')}[(key % 7 + 1)::INT] AS status, key % 2 = 0 AS dated, ['applied', 'pending', 'excluded', NULL][(key % 4 + 1)::INT] AS decision,
+  [TIMESTAMP '2024-01-05', NULL, TIMESTAMP '2024-01-10'][(key % 3 + 1)::INT] AS decided_at, key % 8 = 2 AS withdrawn, key % 6 = 0 AS noted FROM (SELECT DISTINCT key FROM changes WHERE key % 5 > 0)),
+m AS (SELECT *, {_CANONICAL} AS canonical, row_number() OVER (PARTITION BY key ORDER BY event_at, event_id) AS i FROM ev WHERE apply),
+f AS (
+  SELECT k.key, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS kind, NULL::TIMESTAMP AS event_at, NULL::VARCHAR AS outcome, false AS review, st.status, st.status AS first_status, coalesce(dated, false) AS dated,
+    decision, decided_at, coalesce(withdrawn, false) AS withdrawn, coalesce(noted, false) AS noted FROM (SELECT DISTINCT key FROM m) k LEFT JOIN st USING (key)
+  UNION ALL SELECT key, i, event_id, kind, event_at, o, rv, CASE WHEN o = 'applied' AND NOT rv AND canonical IS NOT NULL THEN canonical ELSE status END, first_status, dated,
+    CASE WHEN o <> 'applied' THEN decision WHEN rv OR kind IN ('pending', 'proposal_unanswered') THEN 'pending' WHEN kind IN ('declined', 'withdrawn') THEN 'excluded' ELSE 'applied' END,
+    CASE WHEN o = 'applied' THEN event_at ELSE decided_at END, CASE WHEN o = 'applied' THEN kind = 'withdrawn' AND NOT rv ELSE withdrawn END, noted
+  FROM (SELECT *, CASE WHEN o = 'application_preserved' THEN kind = 'declined' ELSE given END AS rv FROM (
+    SELECT f.key, m.i, m.event_id, m.kind, m.event_at, m.review AS given, m.canonical, f.status, f.first_status, f.dated, f.decision, f.decided_at, f.withdrawn, f.noted,
+      CASE WHEN f.decided_at IS NOT NULL AND m.event_at < f.decided_at THEN 'older_than_current_decision'
+        WHEN f.dated AND f.status = f.first_status AND m.event_at::DATE < DATE '2024-01-08' THEN 'older_than_canonical_transition'
+        WHEN f.status = 'skip' AND m.kind = 'proposal_unanswered' THEN 'prior_exclusion_preserved'
+        WHEN m.review AND {_APPLIED} THEN 'review_preserves_application'
+        WHEN {_APPLIED} AND m.kind IN ('pending', 'proposal_unanswered', 'declined') THEN 'application_preserved'
+        WHEN f.status IS NOT NULL AND m.canonical IS NOT NULL AND m.kind <> 'withdrawn' AND {_PHASES.format('f.status')} > {_PHASES.format('m.canonical')} THEN 'later_application_stage_preserved'
+        WHEN f.withdrawn AND m.kind IN ('pending', 'proposal_unanswered', 'declined') THEN 'withdrawal_preserved' ELSE 'applied' END AS o
+    FROM f JOIN m ON m.key = f.key AND m.i = f.i + 1)))
+SELECT event_id, key, kind, outcome, review AS needs_review, status, decision FROM f WHERE i > 0
+UNION ALL SELECT event_id, key, kind, 'history_only', review, NULL, NULL FROM ev WHERE NOT apply""",
+)
+def q6_in_order(spark, d):
+    """All outcomes, each event against what the ones before it left."""
+    c, e, k = changes(spark, d), F.col("event_id"), F.col("key")
+    of = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    events = c.select("event_id", "key", of(_KINDS_OF_EVENTS, e % 10).alias("kind"), "event_at", (e % 13 > 0).alias("apply"), (e % 11 == 0).alias("needs_review"))
+    ledger = c.where("event_id % 7 = 0").select("event_id", F.when(e % 14 == 0, "error").otherwise("applied").alias("outcome"))
+    state = c.where("key % 5 > 0").select("key").distinct().withColumn("status", of(_STATUSES_OF_KEYS, k % 7))
+    state = state.withColumns(
+        {
+            "dates": F.when((k % 2 == 0) & F.col("status").isNotNull(), F.create_map("status", F.lit("2024-01-08").cast("date"))),
+            "decision": of(("applied", "pending", "excluded", None), k % 4),
+            "decided_at": of(("2024-01-05", None, "2024-01-10"), k % 3).cast("timestamp"),
+            "withdrawn": k % 8 == 2,
+            "noted": k % 6 == 0,
+        }
+    )
+    return TI.ingest_in_order(events, ledger, state).drop("event_at")

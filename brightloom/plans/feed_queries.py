@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from brightloom.operators.dedup import checkpointed
+from brightloom.operators.threads import stream_thread_states
+from brightloom.plans.application_queries import _THREAD_CTES, conversing
+from brightloom.plans.views import as_messages, changes, table, with_views
 from brightloom.sources import feeds as S
 from brightloom.streaming import events as E
-from brightloom.plans.views import changes, table, with_views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,11 +123,11 @@ def t11(spark, d):
     return E.flag_out_of_window(changes(spark, d), "2024-01-29")
 
 
-def _drained(spark, d, build, key: str):
-    """The last row of each key that a stream over the events table gives, by its batch, when it has read everything."""
+def _drained(spark, d, build, key: str, name: str = "events"):
+    """The last row of each key that a stream over a table gives, by its batch, when it has read everything."""
     # the file source wants a pattern or a folder; batches are folders beside the checkpoints, which all executors share
-    schema = table(spark, d, "events").schema
-    src = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    schema = table(spark, d, name).schema
+    src = spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
     checkpointed(spark.range(1))  # sets the folder where the session has none
     home = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
     E.run_incremental(build(src), f"{home}/cursor", E.parquet_sink(f"{home}/out")).awaitTermination()
@@ -155,6 +157,23 @@ def t5(spark, d):
     return _drained(spark, d, build, "thread_id")
 
 
+@query(
+    "t5_stream_thread_states",
+    f"""{_THREAD_CTES} SELECT t.thread_id, e.kind, e.message_id, coalesce(e.n, 0) AS n_events, t.n_messages, t.unavailable FROM (SELECT thread_id, count(*) AS n_messages, count(*) FILTER ("at" % 5 = 4) AS unavailable FROM messages GROUP BY 1) t
+LEFT JOIN (SELECT thread_id, arg_max(current, i) AS kind, max("at") AS message_id, count(*) AS n FROM f WHERE new GROUP BY 1) e USING (thread_id)""",
+)
+def t5_states(spark, d):
+    """The same events as in batch, of threads that a stream gathers."""
+    build = lambda src: stream_thread_states(conversing(spark, d, as_messages(src)))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _drained(spark, d, build, "thread_id", "conversations")
+    finally:
+        spark.conf.set(store, before)
+
+
 @query("t3_stream_dedup", "SELECT user_id AS key, 1 AS n FROM events GROUP BY 1")
 def t3(spark, d):
     def build(src):

@@ -93,10 +93,12 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_messages(conversations: DataFrame) -> DataFrame:
+    return conversations.where("role <> 'system'").select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("at"), (F.col("role") == "user").alias("sent"), F.col("text").alias("body"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role <> 'system'").select(
-        F.col("conv_id").alias("thread_id"), F.col("turn").alias("at"), (F.col("role") == "user").alias("sent"), F.col("text").alias("body")
-    )
+    return as_messages(table(spark, sf_dir, "conversations"))
 
 
 #: The same views as DuckDB CTEs.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brightloom.operators import dedup as D
 from brightloom.operators import filters as R
 from brightloom.operators import identity as I
+from brightloom.operators import resolver as V
 from brightloom.operators import similarity as S
 from brightloom.plans.views import history, table, titles, tracker, with_views
 
@@ -170,6 +171,44 @@ def j6(spark, d):
     return I.history_gate(_candidates(spark, d), tracker(spark, d))
 
 
+_RESOLVED = f"""t AS (SELECT num, status, lower(role) = 'low' AS low, num % 1000 AS u, regexp_replace(lower(company), '[^a-z0-9]+', '', 'g') AS k FROM tracker),
+p AS (SELECT c_custkey AS posting_id, c_custkey % 4 = 2 AS low, c_custkey % 1000 AS u, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS k FROM customer),
+j AS (SELECT posting_id, num, status, CASE WHEN status = 'skip' THEN t.u = p.u ELSE t.low = p.low END AS role_match FROM p JOIN t USING (k))"""
+
+
+def _told_candidates(spark, d):
+    """Customers as postings; one in five names its company in the text alone. Titles of any two roles but "low" are alike."""
+    name = F.col("c_name")
+    roles = F.element_at(F.array(*map(F.lit, ("Urgent", "High", "Low", "None"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    blank = F.col("c_custkey") % 5 == 0
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("posting_id"), F.when(blank, " ").otherwise(F.concat(name, F.lit(", Ltd."))).alias("company"), F.concat(F.lit("Data Platform Engineer, "), roles).alias("title"),
+        F.when(blank, F.concat(F.lit("We at "), name, F.lit(" look for you"))).otherwise("Customer#000000001").alias("identity_text"), F.concat(F.lit("https://x.example.com/wd/"), F.col("c_custkey") % 1000, F.lit("?ref=a")).alias("url"),
+        F.when(F.col("c_custkey") % 19 == 0, "ambiguous").otherwise("exact").alias("resolution"), F.when(F.col("c_custkey") % 17 == 0, "conditional_reapply").alias("pipeline_bucket"),
+    )
+
+
+def _told_tracker(spark, d):
+    return tracker(spark, d).select("num", "company", F.concat("role", F.lit(" Data Platform Engineer")).alias("role"), "status", F.concat(F.lit("see https://x.example.com/wd/"), F.col("num") % 1000, F.lit(" and https://x.example.com/about")).alias("notes"))
+
+
+@query("j5_resolved_matches", f"{with_views('tracker')}, {_RESOLVED} SELECT posting_id, num, status, role_match, row_number() OVER (PARTITION BY posting_id ORDER BY role_match DESC, num DESC)::INT AS rank FROM j QUALIFY rank <= 3")
+def j5_resolved(spark, d):
+    """Unnamed companies, alike roles and skipped rows."""
+    return V.resolved_matches(_told_candidates(spark, d), _told_tracker(spark, d))
+
+
+@query(
+    "j6_resolved_gate",
+    f"""{with_views('tracker')}, {_RESOLVED}, g AS (SELECT posting_id, max_by({{'n': num, 's': status}}, num) FILTER (WHERE role_match AND status IN {V.ROLE_BLOCKS!r}) AS r, max(num) FILTER (WHERE status IN {V.COMPANY_BLOCKS!r}) AS c FROM j GROUP BY 1),
+w AS (SELECT posting_id, r, c, CASE WHEN posting_id % 19 = 0 THEN 'ambiguous_company_identity' WHEN posting_id % 17 = 0 THEN 'pipeline_conditional_reapply' WHEN r IS NOT NULL THEN 'same_role_' || r.s WHEN c IS NOT NULL THEN 'same_company_prior_application'
+  ELSE 'no_blocking_history' END AS reason FROM p LEFT JOIN g USING (posting_id))
+SELECT posting_id, CASE WHEN reason = 'no_blocking_history' THEN 'eligible' ELSE 'excluded' END AS gate, reason, CASE WHEN starts_with(reason, 'same_role_') THEN r.n WHEN reason = 'same_company_prior_application' THEN c END AS num FROM w""",
+)
+def j6_resolved(spark, d):
+    return V.resolved_gate(_told_candidates(spark, d), _told_tracker(spark, d))
+
+
 @query("f18_gate", f"{with_views('tracker')}, {_GATE} SELECT posting_id FROM g WHERE gate = 'eligible'")
 def f18(spark, d):
     return I.history_gate(_candidates(spark, d), tracker(spark, d)).where("gate = 'eligible'").select("posting_id")

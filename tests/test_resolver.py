@@ -1,0 +1,76 @@
+"""Postings against a history, against plain loops over all pairs."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from brightloom.operators import identity, resolver
+
+COMPANIES = ["Acme Inc", "acme", "Ac", "Zeta Labs", "zetalabs", "B", "", None, "Müller & Co"]
+ROLES = ["Senior Data Platform Engineer", "Data Platform Engineer", "Data Platform Engineer, Search", "Cook (Remote)", "Cook", "Search Platform Engineer", "", None]
+STATUSES = ["applied", "Skip", "rejected", "evaluated", "discarded", "no-response", "hired"]
+URLS = ["https://x.org/wd/1", "https://x.org/wd/2?ref=q", "https://y.org/jobs/view/1", "https://x.org/about", None]
+
+
+def squeezed(text):
+    return re.sub(r"[\W_]+", "", (text or "").lower())
+
+
+def test_names_in_texts_equal_brute_force(spark):
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choice("abcd") for _ in range(rng.randrange(40)))) for i in range(60)]
+    keys = ["", *{"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(80)}]
+    frame, named = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(k,) for k in keys], "k string")
+    got = sorted(tuple(r) for r in resolver.keys_in_texts(frame, named, []).collect())
+    assert got == sorted((i, k) for i, t in texts for k in keys if k and k in t) and got
+
+
+def test_matches_and_gates_equal_plain_loops(spark):
+    rng = random.Random(7)
+    said = ["We at ACME hire", "zeta-labs and Acme", "nothing", None, "Mül-ler"]
+    postings = [("me", i, rng.choice(COMPANIES), rng.choice(ROLES), rng.choice(URLS), rng.choice(said), rng.choice([None, "ambiguous", "exact", "exact", "exact"]), rng.choice([None, None, None, "conditional_reapply"])) for i in range(150)]
+    rows = [("me", i, rng.choice(COMPANIES), rng.choice(ROLES), rng.choice(STATUSES), rng.choice(URLS), f"see {rng.choice(URLS)} ok") for i in range(120)]
+    pdf = spark.createDataFrame(postings, "owner_id string, posting_id int, company string, title string, url string, identity_text string, resolution string, pipeline_bucket string")
+    tdf = spark.createDataFrame(rows, "owner_id string, num int, company string, role string, status string, url string, notes string")
+    roles = [(a, b) for a in ROLES for b in ROLES]
+    alike = spark.createDataFrame(roles, "a string, b string").select("a", "b", identity.roles_match(identity.role_of(F.col("a")), identity.role_of(F.col("b"))).alias("m"))
+    fuzzy = {(r.a, r.b): r.m for r in alike.collect()}
+    company = lambda c: squeezed(re.sub(r" inc$", "", (c or "").lower()))
+    key = lambda t: squeezed((t or "").replace("(Remote)", ""))
+    bare = lambda u: u.split("?")[0] if u else u
+    host = lambda u: u.split("/")[2]
+    exact = lambda t: re.sub(r"\s+", "", (t or "").lower())
+
+    def role_match(p, t):
+        if t[4].lower() != "skip":
+            return (key(p[3]) != "" and key(p[3]) == key(t[3])) or fuzzy[p[3], t[3]]
+        urls = [bare(u) for u in (t[5], t[6].split()[1]) if u and re.search(r"/wd/\d|/jobs/view/\d", u)]
+        target = bare(p[4])
+        if target and target in urls:
+            return True
+        return exact(p[3]) != "" and exact(p[3]) == exact(t[3]) and not (target and any(host(u) == host(target) and u != target for u in urls))
+
+    matches, gates = {}, {}
+    for p in postings:
+        k = company(p[2])
+        mine = [t for t in rows if company(t[2]) and (company(t[2]) == k if k else company(t[2]) in squeezed(p[5]))]
+        ranked = sorted(((role_match(p, t), t[1], t[4].lower()) for t in mine), key=lambda x: (-x[0], -x[1]))
+        matches[p[1]] = ranked[:3]
+        same = next((x for x in ranked if x[0] and x[2] in resolver.ROLE_BLOCKS), None)
+        prior = max((x[1] for x in ranked if x[2] in resolver.COMPANY_BLOCKS), default=None)
+        if p[6] == "ambiguous":
+            gates[p[1]] = ("excluded", "ambiguous_company_identity", None)
+        elif p[7]:
+            gates[p[1]] = ("excluded", "pipeline_conditional_reapply", None)
+        elif same:
+            gates[p[1]] = ("excluded", f"same_role_{same[2]}", same[1])
+        else:
+            gates[p[1]] = ("excluded", "same_company_prior_application", prior) if prior is not None else ("eligible", "no_blocking_history", None)
+    got = {i: [] for i in matches}
+    for r in sorted(resolver.resolved_matches(pdf, tdf).collect(), key=lambda r: r["rank"]):
+        got[r.posting_id].append((r.role_match, r.num, r.status))
+    assert got == matches
+    assert {r.posting_id: (r.gate, r.reason, r.num) for r in resolver.resolved_gate(pdf, tdf).collect()} == gates
+    assert {"eligible", "excluded"} == {g[0] for g in gates.values()}
+    assert resolver.resolved_matches(pdf.limit(0), tdf).count() == 0 and resolver.resolved_gate(pdf, tdf.limit(0)).where("gate = 'eligible'").count() > 0

@@ -6,8 +6,7 @@ many groups of one token on each side. Where they differ the group is irregular:
 next token until both end together, which also gives the new shift. Every step of that walk is one overlap of an A with
 a B token, so links come from the same pass.
 
-Texts are aligned in one pass by Python workers, row by row; a worker remembers the tokens of frequent chunks, which end
-where no token of either side can go on. How often an id pair is linked is counted over the corpus
+Texts are aligned in one pass by Python workers, row by row. How often an id pair is linked is counted over the corpus
 (combined before the shuffle), and what each text gains from those counts is looked up in the table of pairs: broadcast
 while it has at most BROADCAST_PAIRS rows, joined by a shuffle beyond.
 """
@@ -20,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +29,6 @@ TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rows of the table of id pairs (24 bytes each) up to which it is broadcast.
 BROADCAST_PAIRS = 2_000_000
-#: Chunks of a text whose ids a worker remembers, each of at most CHUNK_CHARS characters; it starts anew when they are too many.
-REMEMBERED, CHUNK_CHARS = 300_000, 64
-#: No token of either tokenizer reaches over such a place: before a single space inside a text. Chunks are cut there.
-CUT = re.compile(r"(?<=[^\s▁])(?= [^\s▁])")
 #: A run of so many characters without, or of nothing but, white space is one piece to merge. Such texts go to the
 #: library whose time does not grow with the square of a piece. Either gives the same tokens.
 LONG_PIECE = re.compile(r"\S{2048}|\s{2048}")
@@ -48,12 +44,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE in a tokenizers JSON file: ids of space + text.
-
-    Its split pattern lets no token go on after a space that follows another sign, so chunks can be encoded apart.
-    """
-
-    apart = True
+    """A byte-level BPE in a tokenizers JSON file: ids of space + text."""
 
     def __init__(self, data: bytes) -> None:
         from tokenizers import Tokenizer
@@ -83,7 +74,7 @@ class ByteLevel:
         return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is None or LONG_PIECE.search(text):
+        if self.fast is None or (len(text) >= 2048 and LONG_PIECE.search(text)):
             return self.whole.encode(f" {text}", add_special_tokens=False).ids
         return self.fast.encode_ordinary(f" {text}")
 
@@ -97,8 +88,6 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        # merges go on over a space only if there is a piece for it
-        self.apart = not any(re.search("[^▁]▁", x) for x in names) and "".join(self.model.id_to_piece(self.model.encode(" a"))) == "▁▁a"
 
     def encode(self, text: str) -> list[int]:
         return self.model.encode(text)
@@ -108,19 +97,16 @@ def load_tokenizer(name: str, data: bytes) -> ByteLevel | Pieces:
     return ByteLevel(data) if name.endswith(".json") else Pieces(data)
 
 
-def align_ends(a: list[int], b: list[int]) -> tuple[list[int], list[tuple[int, int, int, int, int]]]:
-    """Links and irregular groups of two rising lists of ends with the same last end.
-
-    Links are stretches i, j, n, one after the other: the tokens i, i + 1 ... of a with j, j + 1 ... of b. An irregular group is (links before
-    it, its first tokens, the tokens after its last). All other links are groups of their own.
-    """
-    i = j = before = 0
+def align_ends(a: list[int], b: list[int]) -> list[int]:
+    """Links of two rising lists of ends with the same last end, as stretches i, j, n, one after the other: the tokens i,
+    i + 1 ... of a with j, j + 1 ... of b, each pair a group of its own. A link after which its group goes on has n = -1."""
+    i = j = 0
     n = len(a)
-    links, odd = [], []
+    links: list[int] = []
     while i < n:
         if a[i] == b[j]:
             # probe stretches at this shift, each twice as long, until one does not agree; then halve what is tried
-            first, next_j, step = i, j, 1
+            first, other, step = i, j, 1
             while a[i : i + step] == b[j : j + step]:
                 i, j, step = i + step, j + step, 2 * step
                 if i >= n:
@@ -130,14 +116,12 @@ def align_ends(a: list[int], b: list[int]) -> tuple[list[int], list[tuple[int, i
                 step >>= 1
                 if a[i : i + step] == b[j : j + step]:
                     i, j = i + step, j + step
-            links += (first, next_j, i - first)
-            before += i - first
+            links += (first, other, i - first)
             if i >= n:
                 break
-        first, next_j = i, j
         x, y = a[i], b[j]
         while x != y:
-            links += (i, j, 1)
+            links += (i, j, -1)
             if x < y:
                 i += 1
                 x = a[i]
@@ -147,73 +131,72 @@ def align_ends(a: list[int], b: list[int]) -> tuple[list[int], list[tuple[int, i
         links += (i, j, 1)
         i += 1
         j += 1
-        odd.append((before, first, i, next_j, j))
-        before += i - first + j - next_j - 1
-    return links, odd
-
-
-class PairNames(dict):
-    """Packed id pair to `a|b`, made on first use and forgotten when there are too many."""
-
-    def __missing__(self, pair: int) -> str:
-        if len(self) > 1 << 20:
-            self.clear()
-        self[pair] = name = f"{pair >> 32}|{pair & 0xFFFFFFFF}"
-        return name
-
-
-class Chunks(dict):
-    """Chunk (a space and what follows) to the ids of both sides as bytes of int32, or None if their bytes are not the chunk."""
-
-    def __init__(self, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> None:
-        super().__init__()
-        self.sides = a, b
-
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes] | None:
-        found, raw = [t.encode(chunk[1:]) for t in self.sides], chunk.encode()
-        whole = all(b"".join(map(t.bytes.__getitem__, ids)) == raw for t, ids in zip(self.sides, found))
-        out = tuple(np.array(x, dtype=np.int32).tobytes() for x in found) if whole else None
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = out
-        return out
+    return links
 
 
 class Aligner:
     """Aligns texts by two tokenizers."""
 
     def __init__(self, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> None:
-        self.chunks, self.apart = Chunks(a, b), a.apart and b.apart
-        self.lengths = [np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (a, b)]
-        self.names = PairNames()
+        self.sides = a, b
+        self.lengths = [np.array([len(x) for x in t.bytes], dtype=np.int64) for t in self.sides]
+        most = max(len(t.bytes) for t in self.sides)
+        width = len(str(most))
+        #: Every id in digits, to the right, with room for a separator; and which of these bytes count.
+        self.digits = np.array([list(f"{i:0{width}},".encode()) for i in range(most)], dtype=np.uint8)
+        self.shown = np.arange(width + 1) >= width - np.array([len(str(i)) for i in range(most)])[:, None]
 
     def tokens(self, text: str | None) -> list[np.ndarray] | None:
         """Ids of both sides; None where the text has no tokens or they don't give the text back."""
         if not text:
             return None
-        chunks = CUT.split(f" {text}") if self.apart else [f" {text}"]
-        found = list(map(self.chunks.__getitem__, chunks))
-        return None if None in found else [np.frombuffer(b"".join(x), dtype=np.int32).astype(np.int64) for x in zip(*found)]
+        found, raw = [t.encode(text) for t in self.sides], f" {text}".encode()
+        whole = all(b"".join(map(t.bytes.__getitem__, ids)) == raw for t, ids in zip(self.sides, found))
+        return [np.array(x, dtype=np.int64) for x in found] if whole else None
+
+    def written(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
+        """Groups as a1,a2|b1;a3|b2: last_a and last_b are the places of each group's last tokens."""
+        count_a, count_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        # a token stands behind those of its own side and, in whole groups, those of the other
+        at_a = np.arange(len(a)) + np.repeat(last_b + 1 - count_b, count_a)
+        at_b = np.arange(len(b)) + np.repeat(last_a + 1, count_b)
+        ids = np.empty(len(a) + len(b), dtype=np.int64)
+        ids[at_a], ids[at_b] = a, b
+        parts = []
+        for at in range(0, len(ids), 1 << 16):  # a very long text needs no more memory than this
+            some = ids[at : at + (1 << 16)]
+            signs = self.digits[some]
+            for places, sign in ((at_a[last_a], b"|"), (at_b[last_b], b";")):
+                here = places[np.searchsorted(places, at) : np.searchsorted(places, at + len(some))]
+                signs[here - at, -1] = sign[0]
+            parts.append(signs[self.shown[some]].tobytes())
+        return b"".join(parts)[:-1].decode()
 
     def groups(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links, groups written as a1,a2|b1;a3|b2, and linked id pairs with their times."""
         found = self.tokens(text)
         if found is None:
             return 0, 0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        stretches, odd = align_ends(*(np.cumsum(n[x]).tolist() for n, x in zip(self.lengths, found)))
-        first_a, first_b, n = np.array(stretches, dtype=np.int64).reshape(-1, 3).T
+        a, b = found
+        first_a, first_b, n = np.array(align_ends(*(np.cumsum(n[x]).tolist() for n, x in zip(self.lengths, found))), dtype=np.int64).reshape(-1, 3).T
+        ends, n = n > 0, np.abs(n)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        links = found[0][np.repeat(first_a, n) + inside] << 32 | found[1][np.repeat(first_b, n) + inside]
-        names, shown, done = list(map(self.names.__getitem__, links.tolist())), [], 0
-        a, b = (x.tolist() for x in found)
-        for before, i, p, j, q in odd:
-            shown += names[done:before]
-            shown.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            done = before + p - i + q - j - 1
-        shown += names[done:]
-        pairs, times = np.unique(links, return_counts=True)
-        return len(a), len(b), len(shown), len(links), ";".join(shown), pairs, times
+        link_a, link_b, ends = np.repeat(first_a, n) + inside, np.repeat(first_b, n) + inside, np.repeat(ends, n)
+        pairs, times = np.unique(a[link_a] << 32 | b[link_b], return_counts=True)
+        shown = self.written(a, b, link_a[ends], link_b[ends])
+        return len(a), len(b), int(ends.sum()), len(link_a), shown, pairs, times
+
+
+_LOADED: dict[tuple, Aligner] = {}
+
+
+def loaded(files: list[tuple[str, bytes]]) -> Aligner:
+    """The aligner of two tokenizer files (name, content); a worker keeps the last one."""
+    key = tuple((name, xxhash.xxh3_128_digest(data)) for name, data in files)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Aligner(*(load_tokenizer(*f) for f in files))
+    return _LOADED[key]
 
 
 def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_a: str = TOKENIZER_A, tokenizer_b: str = TOKENIZER_B) -> DataFrame:
@@ -234,7 +217,7 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = spark.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*(load_tokenizer(*f) for f in shared.value))
+        aligner = loaded(shared.value)
         names = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # what is sent back is many times the text

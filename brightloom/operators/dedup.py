@@ -97,11 +97,11 @@ def append_history(new: DataFrame, history: DataFrame, active: Column) -> DataFr
 def posting_index(history: DataFrame) -> DataFrame:
     """K3: index rebuilt from history: the first row by pos of each listing id (of each owner)."""
     own = owner_of(history)
-    keyed = history.withColumns({"_u": dedup_url(F.col("url")), "company_key": company_key(F.col("company")), "role_key": role_key(F.col("title"))})
-    # keys of a listing id are made from what the first row of its url has, so ids are made once for each url
-    first = first_per_key(keyed.select(*own, "_u", "url", "first_seen", "portal", "company_key", "role_key", "status", "pos"), [*own, "_u"], F.col("pos"))
+    rows = history.select(*own, dedup_url(F.col("url")).alias("_u"), "url", "first_seen", "portal", "company", "title", "status", "pos")
+    # keys and ids are made from what the first row of its url has, once for each url and after the shuffle
+    first = first_per_key(rows, [*own, "_u"], F.col("pos")).withColumns({"company_key": company_key(F.col("company")), "role_key": role_key(F.col("title"))})
     ids = {"listing_instance_id": stable_id("li_", F.col("_u")), "posting_cluster_id": stable_id("pc_", F.concat_ws("::", "company_key", "role_key"))}
-    return first.withColumns(ids).drop("_u")
+    return first.withColumns(ids).select(*own, "url", "first_seen", "portal", "company_key", "role_key", "status", "pos", *ids)
 
 
 def append_posting_index(new: DataFrame, index: DataFrame) -> DataFrame:

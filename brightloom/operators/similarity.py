@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from brightloom.functions.text import company_key
+from brightloom.operators.dedup import checkpointed
 
 BITS, MAX_BITS = 64, 5
-#: Blocks of a fingerprint; two that differ in MAX_BITS bits agree on BLOCKS - MAX_BITS of them (24 of 64 bits).
-BLOCKS = 8
+#: Blocks of a fingerprint, least and most; two that differ in MAX_BITS bits agree on blocks - MAX_BITS of them (24 of 64
+#: bits at least). More fingerprints take more blocks: longer keys, so that chance makes one candidate a key at most.
+BLOCKS, MOST_BLOCKS = 8, 12
+#: Pairs of one key beyond which its fingerprints are told apart by some of their other bits, too, and the parts of those.
+HOT_PAIRS, PARTS = 4096, 8
 #: Texts with fewer signs after cleaning, or fewer words than a shingle, have no fingerprint.
 LEAST_TEXT, WIDTH = 200, 3
 
@@ -60,34 +64,67 @@ def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, voted(plain_words(F.col(text))).alias("fingerprint")).where("fingerprint IS NOT NULL")
 
 
-def _parts() -> list[int]:
-    cuts = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+def _masks(bits: list[int], parts: int, size: int) -> list[int]:
+    """One mask for each choice of `size` of the parts that bits are cut into."""
+    cuts = [len(bits) * i // parts for i in range(parts + 1)]
+    each = [sum(1 << x for x in bits[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return [sum(c) for c in combinations(each, size)]
 
 
-def _long(mask: int) -> Column:
-    return F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask).cast("long")
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """The least number of blocks whose keys have a value for each of n fingerprints; MOST_BLOCKS at most."""
+    return next((b for b in range(BLOCKS, MOST_BLOCKS) if n <= 1 << BITS * (b - max_bits) // b), MOST_BLOCKS)
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """(fa, fb, choice): unequal fingerprints (distinct, column fp) of left and right that agree on a choice of blocks that those
+    within max_bits can't help sharing.
+
+    A choice's key whose fingerprints would make over hot_pairs pairs is no key by itself: the bits that it leaves free are
+    cut into PARTS parts, of which those within max_bits share PARTS - max_bits too, and these make the key longer.
+    """
+    if max_bits >= min(blocks, PARTS):
+        raise ValueError("max_bits must be under the number of blocks and parts")
+    masks = _masks(list(range(BITS)), blocks, blocks - max_bits)
+    keys = F.inline(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)]))
+    a, b = (df.select("fp", keys) for df in (left, right))
+    tally = lambda df, n, m: df.groupBy("choice", "value").agg(F.count("*").alias(n)).withColumn(m, F.lit(0).cast("long"))
+    sizes = tally(a, "na", "nb").unionByName(tally(b, "nb", "na")).groupBy("choice", "value").agg((F.sum("na") * F.sum("nb")).alias("pairs"))
+    hot = checkpointed(sizes.where(F.col("pairs") > hot_pairs).select("choice", "value"))
+    cold = lambda df: df.join(hot, ["choice", "value"], "left_anti")
+    pairs = cold(a).withColumnRenamed("fp", "fa").join(cold(b).withColumnRenamed("fp", "fb"), ["choice", "value"]).where("fa <> fb").select("fa", "fb", "choice")
+    if hot.isEmpty():
+        return pairs
+    free = [(i, _signed(m | more)) for i, m in enumerate(masks) for more in _masks([x for x in range(BITS) if not m >> x & 1], PARTS, PARTS - max_bits)]
+    longer = F.broadcast(left.sparkSession.createDataFrame(free, "choice int, mask long"))  # as many rows as blocks and PARTS allow
+    split = lambda df: df.join(hot, ["choice", "value"]).join(longer, "choice").select("fp", "choice", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
+    more = split(a).withColumnRenamed("fp", "fa").join(split(b).withColumnRenamed("fp", "fb"), ["choice", "mask", "value"]).where("fa <> fb").select("fa", "fb", "choice")
+    return pairs.union(more)
+
+
+def near_fingerprints(left: DataFrame, right: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """(fa, fb, distance): all distinct pairs of fingerprints (column fp, distinct) that differ in max_bits bits or fewer."""
+    blocks = blocks or blocks_for(max(left.count(), right.count()), max_bits)
+    distance = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
+    met = candidate_pairs(left, right, max_bits, blocks, hot_pairs)
+    equal = left.join(right, "fp").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"), F.lit(0).alias("distance"))
+    return met.where(distance <= max_bits).select("fa", "fb", distance.alias("distance")).distinct().union(equal)
 
 
 def cross_listings(new: DataFrame, seen: DataFrame, days: int = 90, max_bits: int = MAX_BITS) -> DataFrame:
     """(id, other_id, distance): rows of seen of another company and url, at most `days` older, whose fingerprint
     differs in max_bits bits or fewer.
 
-    Columns: id, company, url, fingerprint, seen_at; both tables are read twice, so hand over tables or checkpoints, not
-    plans that make fingerprints. Distinct fingerprints meet under every choice of the blocks that
-    they can't help sharing (24 bits for 5 of 64), and count under the first such choice alone, so that pairs need no
-    dedup; ids and companies join on to what is near. max_bits must be under the number of blocks.
+    Columns: id, company, url, fingerprint, seen_at; both tables are read several times, so hand over tables or checkpoints,
+    not plans that make fingerprints. Near distinct fingerprints are found first; ids and companies join on to what is
+    near. Rows that repeat a fingerprint make all their pairs here: near_fingerprints has one for each pair of texts.
     """
-    if max_bits >= BLOCKS:
-        raise ValueError("max_bits must be under the number of blocks")
-    parts, size = _parts(), BLOCKS - max_bits
-    choices = list(combinations(range(BLOCKS), size))
-    key = lambda c: F.struct(F.lit(choices.index(c)).alias("choice"), F.lit(c[-1]).alias("upto"), F.col("fp").bitwiseAND(_long(sum(parts[i] for i in c))).alias("value"))
-    values = lambda df, name: df.select(F.col("fingerprint").alias("fp")).where("fp IS NOT NULL").distinct().select(F.col("fp").alias(name), F.inline(F.array(*map(key, choices))))
-    apart = F.col("fa").bitwiseXOR(F.col("fb"))
-    met = values(new, "fa").join(values(seen, "fb").drop("upto"), ["choice", "value"])
-    agree = [F.when((F.lit(i) <= F.col("upto")) & (apart.bitwiseAND(_long(p)) == 0), 1).otherwise(0) for i, p in enumerate(parts)]
-    near = met.where((F.bit_count(apart) <= max_bits) & (sum(agree[1:], agree[0]) == size)).select("fa", "fb", F.bit_count(apart).alias("distance"))
+    distinct = lambda df: df.where("fingerprint IS NOT NULL").select(F.col("fingerprint").alias("fp")).distinct()
+    near = near_fingerprints(checkpointed(distinct(new)), checkpointed(distinct(seen)), max_bits)
     side = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("id", "url", "fingerprint", "seen_at")], company_key(F.col("company")).alias(p + "key"))
     a, b = side(new, "a_"), side(seen, "b_")
     met = a.join(near, F.col("a_fingerprint") == F.col("fa")).join(b, F.col("fb") == F.col("b_fingerprint"))

@@ -302,3 +302,11 @@ def j7(spark, d):
     fps = S.simhash(docs, "doc_id", "text")
     rows = D.checkpointed(own.join(fps, F.col("id") == F.col("doc_id")).drop("doc_id"))
     return S.cross_listings(rows, rows)
+
+
+@query("j7_near_fingerprints", f"WITH {_FP}, d AS (SELECT DISTINCT fp FROM fp) SELECT printf('%016x', a.fp) AS fingerprint, printf('%016x', b.fp) AS near, bit_count(xor(a.fp, b.fp))::INT AS distance FROM d a JOIN d b ON a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= 5")
+def j7_fingerprints(spark, d):
+    """One row for each pair of near texts, whatever their copies; a22_simhash has what belongs to each."""
+    fps = D.checkpointed(S.simhash(table(spark, d, "documents"), "doc_id", "text").select(F.col("fingerprint").alias("fp")).distinct())
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return S.near_fingerprints(fps, fps).where(text("fa") < text("fb")).select(text("fa").alias("fingerprint"), text("fb").alias("near"), "distance")

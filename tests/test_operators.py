@@ -75,6 +75,29 @@ def test_cross_listings_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_near_fingerprints_are_whole_and_their_candidates_grow_in_proportion(spark):
+    rng = random.Random(12)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+
+    def table(n):
+        seeds = [rng.getrandbits(64) for _ in range(n // 10)]
+        return list({*seeds, *(flip(rng.choice(seeds), rng.randrange(1, 8)) for _ in range(n // 10))} | {rng.getrandbits(40) << 24 | 0xABCDEF for _ in range(n // 3)} | {rng.getrandbits(64) for _ in range(n // 2)})  # a third share 24 bits
+
+    counts = []
+    for n in (400, 800, 3200):
+        fps = table(n)
+        df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+        counts.append(similarity.candidate_pairs(df, df, hot_pairs=9).count())
+        if n == 400:
+            want = {(signed(a), signed(b)) for a in fps for b in fps if bin(a ^ b).count("1") <= 5}
+            for blocks, hot in ((8, 100), (8, 1 << 40), (9, 100)):
+                got = [(r.fa, r.fb) for r in similarity.near_fingerprints(df, df, blocks=blocks, hot_pairs=hot).collect()]
+                assert len(got) == len(set(got)) and set(got) == want
+    assert counts[2] < 5 * counts[1], counts
+    assert [similarity.blocks_for(n) for n in (1000, 1 << 24, 1 << 25, 1 << 31, 1 << 62)] == [8, 8, 9, 10, 12]
+
+
 def test_thread_fold(spark):
     rows = [(1, 0, "applied"), (1, 1, "interview"), (1, 2, "applied"), (1, 3, "rejected"), (1, 4, "offer"), (2, 0, None), (3, 0, "offer")]
     df = spark.createDataFrame(rows, "thread_id long, at long, k string")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +40,11 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: Spark does not share what a call that it takes as not deterministic gives."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 #: Latin letters with marks and the letter alone, by Unicode's own decomposition.
 _MARKED = {chr(c): base[0] for c in range(0xC0, 0x250) if (base := unicodedata.normalize("NFD", chr(c)))[0].isascii() and len(base) > 1}
 
@@ -67,13 +72,19 @@ def company_key(name: Column) -> Column:
     A form counts as a word of its own: what comes before it is a sign or the beginning of the name, and dots, commas and
     blanks inside it don't matter ("Co., Ltd." is "co ltd").
     """
-    low = F.trim(F.lower(nfkc(F.coalesce(name, F.lit("")))))
     korean = "|".join(r"\s*".join("\\" + c if c in "()" else c for c in f) if "(" in f else f for f in KOREAN_FORMS)
-    bare = F.regexp_replace(F.regexp_replace(low, rf"^(?:{korean})\s*", ""), rf"\s*(?:{korean})$", "")
-    bare = F.when(any_of([low.contains(f.strip("()")) for f in KOREAN_FORMS]), bare).otherwise(low)
     forms = "|".join(r"\.?\s*,?\s*".join(f.split(" ")) + r"\.?" for f in LEGAL_FORMS)
-    ends = any_of([F.rtrim(bare, F.lit(" .\t")).endswith(f.split(" ")[-1]) for f in LEGAL_FORMS])  # most names have no form, and no need of the pattern
-    return _plain_key(F.when(ends, F.regexp_replace(bare, rf"(?:(?:^|[\s,._-]+)(?:{forms})\s*)+$", "")).otherwise(bare))
+
+    def without_korean(low: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(low, rf"^(?:{korean})\s*", ""), rf"\s*(?:{korean})$", "")
+        return F.when(any_of([low.contains(f.strip("()")) for f in KOREAN_FORMS]), bare).otherwise(low)
+
+    def without_forms(bare: Column) -> Column:
+        # most names have no form, and no need of the pattern
+        ends = let(F.rtrim(bare, F.lit(" .\t")), lambda end: any_of([end.endswith(f.split(" ")[-1]) for f in LEGAL_FORMS]))
+        return _plain_key(F.when(ends, F.regexp_replace(bare, rf"(?:(?:^|[\s,._-]+)(?:{forms})\s*)+$", "")).otherwise(bare))
+
+    return let(F.trim(F.lower(nfkc(F.coalesce(name, F.lit(""))))), lambda low: let(without_korean(low), without_forms))
 
 
 def _is_place_tag(tag: Column) -> Column:
@@ -89,14 +100,16 @@ def role_key(title: Column) -> Column:
 
     Other tags stay, so that "Engineer (Backend)" and "Engineer (Frontend)" are two roles.
     """
-    low = F.trim(F.lower(nfkc(F.coalesce(title, F.lit("")))))
-    tagged = low.rlike(r"[)\]]$")
-    # the tags at the end, last first; those before the first that is no place stay
-    tail = F.regexp_extract(low, r"((?:\s*[(\[][^()\[\]]+[)\]])+)$", 1)
-    tags = F.regexp_extract_all(tail, F.lit(r"[(\[]([^()\[\]]+)[)\]]"), 1)
-    kept = F.aggregate(F.reverse(tags), F.array().cast("array<string>"), lambda acc, t: F.when((F.size(acc) > 0) | ~_is_place_tag(t), F.array_append(acc, t)).otherwise(acc))
-    head = F.substr(low, F.lit(1), F.length(low) - F.length(tail))
-    return _plain_key(F.when(tagged, F.concat(head, F.lit(" "), F.array_join(F.reverse(kept), " "))).otherwise(low))
+
+    def untagged(low: Column) -> Column:
+        # the tags at the end, last first; those before the first that is no place stay
+        tail = F.regexp_extract(low, r"((?:\s*[(\[][^()\[\]]+[)\]])+)$", 1)
+        tags = F.regexp_extract_all(tail, F.lit(r"[(\[]([^()\[\]]+)[)\]]"), 1)
+        kept = F.aggregate(F.reverse(tags), F.array().cast("array<string>"), lambda acc, t: F.when((F.size(acc) > 0) | ~_is_place_tag(t), F.array_append(acc, t)).otherwise(acc))
+        head = F.substr(low, F.lit(1), F.length(low) - F.length(tail))
+        return F.concat(head, F.lit(" "), F.array_join(F.reverse(kept), " "))
+
+    return let(F.trim(F.lower(nfkc(F.coalesce(title, F.lit(""))))), lambda low: _plain_key(F.when(low.rlike(r"[)\]]$"), untagged(low)).otherwise(low)))
 
 
 def has_keyword(low: Column, keyword: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions.scope import owner_of
-from brightloom.functions.text import company_key, html_to_text, nfkc, text_key
+from brightloom.functions.text import company_key, html_to_text, let, nfkc, text_key
 from brightloom.operators.tracker import transition_allowed
 
 # What messages say, from the strongest kind to the weakest.
@@ -73,24 +73,32 @@ POSITION = r"채용\s*포지션\s*[:：]\s*(.+?)\s+[-–—|｜/]\s+(.+?)(?:\n|\
 def message_kind(text: Column, subject: Column | None = None, kinds: Sequence = KINDS, context: str | None = CONTEXT) -> Column:
     """Kind of a message, the strongest that its text says; a rejection needs a word of recruiting besides. Null if
     nothing is said, or if a portal only tells of a chat message."""
-    low, kind = F.lower(nfkc(F.coalesce(text, F.lit("")))), F.lit(None).cast("string")
-    for name, patterns in reversed(list(kinds)):
-        hit = low.rlike("|".join(f"(?:{p})" for p in patterns))
-        if name == "rejected" and context:
-            hit = hit & low.rlike(context)
-        if name == "applied":
-            hit = hit | (low.rlike(OWN_APPLICATION[0]) & low.rlike(OWN_APPLICATION[1]))
-        kind = F.when(hit, name).otherwise(kind)
-    if subject is not None:
-        kind = F.when(~(F.lower(nfkc(F.coalesce(subject, F.lit("")))).rlike(CHAT_NOTICE) & ~low.rlike(CHAT_WORDS)), kind)
-    return kind
+
+    def judged(low: Column) -> Column:
+        kind = F.lit(None).cast("string")
+        for name, patterns in reversed(list(kinds)):
+            hit = low.rlike("|".join(f"(?:{p})" for p in patterns))
+            if name == "rejected" and context:
+                hit = hit & low.rlike(context)
+            if name == "applied":
+                hit = hit | (low.rlike(OWN_APPLICATION[0]) & low.rlike(OWN_APPLICATION[1]))
+            kind = F.when(hit, name).otherwise(kind)
+        if subject is not None:
+            kind = F.when(~(F.lower(nfkc(F.coalesce(subject, F.lit("")))).rlike(CHAT_NOTICE) & ~low.rlike(CHAT_WORDS)), kind)
+        return kind
+
+    return let(F.lower(nfkc(F.coalesce(text, F.lit("")))), judged)
 
 
 def subject_names(subject: Column, body: Column) -> tuple[Column, Column]:
     """(company, role) by the first template that subject or body fits, else what either names alone; null where
     nothing is named."""
     plain = lambda c: F.trim(nfkc(F.coalesce(c, F.lit(""))))
-    said, told = F.regexp_replace(plain(subject), r"(?i)^(?:(?:fwd?|re)\s*:\s*)+", ""), plain(body)
+    both = F.struct(F.regexp_replace(plain(subject), r"(?i)^(?:(?:fwd?|re)\s*:\s*)+", "").alias("said"), plain(body).alias("told"))
+    return let(both, lambda x: _named(x["said"], x["told"])[0]), let(both, lambda x: _named(x["said"], x["told"])[1])
+
+
+def _named(said: Column, told: Column) -> tuple[Column, Column]:
     first = F.regexp_replace(F.regexp_extract(said, BRACKET, 1), r"(?i)\s+(?:careers|채용)$", "")
     # a body that begins with the company of the subject's bracket: the bracket and what follows the name
     led = F.when((first != "") & told.startswith(first), F.concat(F.lit("["), first, F.lit("]\u0001"), F.substr(told, F.length(first) + 1))).otherwise("")
@@ -160,13 +168,16 @@ def _identity(text: Column) -> Column:
 
 def company_aliases(company: Column) -> Column:
     """The company's name, and both names where one in Hangul and one in Latin letters stand as "name (name)"."""
-    name = _identity(company)
-    left, right = F.trim(F.regexp_extract(name, r"^([^()]+)\(([^()]+)\)$", 1)), F.trim(F.regexp_extract(name, r"^([^()]+)\(([^()]+)\)$", 2))
-    hangul, latin = (lambda t: t.rlike("[가-힣]")), (lambda t: t.rlike("[a-z]"))
-    two = (hangul(left) & latin(right)) | (latin(left) & hangul(right))
-    letters = F.regexp_replace(F.when(hangul(left), right).otherwise(left), "[^a-z]", "")
-    told = two & (F.least(F.length(left), F.length(right)) >= 2) & (F.length(letters) >= 3) & ~right.isin("inc", "ltd", "korea", "한국", "주식회사")
-    return F.when(told, F.array_distinct(F.array(name, left, right))).otherwise(F.array(name))
+
+    def names(name: Column) -> Column:
+        left, right = F.trim(F.regexp_extract(name, r"^([^()]+)\(([^()]+)\)$", 1)), F.trim(F.regexp_extract(name, r"^([^()]+)\(([^()]+)\)$", 2))
+        hangul, latin = (lambda t: t.rlike("[가-힣]")), (lambda t: t.rlike("[a-z]"))
+        two = (hangul(left) & latin(right)) | (latin(left) & hangul(right))
+        letters = F.regexp_replace(F.when(hangul(left), right).otherwise(left), "[^a-z]", "")
+        told = two & (F.least(F.length(left), F.length(right)) >= 2) & (F.length(letters) >= 3) & ~right.isin("inc", "ltd", "korea", "한국", "주식회사")
+        return F.when(told, F.array_distinct(F.array(name, left, right))).otherwise(F.array(name))
+
+    return let(_identity(company), names)
 
 
 def receipt_aliases(events: DataFrame, tracker: DataFrame, seconds: int = 300) -> DataFrame:
@@ -208,7 +219,9 @@ def reconcile(messages: DataFrame, tracker: DataFrame) -> DataFrame:
     own = owner_of(messages, tracker)
     keyed = messages.select(*own, "message_id", "kind", company_key(F.col("company")).alias("k"), text_key(F.col("role")).alias("r")).where("k <> '' AND kind IS NOT NULL")
     first = keyed.groupBy(*own, "k", "r").agg(F.min_by("kind", "message_id").alias("kind"))
-    rows = tracker.groupBy(*own, company_key(F.col("company")).alias("k"), text_key(F.col("role")).alias("r")).agg(F.count("*").alias("n"), F.max_by(F.struct("num", "status"), "num").alias("row"))
+    # summed by names as they stand, so that keys are made once for each
+    named = tracker.groupBy(*own, "company", "role").agg(F.count("*").alias("n"), F.max(F.struct("num", "status")).alias("row"))
+    rows = named.groupBy(*own, company_key(F.col("company")).alias("k"), text_key(F.col("role")).alias("r")).agg(F.sum("n").alias("n"), F.max("row").alias("row"))
     met = first.join(rows, [*own, "k", "r"], "left")
     moves = (F.col("row.status") != F.col("kind")) & transition_allowed(F.col("row.status"), F.col("kind"))
     action = F.when(F.col("n").isNull(), "add").when(F.col("n") > 1, "review").when(moves, "update").otherwise("no_change")

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightloom.functions.scope import owner_of
@@ -74,14 +75,18 @@ def _opening_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def cluster_duplicates(df: DataFrame, days: int = 90) -> DataFrame:
+#: Rows of one piece of a channel that one task folds at most.
+FOLD_ROWS = 50_000
+
+
+def cluster_duplicates(df: DataFrame, days: int = 90, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(pos, leader): greedy clusters of a company in order of pos (unique): a row joins the first leader with its
     report, with its number and title, or with its title where neither application is in flight (applied or later).
 
     Titles are compared exactly but for case and blanks. Rows are led as accept_in_order accepts them: whoever shares no
     key with an earlier leader leads. Rows without a company ("?") belong to their channel, and only join a leader whose
-    date is within so many days, which no key expresses: they alone are folded in order, a channel of an owner at a time,
-    with the leaders of one channel in memory.
+    date is within so many days, which no key expresses: pieces of a channel of up to fold_rows rows are folded in order,
+    larger ones are decided in rounds.
 
     df: pos, num, company, role, status, report, date, and via if there are channels.
     """
@@ -99,35 +104,92 @@ def cluster_duplicates(df: DataFrame, days: int = 90) -> DataFrame:
         rest = rest.join(least, [*own, n], "left")
     # the least pos of a leader that shares any key; a later one can't have come first
     found = rest.select(*own, "pos", F.least(*[F.col(f"by_{n}") for n in keys]).alias("leader"))
-    return leaders.select(*own, "pos", F.col("pos").alias("leader")).union(found).union(_blind_leaders(keyed.where("blind"), own, days))
-
-
-def _blind_leaders(blind: DataFrame, own: list[str], days: int) -> DataFrame:
-    sent = blind.select(*own, "group", "pos", "date", "report", "named", "opening")
-    by = [*own, "group"]
-    sent = sent.repartition(*by).sortWithinPartitions(*by, "pos")
-    kinds = {f.name: f.dataType.simpleString() for f in sent.schema}
-    n = len(by)
+    return leaders.select(*own, "pos", F.col("pos").alias("leader")).union(found).union(_blind_leaders(keyed.where("blind"), own, days, fold_rows))
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """(pos, day, mark): one row for each key of a row that is not null, with the day counted from 1970."""
+    pairs = F.array(*[F.struct("who", F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(("report", "named", "opening"))])
+    return rows.select("pos", F.datediff("date", F.lit("1970-01-01")).alias("day"), F.explode_outer(F.filter(pairs, lambda x: x["key"].isNotNull())).alias("mark"))
+
+
+def _least_near(points: DataFrame, sources: DataFrame, days: int) -> DataFrame:
+    """(mark, day, least): the least pos of sources with a point's mark within so many days; null if there is none. A mark
+    is cut to one row a day before its window, so the calendar bounds what a task holds of it."""
+    both = points.select("mark", "day", F.when(F.lit(False), F.col("pos")).alias("pos")).union(sources.select("mark", "day", "pos"))
+    near = W.partitionBy("mark").orderBy("day").rangeBetween(-days, days)
+    return both.groupBy("mark", "day").agg(F.min("pos").alias("p")).select("mark", "day", F.min("p").over(near).alias("least"))
+
+
+def _leaders_in_rounds(rows: DataFrame, days: int) -> DataFrame:
+    """(pos, leader) as the fold gives them. A round accepts the rows that come first among those undecided near them, and
+    then rejects what shares a mark with one of these; rounds are bounded by the longest chain in which each row waits
+    for the one before."""
+    points = undecided = checkpointed(_marks(rows))
+    leaders = points.limit(0)
+    while True:
+        met = undecided.join(_least_near(undecided, undecided, days), ["mark", "day"])
+        first = met.groupBy("pos").agg(F.bool_or(F.col("least") < F.col("pos")).alias("waits")).where("NOT waits").select("pos")
+        now = checkpointed(undecided.join(first, "pos", "left_semi"))
+        if now.isEmpty():
+            break
+        leaders = checkpointed(leaders.union(now))
+        reached = _least_near(undecided, now, days).where("least IS NOT NULL")
+        decided = undecided.join(reached, ["mark", "day"], "left_semi").select("pos").distinct()
+        undecided = checkpointed(undecided.join(decided, "pos", "left_anti"))
+    return points.join(_least_near(points, leaders, days), ["mark", "day"]).groupBy("pos").agg(F.min("least").alias("leader"))
+
+
+def _leaders_by_fold(rows: DataFrame, days: int) -> DataFrame:
+    """(pos, leader): rows in order of pos, with the leaders of one piece of a channel in memory."""
+    by = ["who", "piece"]
+    sent = rows.select(F.to_json("who").alias("who"), "piece", "pos", "date", "report", "named", "opening").repartition(*by).sortWithinPartitions(*by, "pos")
+    kind = sent.schema["pos"].dataType.simpleString()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
         leaders: dict[tuple, list] = {}
         for batch in batches:
             out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:n] != key:
-                    key, leaders = row[:n], {}
-                pos, date, marks = row[n], row[n + 1], [(i, m) for i, m in enumerate(row[n + 2 :]) if m is not None]
-                near = [p for m in marks for p, d in leaders.get(m, ()) if date is not None and d is not None and abs((date - d).days) <= days]
+            for who, piece, pos, date, *keys in zip(*(c.to_pylist() for c in batch.columns)):
+                if (who, piece) != key:
+                    key, leaders = (who, piece), {}
+                marks = [(i, m) for i, m in enumerate(keys) if m is not None]
+                near = [p for m in marks for p, d in leaders.get(m, ()) if abs((date - d).days) <= days]
                 if not near:
                     for m in marks:
                         leaders.setdefault(m, []).append((pos, date))
                 out.append(min(near, default=pos))
-            columns = [*batch.columns[: len(own)], batch.column(n), pa.array(out, batch.column(n).type)]
-            yield pa.RecordBatch.from_arrays(columns, [*own, "pos", "leader"])
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(out, batch.column("pos").type)], ["pos", "leader"])
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in own) + (", " if own else "") + f"pos {kinds['pos']}, leader {kinds['pos']}"
-    return sent.mapInArrow(fold, schema)
+    return sent.mapInArrow(fold, f"pos {kind}, leader {kind}")
+
+
+def _blind_leaders(blind: DataFrame, own: list[str], days: int, fold_rows: int) -> DataFrame:
+    """(own, pos, leader) of rows without a company.
+
+    Rows with equal keys and date have one leader, that of the first of them, so one row of each such group is judged. A
+    channel is cut where no row has a date for more than so many days: rows across a gap never meet. A piece of up to
+    fold_rows is folded by one task; what is still larger is decided in rounds of aggregates. Rows without date or keys
+    meet nobody.
+    """
+    keys = ["who", "date", "report", "named", "opening"]
+    sent = checkpointed(blind.withColumn("who", F.struct(*own, "group")).select("pos", F.struct(*keys).alias("alike")))
+    a = F.col("alike")
+    meets = a["date"].isNotNull() & F.coalesce(a["report"], a["named"], a["opening"]).isNotNull()
+    firsts = sent.where(meets).groupBy("alike").agg(F.min("pos").alias("pos")).select("pos", "alike.*")
+    opens = F.coalesce(F.datediff("date", F.lag("date").over(W.partitionBy("who").orderBy("date"))) > days, F.lit(True))
+    dates = firsts.select("who", "date").distinct().withColumn("opens", opens.cast("int"))
+    pieces = dates.select("who", "date", F.sum("opens").over(W.partitionBy("who").orderBy("date")).alias("piece"))
+    cut = firsts.join(pieces, ["who", "date"])
+    cut = checkpointed(cut.join(cut.groupBy("who", "piece").agg(F.count("*").alias("n")), ["who", "piece"]))
+    large = cut.where(F.col("n") > fold_rows)
+    found = _leaders_by_fold(cut.where(F.col("n") <= fold_rows), days)
+    if not large.isEmpty():
+        found = found.union(_leaders_in_rounds(large, days))
+    led = cut.join(found, "pos").select(F.struct(*keys).alias("alike"), "leader")
+    mine = [a["who"][c].alias(c) for c in own]
+    return sent.where(~meets).select(*mine, "pos", F.col("pos").alias("leader")).union(sent.where(meets).join(led, "alike").select(*mine, "pos", "leader"))
 
 
 def dedup_tracker(df: DataFrame, days: int = 90) -> DataFrame:

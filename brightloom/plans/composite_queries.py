@@ -79,6 +79,26 @@ def w12(spark, d):
     return C.cluster_duplicates(_two_owners(spark, d)).select("owner_id", "pos", "leader")
 
 
+@query(
+    "w12_unnamed_companies",
+    f"""{with_views('tracker')},
+d AS (SELECT num AS pos, 'via' || (num // 4 % 400) AS g, lower(role) AS t, date, coalesce(status IN {T.ADVANCED!r}, false) AS flying, CASE WHEN num % 6 < 2 THEN 'r' || (num % 40) END AS report FROM tracker),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pos) AS i FROM d),
+f(g, i, leads, pos, leader) AS (
+  SELECT g, 1, [{{'pos': pos, 't': t, 'flying': flying, 'report': report, 'date': date}}], pos, pos FROM o WHERE i = 1
+  UNION ALL
+  SELECT g, i, CASE WHEN hit IS NULL THEN leads || [{{'pos': pos, 't': t, 'flying': flying, 'report': report, 'date': date}}] ELSE leads END, pos, coalesce(hit, pos)
+  FROM (SELECT o.*, f.leads, list_filter(f.leads, lambda l: abs(date_diff('day', l.date, o.date)) <= 90 AND (coalesce(l.report = o.report, false) OR (l.t = o.t AND NOT l.flying AND NOT o.flying)))[1].pos AS hit
+        FROM f JOIN o ON o.g = f.g AND o.i = f.i + 1))
+SELECT pos, leader FROM f""".replace("WITH", "WITH RECURSIVE", 1),
+)
+def w12_unnamed(spark, d):
+    """Applications whose company is not known, by the channel they came through."""
+    t = tracker(spark, d)
+    rows = t.select(F.col("num").alias("pos"), "num", F.lit(C.BLIND).alias("company"), "role", "status", "date", F.concat(F.lit("via"), F.expr("num div 4 % 400")).alias("via"), F.when(F.col("num") % 6 < 2, F.concat(F.lit("r"), F.col("num") % 40)).alias("report"))
+    return C.cluster_duplicates(rows).select("pos", "leader")
+
+
 @query(
     "q2_dedup_tracker",
     f"""{_ROWS}, c AS (SELECT d.*, leader FROM f JOIN d USING (pos))

@@ -155,6 +155,7 @@ def test_leader_clusters_equal_a_plain_loop(spark):
             want[o, i] = i
     df = spark.createDataFrame(rows, "owner_id string, pos long, num long, company string, role string, status string, report string, date date, via string, score double, notes string")
     assert {(r["owner_id"], r["pos"]): r["leader"] for r in cluster_duplicates(df).collect()} == want
+    assert {(r["owner_id"], r["pos"]): r["leader"] for r in cluster_duplicates(df, fold_rows=0).collect()} == want
     merged = dedup_tracker(df).collect()
     assert len(merged) == len(set((k[0], v) for k, v in want.items())) and sum(r["n"] for r in merged) == 200
     scores = {}

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightloom.functions.scope import owner_of
-from brightloom.functions.text import company_key, host_of, text_key
+from brightloom.functions.text import company_key, host_of, role_key, text_key
 from brightloom.operators.dedup import accept_in_order, checkpointed
 from brightloom.operators.identity import alike_titles, classify_source, role_of, roles_match
 from brightloom.operators.numbering import numbered
@@ -328,10 +328,15 @@ def probe_outcome(url: Column, status: Column, patterns: Sequence[tuple[str, str
 
 def portal_health(probes: DataFrame) -> DataFrame:
     """Q9: (company, state, suggestion) of probes (company, priority, ok, n_jobs, slug): live if a probe finds jobs, empty if
-    one only answers, else missing; the suggestion is the best slug that has jobs."""
-    has = F.col("ok") & (F.col("n_jobs") > 0)
-    out = probes.groupBy("company").agg(F.bool_or(has).alias("live"), F.bool_or("ok").alias("any"), F.min_by(F.when(has, F.col("slug")), F.when(has, F.struct("priority", "slug"))).alias("suggestion"))
-    return out.select("company", F.when(F.col("live"), "live").when(F.col("any"), "empty").otherwise("missing").alias("state"), "suggestion")
+    one only answers, else missing; skipped if no portal could be probed at all (slug is null in all its rows). The
+    suggestion is the best slug that has jobs."""
+    tried = F.col("slug").isNotNull()
+    has = tried & F.col("ok") & (F.col("n_jobs") > 0)
+    out = probes.groupBy("company").agg(
+        F.bool_or(tried).alias("tried"), F.bool_or(has).alias("live"), F.bool_or(tried & F.col("ok")).alias("any"), F.min_by(F.when(has, F.col("slug")), F.when(has, F.struct("priority", "slug"))).alias("suggestion")
+    )
+    state = F.when(~F.col("tried"), "skipped").when(F.col("live"), "live").when(F.col("any"), "empty").otherwise("missing")
+    return out.select("company", state.alias("state"), "suggestion")
 
 
 def bootstrap(state: DataFrame, artifact: DataFrame, since: Column) -> DataFrame:
@@ -340,16 +345,35 @@ def bootstrap(state: DataFrame, artifact: DataFrame, since: Column) -> DataFrame
     return both.groupBy("url").agg(F.max_by(F.struct("status", "at"), F.struct("at", "_p", "status")).alias("r")).select("url", "r.*")
 
 
-def search_ingest(df: DataFrame, title_ok: Column, place_ok: Column, seen_urls: DataFrame) -> DataFrame:
-    """Q10: df (company, title, location, url, pos) with outcome: invalid, title, location, dup_url (seen or earlier here),
-    or accepted."""
-    seen = seen_urls.select(F.col("url").alias("_u")).distinct()
-    met = df.join(seen, df["url"] == seen["_u"], "left")
-    early = F.when(F.col("title").isNull(), "invalid").when(~F.coalesce(title_ok, F.lit(True)), "title").when(~F.coalesce(place_ok, F.lit(True)), "location").when(F.col("_u").isNotNull(), "dup_url")
-    judged = met.withColumn("_e", early).drop("_u")
-    first = judged.where("_e IS NULL").groupBy("url").agg(F.min("pos").alias("_first")).withColumnRenamed("url", "_fu")
-    out = judged.join(first, judged["url"] == first["_fu"], "left")
-    return out.withColumn("outcome", F.coalesce("_e", F.when(F.col("pos") > F.col("_first"), "dup_url").otherwise("accepted"))).drop("_e", "_first", "_fu")
+def search_ingest(df: DataFrame, title_ok: Column, place_ok: Column, seen_urls: DataFrame, seen_roles: DataFrame | None = None) -> DataFrame:
+    """Q10: df (company, title, location, url, pos) with outcome: invalid, title, location, dup_url, dup_role, or accepted.
+
+    Rows count in order of pos (unique): one is a dup_url if its url was seen or accepted earlier here, else a dup_role if
+    its company and role were (seen_roles: company, title). What is not accepted marks nothing. Urls are compared as they
+    are, companies and roles by their keys; a blank key is the role of no other row.
+    """
+    roles = lambda t: t.withColumns({"_c": company_key(F.col("company")), "_r": role_key(F.col("title"))})
+    seen = seen_urls.select(F.col("url").alias("_u")).where("_u IS NOT NULL").distinct()
+    early = F.when(F.col("url").isNull() | F.col("title").isNull(), "invalid").when(~F.coalesce(title_ok, F.lit(True)), "title").when(~F.coalesce(place_ok, F.lit(True)), "location")
+    judged = roles(df.withColumn("_e", early)).join(seen, F.col("url") == F.col("_u"), "left").withColumn("_seen_url", F.col("_u").isNotNull()).drop("_u")
+    judged = judged.withColumn("_role", F.when((F.col("_c") != "") & (F.col("_r") != ""), F.struct("_c", "_r"))).drop("_c", "_r")
+    if seen_roles is None:
+        judged = judged.withColumn("_seen_role", F.lit(False))
+    else:
+        known = roles(seen_roles).where("_c <> '' AND _r <> ''").select(F.struct("_c", "_r").alias("_k")).distinct()
+        judged = judged.join(known, F.col("_role") == F.col("_k"), "left").withColumn("_seen_role", F.col("_k").isNotNull()).drop("_k")
+    judged = checkpointed(judged)
+    open_rows = judged.where("_e IS NULL AND NOT _seen_url AND NOT _seen_role").select("pos", "url", "_role")
+    taken = checkpointed(accept_in_order(open_rows, ["url", "_role"], "pos").where("accepted").select(F.col("pos").alias("_at"), F.col("url").alias("_au")))
+    out = judged.join(taken, F.col("url") == F.col("_au"), "left")  # one accepted row has a url at most
+    outcome = F.when(F.col("_e").isNotNull(), F.col("_e")).when(F.col("_at") == F.col("pos"), "accepted").when(F.col("_seen_url") | F.coalesce(F.col("_at") < F.col("pos"), F.lit(False)), "dup_url").otherwise("dup_role")
+    return out.withColumn("outcome", outcome).select(*df.columns, "outcome")
+
+
+def search_stats(judged: DataFrame) -> DataFrame:
+    """Q10: one row of counts of search_ingest's outcomes: received, and each of them."""
+    count = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    return judged.agg(F.count("*").alias("received"), *[count(o) for o in ("accepted", "invalid", "title", "location", "dup_url", "dup_role")])
 
 
 def apply_transitions(rows: DataFrame) -> DataFrame:

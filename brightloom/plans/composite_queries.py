@@ -9,6 +9,7 @@ from brightloom.operators import composite as C
 from brightloom.operators import filters as R
 from brightloom.operators import tracker as T
 from brightloom.operators.identity import history_gate, role_tokens
+from brightloom.operators.portals import portal_liveness
 from brightloom.plans import identity_queries as I
 from brightloom.plans import posting_queries as P
 from brightloom.plans.views import postings, table, tracker, with_views
@@ -223,6 +224,38 @@ def x24(spark, d):
     return table(spark, d, "orders").select("o_orderkey", s.alias("state"))
 
 
+@query(
+    "x24_portal_rules",
+    """WITH e AS (SELECT event_id, event_id // 8 AS i, ['saramin', 'wanted', 'remember', 'jobkorea', 'ashby', 'greenhouse', 'lever', 'workday'][event_id % 8 + 1] AS portal FROM events),
+s AS (SELECT *, CASE WHEN i % 11 = 0 THEN 404 WHEN i % 11 = 1 THEN 503 ELSE 200 END AS status FROM e),
+v AS (SELECT event_id, portal, CASE WHEN status = 404 THEN portal || '_api_gone' WHEN status = 503 THEN NULL
+  WHEN portal = 'saramin' THEN [NULL, 'saramin_posting_closed', 'saramin_apply_open', 'saramin_posting_closed'][i % 4 + 1]
+  WHEN portal = 'wanted' THEN [NULL, 'wanted_structured_hidden', 'wanted_structured_active', 'wanted_structured_closed'][i % 4 + 1]
+  WHEN portal = 'remember' THEN [NULL, 'remember_structured_closed', 'remember_structured_active', NULL][i % 4 + 1]
+  WHEN portal = 'jobkorea' THEN ['jobkorea_explicitly_closed', 'jobkorea_ongoing', 'jobkorea_deadline_passed', 'jobkorea_future_deadline'][i % 4 + 1]
+  WHEN portal = 'ashby' THEN ['ashby_api_ok', 'ashby_api_unlisted', 'ashby_api_unlisted', NULL][i % 4 + 1]
+  ELSE portal || '_api_ok' END AS code FROM s)
+SELECT event_id, code, CASE WHEN code IS NULL THEN 'unknown' WHEN ends_with(code, '_gone') OR ends_with(code, '_closed') OR ends_with(code, '_hidden') OR ends_with(code, '_passed') OR ends_with(code, '_unlisted') THEN 'expired' ELSE 'active' END AS result FROM v""",
+)
+def x24_portals(spark, d):
+    """Answers of eight portals, each in four forms."""
+    forms = {
+        "saramin": ("'<button onclick=\"quickApplyForm(', event_id, '7)\">입사지원</button>'", "'<a onclick=\"quickApplyForm(&#39;', event_id, '&#39;)\" disabled>입사지원</a>'", "'<p>x</p><button onclick=\"quickApplyForm(', event_id, ')\"><b>입사지원</b></button>'", "'<p>본 채용정보는 마감되었습니다</p>'"),
+        "wanted": ("""'{"id": ', event_id, ', "status": "active"}'""", """'{"job": {"id": ', event_id, ', "position": "x", "hidden": true, "status": "active"}}'""", """'{"id": ', event_id, ', "position": "x", "status": "Open"}'""", """'{"job": {"id": ', event_id, ', "position": "x", "status": "close"}}'"""),
+        "remember": ("'<p>no data</p>'",) + tuple(f"""'<script id="__NEXT_DATA__">{{"props": [{{"id": "x"}}, {{"deep": {{"id": ', event_id, ', "title": "{t}", "status": "{v}"}}}}]}}</script>'""" for t, v in (("t", "Ended"), ("t", "recruiting"), (" ", "open"))),
+        "jobkorea": ("'<b>마감되었습니다.</b> 마감일 : 상시채용'", "'마감일: 상시채용 마감일: 2020.1.1'", "'마감일 : 2024.3.14 남은기간'", "'마감일 : 2024.3.15 남은기간 1일'"),
+        "ashby": ("""'{"jobs": [{"id": "1x"}, {"id": "', event_id, '"}]}'""", """'{"jobs": [{"id": "', event_id, '", "isListed": false}]}'""", """'{"jobs": []}'""", """'{"jobs": {}}'"""),
+        "greenhouse": ("'{}'",) * 4, "lever": ("'{}'",) * 4, "workday": ("'{}'",) * 4,
+    }
+    case = " ".join(f"WHEN event_id % 8 = {p} AND i % 4 = {n} THEN concat({body})" for p, bodies in enumerate(forms.values()) for n, body in enumerate(bodies))
+    e = table(spark, d, "events").select("event_id", F.expr("event_id div 8").alias("i"))
+    answers = e.select(
+        "event_id", F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % 8 + 1).cast("int")).alias("portal"), F.col("event_id").cast("string").alias("posting_id"),
+        F.when(F.col("i") % 11 == 0, 404).when(F.col("i") % 11 == 1, 503).otherwise(200).alias("status"), F.expr(f"CASE {case} END").alias("body"),
+    )
+    return portal_liveness(answers, F.lit("2024-03-15").cast("date")).select("event_id", "code", "result")
+
+
 @query("x32_probe_outcome", r"SELECT page_id, CASE WHEN contains(url, 'example.org') THEN 'org' WHEN contains(url, 'example.net') THEN 'net' END AS ats, CASE WHEN NOT contains(url, 'example.com') THEN regexp_extract(url, '/([0-9]+)', 1) END AS job_id, CASE WHEN contains(url, 'example.com') THEN NULL ELSE ['expired', 'active', 'unknown'][page_id % 3 + 1] END AS outcome FROM pages")
 def x32(spark, d):
     code = F.element_at(F.array(F.lit(404), F.lit(200), F.lit(500)), (F.col("page_id") % 3 + 1).cast("int"))
@@ -230,10 +263,12 @@ def x32(spark, d):
     return table(spark, d, "pages").select("page_id", ats.alias("ats"), job.alias("job_id"), outcome.alias("outcome"))
 
 
-@query("q9_portal_health", "SELECT user_id AS company, CASE WHEN bool_or(event_id % 2 = 0 AND event_id % 5 = 0) THEN 'live' WHEN bool_or(event_id % 2 = 0) THEN 'empty' ELSE 'missing' END AS state, arg_min('s' || event_id, (event_id % 7, 's' || event_id)) FILTER (WHERE event_id % 2 = 0 AND event_id % 5 = 0) AS suggestion FROM events GROUP BY 1")
+@query("q9_portal_health", """SELECT user_id AS company, CASE WHEN user_id % 11 = 0 THEN 'skipped' WHEN bool_or(event_id % 2 = 0 AND event_id % 5 = 0) THEN 'live' WHEN bool_or(event_id % 2 = 0) THEN 'empty' ELSE 'missing' END AS state,
+  arg_min('s' || event_id, (event_id % 7, 's' || event_id)) FILTER (WHERE event_id % 2 = 0 AND event_id % 5 = 0 AND user_id % 11 > 0) AS suggestion FROM events GROUP BY 1""")
 def q9(spark, d):
     e = F.col("event_id")
-    return C.portal_health(table(spark, d, "events").select(F.col("user_id").alias("company"), (e % 7).alias("priority"), (e % 2 == 0).alias("ok"), F.when(e % 5 == 0, 3).otherwise(0).alias("n_jobs"), F.concat(F.lit("s"), e).alias("slug")))
+    slug = F.when(F.col("user_id") % 11 > 0, F.concat(F.lit("s"), e))  # no portal is known of the others
+    return C.portal_health(table(spark, d, "events").select(F.col("user_id").alias("company"), (e % 7).alias("priority"), (e % 2 == 0).alias("ok"), F.when(e % 5 == 0, 3).otherwise(0).alias("n_jobs"), slug.alias("slug")))
 
 
 @query("q11_bootstrap", "SELECT user_id::VARCHAR AS url, arg_max(event_type, (ts, event_id % 2 = 0, event_type)) AS status, max(ts) AS at FROM events WHERE event_id % 2 = 0 OR ts >= TIMESTAMP '2024-01-15' GROUP BY 1")
@@ -242,13 +277,36 @@ def q11(spark, d):
     return C.bootstrap(e.where("event_id % 2 = 0").drop("event_id"), e.where("event_id % 2 = 1").drop("event_id"), F.lit("2024-01-15").cast("timestamp"))
 
 
-@query("q10_search_ingest", """WITH r AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 13 > 0 THEN p_name END AS title, p_type AS location, 'u' || (p_partkey % 900) AS url FROM part),
-e AS (SELECT *, CASE WHEN title IS NULL THEN 'invalid' WHEN NOT contains(title, 'ring') AND NOT contains(title, 'widget') THEN 'title' WHEN location = 'ECONOMY' THEN 'location' WHEN url IN (SELECT 'u' || s_suppkey FROM supplier) THEN 'dup_url' END AS x FROM r)
-SELECT pos, coalesce(x, CASE WHEN pos > min(pos) FILTER (WHERE x IS NULL) OVER (PARTITION BY url) THEN 'dup_url' ELSE 'accepted' END) AS outcome FROM e""")
-def q10(spark, d):
-    r = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 13 > 0, F.col("p_name")).alias("title"), F.col("p_type").alias("location"), F.lit("c").alias("company"), F.concat(F.lit("u"), F.col("p_partkey") % 900).alias("url"))
+#: Search results of part by company, with urls and roles that repeat, judged one by one: r is a row, s what was accepted.
+_SEARCH = """WITH RECURSIVE r AS (SELECT p_partkey AS pos, row_number() OVER (ORDER BY p_partkey) AS i, CASE WHEN p_partkey % 13 > 0 THEN p_name END AS title, p_type AS location, 'u' || (p_partkey % 900) AS url, 'c' || (p_partkey % 50) AS company FROM part),
+e AS (SELECT pos, url, company || ':' || regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS role, row_number() OVER (ORDER BY pos) AS i,
+        CASE WHEN title IS NULL THEN 'invalid' WHEN NOT contains(title, 'ring') AND NOT contains(title, 'widget') THEN 'title' WHEN location = 'ECONOMY' THEN 'location' END AS x,
+        url IN (SELECT 'u' || s_suppkey FROM supplier) AS su, company || ':' || regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') IN (SELECT 'c7:' || regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') FROM part WHERE p_partkey % 20 = 0) AS sr FROM r),
+c AS (SELECT *, row_number() OVER (ORDER BY pos) AS n FROM e WHERE x IS NULL),
+f(n, pos, outcome, urls, roles) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[]
+  UNION ALL
+  SELECT n, pos, o, CASE WHEN o = 'accepted' THEN urls || [url] ELSE urls END, CASE WHEN o = 'accepted' THEN roles || [role] ELSE roles END
+  FROM (SELECT c.n, c.pos, c.url, c.role, f.urls, f.roles, CASE WHEN c.su OR list_contains(f.urls, c.url) THEN 'dup_url' WHEN c.sr OR list_contains(f.roles, c.role) THEN 'dup_role' ELSE 'accepted' END AS o FROM f JOIN c ON c.n = f.n + 1)),
+judged AS (SELECT pos, outcome FROM f WHERE n > 0 UNION ALL SELECT pos, x FROM e WHERE x IS NOT NULL)"""
+
+
+def _search(spark, d):
+    p = table(spark, d, "part")
+    r = p.select(F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 13 > 0, F.col("p_name")).alias("title"), F.col("p_type").alias("location"), F.concat(F.lit("c"), F.col("p_partkey") % 50).alias("company"), F.concat(F.lit("u"), F.col("p_partkey") % 900).alias("url"))
     low = F.lower("title")
-    return C.search_ingest(r, has_keyword(low, "ring ") | low.contains("ring") | has_keyword(low, "widget"), F.col("location") != "ECONOMY", table(spark, d, "supplier").select(F.concat(F.lit("u"), "s_suppkey").alias("url"))).select("pos", "outcome")
+    seen_roles = p.where("p_partkey % 20 = 0").select(F.lit("c7").alias("company"), F.col("p_name").alias("title"))
+    return C.search_ingest(r, has_keyword(low, "ring ") | low.contains("ring") | has_keyword(low, "widget"), F.col("location") != "ECONOMY", table(spark, d, "supplier").select(F.concat(F.lit("u"), "s_suppkey").alias("url")), seen_roles)
+
+
+@query("q10_search_ingest", f"{_SEARCH} SELECT pos, outcome FROM judged")
+def q10(spark, d):
+    return _search(spark, d).select("pos", "outcome")
+
+
+@query("q10_search_stats", f"{_SEARCH} SELECT count(*) AS received, {', '.join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ('accepted', 'invalid', 'title', 'location', 'dup_url', 'dup_role'))} FROM judged")
+def q10_stats(spark, d):
+    return C.search_stats(_search(spark, d))
 
 
 @query("l5_rank_search", "SELECT p_partkey AS id FROM part ORDER BY CASE WHEN p_partkey % 4 > 0 THEN p_size END DESC NULLS LAST, p_retailprice DESC, p_brand, p_name, p_partkey LIMIT 80")

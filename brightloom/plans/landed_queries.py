@@ -11,6 +11,7 @@ from brightloom.operators.composite import append_dated
 from brightloom.operators.dedup import checkpointed
 from brightloom.plans.views import table, tracker, with_views
 from brightloom.sources import feeds, readers
+from brightloom.sources.landed import register_landed
 from brightloom.streaming import events as E
 
 QUERIES: dict = {}
@@ -209,6 +210,20 @@ def v1(spark, d):
     return feeds.normalize_json_feed(raw, own).select("id", "title", "url")
 
 
+@query("v1_data_source", "SELECT event_id::VARCHAR AS id, event_type AS title, 'https://v.example.com/' || event_id AS url, 'board' AS source FROM events")
+def v1_data_source(spark, d):
+    """Payloads land in two steps under names that rise; the stream reads the first, stops, and resumes after its cursor."""
+    register_landed(spark)
+    home = _folder(spark)
+    item = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.concat(F.lit("https://v.example.com/"), "event_id").alias("absolute_url"))
+    raw = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.array(item).alias("jobs"))).alias("payload"))
+    for part in (0, 1):
+        raw.where(F.col("event_id") % 2 == part).select("payload").write.text(f"{home}/in/board/{part}")
+        landed = spark.readStream.format("landed_payloads").option("lines", True).load(f"{home}/in")
+        E.run_incremental(feeds.normalize_json_feed(landed), f"{home}/cursor", E.parquet_sink(f"{home}/out"), "append").awaitTermination()
+    return spark.read.parquet(f"{home}/out").select("id", "title", "url", "source")
+
+
 @query("t2_resume_and_rescan", "SELECT event_id, event_type AS kind FROM events")
 def t2(spark, d):
     """Half of the events arrive, then the rest; then the cursor is lost, and the rescan adds nothing twice."""

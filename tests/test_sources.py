@@ -93,3 +93,48 @@ def test_json_feed_with_own_sources(spark):
     out = feeds.normalize_json_feed(raw, {"z": ("$.r", {"title": "$.t", "url": "$.u"})})
     assert [(r["title"], r["url"]) for r in out.select("title", "url").collect()] == [("A", "U")]
     assert out.where(F.col("posted_at").isNotNull()).count() == 0
+
+
+def test_landed_payloads(spark, tmp_path):
+    from brightloom.sources.landed import register_landed
+
+    register_landed(spark)
+    home = tmp_path / "in"
+    read = lambda **o: spark.read.format("landed_payloads").options(**o).load(str(home))
+    assert read().count() == 0
+    long = "é" * 2_000_000
+    write(home, "mine/0.json", '{"a":\n1}')
+    write(home, "mine/1.jsonl", f'{{"b": 1}}\n\n{{"c": "{long}"}}\n{{"d": 1}}')
+    write(home, "mine/.2.json", "hidden")
+    write(home, "_SUCCESS", "")
+    rows = {(r["file"], r["source"], r["payload"]) for r in read().collect()}
+    assert rows == {("mine/0.json", "mine", '{"a":\n1}'), *[("mine/1.jsonl", "mine", x) for x in ('{"b": 1}', f'{{"c": "{long}"}}', '{"d": 1}')]}
+    assert {r["source"] for r in read(source="x").collect()} == {"x"}
+    seen = []
+    for more in ("mine/2.json", "mine/3.json", None):
+        stream = spark.readStream.format("landed_payloads").load(str(home))
+        sink = lambda batch, n: seen.extend(sorted(r["file"] for r in batch.collect()))
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cursor")).trigger(availableNow=True).start().awaitTermination()
+        if more:
+            write(home, more, "{}")
+    assert seen == ["mine/0.json", *["mine/1.jsonl"] * 3, "mine/2.json", "mine/3.json"]
+
+
+def test_portal_rules(spark, monkeypatch):
+    import pytest
+
+    from brightloom.operators import portals
+
+    monkeypatch.setattr(portals, "PORTALS", dict(portals.PORTALS))
+    portals.register_portal("ninth", "next", [("active", "open", [("$.props.id", "is_id", ""), ("$.props.until", "from_today", "")]), ("expired", "over", [("$.props.until", "before_today", "")])])
+    with pytest.raises(ValueError):
+        portals.register_portal("x", "body", [("maybe", None, [])])
+    page = lambda until: f"""<script type="x" id='__NEXT_DATA__'>{{"props": {{"id": "a.b", "until": "{until}"}}}}</script>"""
+    rows = [
+        (1, "ninth", "a.b", 200, page("2024-3-15")), (2, "ninth", "a.b", 200, page("2024-03-14")), (3, "ninth", "axb", 200, page("2024-3-15")), (4, "ninth", "a.b", 200, page("soon")), (5, "ninth", "..", 404, None),
+        (6, "other", "a", 200, "{}"), (7, None, None, None, None), (8, "lever", "a", None, "{}"), (9, "remember", "a", 200, "<script id='__NEXT_DATA__'>{broken</script>"), (10, "wanted", "8", 200, '{"id": 9, "position": "x", "status": "open"}'),
+        (11, "saramin", "a.b", 200, "<a onclick=quickApplyForm(1)>입사지원</a>" + "<a>" * 50_000), (12, "lever", "a", 410, None), (13, "lever", "a", 200, None), (14, "remember", "7", 200, """<script id="__NEXT_DATA__">[{"x": {"id": 7, "title": "t", "status": "ended"}}, {"id": 7, "title": "t", "status": "open"}]</script>"""),
+    ]
+    got = {r["n"]: (r["result"], r["code"]) for r in portals.portal_liveness(spark.createDataFrame(rows, "n int, portal string, posting_id string, status int, body string"), F.lit("2024-03-15").cast("date")).collect()}
+    nothing = ("unknown", None)
+    assert got == {1: ("active", "open"), 2: ("expired", "over"), 3: nothing, 4: nothing, 5: nothing, 6: nothing, 7: nothing, 8: nothing, 9: nothing, 10: nothing, 11: nothing, 12: ("expired", "lever_api_gone"), 13: ("active", "lever_api_ok"), 14: ("active", "remember_structured_active")}

@@ -1,7 +1,8 @@
 """URL filter: rules by host and path, then a weighted vocabulary matched by Aho-Corasick.
 
 Rules are looked up, not tried one by one: a host's suffixes, with the beginnings of the path as long as some rule of
-that suffix, meet a table of rules of any size. The automaton finds all terms of the vocabulary in one pass over a url;
+that suffix, meet a table of rules of any size. Up to MAX_HELD_RULES rules every task holds them, and pages are judged
+where they are read; more rules are met by a shuffle. The automaton finds all terms of the vocabulary in one pass over a url;
 a term counts where it stands between boundaries (no letter or digit beside it), and once. A url is rejected if the
 weights of its distinct terms reach 1: a strict term weighs 1, a soft one 1 / SOFT_LIMIT unless the vocabulary says
 otherwise. Terms are in lower case; A-Z of the url are matched as a-z.
@@ -26,8 +27,8 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 #: Terms of a vocabulary at most: every worker holds the automaton.
 MAX_TERMS = 200_000
-#: Rules up to this many (some 50 MB) are broadcast; beyond, the lookup is a shuffle.
-BROADCAST_RULES = 500_000
+#: Rules up to this many (some 50 MB) are held by every worker; beyond, the lookup is a shuffle.
+MAX_HELD_RULES = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,27 +53,58 @@ def vocabulary_table(spark: SparkSession, strict: Sequence[str] = STRICT, soft:
     return spark.createDataFrame([(t, 1.0) for t in strict] + [(t, 1.0 / soft_limit) for t in soft], "term string, weight double")
 
 
-def fitting_rules(parts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, path, rule, said) of the longest of rules (host, path, verdict) for each distinct host and path that one
+def _known(rules: DataFrame) -> DataFrame:
+    """(s, start, said) of rules (host, path, verdict): hosts in lower case, and of rules that repeat the one that blocks."""
+    known = rules.select(F.translate("host", _UPPER, _LOWER).alias("s"), F.coalesce("path", F.lit("")).alias("start"), "verdict").where("s <> ''")
+    return known.groupBy("s", "start").agg(F.max("verdict").alias("said"))
+
+
+def fitting_rules(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """(host, path, rule, said) of the longest of known rules (s, start, said) for each distinct host and path that one
     fits; rule is its host followed by its path.
 
     A rule fits its host and all hosts below it, if the path begins with the rule's. Of equally long rules that of the
-    longer host wins; of rules that repeat, the one that blocks.
+    longer host wins.
     """
-    known = rules.select(F.translate("host", _UPPER, _LOWER).alias("s"), F.coalesce("path", F.lit("")).alias("start"), "verdict").where("s <> ''")
-    known = known.groupBy("s", "start").agg(F.max("verdict").alias("said"))
     lengths = known.groupBy("s").agg(F.collect_set(F.length("start")).alias("lengths"))
-    few = rules.count() <= BROADCAST_RULES
-    small = F.broadcast if few else (lambda df: df)
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = parts.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(suffixes).alias("s"))
-    begun = keys.join(small(lengths), "s").select("host", "path", "s", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("path"))
-    met = begun.withColumn("start", F.substr("path", F.lit(1), F.col("n"))).join(small(known), ["s", "start"])
+    begun = keys.join(lengths, "s").select("host", "path", "s", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("path"))
+    met = begun.withColumn("start", F.substr("path", F.lit(1), F.col("n"))).join(known, ["s", "start"])
     best = F.max(F.struct((F.length("s") + F.col("n")).alias("length"), F.length("s").alias("host_length"), F.concat("s", "start").alias("rule"), "said"))
     return met.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.said")
 
 
+def held_rule(host: Column, path: Column, held: Sequence[tuple[str, str, str]]) -> Column:
+    """struct(rule, said) as fitting_rules finds it among held rules (s, start, said), inside the row; nulls if none fits."""
+
+    @F.pandas_udf("rule string, said string")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        by_host: dict[str, dict[str, str]] = {}
+        for s, start, said in held:
+            by_host.setdefault(s, {})[start] = said
+        lengths = {s: sorted({len(start) for start in paths}, reverse=True) for s, paths in by_host.items()}
+
+        def longest(host: str, path: str) -> tuple[str | None, str | None]:
+            best, found = (0, 0), (None, None)
+            labels = host.split(".") if host else []
+            for i in range(len(labels)):
+                s = ".".join(labels[i:])
+                for n in lengths.get(s, ()):
+                    said = by_host[s].get(path[:n]) if n <= len(path) else None
+                    if said is not None:
+                        if (len(s) + n, len(s)) > best:
+                            best, found = (len(s) + n, len(s)), (s + path[:n], said)
+                        break  # shorter paths of the same host lose
+            return found
+
+        for hosts, paths in batches:
+            yield pd.DataFrame([longest(h, p) for h, p in zip(hosts, paths)], columns=["rule", "said"], dtype=object)
+
+    return find(host, path)
+
+
 def term_hits(url: Column, terms: Sequence[tuple[str, float]]) -> Column:
     """struct(strict int, soft int, weight double) of the distinct terms between boundaries in url; zeros for null. A term
     is strict if its weight alone reaches 1."""
@@ -103,10 +135,11 @@ def term_hits(url: Column, terms: Sequence[tuple[str, float]]) -> Column:
     return hits(url)
 
 
-def judge_urls(pages: DataFrame, url_col: str = "url", rules: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, url_col: str = "url", rules: DataFrame | None = None, vocabulary: DataFrame | None = None, max_held: int = MAX_HELD_RULES) -> DataFrame:
     """pages with host, path, rule, n_strict, n_soft and verdict, which replace columns with such names.
 
-    rules: (host, path, verdict), of any size; vocabulary: (term, weight), MAX_TERMS at most, or it is refused. The rule
+    rules: (host, path, verdict), of any size: up to max_held of them are looked up inside the row, more by a shuffle of
+    the distinct hosts and paths, with equal results; vocabulary: (term, weight), MAX_TERMS at most, or it is refused. The rule
     decides where one fits, else the vocabulary. A null or empty url, or one without "://", has empty host and path; no
     rule fits an empty host, and the vocabulary allows a null url. Null and empty terms and hosts of rules are ignored.
     Rows are judged one by one: repeats repeat, an empty table gives an empty result, and urls are read whole.
@@ -123,11 +156,20 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules: DataFrame | None =
     said_col, hits_col = free_name(pages, "_said"), free_name(pages, "_hits")
     host, path = url_parts(named(url_col))
     parts = pages.select(*old, host.alias("host"), path.alias("path"), term_hits(named(url_col), terms).alias(hits_col))
-    found = fitting_rules(pages.select(host.alias("host"), path.alias("path")), rules).withColumnRenamed("said", said_col)
+    known = _known(rules)
+    held = [tuple(r) for r in known.limit(max_held + 1).collect()]  # bounded
+    if len(held) <= max_held:
+        fits = free_name(pages, "_fits")
+        met = parts.withColumn(fits, held_rule(F.col("host"), F.col("path"), held))
+        met = met.select(*[named(c) for c in parts.columns], F.col(fits)["rule"].alias("rule"), F.col(fits)["said"].alias(said_col))
+    else:
+        found = fitting_rules(parts, known).withColumnRenamed("said", said_col)
+        empty = parts.where("host = ''").select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias(said_col))
+        met = parts.where("host <> ''").join(found, ["host", "path"], "left").select(*[named(c) for c in parts.columns], "rule", named(said_col)).union(empty)
     hits = F.col(hits_col)
     bad = F.round(hits["weight"], 9) >= 1
     verdict = F.coalesce(said_col, F.when(bad, "block").otherwise("allow"))
-    return parts.join(found, ["host", "path"], "left").select(*old, "host", "path", "rule", hits["strict"].alias("n_strict"), hits["soft"].alias("n_soft"), verdict.alias("verdict"))
+    return met.select(*old, "host", "path", "rule", hits["strict"].alias("n_strict"), hits["soft"].alias("n_soft"), verdict.alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,9 @@ def test_url_rules_and_vocabulary_of_any_size(spark):
     table = url_filter.rule_table(spark, [*rules, ("", "/", "block"), (None, "/", "block")])
     terms = spark.createDataFrame([("Bad", 1.0), ("so", 0.4), ("la", 0.7), ("", 1.0), (None, 1.0)], "term string, weight double")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, "a.url", table, terms).collect()}
+    shuffled = url_filter.judge_urls(df, "a.url", table, terms, max_held=0)
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in shuffled.collect()} == got
+    assert "Exchange" not in url_filter.judge_urls(df, "a.url", table, terms)._jdf.queryExecution().executedPlan().toString()
     for i, u in enumerate(urls):
         host, path = u[7:].split("/", 1)[0], "/" + u[7:].split("/", 1)[1]
         fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]

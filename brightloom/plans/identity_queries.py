@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brightloom.operators.matching import staged_match
 from brightloom.operators import dedup as D
 from brightloom.operators import filters as R
 from brightloom.operators import identity as I
@@ -224,6 +225,32 @@ def j13(spark, d):
     return I.unique_match(_candidates(spark, d), tracker(spark, d))
 
 
+_URLS = ("'https://www.wanted.co.kr/wd/' || {x}", "'https://board.example.com/careers/' || {x}", "'li_' || {x}")
+
+
+@query(
+    "j13_staged_match",
+    f"""{with_views('tracker')},
+t AS (SELECT num, k, r, [['li_' || num // 3, {_URLS[0].format(x='num % 500')}], [{_URLS[1].format(x='num % 300')}], []][num % 3 + 1] AS al FROM ({_TRK})),
+p AS (SELECT posting_id, k, r, CASE WHEN posting_id % 7 = 0 THEN posting_id // 7 END AS tn, [[{_URLS[0].format(x='posting_id % 500')}], [{_URLS[1].format(x='posting_id % 300')}], ['li_' || posting_id], []][posting_id % 4 + 1] AS al FROM ({_CAND})),
+pairs AS (SELECT posting_id, num, p.tn = num AS s1, len(list_intersect(p.al, t.al)) > 0 AS s2, p.k = t.k AND p.r = t.r AS s3,
+    len(list_filter(p.al, lambda u: contains(u, 'wanted'))) > 0 AND len(list_filter(t.al, lambda u: contains(u, 'wanted'))) > 0 AND len(list_intersect(list_filter(p.al, lambda u: contains(u, 'wanted')), t.al)) = 0
+    OR len(list_filter(p.al, lambda u: contains(u, 'careers'))) > 0 AND len(list_filter(t.al, lambda u: contains(u, 'careers'))) > 0 AND len(list_intersect(list_filter(p.al, lambda u: contains(u, 'careers')), t.al)) = 0 AS bad
+  FROM p JOIN t ON p.tn = t.num OR (p.k = t.k AND p.r = t.r) OR len(list_intersect(p.al, t.al)) > 0),
+g AS (SELECT posting_id, count(*) FILTER (WHERE s1) AS n1, min(num) FILTER (WHERE s1) AS m1, count(*) FILTER (WHERE s2) AS n2, min(num) FILTER (WHERE s2) AS m2, count(*) FILTER (WHERE s3) AS n3, min(num) FILTER (WHERE s3) AS m3 FROM pairs WHERE NOT bad GROUP BY 1)
+SELECT posting_id, CASE WHEN n1 = 1 THEN m1 WHEN n2 = 1 THEN m2 ELSE m3 END AS num, CASE WHEN n1 = 1 THEN 'number' WHEN n2 = 1 THEN 'alias' ELSE 'exact' END AS how FROM g WHERE n1 = 1 OR n2 = 1 OR n3 = 1""",
+)
+def j13_staged(spark, d):
+    """Postings by their own number, then an alias, then company and role; a row of another concrete posting never fits."""
+    none = F.array().cast("array<string>")
+    link = lambda i, x: F.concat(F.lit(("https://www.wanted.co.kr/wd/", "https://board.example.com/careers/", "li_")[i]), x.cast("string"))
+    pick = lambda key, *lists: F.element_at(F.array(*lists), (key % len(lists) + 1).cast("int"))
+    n, c = F.col("num"), F.col("posting_id")
+    t = tracker(spark, d).withColumn("aliases", pick(n, F.array(link(2, F.expr("num div 3")), link(0, n % 500)), F.array(link(1, n % 300)), none))
+    p = _candidates(spark, d).withColumns({"tracker_num": F.when(c % 7 == 0, F.expr("posting_id div 7")), "aliases": pick(c, F.array(link(0, c % 500)), F.array(link(1, c % 300)), F.array(link(2, c)), none)})
+    return staged_match(p, t).select("posting_id", "num", "how")
+
+
 _lists = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _TITLES = f"""t AS (
   SELECT p_partkey AS id, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS k, p_name || ' ' || p_type AS title, regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+') AS w FROM part),

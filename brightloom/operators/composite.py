@@ -340,11 +340,32 @@ def portal_health(probes: DataFrame) -> DataFrame:
 
 
 def bootstrap(state: DataFrame, artifact: DataFrame, since: Column) -> DataFrame:
-    """Q11: the newer of state and artifact (url, status, at) for each url; artifact rows before since don't count."""
-    both = state.withColumn("_p", F.lit(1)).unionByName(artifact.where(F.col("at") >= since).withColumn("_p", F.lit(0)))
+    """Q11: the newer of state and artifact (url, status, at) for each url, the artifact's if they are of one time; artifact
+    rows before since don't count."""
+    both = state.withColumn("_p", F.lit(0)).unionByName(artifact.where(F.col("at") >= since).withColumn("_p", F.lit(1)))
     return both.groupBy("url").agg(F.max_by(F.struct("status", "at"), F.struct("at", "_p", "status")).alias("r")).select("url", "r.*")
 
 
+def newest_run(runs: DataFrame, version: str) -> DataFrame:
+    """Q11: the run (name, body, ...) of the greatest name whose body is a JSON object of that schema_version; no row if
+    there is none. Names are compared before any body moves."""
+    valid = runs.where((F.get_json_object("body", "$.schema_version") == version) & F.trim("body").startswith("{"))
+    return valid.join(F.broadcast(valid.agg(F.max("name").alias("name"))), "name")  # one row
+
+
+def bootstrap_from_runs(state: DataFrame, runs: DataFrame, version: str, now: Column, hours: int = 72) -> DataFrame:
+    """Q11: (url, status, at): what state (url, status, at) and the newest valid run know of urls and is recent: at most so
+    many hours before now, and not after it. The run's evidence ($.liveness.results, url to status) is as old as the run
+    ($.started_at); where both know a url, the newer counts, and the run's if they are of one time."""
+    body = F.col("body")
+    started = F.get_json_object(body, "$.started_at").try_cast("timestamp")
+    seen = F.from_json(F.get_json_object(body, "$.liveness.results"), "map<string, string>")
+    artifact = newest_run(runs, version).select(started.alias("at"), F.explode_outer(seen).alias("url", "status")).where("url IS NOT NULL").select("url", "status", "at")
+    age = now.cast("timestamp").cast("double") - F.col("at").cast("double")
+    recent = lambda df: df.select("url", "status", F.col("at").cast("timestamp").alias("at")).where((age >= 0) & (age <= hours * 3600))
+    return bootstrap(recent(state), recent(artifact), F.lit("0001-01-01").cast("timestamp"))
+
+
 def search_ingest(df: DataFrame, title_ok: Column, place_ok: Column, seen_urls: DataFrame, seen_roles: DataFrame | None = None) -> DataFrame:
     """Q10: df (company, title, location, url, pos) with outcome: invalid, title, location, dup_url, dup_role, or accepted.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brightloom.functions.scope import owner_of
+
 from brightloom.functions.text import job_id_in, without_marks
 
 
@@ -116,6 +118,19 @@ def route_liveness(df: DataFrame) -> DataFrame:
     return df.withColumn("route", route.when(result == "active", "verified").otherwise(result))
 
 
+def history_of_routes(df: DataFrame) -> DataFrame:
+    """Q13: (url, status): what history is told of routed postings (url, previous_url, outcome, route), so that they are not
+    looked at again: the expired, the old url of those that moved, those without an apply control, and urls that the guard
+    refused. Verified and uncertain ones are not told, but for the url that they moved from. A null url tells nothing."""
+    status = F.when(F.col("route") == "expired", "skipped_expired").when(F.col("route") == "dropped", "skipped_no_apply_control")
+    status = status.when(F.col("route") == "invalid", F.when(F.col("outcome") == "blocked_url", "skipped_blocked_host").otherwise("skipped_invalid_url"))
+    moved = F.when(~F.col("previous_url").eqNullSafe(F.col("url")), F.col("previous_url"))
+    own = F.struct(F.col("url").alias("url"), status.alias("status"))
+    old = F.struct(moved.alias("url"), F.lit("skipped_expired").alias("status"))
+    told = df.select(*owner_of(df), F.explode_outer(F.array(own, old)).alias("told")).where("told.url IS NOT NULL AND told.status IS NOT NULL")
+    return told.select(*owner_of(df), "told.*").distinct()
+
+
 def liveness_stats(df: DataFrame, source: str) -> DataFrame:
     """Outcomes by source, one column each."""
     count = lambda r: F.count_if(F.col("route") == r).alias(r)

@@ -456,6 +456,19 @@ def q13(spark, d):
     return Q.route_liveness(guarded).select("page_id", "route")
 
 
+@query(
+    "q13_history",
+    f"""WITH r AS (SELECT page_id, o, {_ROUTE} AS route FROM (SELECT page_id, CASE WHEN page_id % 17 = 3 THEN 'blocked_url' WHEN page_id % 17 = 4 THEN 'invalid_url' ELSE {_OUT} END AS o FROM pages))
+SELECT 'u' || page_id AS url, CASE WHEN page_id % 17 = 3 THEN 'skipped_blocked_host' WHEN page_id % 17 = 4 THEN 'skipped_invalid_url' WHEN route = 'expired' THEN 'skipped_expired' ELSE 'skipped_no_apply_control' END AS status FROM r WHERE page_id % 17 IN (3, 4) OR route IN ('expired', 'dropped')
+UNION ALL SELECT 'old' || page_id, 'skipped_expired' FROM pages WHERE page_id % 5 = 0""",
+)
+def q13_history(spark, d):
+    i = F.col("page_id")
+    seen = _fetched(spark, d).withColumn("outcome", F.when(i % 17 == 3, "blocked_url").when(i % 17 == 4, "invalid_url").otherwise(F.col("outcome")))
+    moved = Q.route_liveness(seen).withColumns({"url": F.concat(F.lit("u"), i), "previous_url": F.when(i % 5 == 0, F.concat(F.lit("old"), i)).when(i % 5 == 1, F.concat(F.lit("u"), i))})
+    return Q.history_of_routes(moved)
+
+
 @query("a11_liveness_stats", f"SELECT source, count(*) AS checked, {', '.join(f'''count(*) FILTER (WHERE r = '{x}') AS {x}''' for x in ('verified', 'expired', 'dropped', 'invalid', 'uncertain'))} FROM (SELECT source, {_ROUTE} AS r FROM (SELECT regexp_extract(url, 'example\\.([a-z]+)', 1) AS source, {_OUT} AS o FROM pages)) GROUP BY 1")
 def a11(spark, d):
     return Q.liveness_stats(Q.route_liveness(_fetched(spark, d)), "source")

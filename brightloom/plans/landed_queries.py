@@ -237,6 +237,18 @@ def t2(spark, d):
     return spark.read.parquet(f"{home}/out").select("event_id", "kind")
 
 
+@query("t2_daily_sink", "SELECT event_id, event_type AS kind, ts::DATE AS day FROM events")
+def t2_daily(spark, d):
+    """As t2_resume_and_rescan, into a table with a folder for each day, of which a batch reads those of its days."""
+    e, home = table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.to_date("ts").alias("day")), _folder(spark)
+    sink = E.keyed_sink(f"{home}/out", ["event_id"], "day")
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{home}/in")
+        E.run_incremental(spark.readStream.schema(e.schema).parquet(f"{home}/in"), f"{home}/cursor", sink).awaitTermination()
+    E.rescan(spark.readStream.schema(e.schema).parquet(f"{home}/in"), f"{home}/cursor", sink).awaitTermination()
+    return spark.read.schema(e.schema).parquet(f"{home}/out")
+
+
 _BOARDS = ("amazon", "ashby", "himalayas", "lever", "recruitee", "smartrecruiters", "workable")
 
 

@@ -37,13 +37,27 @@ def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def keyed_sink(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A sink that adds the rows whose keys the table at path lacks: it may run again after a failure or a full rescan."""
+#: Values of a sink's dividing column in one batch up to which only their folders are read.
+MAX_FOLDERS = 2_000
+
+
+def keyed_sink(path: str, keys: Sequence[str], by: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink that adds the rows whose keys the table at path lacks: it may run again after a failure or a full rescan.
+
+    by: a column that a key never changes, such as the day of an event. The table is then divided into a folder for each of
+    its values, and a batch reads only the folders it touches; without it, or beyond MAX_FOLDERS of them, all keys are read.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.limit(0).write.mode("ignore").parquet(path)
-        have = batch.sparkSession.read.schema(batch.schema).parquet(path).select(*keys)
-        batch.dropDuplicates(list(keys)).join(have, list(keys), "left_anti").write.mode("append").parquet(path)
+        writer = (lambda df: df.write.partitionBy(by)) if by else (lambda df: df.write)
+        writer(batch.limit(0)).mode("ignore").parquet(path)
+        have = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        if by:
+            touched = [r[0] for r in batch.select(by).distinct().limit(MAX_FOLDERS + 1).collect()]  # bounded
+            if len(touched) <= MAX_FOLDERS:
+                known = [v for v in touched if v is not None]
+                have = have.where(F.col(by).isin(known) | F.col(by).isNull() if len(known) < len(touched) else F.col(by).isin(known))
+        writer(batch.dropDuplicates(list(keys)).join(have.select(*keys), list(keys), "left_anti").select(*batch.columns)).mode("append").parquet(path)
 
     return add
 

@@ -196,3 +196,44 @@ def test_owners_do_not_meet(spark):
         raise AssertionError("a table without owners was taken")
     except ValueError:
         pass
+
+
+def test_evidence_windows(spark):
+    import re
+
+    from brightloom.functions.text import evidence
+
+    def plain(text, pattern):
+        hit = re.search(pattern, text, re.I | re.S)
+        if not hit:
+            return text[:500]
+        start = max(text.rfind("\n", 0, hit.start()), text.rfind(". ", 0, hit.start())) + 1
+        end = text.find("\n", hit.end())
+        value = text[start : end if end >= 0 else hit.end() + 120].strip()[:800]
+        value = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]", value)
+        return re.sub(r"(?<![0-9])01[016789][- .]?[0-9]{3,4}[- .]?[0-9]{4}(?![0-9])", "[phone]", value)
+
+    rng = random.Random(1)
+    piece = lambda: rng.choice(["offer", "OFFER\nx", "a", "\n", ". ", ".", " ", "me@x.org", "010-1234-5678", "\U0001f600", "é" * 90])
+    texts = ["".join(piece() for _ in range(rng.randrange(0, 30))) for _ in range(300)] + ["x" * 300_000 + " offer " + "y" * 300_000, "\n" * 5000 + "offer"]
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string").select("i", evidence(F.col("t"), "offer|o.x").alias("said")).collect()
+    assert {r["i"]: r["said"] for r in rows} == {-1: None} | {i: plain(t, "offer|o.x") for i, t in enumerate(texts)}
+
+
+def test_newest_run_and_sink_by_day(spark, tmp_path):
+    from brightloom.operators.composite import bootstrap_from_runs
+    from brightloom.streaming.events import keyed_sink
+
+    ts = lambda s: datetime.datetime.fromisoformat(s)
+    body = '{"schema_version": "v1", "started_at": "2024-01-05T00:00:00", "liveness": {"results": {"a": "expired", "b": "active", "c": "active"}}}'
+    runs = spark.createDataFrame([("r1", body.replace("expired", "wrong")), ("r2", body), ("r3", "[" + body + "]"), ("r4", '{"schema_version": "v0"}'), ("r5", None)], "name string, body string")
+    state = spark.createDataFrame([("a", "active", ts("2024-01-05T00:00:00")), ("b", "expired", ts("2024-01-05T01:00:00")), ("d", "active", ts("2024-01-01T00:00:00")), ("e", "active", ts("2024-01-07T00:00:00")), ("f", "x", None)], "url string, status string, at timestamp")
+    now = F.lit("2024-01-06").cast("timestamp")
+    assert {r["url"]: r["status"] for r in bootstrap_from_runs(state, runs, "v1", now).collect()} == {"a": "expired", "b": "expired", "c": "active"}
+    assert {r["url"] for r in bootstrap_from_runs(state, runs.limit(0), "v1", now).collect()} == {"a", "b"}
+    day = lambda n: n and datetime.date(2024, 1, n)
+    sink = keyed_sink(str(tmp_path / "t"), ["k"], "day")
+    batches = [[(1, day(1)), (1, day(1)), (2, day(2))], [(2, day(2)), (3, day(2)), (4, None)], [(4, None), (5, day(3))], []]
+    for n, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, "k int, day date"), n)
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3, 4, 5]

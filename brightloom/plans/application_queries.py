@@ -108,6 +108,49 @@ def q1(spark, d):
     return T.audit(t)
 
 
+@query(
+    "q1_integrity",
+    f"""{with_views('tracker')}, t AS (SELECT num // 2 AS num, company, role, via, CASE num % 97 WHEN 0 THEN 'zzz' WHEN 1 THEN '**Applied**' WHEN 2 THEN 'Applied 2024-01-02' ELSE status END AS status, CASE num % 89 WHEN 0 THEN '' WHEN 1 THEN '**4.1/5**' WHEN 2 THEN 'DUP' ELSE score || '/5' END AS score,
+  num AS id, num % 3 = 0 AS lost, num % 4 = 0 AS bare FROM tracker),
+u AS (SELECT * REPLACE (CASE id % 101 WHEN 0 THEN '?' WHEN 1 THEN 'Confidential' ELSE company END AS company) FROM t), g AS (SELECT *, {_KR} FROM u),
+f AS (SELECT DISTINCT id AS number, id || '-acme-2024-01-01.md' AS name, 'acme::role' || (id % 1000) AS rk FROM t WHERE NOT lost),
+x AS (SELECT 'status' AS check, 'error' AS severity, num::VARCHAR AS key, 'unknown status: zzz' AS message FROM u WHERE status = 'zzz'
+UNION ALL SELECT 'status_bold', 'error', num::VARCHAR, 'status in bold: **Applied**' FROM u WHERE contains(status, '**')
+UNION ALL SELECT 'status_date', 'error', num::VARCHAR, 'status with a date: Applied 2024-01-02' FROM u WHERE contains(status, '2024')
+UNION ALL SELECT 'score', 'error', num::VARCHAR, 'no score: ' FROM u WHERE score = ''
+UNION ALL SELECT 'score_bold', 'warning', num::VARCHAR, 'score in bold: **4.1/5**' FROM u WHERE contains(score, '**')
+UNION ALL SELECT 'via', 'error', num::VARCHAR, 'unknown company without a channel' FROM u WHERE company = '?' AND via IS NULL
+UNION ALL SELECT 'confidential', 'warning', num::VARCHAR, 'placeholder as company: Confidential' FROM u WHERE company = 'Confidential'
+UNION ALL SELECT 'width', 'error', num::VARCHAR, 'cells: 6 of 9' FROM u WHERE id % 103 = 0
+UNION ALL SELECT 'duplicate', 'warning', k || '::' || r, count(*) || ' rows, #' || min(num) || ' to #' || max(num) FROM g GROUP BY k, r HAVING count(*) > 1
+UNION ALL SELECT 'channel', 'warning', lower(company) || '::' || lower(role), count(DISTINCT coalesce(via, 'direct')) || ' channels, ' || count(*) || ' rows, #' || min(num) || ' to #' || max(num) FROM u WHERE company <> '?' GROUP BY lower(company), lower(role) HAVING count(DISTINCT coalesce(via, 'direct')) > 1
+UNION ALL SELECT 'number', 'error', num::VARCHAR, count(*) || ' rows' FROM u GROUP BY num HAVING count(*) > 1
+UNION ALL SELECT 'report_missing', 'error', num::VARCHAR, 'no such report: reports/' || id || '-acme-2024-01-01.md' FROM u WHERE lost AND NOT bare
+UNION ALL SELECT 'report_orphan', 'warning', name, 'no row names #' || number FROM f WHERE number NOT IN (SELECT id FROM u WHERE NOT bare UNION SELECT num FROM u WHERE bare)
+UNION ALL SELECT 'report_twice', 'warning', rk, count(*) || ' reports, ' || min(name) || ' to ' || max(name) FROM f GROUP BY rk HAVING count(*) > 1
+UNION ALL SELECT 'report_held', 'warning', c_custkey || '-RESERVED.md', 'held since 2024-03-14 0' || (c_custkey % 10) || ':30' FROM customer WHERE c_custkey % 10 < 8
+UNION ALL SELECT 'additions', 'warning', 'additions', count(*) || ' not merged' FROM supplier)
+SELECT * FROM x""",
+)
+def q1_integrity(spark, d):
+    """The audit of a landed tracker with its reports: some rows are odd, a third of the reports are lost, numbers repeat."""
+    from brightloom.operators.audit import integrity_audit
+
+    n = F.col("num")
+    status = F.when(n % 97 == 0, "zzz").when(n % 97 == 1, "**Applied**").when(n % 97 == 2, "Applied 2024-01-02").otherwise(F.col("status"))
+    score = F.when(n % 89 == 0, "").when(n % 89 == 1, "**4.1/5**").when(n % 89 == 2, "DUP").otherwise(F.concat(F.col("score").cast("string"), F.lit("/5")))
+    file = F.concat(n.cast("string"), F.lit("-acme-2024-01-01.md"))
+    t = tracker(spark, d).select(
+        F.expr("num div 2").alias("num"), F.when(n % 101 == 0, "?").when(n % 101 == 1, "Confidential").otherwise(F.col("company")).alias("company"), "role", status.alias("status"), score.alias("score"),
+        F.when(n % 4 != 0, F.concat(F.lit("[report](reports/"), file, F.lit(")"))).alias("report"), "via", F.when(n % 103 == 0, 6).otherwise(9).alias("n_cells"), F.lit(9).alias("need_cells"),
+    )
+    kept = tracker(spark, d).where("num % 3 > 0").select(file.alias("name"), F.concat(F.lit("# Acme — Role "), n % 1000).alias("body"), F.lit("2024-03-14 00:00:00").cast("timestamp").alias("modified"))
+    c = F.col("c_custkey")
+    held = table(spark, d, "customer").select(F.concat(c, F.lit("-RESERVED.md")).alias("name"), F.lit(None).cast("string").alias("body"), F.concat(F.lit("2024-03-14 0"), c % 10, F.lit(":30:00")).cast("timestamp").alias("modified"))
+    waiting = table(spark, d, "supplier").select(F.concat(F.col("s_suppkey"), F.lit(".tsv")).alias("name"))
+    return integrity_audit(t, kept.union(held), waiting, F.lit("2024-03-14 12:00:00").cast("timestamp"))
+
+
 _RAW = "CASE o_orderkey % 5 WHEN 0 THEN '**Applied** 2024-01-02' WHEN 1 THEN 'Entrevista' WHEN 2 THEN ' offer ' WHEN 3 THEN 'dup' ELSE 'whatever' END"
 
 

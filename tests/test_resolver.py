@@ -115,3 +115,26 @@ def test_staged_match_equals_a_plain_loop(spark):
     assert {r["posting_id"]: (r["owner_id"], r["num"], r["how"]) for r in found} == want and len(found) == len(want)
     assert {how for _, _, how in want.values()} == {"number", "alias", "exact"}
     assert staged_match(p, t.limit(0)).count() == 0 and staged_match(p.limit(0), t).count() == 0
+
+
+def test_integrity_audit_of_odd_rows(spark):
+    from brightloom.operators.audit import integrity_audit
+
+    t = spark.createDataFrame(
+        [("a", 1, "Acme", "Dev", "applied", "4/5", "[001](../reports/001-acme-2024-01-01.md)", None), ("a", 1, "acme", "dev", "Applied", "N/A", "[7](x/7-gone-2024-01-01.md)", "Agency"), ("a", None, "?", None, None, None, None, "—"), ("b", 1, "acme", "dev", "offer", "3", "", None)],
+        "owner_id string, num long, company string, role string, status string, score string, report string, via string",
+    )
+    body = "# Title\n\n## Machine Summary\n\n```yaml\ncompany: x\nrole: 'Data Cook'\n```\n"
+    when = lambda h: f"2024-01-01 {h:02}:00:00"
+    reports = spark.createDataFrame(
+        [("a", "001-acme-2024-01-01.md", body, when(1)), ("a", "2-acme-2024-01-02.md", "# Acme – Data cook\n", when(1)), ("a", "3-RESERVED.md", "", when(1)), ("a", "4-RESERVED.md", "", when(9)), ("b", "1-acme-2024-01-01.md", None, None)],
+        "owner_id string, name string, body string, modified string",
+    ).withColumn("modified", F.col("modified").cast("timestamp"))
+    waiting = spark.createDataFrame([("b", "1.tsv")], "owner_id string, name string")
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    got = {(r["owner_id"], r["check"], r["key"]) for r in integrity_audit(t, reports, waiting, now).collect()}
+    assert got == {
+        ("a", "status", None), ("a", "score", None), ("a", "via", None), ("a", "duplicate", "acme::dev"), ("a", "channel", "acme::dev"), ("a", "number", "1"), ("a", "report_missing", "1"), ("a", "report_orphan", "2-acme-2024-01-02.md"),
+        ("a", "report_twice", "acme::datacook"), ("a", "report_held", "3-RESERVED.md"), ("b", "additions", "additions"),
+    }
+    assert integrity_audit(t.limit(0), reports.limit(0), waiting.limit(0), now).count() == 0

@@ -112,6 +112,21 @@ def s4(spark, d):
     return _broken(spark, d)[0]
 
 
+@query(
+    "s4_landed_repair",
+    f"""{with_views('tracker')} SELECT 'o' || num % 4 AS owner_id, count(*) AS n, count(DISTINCT num) AS numbers, max(num) FILTER (WHERE num % 9 > 0) + count(*) FILTER (WHERE num % 9 = 0) AS greatest, count(*) FILTER (WHERE num % 9 = 0) AS bad_id, count(*) FILTER (WHERE num % 5 = 0) AS stray_pipes,
+  count(*) FILTER (WHERE num % 7 = 0) AS score_in_status, count(*) FILTER (WHERE num % 7 = 1) AS unknown_status, count(*) FILTER (WHERE num % 11 = 0) AS bad_date, count(*) FILTER (WHERE num % 13 = 0) AS mojibake FROM tracker GROUP BY 1""",
+)
+def s4_landed(spark, d):
+    """Files of four owners with every kind of damage; all numbers are distinct afterwards."""
+    n = F.col("num")
+    part = lambda bad, odd, good: F.when(bad, odd).otherwise(good)
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", part(n % 9 == 0, F.lit("-"), n.cast("string")), part(n % 11 == 0, F.lit("soon"), F.lit("2024-01-02")), "company", "role", part(n % 13 == 0, F.lit("�"), F.lit("4/5")), F.when(n % 7 == 0, "3/5").when(n % 7 == 1, "zzz").otherwise("applied"), F.lit("x"), F.lit("r"), part(n % 5 == 0, F.lit("a|b"), F.lit("a"))), F.lit(" |"))
+    rows, counts = readers.read_tracker_repaired(spark, _land(_files(tracker(spark, d), "num", line)))
+    kept = rows.groupBy("owner_id").agg(F.count("*").alias("n"), F.countDistinct("num").alias("numbers"), F.max("num").alias("greatest"))
+    return _owned(kept.join(counts, "owner_id")).select("owner_id", "n", "numbers", "greatest", "bad_id", "stray_pipes", "score_in_status", "unknown_status", "bad_date", "mojibake")
+
+
 @query("a12_repair_counts", f"{with_views('tracker')} SELECT count(*) FILTER (WHERE num % 4 = 1) AS swapped, count(*) FILTER (WHERE num % 4 = 3) AS unknown_status, count(*) FILTER (WHERE num % 4 = 1) AS placeholders, count(*) FILTER (WHERE num % 4 = 2) AS no_score FROM tracker")
 def a12(spark, d):
     return _broken(spark, d)[1]

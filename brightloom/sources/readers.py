@@ -64,11 +64,9 @@ def _cells(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
 
 
-def read_tracker(spark: SparkSession, path: str) -> DataFrame:
-    """S3: rows of Markdown tables by the names of their header, else by the fixed nine columns.
-
-    Separators, headers, rows without a number and rows too narrow to have a status go. Each file has its own header.
-    """
+def _tracker_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(owner_id, file, pos, cells, map) of the rows of Markdown tables; map has the place of each column, by the names of
+    the file's first header, else by the fixed nine columns. Separators and headers go."""
     rows = _lines(spark, path).where(F.trim("line").startswith("|")).withColumn("cells", _cells(F.col("line"))).where(~F.col("line").rlike(r"^[\s|:\-]+$"))
     low = rows.withColumn("names", F.transform("cells", F.lower))
     at = {c: F.coalesce(*[F.nullif(F.array_position("names", n), F.lit(0)) for n in of], F.lit(0)) for c, of in TRACKER_NAMES.items()}
@@ -77,13 +75,61 @@ def read_tracker(spark: SparkSession, path: str) -> DataFrame:
     headers = low.withColumn("is_header", is_header)
     found = headers.where("is_header").groupBy("file").agg(F.min_by(places, "pos").alias("map"))
     fixed = F.struct(*[F.lit(FIXED_LAYOUT.index(c) + 1 if c in FIXED_LAYOUT else 0).alias(c) for c in TRACKER_NAMES])
-    body = headers.where("NOT is_header").join(found, "file", "left").withColumn("map", F.coalesce("map", fixed))
-    cell = lambda c: F.nullif(F.when(F.col(f"map.{c}") > 0, F.get("cells", F.col(f"map.{c}") - 1)), F.lit(""))
+    return headers.where("NOT is_header").join(found, "file", "left").withColumn("map", F.coalesce("map", fixed))
+
+
+def _cell(c: str) -> Column:
+    return F.nullif(F.when(F.col(f"map.{c}") > 0, F.get("cells", F.col(f"map.{c}") - 1)), F.lit("")).alias(c)
+
+
+def read_tracker(spark: SparkSession, path: str) -> DataFrame:
+    """S3: rows of Markdown tables by the names of their header, else by the fixed nine columns.
+
+    Separators, headers, rows without a number and rows too narrow to have a status go. Each file has its own header.
+    """
     wide = F.size("cells") >= F.greatest("map.num", "map.company", "map.role", "map.score", "map.status")
-    named = body.where(wide).select("owner_id", "file", "pos", *[cell(c).alias(c) for c in TRACKER_NAMES])
+    named = _tracker_rows(spark, path).where(wide).select("owner_id", "file", "pos", *[_cell(c) for c in TRACKER_NAMES])
     return named.withColumn("num", F.col("num").try_cast("long")).where("num IS NOT NULL").withColumn("date", F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).cast("date"))
 
 
+def read_tracker_repaired(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S4 and A12 of landed files: (rows, counts). Rows are never dropped, whatever they lack.
+
+    Cells beyond the last column, where that is the notes, came of stray pipes and are joined to the notes again. Broken
+    dashes become dashes; a score in the status cell moves to the score unless there is one, and the status is evaluated;
+    an unknown status becomes evaluated, with what stood there as a note; missing, zero and repeated numbers of an owner
+    follow the greatest in the order of files and rows. Dates stay as they are. counts: one row an owner with the rows that
+    each repair touched, and those whose date is none.
+    """
+    from brightloom.operators.dedup import checkpointed
+    from brightloom.operators.tracker import reassign_ids, score_value, status_name
+
+    rows = _tracker_rows(spark, path)
+    width = F.greatest(*[F.col(f"map.{c}") for c in TRACKER_NAMES])
+    stray = (F.size("cells") > width) & (F.col("map.notes") == width)
+    joined = F.concat(F.slice("cells", F.lit(1), width - 1), F.array(F.array_join(F.slice("cells", width, F.size("cells")), " | ")))
+    read = rows.withColumn("stray_pipes", stray).withColumn("cells", F.when(stray, joined).otherwise(F.col("cells"))).select("owner_id", "file", "pos", "stray_pipes", *[_cell(c) for c in TRACKER_NAMES])
+    broken = ("score", "pdf", "report")
+    odd = lambda c: F.coalesce(F.col(c).rlike("^(鈥.{0,2}|â€.{0,2}|�+)$"), F.lit(False))
+    read = read.withColumn("mojibake", odd("score") | odd("pdf") | odd("report")).withColumns({c: F.when(odd(c), "—").otherwise(F.col(c)) for c in broken})
+    misplaced = score_value(F.col("status")).isNotNull()
+    read = read.withColumn("score_in_status", misplaced).withColumns(
+        {"score": F.when(misplaced & score_value(F.col("score")).isNull(), F.col("status")).otherwise(F.col("score")), "status": F.when(misplaced, "evaluated").otherwise(F.col("status"))}
+    )
+    note = F.concat(F.lit('[sync: original status "'), F.coalesce("status", F.lit("")), F.lit('"]'))
+    read = read.withColumn("unknown_status", status_name(F.col("status")).isNull()).withColumns(
+        {"notes": F.when(F.col("unknown_status"), F.concat_ws(" ", "notes", note)).otherwise(F.col("notes")), "status": F.coalesce(status_name(F.col("status")), F.lit("evaluated"))}
+    )
+    number = F.regexp_extract(F.coalesce("num", F.lit("")), r"^\s*(\d{1,18})", 1).try_cast("long")
+    read = read.withColumns({"num": F.when(number > 0, number), "bad_date": ~F.coalesce(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))})
+    read = checkpointed(read.fillna("—", ["score", "report"]).fillna("❌", ["pdf"]))
+    kept = read.where("num IS NOT NULL").groupBy("owner_id").agg(F.countDistinct("num").alias("kept"))
+    flags = ("mojibake", "score_in_status", "unknown_status", "bad_date", "stray_pipes")
+    counted = read.groupBy("owner_id").agg(*[F.count_if(f).alias(f) for f in flags], F.count("*").alias("n")).join(kept, "owner_id", "left")
+    counts = counted.select("owner_id", *flags, (F.col("n") - F.coalesce("kept", F.lit(0))).alias("bad_id"))
+    return reassign_ids(read, ["file", "pos"]).drop(*flags), counts
+
+
 def repair_tracker(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, counts): a status in the score cell swaps back, unknown statuses become evaluated with a note,
     placeholders become a dash; one row of counts of each repair."""

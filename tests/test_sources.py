@@ -138,3 +138,19 @@ def test_portal_rules(spark, monkeypatch):
     got = {r["n"]: (r["result"], r["code"]) for r in portals.portal_liveness(spark.createDataFrame(rows, "n int, portal string, posting_id string, status int, body string"), F.lit("2024-03-15").cast("date")).collect()}
     nothing = ("unknown", None)
     assert got == {1: ("active", "open"), 2: ("expired", "over"), 3: nothing, 4: nothing, 5: nothing, 6: nothing, 7: nothing, 8: nothing, 9: nothing, 10: nothing, 11: nothing, 12: ("expired", "lever_api_gone"), 13: ("active", "lever_api_ok"), 14: ("active", "remember_structured_active")}
+
+
+def test_landed_tracker_repaired(spark, tmp_path):
+    write(tmp_path, "me/a.md", "| # | Date | Company | Role | Score | Status | PDF | Report | Notes |\n|---|---|---|---|---|---|---|---|---|\n"
+          "| 4 | 2024-01-02 | Acme | Dev | 4/5 | Applied | x | [1](r) | a | b|c |\n| 4 | soon | B | Ops | 鈥? | 3.5/5 | | � | |\n| x | 2024-01-03 | C | Ops | 2/5 | strange | x | r | n |\n| 0 | 2024-01-03 | D |\n")
+    write(tmp_path, "you/b.md", "| 1 | 2024-01-02 | Acme | Dev | 4/5 | Sent | x | r | n |\n")
+    rows, counts = readers.read_tracker_repaired(spark, f"{tmp_path}/*")
+    got = sorted(tuple(r) for r in rows.select("owner_id", "num", "company", "date", "score", "status", "pdf", "report", "notes").collect())
+    assert got == [
+        ("me", 4, "Acme", "2024-01-02", "4/5", "applied", "x", "[1](r)", "a | b | c"), ("me", 5, "B", "soon", "3.5/5", "evaluated", "❌", "—", None),
+        ("me", 6, "C", "2024-01-03", "2/5", "evaluated", "x", "r", 'n [sync: original status "strange"]'), ("me", 7, "D", "2024-01-03", "—", "evaluated", "❌", "—", '[sync: original status ""]'),
+        ("you", 1, "Acme", "2024-01-02", "4/5", "applied", "x", "r", "n"),
+    ]
+    found = {r["owner_id"]: r.asDict() for r in counts.collect()}
+    assert found["me"] == {"owner_id": "me", "mojibake": 1, "score_in_status": 1, "unknown_status": 2, "bad_date": 1, "stray_pipes": 1, "bad_id": 3}
+    assert not any(v for k, v in found["you"].items() if k != "owner_id")

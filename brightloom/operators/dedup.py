@@ -24,6 +24,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is a shuffle. The planner knows files by their packed size and exploded rows by what
+    they came from, and would send millions of such rows through the driver as a broadcast."""
+    return df.hint("merge")
+
+
 def _url_key(url: Column) -> Column:
     """dedup_url as a join key that is never null: for a nullable key Spark would filter on it first and make it twice."""
     return F.coalesce(dedup_url(url), F.lit("\u0000"))

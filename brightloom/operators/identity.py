@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.scope import owner_of
 from brightloom.functions.text import company_key, host_of, text_key, without_marks
+from brightloom.operators.dedup import dealt
 
 # Statuses by what they mean for a new posting of the same role.
 HARD_STATUSES = ("applied", "responded", "interview", "offer", "rejected", "no-response")
@@ -103,7 +104,7 @@ def alike_titles(left: DataFrame, right: DataFrame) -> DataFrame:
         keys = F.array_append(F.filter(F.col(role)["tokens"], lambda t: ~t.isin(*BASELINE)), F.concat(F.lit("="), F.col(role)["text"]))
         return named.withColumn("key", F.explode_outer(keys))
 
-    met = keyed(left, "at", "ra").join(keyed(right, "bt", "rb"), [*own, "k", "key"])
+    met = keyed(left, "at", "ra").join(dealt(keyed(right, "bt", "rb")), [*own, "k", "key"])
     return met.where(roles_match(F.col("ra"), F.col("rb"))).select(*own, "k", "at", "bt").distinct()
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.scope import owner_of
 from brightloom.functions.text import company_key, dedup_url, host_of, nfkc, role_key, text_key
-from brightloom.operators.dedup import checkpointed
+from brightloom.operators.dedup import checkpointed, dealt
 from brightloom.operators.identity import alike_titles
 
 # Statuses that keep a posting of the same role back, and those that keep back others of the company.
@@ -43,9 +43,9 @@ def keys_in_texts(texts: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame
     own = lambda k: F.filter(pieces(k), lambda p: F.length(p) == F.least(F.length(k), F.lit(PIECE)))
     led = keys.where("k <> ''").select(*by, "k").distinct().select(*by, "k", F.explode_outer(own(F.col("k"))).alias("piece"))
     # a piece that no text has rules its key out
-    led = led.join(common, [*by, "piece"], "left").groupBy(*by, "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least"))
+    led = led.join(dealt(common), [*by, "piece"], "left").groupBy(*by, "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least"))
     led = led.where("least.n > 0").select(*by, "k", F.col("least.piece").alias("piece"))
-    return spread.join(led, [*by, "piece"]).where(F.contains("text", "k")).select(*by, "id", "k")
+    return spread.join(dealt(led), [*by, "piece"]).where(F.contains("text", "k")).select(*by, "id", "k")
 
 
 def _exact(role: Column) -> Column:
@@ -79,7 +79,7 @@ class Resolved:
         base = self.postings.select(*own, "posting_id", "k", "at", "pr", "exact", "target")
         blank = self.postings.where("k = '' AND text <> ''").select(*own, F.col("posting_id").alias("id"), "text")
         found = keys_in_texts(blank, self.tracker, own).withColumnRenamed("id", "posting_id")
-        told = base.where("k = ''").drop("k").join(found, [*own, "posting_id"]).select(*base.columns)
+        told = base.where("k = ''").drop("k").join(dealt(found), [*own, "posting_id"]).select(*base.columns)
         self.links = checkpointed(base.where("k <> ''").union(told))
 
     def roles(self) -> DataFrame:
@@ -87,7 +87,7 @@ class Resolved:
         own = self.own
         left = self.links.select(*own, "k", "at", "pr").distinct()
         right = self.tracker.where("status <> 'skip'").select(*own, "k", "bt", "tr").distinct()
-        equal = left.where("pr <> ''").join(right.withColumnRenamed("tr", "pr"), [*own, "k", "pr"]).select(*own, "k", "at", "bt")
+        equal = left.where("pr <> ''").join(dealt(right.withColumnRenamed("tr", "pr")), [*own, "k", "pr"]).select(*own, "k", "at", "bt")
         return equal.union(alike_titles(left.select(*own, "k", "at"), right.select(*own, "k", "bt"))).distinct()
 
     def skipped(self) -> DataFrame:
@@ -95,9 +95,9 @@ class Resolved:
         the row names another url of the same site."""
         own = self.own
         skip = self.tracker.where("status = 'skip'").select(*own, "k", "num", "status", "exact", "urls")
-        by_url = self.links.join(skip.select(*own, "k", "num", "status", F.explode("urls").alias("target")), [*own, "k", "target"])
+        by_url = self.links.join(dealt(skip.select(*own, "k", "num", "status", F.explode("urls").alias("target"))), [*own, "k", "target"])
         other = F.exists("urls", lambda u: F.coalesce((host_of(u) == host_of(F.col("target"))) & (u != F.col("target")), F.lit(False)))
-        by_role = self.links.where("exact <> ''").join(skip, [*own, "k", "exact"]).where(~other)
+        by_role = self.links.where("exact <> ''").join(dealt(skip), [*own, "k", "exact"]).where(~other)
         columns = [*own, "posting_id", "num", "status"]
         return by_url.select(*columns).union(by_role.select(*columns)).distinct()
 
@@ -116,12 +116,12 @@ def resolved_matches(postings: DataFrame, tracker: DataFrame, top: int = 3) -> D
     columns = [*own, "posting_id", "num", "status"]
     rows = r.tracker.where("status <> 'skip'")
     newest = _top(rows.select(*own, "k", "bt", "num", "status"), [*own, "k", "bt"], top)
-    same = _top(r.roles().join(newest, [*own, "k", "bt"]).select(*own, "k", "at", "num", "status").distinct(), [*own, "k", "at"], top)
-    same = r.links.join(same, [*own, "k", "at"]).select(*columns, F.lit(True).alias("role_match"))
+    same = _top(r.roles().join(dealt(newest), [*own, "k", "bt"]).select(*own, "k", "at", "num", "status").distinct(), [*own, "k", "at"], top)
+    same = r.links.join(dealt(same), [*own, "k", "at"]).select(*columns, F.lit(True).alias("role_match"))
     skipped = _top(r.skipped(), [*own, "posting_id"], top).withColumn("role_match", F.lit(True))
     # with fewer than `top` rows of its role, the rest of a posting's best are among so many of its company
     rest = _top(r.tracker.select(*own, "k", "num", "status"), [*own, "k"], 2 * top - 1)
-    other = r.links.select(*own, "posting_id", "k").distinct().join(rest, [*own, "k"]).select(*columns, F.lit(False).alias("role_match"))
+    other = r.links.select(*own, "posting_id", "k").distinct().join(dealt(rest), [*own, "k"]).select(*columns, F.lit(False).alias("role_match"))
     found = same.union(skipped).union(other).groupBy(*columns).agg(F.max("role_match").alias("role_match"))
     w = W.partitionBy(*own, "posting_id").orderBy(F.desc("role_match"), F.desc("num"), "status")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
@@ -139,12 +139,12 @@ def resolved_gate(postings: DataFrame, tracker: DataFrame) -> DataFrame:
     rows = r.tracker
     last = F.max(F.struct("num", "status"))
     hard = rows.where(F.col("status").isin(*ROLE_BLOCKS) & (F.col("status") != "skip")).groupBy(*own, "k", "bt").agg(last.alias("row"))
-    titled = r.roles().join(hard, [*own, "k", "bt"]).groupBy(*own, "k", "at").agg(F.max("row").alias("row"))
-    by_role = r.links.join(titled, [*own, "k", "at"]).select(*own, "posting_id", "row").union(r.skipped().select(*own, "posting_id", F.struct("num", "status")))
+    titled = r.roles().join(dealt(hard), [*own, "k", "bt"]).groupBy(*own, "k", "at").agg(F.max("row").alias("row"))
+    by_role = r.links.join(dealt(titled), [*own, "k", "at"]).select(*own, "posting_id", "row").union(r.skipped().select(*own, "posting_id", F.struct("num", "status")))
     by_role = by_role.groupBy(*own, "posting_id").agg(F.max("row").alias("role_row"))
     prior = rows.where(F.col("status").isin(*COMPANY_BLOCKS)).groupBy(*own, "k").agg(last.alias("row"))
-    by_company = r.links.join(prior, [*own, "k"]).groupBy(*own, "posting_id").agg(F.max("row").alias("company_row"))
-    met = r.postings.select(*own, "posting_id", "resolution", "bucket").distinct().join(by_role, [*own, "posting_id"], "left").join(by_company, [*own, "posting_id"], "left")
+    by_company = r.links.join(dealt(prior), [*own, "k"]).groupBy(*own, "posting_id").agg(F.max("row").alias("company_row"))
+    met = r.postings.select(*own, "posting_id", "resolution", "bucket").distinct().join(dealt(by_role), [*own, "posting_id"], "left").join(dealt(by_company), [*own, "posting_id"], "left")
     role, company = F.col("role_row"), F.col("company_row")
     reason = (
         F.when(F.col("resolution") == "ambiguous", "ambiguous_company_identity")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.scope import owner_of
 from brightloom.functions.text import company_key, cooldown_url, text_key
-from brightloom.operators.dedup import checkpointed
+from brightloom.operators.dedup import checkpointed, dealt
 
 # Portals whose subdomains are one source, and what the path of any other posting holds.
 PROVIDERS = ("wanted.co.kr", "rememberapp.co.kr", "saramin.co.kr", "jobkorea.co.kr", "linkedin.com", "greetinghr.com", "ninehire.com")
@@ -40,6 +40,12 @@ def conflicting(a: Column, b: Column) -> Column:
     return F.size(F.array_except(F.array_intersect(_sources(a), _sources(b)), _sources(F.array_intersect(a, b)))) > 0
 
 
+def _one_row() -> list[Column]:
+    """n and num over groups (n, tid, num) of rows that may share rows: n is 1 if all of them are one and the same row."""
+    one = (F.max("n") == 1) & (F.min("tid") == F.max("tid"))
+    return [F.when(one, 1).otherwise(F.greatest(F.max("n"), F.lit(2))).alias("n"), F.min("num").alias("num")]
+
+
 def staged_match(postings: DataFrame, tracker: DataFrame) -> DataFrame:
     """(posting_id, num, how) of postings (posting_id, company, title, tracker_num, aliases) whose row of the
     tracker (num, company, role, aliases) is certain.
@@ -48,8 +54,9 @@ def staged_match(postings: DataFrame, tracker: DataFrame) -> DataFrame:
     "exact", equal company and role keys. A row that names another posting of the same source never fits. Null numbers,
     aliases and blank keys match nothing; rows of the tracker are told apart by num, and a num that repeats is no certain
     row. Stages after the first work on distinct postings and distinct rows: those with equal keys and aliases count as one
-    with a weight. In the last stage, rows that name no source of the posting's fit without a look at urls, and are only
-    counted by their sets of sources; the others fit only if they share a url, which is a join on the url.
+    with a weight, and a posting meets the rows of one alias (or url) with equal urls as one group. In the last stage, rows
+    that name no source of the posting's fit without a look at urls, and are only counted by their sets of sources; the
+    others fit only if they share a url, which is a join on the url.
     """
     own = owner_of(postings, tracker)
     clean = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(c), F.array().cast("array<string>")))))
@@ -60,25 +67,30 @@ def staged_match(postings: DataFrame, tracker: DataFrame) -> DataFrame:
     p, t = checkpointed(keyed(postings, "title")), checkpointed(keyed(tracker, "role"))
 
     numbered = t.where("num IS NOT NULL").groupBy(*own, "num").agg(F.count("*").alias("n"), F.first("refs").alias("t_refs")).where("n = 1").drop("n")
-    first = p.join(numbered.withColumnRenamed("num", "tracker_num"), [*own, "tracker_num"]).where(~conflicting(F.col("refs"), F.col("t_refs")))
+    first = p.join(dealt(numbered.withColumnRenamed("num", "tracker_num")), [*own, "tracker_num"]).where(~conflicting(F.col("refs"), F.col("t_refs")))
     first = first.select(*own, "posting_id", F.col("tracker_num").alias("num"), F.lit("number").alias("how"))
 
     # what stages two and three look at: one row for each owner, key and list of aliases
     ids = F.struct(*own, "k", "al")
-    ps = p.join(first.select(*own, "posting_id"), [*own, "posting_id"], "left_anti").withColumn("pid", F.sha2(F.to_json(ids), 256))
+    ps = p.join(dealt(first.select(*own, "posting_id")), [*own, "posting_id"], "left_anti").withColumn("pid", F.sha2(F.to_json(ids), 256))
     asked = checkpointed(ps.groupBy("pid").agg(*[F.first(c).alias(c) for c in (*own, "k", "al", "refs")]))
     rows = t.groupBy(*own, "k", "al", "refs").agg(F.count("*").alias("n"), F.min("num").alias("num"))
     rows = checkpointed(rows.withColumn("tid", F.sha2(F.to_json(ids), 256)).withColumnsRenamed({"refs": "t_refs"}))
 
-    shared = asked.select(*own, "pid", "refs", F.explode_outer("al").alias("a")).where("a IS NOT NULL").join(rows.select(*own, "tid", "t_refs", "n", "num", F.explode_outer("al").alias("a")).where("a IS NOT NULL"), [*own, "a"])
-    met = shared.where(~conflicting(F.col("refs"), F.col("t_refs"))).groupBy("pid", "tid").agg(F.first("n").alias("n"), F.first("num").alias("num"))
-    second = checkpointed(met.groupBy("pid").agg(F.sum("n").alias("n"), F.min("num").alias("num")).where("n = 1 AND num IS NOT NULL").select("pid", "num", F.lit("alias").alias("how")))
-
-    left = asked.where("k IS NOT NULL").join(second.select("pid"), "pid", "left_anti").withColumn("src", _sources(F.col("refs")))
-    sets = rows.where("k IS NOT NULL").groupBy(*own, "k", F.array_sort(_sources(F.col("t_refs"))).alias("t_src")).agg(F.sum("n").alias("n"), F.min("num").alias("num"))
-    apart = left.select(*own, "k", "pid", "src").join(sets, [*own, "k"]).where(~F.arrays_overlap("src", "t_src")).select("pid", "n", "num")
-    by_url = left.select(*own, "k", "pid", "refs", F.explode_outer("refs").alias("u")).where("u IS NOT NULL").join(rows.where("k IS NOT NULL").select(*own, "k", "tid", "t_refs", "n", "num", F.explode_outer("t_refs").alias("u")).where("u IS NOT NULL"), [*own, "k", "u"])
-    same = by_url.where(~conflicting(F.col("refs"), F.col("t_refs"))).groupBy("pid", "tid").agg(F.first("n").alias("n"), F.first("num").alias("num")).select("pid", "n", "num")
+    # rows that share an alias and their own urls fit the same postings: they meet a posting as one group
+    grouped = lambda df, by: df.groupBy(*own, *by, "t_refs").agg(F.sum("n").alias("n"), F.min("tid").alias("tid"), F.min("num").alias("num"))
+    owned = grouped(rows.select(*own, F.explode_outer("al").alias("a"), "t_refs", "n", "tid", "num").where("a IS NOT NULL"), ["a"])
+    shared = asked.select(*own, "pid", "refs", F.explode_outer("al").alias("a")).where("a IS NOT NULL").join(dealt(owned), [*own, "a"])
+    met = shared.where(~conflicting(F.col("refs"), F.col("t_refs"))).groupBy("pid").agg(*_one_row())
+    second = checkpointed(met.where("n = 1 AND num IS NOT NULL").select("pid", "num", F.lit("alias").alias("how")))
+
+    left = asked.where("k IS NOT NULL").join(dealt(second.select("pid")), "pid", "left_anti").withColumn("src", _sources(F.col("refs")))
+    named = rows.where("k IS NOT NULL")
+    sets = named.groupBy(*own, "k", F.array_sort(_sources(F.col("t_refs"))).alias("t_src")).agg(F.sum("n").alias("n"), F.min("num").alias("num"))
+    apart = left.select(*own, "k", "pid", "src").join(dealt(sets), [*own, "k"]).where(~F.arrays_overlap("src", "t_src")).select("pid", "n", "num")
+    linked = grouped(named.select(*own, "k", F.explode_outer("t_refs").alias("u"), "t_refs", "n", "tid", "num").where("u IS NOT NULL"), ["k", "u"])
+    by_url = left.select(*own, "k", "pid", "refs", F.explode_outer("refs").alias("u")).where("u IS NOT NULL").join(dealt(linked), [*own, "k", "u"])
+    same = by_url.where(~conflicting(F.col("refs"), F.col("t_refs"))).groupBy("pid").agg(*_one_row()).select("pid", "n", "num")
     third = apart.union(same).groupBy("pid").agg(F.sum("n").alias("n"), F.min("num").alias("num")).where("n = 1 AND num IS NOT NULL").select("pid", "num", F.lit("exact").alias("how"))
-    found = ps.select(*own, "posting_id", "pid").join(second.union(third), "pid").select(*own, "posting_id", "num", "how")
+    found = ps.select(*own, "posting_id", "pid").join(dealt(second.union(third)), "pid").select(*own, "posting_id", "num", "how")
     return first.union(found)

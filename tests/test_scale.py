@@ -23,3 +23,22 @@ def test_names_in_texts_and_matches_are_no_broadcast(spark):
     assert "Broadcast" not in plan_of(found)
     assert sorted(map(tuple, found.collect())) == [(i, "acme") for i in range(3)]
     assert "Broadcast" not in plan_of(resolver.resolved_matches(*_told(spark)))
+
+
+def test_staged_match_makes_no_pair_of_posting_and_row(spark, monkeypatch):
+    from brightloom.operators import matching
+
+    seen = []
+    kept = matching.checkpointed
+    monkeypatch.setattr(matching, "checkpointed", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    job, wanted = "https://board.example.com/careers/1", "https://www.wanted.co.kr/wd/1"
+    empty = F.lit(None).cast("long")
+    row = lambda num, company, aliases: (num, company, "Dev", aliases)
+    # 1 and 2: one row by two aliases and by one; 3: a hot alias of many rows; 4: two aliases of two rows
+    rows = [row(1, "a", [job, "x"]), row(2, "b", ["y", "z"]), row(3, "b", ["z"])] + [row(10 + i, f"c{i}", ["hot", f"h{i}"]) for i in range(300)]
+    asked = [(1, "q", "Dev", [job, "x"]), (2, "q", "Dev", ["y"]), (3, "q", "Dev", ["hot"]), (4, "q", "Dev", ["y", "z"]), (5, "a", "Dev", [wanted])]
+    t = spark.createDataFrame(rows, "num long, company string, role string, aliases array<string>")
+    p = spark.createDataFrame(asked, "posting_id long, company string, title string, aliases array<string>").withColumn("tracker_num", empty)
+    found = matching.staged_match(p, t)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "alias"), (2, 2, "alias"), (5, 1, "exact")]
+    assert not any("Aggregate [pid#" in line and ", tid#" in line.split("]")[0] for plan in [*seen, found._jdf.queryExecution().optimizedPlan().toString()] for line in plan.splitlines())

@@ -360,7 +360,9 @@ def bootstrap_from_runs(state: DataFrame, runs: DataFrame, version: str, now: Co
     body = F.col("body")
     started = F.get_json_object(body, "$.started_at").try_cast("timestamp")
     seen = F.from_json(F.get_json_object(body, "$.liveness.results"), "map<string, string>")
-    artifact = newest_run(runs, version).select(started.alias("at"), F.explode_outer(seen).alias("url", "status")).where("url IS NOT NULL").select("url", "status", "at")
+    # beside the explode, the time would be read from the whole body again for each url
+    opened = newest_run(runs, version).select(started.alias("at"), seen.alias("seen"))
+    artifact = opened.select("at", F.explode_outer("seen").alias("url", "status")).where("url IS NOT NULL").select("url", "status", "at")
     age = now.cast("timestamp").cast("double") - F.col("at").cast("double")
     recent = lambda df: df.select("url", "status", F.col("at").cast("timestamp").alias("at")).where((age >= 0) & (age <= hours * 3600))
     return bootstrap(recent(state), recent(artifact), F.lit("0001-01-01").cast("timestamp"))

@@ -42,3 +42,15 @@ def test_staged_match_makes_no_pair_of_posting_and_row(spark, monkeypatch):
     found = matching.staged_match(p, t)
     assert sorted(map(tuple, found.collect())) == [(1, 1, "alias"), (2, 2, "alias"), (5, 1, "exact")]
     assert not any("Aggregate [pid#" in line and ", tid#" in line.split("]")[0] for plan in [*seen, found._jdf.queryExecution().optimizedPlan().toString()] for line in plan.splitlines())
+
+
+def test_time_of_a_run_is_read_once(spark):
+    from brightloom.operators import composite
+
+    state = spark.createDataFrame([("a", "old", "2024-01-02 00:00:00")], "url string, status string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    body = '{"schema_version": "v", "started_at": "2024-01-02T01:00:00", "liveness": {"results": {"a": "new", "b": "new"}}}'
+    runs = spark.createDataFrame([("1", body)], "name string, body string")
+    found = composite.bootstrap_from_runs(state, runs, "v", F.lit("2024-01-03 00:00:00").cast("timestamp"))
+    assert sorted(tuple(r)[:2] for r in found.collect()) == [("a", "new"), ("b", "new")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "started_at" not in plan.split("Generate")[0]

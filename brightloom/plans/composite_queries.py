@@ -133,8 +133,10 @@ SELECT c_custkey AS posting_id, CASE WHEN c_custkey % 2 = 0 THEN coalesce(names,
 def j21(spark, d):
     c = table(spark, d, "customer")
     s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    jobs = c.groupBy((F.col("c_custkey") % 100).alias("g")).agg(F.collect_list("c_custkey").alias("jobs"))
-    offices = s.join(jobs, F.col("s_suppkey") % 100 == F.col("g")).select(F.col("n_name").alias("name"), F.array(F.struct("jobs")).alias("departments"))
+    # an office of a name lists a group's jobs once, in departments of a thousand: suppliers of one nation list the same
+    jobs = c.groupBy((F.col("c_custkey") % 100).alias("g"), F.expr("c_custkey div 100000").alias("part")).agg(F.collect_list("c_custkey").alias("jobs"))
+    named = s.select(F.col("n_name").alias("name"), (F.col("s_suppkey") % 100).alias("g")).distinct()
+    offices = named.join(jobs, "g").select("name", F.array(F.struct("jobs")).alias("departments"))
     p = c.select(F.col("c_custkey").alias("posting_id"), F.when(F.col("c_custkey") % 2 == 0, "Remote").otherwise(F.col("c_mktsegment")).alias("location"))
     return C.enrich_offices(p, offices)
 

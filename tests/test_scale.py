@@ -54,3 +54,13 @@ def test_time_of_a_run_is_read_once(spark):
     assert sorted(tuple(r)[:2] for r in found.collect()) == [("a", "new"), ("b", "new")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and "started_at" not in plan.split("Generate")[0]
+
+
+def test_offices_list_a_job_once(spark, monkeypatch):
+    from brightloom.plans import composite_queries
+
+    seen = []
+    monkeypatch.setattr(composite_queries.C, "enrich_offices", lambda p, offices: seen.append(offices) or p)
+    composite_queries.j21(spark, "/root/testdata/sf0.1")
+    jobs = seen[0].select("name", F.explode("departments").alias("d")).select("name", F.explode("d.jobs").alias("job"))
+    assert jobs.count() == jobs.distinct().count() > 0

@@ -64,3 +64,11 @@ def test_offices_list_a_job_once(spark, monkeypatch):
     composite_queries.j21(spark, "/root/testdata/sf0.1")
     jobs = seen[0].select("name", F.explode("departments").alias("d")).select("name", F.explode("d.jobs").alias("job"))
     assert jobs.count() == jobs.distinct().count() > 0
+
+
+def test_country_phrases_as_written(spark):
+    from brightloom.operators.filters import country_passes
+
+    said = spark.createDataFrame([("license, mitten",), ("license, MIT style",), (" ",)], "d string")
+    passes = lambda **o: [r[0] for r in said.select(country_passes(F.col("d"), ["license"], ["mit "], "Apache", **o)).collect()]
+    assert passes(as_written=True) == [False, True, True] and passes() == [True, True, True]

@@ -72,3 +72,7 @@ def test_country_phrases_as_written(spark):
     said = spark.createDataFrame([("license, mitten",), ("license, MIT style",), (" ",)], "d string")
     passes = lambda **o: [r[0] for r in said.select(country_passes(F.col("d"), ["license"], ["mit "], "Apache", **o)).collect()]
     assert passes(as_written=True) == [False, True, True] and passes() == [True, True, True]
+
+
+def test_gate_is_no_broadcast(spark):
+    assert "Broadcast" not in plan_of(resolver.resolved_gate(*_told(spark)))

@@ -161,7 +161,7 @@ def s6(spark, d):
 
 def _additions(spark, d):
     body = F.expr(r"""concat_ws('\t', s_suppkey, '2024-01-01', s_name, 'Dev', CASE s_suppkey % 3 WHEN 0 THEN '4.5/5' WHEN 1 THEN 'offer' ELSE 'foo' END, CASE s_suppkey % 3 WHEN 0 THEN 'Aplicado' WHEN 1 THEN '3' ELSE 'bar' END, 'x', '[7](r)', CASE WHEN s_suppkey % 2 = 0 THEN 'via=agency' END, 'Rome')""")
-    return readers.read_additions(spark, _land(table(spark, d, "supplier").select(F.concat(F.lit("o"), F.col("s_suppkey") % 4).alias("owner_id"), body.alias("body"))))
+    return readers.read_additions(spark, _land(table(spark, d, "supplier").select(F.concat(F.lit("o"), F.col("s_suppkey") % 4).alias("owner_id"), body.alias("body")).repartition(64)))  # a file is made for each row
 
 
 @query(

@@ -76,3 +76,18 @@ def test_country_phrases_as_written(spark):
 
 def test_gate_is_no_broadcast(spark):
     assert "Broadcast" not in plan_of(resolver.resolved_gate(*_told(spark)))
+
+
+def test_numbers_in_texts_as_the_sql_takes_them(spark, tmp_path):
+    """Documents with numbers of their own, one beside letters, and addresses."""
+    import duckdb
+
+    from brightloom.plans import posting_queries as P
+
+    texts = ["the number 010-1234-5678 of a@b.org", "the key f01012345678a ends", "License _0101234567 or 010 123 4567.\nx", None, "01112345678", "the x@y.com"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("x20_redact", "x20_evidence"):
+        got = sorted(map(tuple, P.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.execute(P.ORACLES[name]).fetchall()), name

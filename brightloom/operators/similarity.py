@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from brightloom.functions.text import company_key
-from brightloom.operators.dedup import checkpointed
+from brightloom.operators.dedup import checkpointed, dealt
 
 BITS, MAX_BITS = 64, 5
 #: Blocks of a fingerprint, least and most; two that differ in MAX_BITS bits agree on blocks - MAX_BITS of them (24 of 64
@@ -21,6 +21,8 @@ BITS, MAX_BITS = 64, 5
 BLOCKS, MOST_BLOCKS = 8, 12
 #: Pairs of one key beyond which its fingerprints are told apart by some of their other bits, too, and the parts of those.
 HOT_PAIRS, PARTS = 4096, 8
+#: Keys of fingerprints that one task takes. Fingerprints are packed so well that Spark would put millions into one.
+TASK_KEYS = 500_000
 #: Texts with fewer signs after cleaning, or fewer words than a shingle, have no fingerprint.
 LEAST_TEXT, WIDTH = 200, 3
 
@@ -91,18 +93,24 @@ def candidate_pairs(left: DataFrame, right: DataFrame, max_bits: int = MAX_BITS,
         raise ValueError("max_bits must be under the number of blocks and parts")
     masks = _masks(list(range(BITS)), blocks, blocks - max_bits)
     keys = F.inline(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)]))
-    a, b = (df.select("fp", keys) for df in (left, right))
+    tasks = -(-max(left.count(), right.count()) * len(masks) // TASK_KEYS) or 1  # rounded up
+    # dealt before the keys are made as well as by them, so that no task holds more than its share
+    a, b = (df.select("fp").repartition(tasks, "fp").select("fp", keys).repartition(tasks, "choice", "value") for df in (left, right))
     tally = lambda df, n, m: df.groupBy("choice", "value").agg(F.count("*").alias(n)).withColumn(m, F.lit(0).cast("long"))
-    sizes = tally(a, "na", "nb").unionByName(tally(b, "nb", "na")).groupBy("choice", "value").agg((F.sum("na") * F.sum("nb")).alias("pairs"))
-    hot = checkpointed(sizes.where(F.col("pairs") > hot_pairs).select("choice", "value"))
+    sizes = tally(a, "na", "nb").unionByName(tally(b, "nb", "na")).groupBy("choice", "value").agg((F.sum("na") * F.sum("nb")).alias("pairs"), F.greatest(F.sum("na"), F.sum("nb")).alias("n"))
+    counted = checkpointed(sizes.where(F.col("pairs") > hot_pairs).select("choice", "value", "n"))
+    hot = counted.select("choice", "value")
     cold = lambda df: df.join(hot, ["choice", "value"], "left_anti")
-    pairs = cold(a).withColumnRenamed("fp", "fa").join(cold(b).withColumnRenamed("fp", "fb"), ["choice", "value"]).where("fa <> fb").select("fa", "fb", "choice")
-    if hot.isEmpty():
+    pairs = cold(a).withColumnRenamed("fp", "fa").join(dealt(cold(b).withColumnRenamed("fp", "fb")), ["choice", "value"]).where("fa <> fb").select("fa", "fb", "choice")
+    met = counted.agg(F.sum("n")).first()[0]
+    if met is None:
         return pairs
     free = [(i, _signed(m | more)) for i, m in enumerate(masks) for more in _masks([x for x in range(BITS) if not m >> x & 1], PARTS, PARTS - max_bits)]
     longer = F.broadcast(left.sparkSession.createDataFrame(free, "choice int, mask long"))  # as many rows as blocks and PARTS allow
     split = lambda df: df.join(hot, ["choice", "value"]).join(longer, "choice").select("fp", "choice", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
-    more = split(a).withColumnRenamed("fp", "fa").join(split(b).withColumnRenamed("fp", "fb"), ["choice", "mask", "value"]).where("fa <> fb").select("fa", "fb", "choice")
+    each = -(-met * len(free) // len(masks) // TASK_KEYS) or 1
+    spread = lambda df: df.repartition(each, "choice", "mask", "value")
+    more = spread(split(a)).withColumnRenamed("fp", "fa").join(dealt(spread(split(b)).withColumnRenamed("fp", "fb")), ["choice", "mask", "value"]).where("fa <> fb").select("fa", "fb", "choice")
     return pairs.union(more)
 
 

@@ -91,3 +91,14 @@ def test_numbers_in_texts_as_the_sql_takes_them(spark, tmp_path):
     for name in ("x20_redact", "x20_evidence"):
         got = sorted(map(tuple, P.QUERIES[name](spark, str(tmp_path)).collect()))
         assert got == sorted(con.execute(P.ORACLES[name]).fetchall()), name
+
+
+def test_keys_of_fingerprints_are_dealt_by_their_number(spark, monkeypatch):
+    from brightloom.operators import similarity
+
+    fps = spark.range(3000).select(F.xxhash64("id").alias("fp")).coalesce(1).localCheckpoint()
+    for keys, tasks in ((10_000, 17), (20_000, 9)):  # 56 keys of each
+        monkeypatch.setattr(similarity, "TASK_KEYS", keys)
+        held = [line for line in plan_of(similarity.candidate_pairs(fps, fps)).splitlines() if "Exchange hashpartitioning" in line]
+        # both sides, by the fingerprint before keys are made and by the key
+        assert len(held) == 4 and all(f", {tasks}), REPARTITION_BY_NUM" in line for line in held), held

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -65,30 +66,33 @@ def accept_in_order(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame
     """W2, several keys: df with accepted, as if rows came one by one in order (unique), and each were accepted unless
     an earlier accepted row of its owner has one of its keys. A rejected row marks nothing. Null keys never match.
 
-    Each round accepts the rows that come first on both keys among those undecided, and rejects those that share a key
+    Each round accepts the rows that come first on all their keys among those undecided, and rejects those that share a key
     with an accepted one; this equals the sequential result. Rounds are bounded by the longest chain of rows in which
     each waits for the one before.
+
+    Keys go as 128-bit digests, whatever their length. The first row of each key is combined before its shuffle, so what
+    is undecided is only shuffled to reject, and not again for a key once it is gone by another.
     """
     own, names = owner_of(df), [f"k{i}" for i in range(len(keys))]
-    keyed = lambda k: F.when(F.col(k).isNotNull(), F.struct(*own, F.col(k).alias("key")))
-    open_rows = checkpointed(df.select(F.col(order).alias("o"), *[keyed(k).alias(n) for k, n in zip(keys, names)]))
-    accepted = None
+    keyed = lambda k: F.when(F.col(k).isNotNull(), F.unhex(F.md5(F.to_json(F.struct(*own, F.col(k).alias("key"))))))
+    rows = checkpointed(df.select(F.col(order).alias("o"), *[keyed(k).alias(n) for k, n in zip(keys, names)]))
+    asked = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
+    accepted, open_rows = [rows.where(asked == 0).select("o")], rows.where(asked > 0)
     while True:
-        met, first = open_rows, F.lit(True)
-        for n in names:
-            met = met.join(open_rows.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("o").alias(f"first_{n}")), n, "left")
-            first = first & (F.col(f"first_{n}").isNull() | (F.col(f"first_{n}") == F.col("o")))
-        now = checkpointed(met.where(first).select("o", *names))
+        firsts = [open_rows.where(F.col(n).isNotNull()).groupBy(n).agg(F.min(F.struct("o", *names)).alias("row")).select("row") for n in names]
+        met = reduce(DataFrame.union, firsts).groupBy("row").agg(F.count("*").alias("n")).select("row.*", "n")
+        now = checkpointed(met.where(F.col("n") == asked).select("o", *names))
         if now.isEmpty():
             break
-        accepted = now.select("o") if accepted is None else checkpointed(accepted.union(now.select("o")))
-        rest = open_rows.join(now.select("o"), "o", "left_anti")
+        accepted.append(now.select("o"))
+        if len(accepted) > 16:  # many rounds make no long plan
+            accepted = [checkpointed(reduce(DataFrame.union, accepted))]
+        rest = open_rows
         for n in names:
             rest = rest.join(now.where(F.col(n).isNotNull()).select(n).distinct(), n, "left_anti")
         open_rows = checkpointed(rest.select("o", *names))
-    if accepted is None:
-        return df.withColumn("accepted", F.lit(False))
-    return df.join(accepted.withColumn("accepted", F.lit(True)), df[order] == accepted["o"], "left").drop("o").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    found = reduce(DataFrame.union, accepted).withColumn("accepted", F.lit(True))
+    return df.join(found, df[order] == found["o"], "left").drop("o").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 def append_history(new: DataFrame, history: DataFrame, active: Column) -> DataFrame:

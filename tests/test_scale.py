@@ -102,3 +102,15 @@ def test_keys_of_fingerprints_are_dealt_by_their_number(spark, monkeypatch):
         held = [line for line in plan_of(similarity.candidate_pairs(fps, fps)).splitlines() if "Exchange hashpartitioning" in line]
         # both sides, by the fingerprint before keys are made and by the key
         assert len(held) == 4 and all(f", {tasks}), REPARTITION_BY_NUM" in line for line in held), held
+
+
+def test_rounds_take_digests_and_join_to_reject_alone(spark, monkeypatch):
+    from brightloom.operators import dedup
+
+    seen, kept = [], dedup.checkpointed
+    monkeypatch.setattr(dedup, "checkpointed", lambda df: seen.append((df.dtypes, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df))
+    rows = [(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", "y"), (5, None, None), (6, None, "x"), (7, "d", None), (8, "b", None)]
+    got = dedup.accept_in_order(spark.createDataFrame(rows, "i int, a string, b string"), ["a", "b"], "i")
+    assert {r["i"] for r in got.where("accepted").collect()} == {1, 3, 5, 7}
+    assert all(kind == "binary" for types, _ in seen for name, kind in types if name in ("k0", "k1"))
+    assert all("LeftOuter" not in plan for _, plan in seen)

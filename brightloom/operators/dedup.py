@@ -104,20 +104,28 @@ def append_history(new: DataFrame, history: DataFrame, active: Column) -> DataFr
     return first_per_key(fresh, [*own, "_key", "status"], F.col("pos")).drop("_key")
 
 
-def posting_index(history: DataFrame) -> DataFrame:
-    """K3: index rebuilt from history: the first row by pos of each listing id (of each owner)."""
+#: What posting_index returns besides the two ids.
+INDEX_COLUMNS = ("url", "first_seen", "portal", "company_key", "role_key", "status", "pos")
+
+
+def posting_index(history: DataFrame, columns: Sequence[str] = INDEX_COLUMNS) -> DataFrame:
+    """K3: index rebuilt from history: the first row by pos of each listing id (of each owner), with those of INDEX_COLUMNS
+    that are asked for and both ids. What is not asked for is not shuffled."""
     own = owner_of(history)
-    rows = history.select(*own, dedup_url(F.col("url")).alias("_u"), "url", "first_seen", "portal", "company", "title", "status", "pos")
-    # keys and ids are made from what the first row of its url has, once for each url and after the shuffle
-    first = first_per_key(rows, [*own, "_u"], F.col("pos")).withColumns({"company_key": company_key(F.col("company")), "role_key": role_key(F.col("title"))})
-    ids = {"listing_instance_id": stable_id("li_", F.col("_u")), "posting_cluster_id": stable_id("pc_", F.concat_ws("::", "company_key", "role_key"))}
-    return first.withColumns(ids).select(*own, "url", "first_seen", "portal", "company_key", "role_key", "status", "pos", *ids)
+    asked = [c for c in ("url", "first_seen", "portal", "status") if c in columns]
+    # the id stands for its url in the shuffle, in half its letters; a null url has none
+    listing = F.unhex(F.substr(F.sha2(dedup_url(F.col("url")), 256), F.lit(1), F.lit(20)))
+    rows = history.select(*own, listing.alias("_id"), *asked, "company", "title", "pos")
+    # keys are made from what the first row has, once for each id and after the shuffle
+    first = first_per_key(rows, [*own, "_id"], F.col("pos")).withColumns({"company_key": company_key(F.col("company")), "role_key": role_key(F.col("title"))})
+    ids = {"listing_instance_id": F.concat(F.lit("li_"), F.lower(F.hex("_id"))), "posting_cluster_id": stable_id("pc_", F.concat_ws("::", "company_key", "role_key"))}
+    return first.withColumns(ids).select(*own, *[c for c in INDEX_COLUMNS if c in columns], *ids)
 
 
-def append_posting_index(new: DataFrame, index: DataFrame) -> DataFrame:
+def append_posting_index(new: DataFrame, index: DataFrame, columns: Sequence[str] = INDEX_COLUMNS) -> DataFrame:
     """K2: rows of posting_index(new) whose listing id the index doesn't have."""
     keys = [*owner_of(new, index), "listing_instance_id"]
-    return posting_index(new).join(index.select(*keys).distinct(), keys, "left_anti")
+    return posting_index(new, columns).join(index.select(*keys).distinct(), keys, "left_anti")
 
 
 def sanitize_tsv(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -80,7 +80,7 @@ _INDEX = f"""SELECT 'li_' || substr(sha256({_KEY}), 1, 20) AS listing_instance_i
     f"{with_views('history')}, i AS ({_INDEX}) SELECT listing_instance_id, min(pos) AS pos, arg_min(posting_cluster_id, pos) AS posting_cluster_id, arg_min(status, pos) AS status FROM i GROUP BY 1",
 )
 def k3(spark, d):
-    return D.posting_index(history(spark, d)).select("listing_instance_id", "pos", "posting_cluster_id", "status")
+    return D.posting_index(history(spark, d), ["status", "pos"]).select("listing_instance_id", "pos", "posting_cluster_id", "status")
 
 
 @query(
@@ -90,7 +90,7 @@ def k3(spark, d):
 )
 def k2(spark, d):
     h = history(spark, d)
-    return D.append_posting_index(h.where(_NEW), D.posting_index(h.where(_PAST))).select("listing_instance_id", "pos")
+    return D.append_posting_index(h.where(_NEW), D.posting_index(h.where(_PAST), []), ["pos"]).select("listing_instance_id", "pos")
 
 
 @query("a9_history_metadata", f"{with_views('history')} SELECT {_KEY} AS url_key, min(first_seen) AS first_seen, max(first_seen) AS last_seen, count(*) AS n FROM history GROUP BY 1")

@@ -114,3 +114,16 @@ def test_rounds_take_digests_and_join_to_reject_alone(spark, monkeypatch):
     assert {r["i"] for r in got.where("accepted").collect()} == {1, 3, 5, 7}
     assert all(kind == "binary" for types, _ in seen for name, kind in types if name in ("k0", "k1"))
     assert all("LeftOuter" not in plan for _, plan in seen)
+
+
+def test_index_shuffles_what_is_asked_for(spark):
+    from brightloom.operators import dedup
+
+    rows = [("https://a.example/1", "Acme", "Dev", "added", "p", "2"), ("https://a.example/1/", "Acme", "Ops", "old", "p", "1"), (None, "B", "Dev", "added", "p", "3")]
+    h = spark.createDataFrame(rows, "url string, company string, title string, status string, portal string, pos string").withColumn("first_seen", F.current_date())
+    whole, part = dedup.posting_index(h), dedup.posting_index(h, ["pos"])
+    ids = ["pos", "listing_instance_id", "posting_cluster_id"]
+    assert sorted(map(tuple, whole.select(*ids).collect()), key=str) == sorted(map(tuple, part.select(*ids).collect()), key=str)
+    assert {r["pos"] for r in part.collect()} == {"1", "3"}
+    sent = next(line for line in plan_of(part).splitlines() if "SortAggregate(key=[_id" in line)
+    assert "portal" not in sent and "status" not in sent

@@ -18,6 +18,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 #: Lines of one landed file.
 LINES = 200
+#: Lists of one landed checklist: to make and open a file costs more than the lines of a list.
+LISTS = 20
 
 
 def query(name: str, sql: str | None = None):
@@ -47,11 +49,16 @@ def _land(files: DataFrame, suffix: str = "*") -> str:
     return f"{path}/{suffix}"
 
 
-def _files(rows: DataFrame, key: str, line: Column, head: str = "") -> DataFrame:
-    """(owner_id, body): files of up to LINES lines in order of key, for four owners."""
+def _files(rows: DataFrame, key: str, line: Column, head: str = "", lists: int = 1) -> DataFrame:
+    """(owner_id, body): files of up to LINES lines in order of key, for four owners. With more lists, a file holds so many
+    of them one after the other, each with its head."""
     placed = rows.select(F.concat(F.lit("o"), F.col(key) % 4).alias("owner_id"), F.col(key).alias("key"), F.floor(F.col(key) / (4 * LINES)).alias("file"), line.alias("line"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "\n")
-    return placed.groupBy("owner_id", "file").agg(lines.alias("body")).select("owner_id", "file", F.concat(F.lit(head), "body").alias("body"))
+    made = placed.groupBy("owner_id", "file").agg(lines.alias("body")).select("owner_id", "file", F.concat(F.lit(head), "body").alias("body"))
+    if lists == 1:
+        return made
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "body"))), lambda x: x["body"]), "\n")
+    return made.groupBy("owner_id", F.floor(F.col("file") / lists).alias("of")).agg(joined.alias("body")).select("owner_id", F.col("of").alias("file"), "body")
 
 
 def _owned(df: DataFrame) -> DataFrame:
@@ -133,12 +140,12 @@ def a12(spark, d):
 
 
 def _checklist(spark, d):
-    """Files of two lists: pending items under buckets, every fifth with three cells alone, and processed ones."""
+    """Files of two kinds of lists: pending items under buckets, every fifth with three cells alone, and processed ones."""
     e = table(spark, d, "events").select(F.col("event_id").alias("key"), "event_type")
     pending = F.expr("""concat(CASE WHEN key % 3 = 0 THEN concat('### B', key, '\n') ELSE '' END, '- [ ] https://p.example.com/', key, ' | c', key, ' | t',
       CASE WHEN key % 5 > 0 THEN concat(' | ', event_type, ' | posted: 2024-01-02') ELSE '' END)""")
     done = F.expr("""concat('- [x] #', key, ' https://p.example.com/', key, ' | c', key, ' | t | ', event_type, CASE key % 3 WHEN 0 THEN ' | 4/5 | clean net-new, active' WHEN 1 THEN ' | 4.5/5 | clean net-new, active, now closed' ELSE ' | active' END)""")
-    files = _files(e.where("key % 8 < 4"), "key", pending, "# List\n## Pending\n").union(_files(e.where("key % 8 >= 4"), "key", done, "## Pending\n### Old\n## Processed\n"))
+    files = _files(e.where("key % 8 < 4"), "key", pending, "# List\n## Pending\n", LISTS).union(_files(e.where("key % 8 >= 4"), "key", done, "## Pending\n### Old\n## Processed\n", LISTS))
     return _owned(readers.read_pipeline(spark, _land(files)))
 
 

@@ -127,3 +127,16 @@ def test_index_shuffles_what_is_asked_for(spark):
     assert {r["pos"] for r in part.collect()} == {"1", "3"}
     sent = next(line for line in plan_of(part).splitlines() if "SortAggregate(key=[_id" in line)
     assert "portal" not in sent and "status" not in sent
+
+
+def test_checklists_land_as_few_files_of_many_lists(spark):
+    from brightloom.plans import landed_queries as L
+    from brightloom.sources import readers
+
+    rows = spark.range(0, 4 * L.LINES * 10).select(F.col("id").alias("key"))
+    line = F.expr("concat(CASE WHEN key % 800 = 400 THEN '### B\n' ELSE '' END, '- [ ] u', key, ' | c | t | here')")
+    files = L._files(rows, "key", line, "## Pending\n", lists=4)
+    assert files.count() == 4 * 3  # ten lists of an owner, four in a file
+    found = readers.read_pipeline(spark, L._land(files)).selectExpr("bigint(substr(url, 2)) AS key", "section", "bucket").collect()
+    # the bucket of a list is not carried into the next one
+    assert sorted((r["key"], r["section"], r["bucket"]) for r in found) == [(k, "Pending", "B" if k % 4 == 0 and k % 800 >= 400 else None) for k in range(8000)]

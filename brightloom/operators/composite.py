@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -98,12 +99,13 @@ def cluster_duplicates(df: DataFrame, days: int = 90, fold_rows: int = FOLD_ROWS
     rows = checkpointed(sighted.select(*own, "pos", *[k.alias(n) for n, k in keys.items()]))
     led = accept_in_order(rows, list(keys), "pos")
     leaders = checkpointed(led.where("accepted").drop("accepted"))
-    rest = led.where("NOT accepted").drop("accepted")
-    for n in keys:
-        least = leaders.where(F.col(n).isNotNull()).groupBy(*own, n).agg(F.min("pos").alias(f"by_{n}"))
-        rest = rest.join(least, [*own, n], "left")
+    rest = checkpointed(led.where("NOT accepted").drop("accepted"))
+    # rows without a key stay out of its join, where they would meet in one task
+    some = lambda df, n: df.where(F.col(n).isNotNull())
+    least = lambda n: some(leaders, n).groupBy(*own, n).agg(F.min("pos").alias("leader"))
+    shared = [some(rest, n).select(*own, n, "pos").join(least(n), [*own, n]).select(*own, "pos", "leader") for n in keys]
     # the least pos of a leader that shares any key; a later one can't have come first
-    found = rest.select(*own, "pos", F.least(*[F.col(f"by_{n}") for n in keys]).alias("leader"))
+    found = reduce(DataFrame.union, shared).groupBy(*own, "pos").agg(F.min("leader").alias("leader"))
     return leaders.select(*own, "pos", F.col("pos").alias("leader")).union(found).union(_blind_leaders(keyed.where("blind"), own, days, fold_rows))
 
 

@@ -140,3 +140,27 @@ def test_checklists_land_as_few_files_of_many_lists(spark):
     found = readers.read_pipeline(spark, L._land(files)).selectExpr("bigint(substr(url, 2)) AS key", "section", "bucket").collect()
     # the bucket of a list is not carried into the next one
     assert sorted((r["key"], r["section"], r["bucket"]) for r in found) == [(k, "Pending", "B" if k % 4 == 0 and k % 800 >= 400 else None) for k in range(8000)]
+
+
+def test_rows_without_a_key_are_dealt_to_all_tasks(spark, monkeypatch):
+    from brightloom.operators import dedup
+
+    largest = []
+    kept = dedup.checkpointed
+
+    def watched(df):
+        out = kept(df)
+        if out.columns == ["o", "k0", "k1"] and out.count() == 400:
+            largest.append(max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()))
+        return out
+
+    monkeypatch.setattr(dedup, "checkpointed", watched)
+    # of each k the first row goes for its report, so the second, which has none, leads in the next round
+    rows = [(0, "x", "hot")] + [(2 * i + 1, f"a{i}", "hot") for i in range(400)] + [(2 * i + 2, f"a{i}", None) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = dedup.accept_in_order(spark.createDataFrame(rows, "pos long, k string, r string"), ["k", "r"], "pos").where("accepted").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r["pos"] for r in found} == {0} | {2 * i + 2 for i in range(400)}
+    assert largest and max(largest) < 200

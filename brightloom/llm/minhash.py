@@ -89,7 +89,7 @@ def _pairs(met: DataFrame) -> DataFrame:
     return listed.select("a", F.explode(F.filter("vs", lambda y: y < F.col("a"))).alias("b")).distinct()
 
 
-def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(v, s): the shingles of nodes (v, k1, k2); k1 and k2 are the row_key of one of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     return texts.mapInArrow(run, "v struct<h1:bigint,h2:bigint>, s array<bigint>")
 
 
-def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     size = sets.select("v", F.size("s").alias("n"))
     # sizes first: sets move only for pairs that can reach the similarity
     able = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * (similarity - 1e-9))
@@ -182,16 +182,8 @@ def _searched(star: DataFrame, sets: DataFrame, labels: DataFrame, similarity: f
     return found.select(F.struct("h1", "h2").alias("a"), F.struct(F.col("g1").alias("h1"), F.col("g2").alias("h2")).alias("b"))
 
 
-def near_labels(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, similarity: float, group: int = GROUP) -> DataFrame:
-    """(node, label) of the components of all pairs of nodes that share a key and have at least that Jaccard similarity.
-
-    nodes: v, bands, and the row_key of one of its rows.
-    """
-    keyed = nodes.select("v", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("g"), "v")
-    met = _meeting(keyed)
-    sets = written(_shingle_sets(docs, nodes.join(met.select("v").distinct(), "v"), id_col, text_col, width))
-    links = _similar_pairs(_pairs(met.where(F.col("n") <= group)), sets, similarity)
-    hot = met.where(F.col("n") > group)
+def linked_labels(links: DataFrame, hot: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, label) of the components of links (a, b) and of all similar pairs in the groups of hot (g, v, n)."""
     if hot.isEmpty():
         return component_labels(links)
     star = _beside_hubs(checkpointed(_stars(hot)), sets)
@@ -204,6 +196,36 @@ def near_labels(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, w
     return component_labels(labels.toDF("a", "b").union(_searched(star, sets, labels, similarity)))
 
 
+def near_labels(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, similarity: float, group: int = GROUP) -> DataFrame:
+    """(node, label) of the components of all pairs of nodes that share a key and have at least that Jaccard similarity.
+
+    nodes: v, bands, and the row_key of one of its rows.
+    """
+    keyed = nodes.select("v", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("g"), "v")
+    met = _meeting(keyed)
+    sets = written(shingle_sets(docs, nodes.join(met.select("v").distinct(), "v"), id_col, text_col, width))
+    links = similar_pairs(_pairs(met.where(F.col("n") <= group)), sets, similarity)
+    return linked_labels(links, met.where(F.col("n") > group), sets, similarity)
+
+
+def row_components(rows: DataFrame, nodes: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """(k1, k2, id, component) of rows (k1, k2, id, v), which are total, by labels of nodes (v, id)."""
+    placed = nodes.join(labels, F.col("v") == F.col("node"), "left").select("v", "id", F.coalesce("label", "v").alias("label"))
+    placed = checkpointed(few_tasks(placed, total))
+    least = checkpointed(few_tasks(placed.groupBy("label").agg(F.min("id").alias("component")), total))
+    named = checkpointed(few_tasks(placed.select("v", "label").join(least, "label").select("v", "component"), total))
+    return few_tasks(rows.join(named, "v").select("k1", "k2", "id", "component"), total)
+
+
+def without_copies(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs whose id is that of their component in found."""
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("k1").alias("g1"), F.col("k2").alias("g2")).distinct()
+    k1, k2 = (free_name(docs, x) for x in ("_k1", "_k2"))
+    keyed = docs.withColumns(dict(zip((k1, k2), row_key(id_col, text_col))))
+    gone = checkpointed(gone)
+    return keyed.join(gone, (keyed[k1] == gone["g1"]) & (keyed[k2] == gone["g2"]), "left_anti").drop(k1, k2)
+
+
 def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, group: int = GROUP
 ) -> DataFrame:
@@ -217,11 +239,7 @@ def near_components(
     one = F.min(F.struct("k1", "k2", "bands"))  # any row of a node has its bands
     nodes = checkpointed(rows.groupBy("v").agg(F.min("id").alias("id"), one.alias("one")).select("v", "id", "one.*"))
     labels = near_labels(docs, nodes, id_col, text_col, width, similarity, group)
-    placed = nodes.join(labels, F.col("v") == F.col("node"), "left").select("v", "id", F.coalesce("label", "v").alias("label"))
-    placed = checkpointed(few_tasks(placed, total))
-    least = checkpointed(few_tasks(placed.groupBy("label").agg(F.min("id").alias("component")), total))
-    named = checkpointed(few_tasks(placed.select("v", "label").join(least, "label").select("v", "component"), total))
-    return few_tasks(rows.drop("bands").join(named, "v").select("k1", "k2", "id", "component"), total)
+    return row_components(rows.drop("bands"), nodes, labels, total)
 
 
 def drop_near_duplicates(
@@ -232,9 +250,4 @@ def drop_near_duplicates(
     Of each component the document with the least id stays. Rows that repeat an id stay together; rows without an id
     go if any in their component has one, and else stay.
     """
-    found = near_components(docs, id_col, text_col, width, similarity, group)
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("k1").alias("g1"), F.col("k2").alias("g2")).distinct()
-    k1, k2 = (free_name(docs, x) for x in ("_k1", "_k2"))
-    keyed = docs.withColumns(dict(zip((k1, k2), row_key(id_col, text_col))))
-    gone = checkpointed(gone)
-    return keyed.join(gone, (keyed[k1] == gone["g1"]) & (keyed[k2] == gone["g2"]), "left_anti").drop(k1, k2)
+    return without_copies(docs, near_components(docs, id_col, text_col, width, similarity, group), id_col, text_col)

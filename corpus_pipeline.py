@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm import decontaminate, langid, line_dedup, minhash, mixing
+from brightloom.llm import decontaminate, langid, line_dedup, mixing, near_copies
 from brightloom.llm.common import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,8 +28,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near copies: five-word shingles of Jaccard similarity 0.8 or more."""
-    return minhash.drop_near_duplicates(docs)
+    """The document of least doc_id of each group of near copies: SimHash proposes pairs; those of Jaccard similarity 0.8 or
+    more, in five-word shingles, are near."""
+    return near_copies.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,8 +54,8 @@ def w2(spark, d):
 
 @query("w2_accept_two_keys")
 def w2b(spark, d):
-    h = history(spark, d).select("pos", "url", F.concat_ws("::", "company", "title").alias("role")).groupBy("pos").agg(F.first("url").alias("url"), F.first("role").alias("role"))
-    return D.accept_in_order(h, ["url", "role"], "pos").select("pos", "accepted")
+    h = history(spark, d).select("pos", "url", F.concat_ws("::", "company", "title").alias("role"))
+    return D.verdicts_in_order(h, ["url", "role"], "pos")
 
 
 _ACTIVE = "(status = 'skipped_invalid_url' OR (starts_with(status, 'cooldown:') AND '2000-06-01' < regexp_extract(status, '[^:]*$')) OR (status <> 'skipped_invalid_url' AND NOT starts_with(status, 'cooldown:') AND DATE '2000-06-01' - first_seen < 400))"

@@ -25,6 +25,43 @@ def test_accept_in_order_equals_sequential(spark):
     assert dedup.accept_in_order(df.limit(0), ["a", "b"], "i").count() == 0
 
 
+def _sequential(rows):
+    seen_a, seen_b, out = set(), set(), set()
+    for i, a, b in sorted(rows):
+        if (a is None or a not in seen_a) and (b is None or b not in seen_b):
+            out.add(i)
+            seen_a.add(a)
+            seen_b.add(b)
+    return out
+
+
+def test_two_keys_of_long_chains_and_few_marks(spark, monkeypatch):
+    rng = random.Random(7)
+    chain = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(12)]  # each row waits for the one before
+    mixed = [(i, rng.choice([None, *"abcdefgh"]), rng.choice([None, f"u{rng.randrange(40)}"])) for i in rng.sample(range(1000), 120)]
+    monkeypatch.setattr(dedup, "MARK_ROWS", 4)  # marks let rows of other keys through
+    monkeypatch.setattr(dedup, "ROUNDS", 2)
+    for rows in (chain, mixed):
+        df = spark.createDataFrame(rows, "i int, a string, b string")
+        assert {r["i"] for r in dedup.accept_in_order(df, ["a", "b"], "i").where("accepted").collect()} == _sequential(rows)
+
+
+def test_verdicts_have_one_row_of_each_order_and_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, "o", "a", "x"), (2, "p", "a", "x"), (3, "o", "a", "y"), (4, "o", None, "x"), (5, "o", "c", None), (5, "o", "c", None), (6, "o", None, None)]
+    df = spark.createDataFrame(rows, "i int, owner_id string, a string, b string")
+    found = dedup.verdicts_in_order(df.mapInArrow(counted, df.schema), ["a", "b"], "i")
+    assert found.columns == ["i", "accepted"]
+    assert sorted(map(tuple, found.collect())) == [(1, True), (2, True), (3, False), (4, False), (5, True), (6, True)]
+    assert read.value == len(rows)
+
+
 def test_missing_values_pass(spark):
     df = spark.createDataFrame([(None, None, None, None, None)], "t string, l string, d date, n double, c string")
     rules = [
